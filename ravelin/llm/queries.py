@@ -6,28 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import decontam, hostrules, partenum
+from ravelin.llm import decontam, histsort, hostrules, packing, partenum, rans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histsort.shards_by_bytes(_table(spark, sf_dir, "documents"))
+
+
+def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, table, manifest = rans.write_tokens(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return rans.read_tokens(spark, folder, table, manifest)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write_warc(_table(spark, sf_dir, "pages"))
+    return warc.read_warc(folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judged(_table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontam.report(found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard, op8_host_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_histogram_sort, op2_rans_tokens, op4_ngram_jaccard, op5_warc, op8_host_rules, op9_best_fit_packing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
