@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import decontam, histsort, hostrules, packing, partenum, rans, warc
+from ravelin.llm import decontam, histsort, hostrules, langid, packing, partenum, rans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, folder, table, manifest)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()), vocabulary("piece_bpe_32k.model"))
+    return langid.predict(docs.withColumn("held_out", langid.held_out()), model, keep=["doc_id", "held_out"])
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_groups(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sort, op2_rans_tokens, op4_ngram_jaccard, op5_warc, op8_host_rules, op9_best_fit_packing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_histogram_sort, op2_rans_tokens, op3_language_id, op4_ngram_jaccard, op5_warc, op8_host_rules, op9_best_fit_packing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 from ravelin.llm import textops
+from ravelin.llm.hashing import KeyTable
 
 #: Entries of a worker's table of pieces; beyond it starts anew.
 MOST_PIECES = 1 << 21
@@ -66,38 +67,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.mask = (1 << 16) - 1
-        self.slots = np.zeros(self.mask + 1, np.uint64)
-        self.entry = np.zeros(self.mask + 1, np.int32)
-        self.n = 0
+        self.known = KeyTable()
         self.at, self.many, self.flat, self.used = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), np.zeros(1 << 17, np.uint32), 0
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Entry of each key, or -1."""
-        pos = (keys & np.uint64(self.mask)).astype(np.int64)
-        there = self.slots.take(pos)
-        out = self.entry.take(pos)
-        left = np.flatnonzero(there != keys)
-        out[left] = -1
-        left = left[there[left] != 0]
-        pos = (pos[left] + 1) & self.mask
-        while len(left):
-            there = self.slots[pos]
-            hit = there == keys[left]
-            out[left[hit]] = self.entry[pos[hit]]
-            on = ~hit & (there != 0)
-            left, pos = left[on], (pos[on] + 1) & self.mask
-        return out
-
-    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
-        left, pos = np.arange(len(keys)), (keys & np.uint64(self.mask)).astype(np.int64)
-        while len(left):
-            free = self.slots[pos] == 0
-            self.slots[pos[free]] = keys[left[free]]
-            won = self.slots[pos] == keys[left]
-            self.entry[pos[won]] = entries[left[won]]
-            left, pos = left[~won], (pos[~won] + 1) & self.mask
-
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         # all pieces at once in the vocabulary's stand-ins; no plain piece holds the separator
         shown = self.shown[np.frombuffer("\x00".join(pieces).encode(), np.uint8)].tobytes().decode("utf-32-le")
@@ -105,22 +77,15 @@ class Encoder:
         ids = [[t.id for t in one(p)] for p in shown.split(chr(self.shown[0]))]
         counts = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-        while self.n + len(ids) > len(self.at):
+        new = self.known.add(keys)
+        while self.known.n > len(self.at):
             self.at, self.many = np.resize(self.at, 2 * len(self.at)), np.resize(self.many, 2 * len(self.many))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        new = np.arange(self.n, self.n + len(ids), dtype=np.int32)
         self.at[new] = self.used + np.cumsum(counts) - counts
         self.many[new] = counts
         self.flat[self.used : self.used + len(flat)] = flat
-        self.used, self.n = self.used + len(flat), self.n + len(ids)
-        if 2 * self.n > self.mask:
-            held, own = self.slots[self.slots != 0], self.entry[self.slots != 0]
-            while 2 * self.n > self.mask:
-                self.mask = 2 * self.mask + 1
-            self.slots, self.entry = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
-            self._place(held, own)
-        self._place(keys, new)
+        self.used += len(flat)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -160,17 +125,17 @@ class Encoder:
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(self.values.take(codes) * up[: len(codes)], out=sums[1:])
         keys = textops.mixed((sums[ends] - sums[starts]) * down[starts]) | np.uint64(1 << 63)
-        entry = self._find(keys)
+        entry = self.known.find(keys)
         if (entry < 0).any():
             new, where = np.unique(keys[entry < 0], return_index=True)
-            if self.n + len(new) > MOST_PIECES:
+            if self.known.n + len(new) > MOST_PIECES:
                 self._clear()
                 new, where = np.unique(keys, return_index=True)
                 spans = where
             else:
                 spans = np.flatnonzero(entry < 0)[where]
             self._add(new, [text[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
-            entry = self._find(keys)
+            entry = self.known.find(keys)
         counts = self.many.take(entry)
         total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
         ids = self.flat.take(np.repeat(self.at.take(entry) - total[:-1], counts) + np.arange(total[-1]))
