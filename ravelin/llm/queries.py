@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import decontam, histsort, hostrules, langid, licenses, packing, partenum, rans, warc
+from ravelin.llm import decontam, histsort, hostrules, htmltext, langid, licenses, packing, partenum, rans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_crf_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judged(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sort, op2_rans_tokens, op3_language_id, op4_ngram_jaccard, op5_warc, op6_diagonal_licenses, op8_host_rules, op9_best_fit_packing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_histogram_sort, op2_rans_tokens, op3_language_id, op4_ngram_jaccard, op5_warc, op6_diagonal_licenses, op7_crf_html, op8_host_rules, op9_best_fit_packing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
