@@ -108,3 +108,19 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     # hosts can be many, so Spark chooses the join by their size; a hot host's rows are read from a written table and split
     out = counts.join(hosts.select(F.col("host").alias("_host"), "host_rate", "host_kept"), F.col("host").eqNullSafe(F.col("_host")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop("_host", "host_kept")
+
+
+def _flagged(batches):
+    for batch in batches:
+        c = text_counts(batch.column(batch.num_columns - 1))
+        failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
+        yield pa.RecordBatch.from_arrays(batch.columns, batch.schema.names).filter(pa.array(~failed))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns and without a shuffle of their texts."""
+    counts = written(measured(docs, id_col, text_col, host_col), "counts")
+    # only the hosts that go are joined, and Spark picks the join by their size
+    gone = written(host_verdicts(counts, limit).where(~F.col("host_kept")).select(F.col("host").alias("_host")), "gone")
+    rows = docs.select("*", F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(_flagged, rows.schema).drop("_text").join(gone, F.col(host_col).cast("string") == F.col("_host"), "left_anti")

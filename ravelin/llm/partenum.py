@@ -10,13 +10,15 @@ The order comes from a count sketch over the shingles of all documents. It has a
 any order gives the same links.
 
 Candidates are resolved per signature bucket without emitting all pairs: every member is compared with a pivot, members of
-one component are done with each other, and the rest gets new pivots (PIVOTS times as many each round) until every bucket lies in
+one component are done with each other, and the rest gets new pivots (GROWTH times as many each round) until every bucket lies in
 one component or has been compared in full. A pair is first held against a parity sketch, whose distance never exceeds the
-true one, and then verified on the whole sets.
+true one, and then verified on the whole sets. Jaccard distance is a metric, so the distances to a common pivot rule out
+most other pairs of a bucket without a look at them.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +33,18 @@ from ravelin.llm import textops
 from ravelin.llm.graph import components
 from ravelin.llm.store import id_bitmap, in_bitmap, slot, written
 
-#: Cells of the count sketch (4 bytes each) and the pieces in which tasks send it.
-SKETCH_CELLS, SKETCH_PARTS = 1 << 20, 16
+#: Bits of a cell's number in the count sketch (4 bytes a cell, so 16 MiB in all) and the pieces in which tasks send it.
+SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: Bits of the parity sketch of a set.
 PARITY_BITS = 1024
 #: Partitions per element at the top of a size level, and the ratio of sizes in a level.
 LEVEL_RATIO = 4
 #: Pieces of a pivot's members, and of the bucket of a signature whose shingles are all counted this often.
 SALTS, HOT_COUNT = 16, 1000
-#: Pivots of a bucket in the second round, and the factor by which they grow from round to round.
-PIVOTS = 32
+#: Buckets of so many members are compared in full after the first round; in larger ones pivots grow by this factor from round to round.
+SMALL, GROWTH = 24, 4
+#: Distances that differ by more than this have no link between them; 1/4 and a margin for rounding.
+FAR = 0.25 + 1e-9
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,11 +67,11 @@ _FIELDS = ["doc_id", "n", "print", "parity", "sketch", "part"]
 
 
 def _profiles(batches):
-    sketch = np.zeros(SKETCH_CELLS, np.uint32)
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         ids, found = batch.column(0), []
         for row, own in shingle_sets(batch.column(1)):
-            np.add.at(sketch, (own >> np.uint64(64 - 20)).astype(np.int64), 1)
+            np.add.at(sketch, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             odd = np.bincount((own & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
             found.append((len(own), xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist() if len(own) else None))
         n = len(ids)
@@ -75,13 +79,16 @@ def _profiles(batches):
     if sketch.any():
         parts = sketch.reshape(SKETCH_PARTS, -1)
         n = SKETCH_PARTS
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(range(n), pa.int32())], _FIELDS)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.array(range(n), pa.int32())], _FIELDS)
 
 
 def _added(frame):
     import pandas as pd
 
-    return pd.DataFrame({"part": [frame.part.iloc[0]], "sketch": [sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in frame.sketch).clip(0, 2**32 - 1).astype(np.uint32).tobytes()]})
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
+    for x in frame.sketch:
+        total += np.frombuffer(zlib.decompress(x), np.uint32)
+    return pd.DataFrame({"part": [frame.part.iloc[0]], "sketch": [zlib.compress(total.clip(0, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
 
 def signatures(own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +99,7 @@ def signatures(own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndar
         level += 1
     top = LEVEL_RATIO ** (level + 1)
     largest = size * 4 // 3
-    rarity = sketch[(own >> np.uint64(64 - 20)).astype(np.int64)]
+    rarity = sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     for lev, most in [(level, min(largest, top))] + ([(level + 1, largest)] if largest > top else []):
         apart = (size + most) // 7
         # a level of few elements keeps each in a partition of its own
@@ -144,22 +151,22 @@ def _verified(batches):
     for batch in batches:
         pivots, salts, ids = (batch.column(k).to_numpy() for k in (0, 1, 2))
         own = batch.column(3).to_numpy(zero_copy_only=False)
-        a, b = [], []
+        found: list[tuple] = []
         for row, shingles in shingle_sets(batch.column(4)):
             key = (pivots[row], salts[row])
             if key != now:
                 now, bases = key, []
             if own[row]:
                 bases.append(shingles)
-            elif any(_similar(base, shingles) for base in bases):
-                a.append(ids[row])
-                b.append(pivots[row])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            elif bases:
+                found.append((pivots[row], ids[row], *max(_overlap(base, shingles) for base in bases)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.float64()))], ["pivot", "id", "linked", "share"])
 
 
-def _similar(one: np.ndarray, other: np.ndarray) -> bool:
+def _overlap(one: np.ndarray, other: np.ndarray) -> tuple[bool, float]:
     same = len(np.intersect1d(one, other, assume_unique=True))
-    return same > 0 and 100 * same >= 75 * (len(one) + len(other) - same)
+    union = len(one) + len(other) - same
+    return same > 0 and 100 * same >= 75 * union, same / union
 
 
 def _picked(bits):
@@ -187,42 +194,50 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = written(docs.mapInArrow(_profiles, "doc_id long, n long, print binary, parity array<long>, sketch binary, part int").withColumn("kind", F.when(F.col("part").isNull(), 0).otherwise(1)), "profiles", ["kind"])
     profile = found.where("kind = 0").select("doc_id", "n", "print", "parity")
-    counts = np.zeros((SKETCH_PARTS, SKETCH_CELLS // SKETCH_PARTS), np.uint32)
+    counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
     for r in found.where("kind = 1").select("part", "sketch").groupBy("part").applyInPandas(_added, "part int, sketch binary").collect():
-        counts[r.part] = np.frombuffer(r.sketch, np.uint32)
+        counts[r.part] = np.frombuffer(zlib.decompress(r.sketch), np.uint32)
     sketch = spark.sparkContext.broadcast(counts.tobytes())
 
     sigs = docs.where("id is not null").mapInArrow(_signature_rows(sketch), "sig long, salt byte, id long")
     own = Window.partitionBy("sig", "salt")
     shared = sigs.withColumn("first", F.min("id").over(own)).withColumn("last", F.max("id").over(own)).where("first <> last or salt > 0")
-    buckets = written(shared.select("sig", "id", "first"), "buckets")
+    buckets = written(shared.select("sig", "id", "first", "salt"), "buckets")
+    # pieces of a hot bucket share one pivot too
+    hot = written(buckets.where("salt > 0").groupBy("sig").agg(F.min("first").alias("pivot")), "hot")
+    buckets = buckets.where("salt = 0").select("sig", "id", "first").union(buckets.where("salt > 0").join(hot, "sig").select("sig", "id", F.col("pivot").alias("first")))
     texts = docs.where("id is not null")
     known = profile.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "n", "print", "parity").dropDuplicates(["id", "print"])
-    known = written(known.join(buckets.select("id").distinct(), "id", "left_semi"), "known")
+    known = known.join(buckets.select("id").distinct(), "id", "left_semi")
+    known = written(known.join(known.groupBy("id").agg((F.count("*") > 1).alias("many")), "id"), "known")
 
 
-    # the first round needs no ranking: the smallest id of each bucket, or of each piece of a hot one, is its pivot
-    links = written(_linked(buckets.where("id <> first").select(F.col("first").alias("pivot"), "id").distinct(), known, texts), "links")
-    roots, buckets = written(components(links), "roots"), buckets.select("sig", "id").distinct()
-    pivots = PIVOTS
+    # first round: all members against the smallest id of their bucket
+    near = written(_compared(buckets.where("id <> first").select(F.col("first").alias("pivot"), "id").distinct(), known, texts), "compared")
+    links = _links(near)
+    roots = written(components(links), "roots")
+    buckets, pivots = written(_unsettled(buckets, near, roots), "unsettled"), 1
     while True:
         labelled = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = written(labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig"), "mixed")
+        mixed = labelled.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).where("a <> b")
+        mixed = written(mixed.select("sig", F.when(F.col("size") <= SMALL, SMALL).otherwise(pivots).alias("pivots")), "mixed")
         if mixed.isEmpty():
             break
         open_ = written(labelled.join(mixed, "sig"), "open")
         # the smallest ids are the pivots; ranked in pieces first, so that no task gets a large bucket
-        few = open_.withColumn("rank", F.row_number().over(Window.partitionBy("sig", F.pmod("id", F.lit(SALTS))).orderBy("id"))).where(F.col("rank") <= pivots)
-        heads = few.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("id"))).where(F.col("rank") <= pivots)
-        heads = written(heads.select("sig", F.col("id").alias("pivot"), F.col("root").alias("pivot_root")), "heads")
-        pairs = open_.join(heads, "sig").where("id > pivot and root <> pivot_root").select("pivot", "id").distinct()
-        fresh = written(_linked(pairs, known, texts), "fresh")
+        few = open_.withColumn("rank", F.row_number().over(Window.partitionBy("sig", F.pmod("id", F.lit(SALTS))).orderBy("id"))).where("rank <= pivots")
+        heads = few.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("id"))).where("rank <= pivots")
+        heads = written(heads.select("sig", F.col("id").alias("pivot"), F.col("root").alias("pivot_root"), F.col("lo").alias("pivot_lo"), F.col("hi").alias("pivot_hi")), "heads")
+        # distances to the first pivot bound those of other pairs
+        apart = F.greatest(F.col("lo") - F.col("pivot_hi"), F.col("pivot_lo") - F.col("hi")) > FAR
+        pairs = open_.drop("pivots").join(heads, "sig").where((F.col("id") > F.col("pivot")) & (F.col("root") != F.col("pivot_root")) & ~apart).select("pivot", "id").distinct()
+        fresh = _links(written(_compared(pairs, known, texts), "compared"))
         if not fresh.isEmpty():
             links = written(links.union(fresh), "links")
             roots = written(components(links), "roots")
         # what a pivot was compared with is settled, so pivots leave their buckets; their components stay in roots
-        buckets = open_.join(heads.select("sig", F.col("pivot").alias("id")), ["sig", "id"], "left_anti").select("sig", "id")
-        pivots *= PIVOTS
+        buckets = open_.join(heads.select("sig", F.col("pivot").alias("id")), ["sig", "id"], "left_anti").select("sig", "id", "lo", "hi")
+        pivots *= GROWTH
     out = profile.select("doc_id", F.col("n").alias("n_shingles"))
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     return (
@@ -231,18 +246,51 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _linked(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): the pairs (pivot, id) of ``pairs`` whose sets have a similarity of 0.75 or more."""
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+
+
+def _unsettled(buckets: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, id, lo, hi): what the first round leaves open of the buckets.
+
+    Jaccard distance is a metric: if the distances of x and y to their pivot differ by more than 1/4, x and y aren't linked.
+    So a bucket is done if all of it has one root, and a member close to the pivot leaves it if it is that far from all members
+    with other roots.
+    """
+    ends = compared.select("pivot", "id", "lo", "hi").union(compared.select("pivot", F.col("pivot").alias("id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")).distinct())
+    ends = ends.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    ends = written(ends.join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot")), "ends")
+    # pivots with a member of another root; all buckets of the others are done
+    mixed = written(ends.where("root <> pivot_root").select(F.col("pivot").alias("first")).distinct(), "pivots")
+    rows = buckets.join(mixed, "first", "left_semi").join(ends.withColumnRenamed("pivot", "first"), ["first", "id"])
+    rows = written(rows.select("sig", "id", "lo", "hi", (F.col("root") != F.col("pivot_root")).alias("other")), "rows")
+    # an overlap is never missed: the margin is kept for the rounding of the shares
+    nearest = written(rows.where("other").groupBy("sig").agg(F.min("lo").alias("nearest")), "nearest")
+    return rows.join(nearest, "sig").where(F.col("other") | (F.col("nearest") - F.col("hi") <= FAR)).select("sig", "id", "lo", "hi")
+
+
+def _compared(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pivot, id, linked, lo, hi) of each pair: is the similarity 0.75 or more, and bounds of the Jaccard distance.
+
+    Sizes and parity sketches give lower bounds; a pair that they don't rule out is held against the whole sets. An id with
+    several texts is linked where any of them is, and its distances are left open.
+    """
     spark = pairs.sparkSession
-    left = known.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("print").alias("print_p"), F.col("parity").alias("parity_p"))
-    near = pairs.join(left, "pivot").join(known, "id").where("4 * least(n, m) >= 3 * greatest(n, m)")
-    near = written(near.withColumn("same", F.col("print") == F.col("print_p")).where(F.col("same") | (7 * _parity_distance("parity", "parity_p") <= F.col("n") + F.col("m"))).select("pivot", "id", "same").groupBy("pivot", "id").agg(F.max("same").alias("same")), "near")
-    same = near.where("same").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    check = near.where("not same").select("pivot", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    left = known.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("print").alias("print_p"), F.col("parity").alias("parity_p"), F.col("many").alias("many_p"))
+    both, flips = F.col("n") + F.col("m"), _parity_distance("parity", "parity_p")
+    near = pairs.join(left, "pivot").join(known, "id").withColumn("same", F.col("print") == F.col("print_p"))
+    near = near.withColumn("maybe", (F.lit(4) * F.least("n", "m") >= F.lit(3) * F.greatest("n", "m")) & (7 * flips <= both))
+    near = near.withColumn("lo", F.when(F.col("same"), 0.0).otherwise(F.greatest(1 - F.least("n", "m") / F.greatest("n", "m"), 2 * flips / (both + flips))))
+    near = written(near.groupBy("pivot", "id").agg(F.max("same").alias("same"), F.max("maybe").alias("maybe"), F.min("lo").alias("lo"), F.max(F.col("many") | F.col("many_p")).alias("many")), "near")
+    check = near.where("maybe and not same").select("pivot", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     ends = check.select("id").union(check.select("pivot")).distinct()
     bits = spark.sparkContext.broadcast(id_bitmap(ends, "id"))
     own = written(texts.withColumn("slot", slot("id")).mapInArrow(_picked(bits), "id long, text string").join(ends, "id", "left_semi"), "texts")
     members = check.join(own, "id").select("pivot", "salt", "id", F.lit(False).alias("own"), "text")
     heads = check.select("pivot", "salt").distinct().join(own.withColumnRenamed("id", "pivot"), "pivot").select("pivot", "salt", F.col("pivot").alias("id"), F.lit(True).alias("own"), "text")
     dealt = members.union(heads).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("own"))
-    return dealt.mapInArrow(_verified, "a long, b long").union(same)
+    exact = dealt.mapInArrow(_verified, "pivot long, id long, linked boolean, share double").groupBy("pivot", "id").agg(F.max("linked").alias("linked"), F.max("share").alias("share"))
+    rest = near.where("same or not maybe").select("pivot", "id", F.col("same").alias("linked"), F.when(F.col("many"), 0.0).otherwise(F.col("lo")).alias("lo"), F.when(F.col("same") & ~F.col("many"), 0.0).otherwise(1.0).alias("hi"))
+    open_ = near.where("many").select("pivot", "id", F.lit(True).alias("many"))
+    exact = exact.join(open_, ["pivot", "id"], "left").select("pivot", "id", "linked", F.when(F.col("many"), 0.0).otherwise(1 - F.col("share")).alias("lo"), F.when(F.col("many"), 1.0).otherwise(1 - F.col("share")).alias("hi"))
+    return rest.union(exact)
