@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from ravelin.plans import aggregates, feeds, filters, graphs, ingest, metrics, recipes, scans, searches, values  # noqa: F401
+from ravelin.plans.registry import QUESTIONS, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUESTIONS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
