@@ -29,7 +29,7 @@ from ravelin.llm.tokens import encoder
 SCALE, LANES, STEPS = 18, 32, 256
 BLOCK = LANES * STEPS * 4
 #: Text bytes of a file's range of documents, and ids that a task codes at once.
-FILE_BYTES, GROUP = 48 << 20, 64 * BLOCK
+FILE_BYTES, GROUP = 16 << 20, 32 * BLOCK
 MAGIC = b"RANSTOK1"
 _LOW = np.uint64(1 << 31)
 
