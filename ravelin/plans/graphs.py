@@ -1 +1,210 @@
-"""Questions to come."""
+"""Questions over trees, structures and networks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ravelin.operators import graphs
+from ravelin.plans.registry import BOM, DAG, TREE, question
+
+c = F.col
+
+
+def nodes(t, *ids, kind="long"):
+    return t.spark.createDataFrame([(i,) for i in ids], f"node {kind}")
+
+
+def down(edges: str, root: str) -> str:
+    return f"WITH RECURSIVE s(node) AS (SELECT {root} UNION SELECT child FROM {edges} e JOIN s ON parent = node) SELECT node FROM s"
+
+
+def up(edges: str, leaf: str) -> str:
+    return f"WITH RECURSIVE s(node) AS (SELECT {leaf} UNION SELECT parent FROM {edges} e JOIN s ON child = node) SELECT node FROM s"
+
+
+@question("graph_subtree", down(BOM, "3::BIGINT"))
+def _(t):
+    return graphs.reach(t.bom, nodes(t, 3), "parent", "child").select("node")
+
+
+@question("graph_supertree", up(BOM, "1500::BIGINT"))
+def _(t):
+    return graphs.reach(t.bom, nodes(t, 1500), "child", "parent").select("node")
+
+
+@question("graph_levels", "SELECT 'n:' || n_nationkey AS node, 'r:' || n_regionkey AS ancestor FROM nation UNION ALL SELECT 'c:' || c_custkey, 'r:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'r:' || r_regionkey, 'r:' || r_regionkey FROM region")
+def _(t):
+    return graphs.levels(t.tree, t.region.select(F.concat(F.lit("r:"), "r_regionkey").alias("node")), "parent", "child", 0)
+
+
+@question("graph_children", f"SELECT child FROM {TREE} WHERE parent = 'r:2'")
+def _(t):
+    return t.tree.where("parent = 'r:2'").select("child")
+
+
+@question("graph_descendants", f"WITH RECURSIVE s(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT child, depth + 1 FROM {DAG} e JOIN s ON parent = node) SELECT node, min(depth)::INT AS depth FROM s GROUP BY 1")
+def _(t):
+    return graphs.reach(t.dag, nodes(t, 0), "parent", "child")
+
+
+@question("graph_ancestors", f"WITH RECURSIVE s(node, depth) AS (SELECT 1995::BIGINT, 0 UNION SELECT parent, depth + 1 FROM {DAG} e JOIN s ON child = node) SELECT node, min(depth)::INT AS depth FROM s GROUP BY 1")
+def _(t):
+    return graphs.reach(t.dag, nodes(t, 1995), "child", "parent")
+
+
+@question("graph_tree_links", f"WITH RECURSIVE s(node) AS (SELECT 7::BIGINT UNION SELECT child FROM {BOM} e JOIN s ON parent = node) SELECT parent, child FROM {BOM} WHERE parent IN (SELECT node FROM s)")
+def _(t):
+    return t.bom.join(graphs.reach(t.bom, nodes(t, 7), "parent", "child").select(c("node").alias("parent")), "parent", "left_semi").select("parent", "child")
+
+
+@question("graph_child_counts", f"SELECT parent, count(*) AS n FROM {TREE} GROUP BY 1")
+def _(t):
+    return t.tree.groupBy("parent").agg(F.count("*").alias("n"))
+
+
+@question("graph_roots", f"SELECT DISTINCT parent AS node FROM {TREE} WHERE parent NOT IN (SELECT child FROM {TREE})")
+def _(t):
+    return t.tree.select(c("parent").alias("node")).distinct().join(t.tree.select(c("child").alias("node")), "node", "left_anti")
+
+
+_EXPLODED = f"WITH RECURSIVE s(node, q, level) AS (SELECT 0::BIGINT, 1::BIGINT, 0 UNION ALL SELECT child, q * qty, level + 1 FROM {BOM} e JOIN s ON parent = node)"
+
+
+@question("graph_bom_fold", f"{_EXPLODED} SELECT node, sum(q)::BIGINT AS quantity, count(*) AS paths, min(level)::INT AS min_level, max(level)::INT AS max_level FROM s WHERE level > 0 GROUP BY 1")
+def _(t):
+    return graphs.explosion(t.bom, 0, "parent", "child", "qty")
+
+
+@question("graph_bom_explode", f"{_EXPLODED} SELECT min_level, count(*) AS parts, sum(quantity)::BIGINT AS quantity FROM (SELECT node, sum(q) AS quantity, min(level)::INT AS min_level FROM s WHERE level > 0 GROUP BY 1) GROUP BY 1")
+def _(t):
+    return graphs.explosion(t.bom, 0, "parent", "child", "qty").groupBy("min_level").agg(F.count("*").alias("parts"), F.sum("quantity").alias("quantity"))
+
+
+@question("rollup_fold", "SELECT n_regionkey, count(*) AS n, sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS cents, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def _(t):
+    return t.customer.join(F.broadcast(t.nation), c("c_nationkey") == c("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("n"), F.sum(F.round(c("c_acctbal") * 100).cast("long")).alias("cents"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+
+
+@question("rollup_weighted", f"{_EXPLODED} SELECT sum(q * p_size)::BIGINT AS weighted, sum(q)::BIGINT AS quantity, round(sum(q * p_size) / sum(q), 6) AS mean FROM s JOIN part ON node = p_partkey WHERE level > 0")
+def _(t):
+    own = graphs.explosion(t.bom, 0, "parent", "child", "qty").join(t.part, c("node") == c("p_partkey"))
+    return own.agg(F.sum(c("quantity") * c("p_size")).alias("weighted"), F.sum("quantity").alias("quantity"), F.round(F.sum(c("quantity") * c("p_size")) / F.sum("quantity"), 6).alias("mean"))
+
+
+@question("graph_neighbors", f"SELECT parent, child FROM {BOM} WHERE parent BETWEEN 10 AND 20 QUALIFY row_number() OVER (PARTITION BY parent ORDER BY child) <= 2")
+def _(t):
+    return graphs.fan_out(t.bom.where("parent between 10 and 20"), "parent", "child", 2).select("parent", "child")
+
+
+@question("graph_induced", f"SELECT parent, child FROM {BOM} WHERE parent < 50 AND child < 50")
+def _(t):
+    ids = t.part.where("p_partkey < 50")
+    return t.bom.join(ids.select(c("p_partkey").alias("parent")), "parent", "left_semi").join(ids.select(c("p_partkey").alias("child")), "child", "left_semi").select("parent", "child")
+
+
+@question("graph_degree", f"SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT parent AS node, 1 AS o, 0 AS i FROM {BOM} UNION ALL SELECT child, 0, 1 FROM {BOM}) GROUP BY 1")
+def _(t):
+    return graphs.degrees(t.bom, "parent", "child")
+
+
+@question("graph_ref_edges", "SELECT o_orderkey AS src, 'customer' AS kind, o_custkey AS dst FROM orders")
+def _(t):
+    return t.orders.select(c("o_orderkey").alias("src"), F.lit("customer").alias("kind"), c("o_custkey").alias("dst"))
+
+
+@question("graph_reach", f"WITH RECURSIVE s(node, depth) AS (SELECT 'r:0', 0 UNION SELECT child, depth + 1 FROM {TREE} e JOIN s ON parent = node WHERE depth < 1) SELECT node, depth::INT AS depth FROM s")
+def _(t):
+    return graphs.reach(t.tree, nodes(t, "r:0", kind="string"), "parent", "child", 1)
+
+
+@question("graph_whole", f"SELECT least(level, 3) AS level, count(*) AS n FROM (WITH RECURSIVE s(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT child, level + 1 FROM {BOM} e JOIN s ON parent = node) SELECT node, min(level)::INT AS level FROM s GROUP BY 1) GROUP BY 1")
+def _(t):
+    return graphs.reach(t.bom, nodes(t, 0), "parent", "child").groupBy(F.least("depth", F.lit(3)).alias("level")).agg(F.count("*").alias("n"))
+
+
+@question("graph_shortest_path", f"WITH RECURSIVE f(node, d) AS (SELECT 0::BIGINT, 0 UNION SELECT child, d + 1 FROM {DAG} e JOIN f ON parent = node WHERE d < 8), b(node, d) AS (SELECT 1960::BIGINT, 0 UNION SELECT parent, d + 1 FROM {DAG} e JOIN b ON child = node WHERE d < 8), p AS (SELECT x.node, x.d, x.d + y.d AS total FROM (SELECT node, min(d) AS d FROM f GROUP BY 1) x JOIN (SELECT node, min(d) AS d FROM b GROUP BY 1) y ON x.node = y.node) SELECT d::INT AS step, node FROM p WHERE total = (SELECT min(total) FROM p)")
+def _(t):
+    return graphs.shortest(t.dag, 0, 1960, "parent", "child")
+
+
+@question("graph_depends_count", f"WITH RECURSIVE s(root, node) AS (SELECT parent, child FROM {DAG} UNION SELECT root, child FROM {DAG} e JOIN s ON parent = node) SELECT node, count(*) AS n FROM s WHERE root <> node GROUP BY 1")
+def _(t):
+    return graphs.closure(t.dag, "parent", "child").where("root <> node").groupBy("node").agg(F.count("*").alias("n"))
+
+
+_OWN = "(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) <= 30))"
+
+
+@question("graph_jaccard", f"WITH s AS {_OWN}, n AS (SELECT l_suppkey, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS shared FROM s x JOIN s y ON x.l_partkey = y.l_partkey AND x.l_suppkey <> y.l_suppkey GROUP BY 1, 2), r AS (SELECT a, b, shared, round(shared / (u.n + v.n - shared), 6) AS similarity FROM p JOIN n u ON a = u.l_suppkey JOIN n v ON b = v.l_suppkey) SELECT a, b, shared, similarity, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b)::INT AS rank FROM r QUALIFY rank <= 5")
+def _(t):
+    return graphs.composition_similarity(t.lineitem, "l_suppkey", "l_partkey", 30, 5)
+
+
+@question("graph_topk_edges", "WITH p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY n DESC, a) AS rb FROM p) SELECT a, b, n FROM r WHERE ra <= 3 OR rb <= 3")
+def _(t):
+    own = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
+    pairs = own.withColumnRenamed("l_suppkey", "a").join(own.withColumnRenamed("l_suppkey", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")))
+    return ranked.where("ra <= 3 or rb <= 3").select("a", "b", "n")
+
+
+@question("join_direct_edges", f"SELECT DISTINCT src, dst FROM (SELECT 'n:' || s_nationkey AS src, 's:' || s_suppkey AS dst FROM supplier UNION ALL SELECT parent, child FROM {TREE}) WHERE src LIKE 'n:%'")
+def _(t):
+    refs = t.supplier.select(F.concat(F.lit("n:"), "s_nationkey").alias("src"), F.concat(F.lit("s:"), "s_suppkey").alias("dst"))
+    return refs.union(t.tree.select("parent", "child")).where(c("src").startswith("n:")).distinct()
+
+
+@question("graph_cardinality", "SELECT o_custkey AS node, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 15")
+def _(t):
+    return t.orders.groupBy(c("o_custkey").alias("node")).agg(F.count("*").alias("n")).where("n > 15")
+
+
+@question("graph_acyclic", f"WITH RECURSIVE s(node) AS (SELECT 1000::BIGINT UNION SELECT child FROM {BOM} e JOIN s ON parent = node) SELECT count(*) FILTER (node = 1) > 0 AS closes FROM s")
+def _(t):
+    # would an edge from 1 to 1000 close a cycle? It would if 1000 reaches 1
+    return graphs.reach(t.bom, nodes(t, 1000), "parent", "child").agg((F.count_if(c("node") == 1) > 0).alias("closes"))
+
+
+@question("lineage_links", f"WITH RECURSIVE s(node) AS (SELECT 5::BIGINT UNION SELECT child FROM {BOM} e JOIN s ON parent = node) SELECT parent AS source, child AS result FROM {BOM} WHERE parent IN (SELECT node FROM s)")
+def _(t):
+    return t.bom.join(graphs.reach(t.bom, nodes(t, 5), "parent", "child").select(c("node").alias("parent")), "parent", "left_semi").select(c("parent").alias("source"), c("child").alias("result"))
+
+
+_STALE = f"WITH RECURSIVE d AS (SELECT child AS node FROM {BOM} e WHERE parent % 50 = 3), s(node) AS (SELECT node FROM d UNION SELECT child FROM {BOM} e JOIN s ON parent = node)"
+
+
+@question("lineage_stale", f"{_STALE} SELECT node, node IN (SELECT node FROM d) AS direct FROM s")
+def _(t):
+    direct = t.bom.where("parent % 50 = 3").select(c("child").alias("node")).distinct()
+    return graphs.reach(t.bom, direct, "parent", "child").select("node").join(direct.withColumn("direct", F.lit(True)), "node", "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+
+
+@question("lineage_impact", f"{_STALE} SELECT count(*) AS n FROM s")
+def _(t):
+    direct = t.bom.where("parent % 50 = 3").select(c("child").alias("node")).distinct()
+    return graphs.reach(t.bom, direct, "parent", "child").agg(F.count("*").alias("n"))
+
+
+@question("rdf_inferred", f"WITH RECURSIVE s(sub, sup) AS (SELECT child, parent FROM {TREE} UNION SELECT s.sub, parent FROM {TREE} e JOIN s ON child = s.sup) SELECT sub, sup FROM s")
+def _(t):
+    return graphs.closure(t.tree, "child", "parent").select(c("root").alias("sub"), c("node").alias("sup"))
+
+
+@question("graph_stable_cluster", "WITH o AS (SELECT p_partkey AS id, p_size % 7 AS a FROM part), n AS (SELECT p_partkey AS id, (p_size + (p_partkey % 10 = 0)::INT) % 7 AS b FROM part), x AS (SELECT a, b, count(*) AS n FROM o JOIN n USING (id) GROUP BY 1, 2) SELECT b, a FROM x WHERE 2 * n > (SELECT count(*) FROM o WHERE o.a = x.a) AND 2 * n > (SELECT count(*) FROM n WHERE n.b = x.b)")
+def _(t):
+    both = t.part.select((c("p_size") % 7).alias("a"), ((c("p_size") + (c("p_partkey") % 10 == 0).cast("int")) % 7).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    sizes = both.withColumn("na", F.sum("n").over(Window.partitionBy("a"))).withColumn("nb", F.sum("n").over(Window.partitionBy("b")))
+    return sizes.where("2 * n > na and 2 * n > nb").select("b", "a")
+
+
+@question("map_hash_place", "SELECT p_partkey, md5(p_partkey::VARCHAR)[1:8] AS place FROM part")
+def _(t):
+    return t.part.select("p_partkey", F.substring(F.md5(c("p_partkey").cast("string")), 1, 8).alias("place"))
+
+
+@question("map_box", "SELECT p_partkey FROM part WHERE md5(p_partkey::VARCHAR)[1:2] BETWEEN '20' AND '3f'")
+def _(t):
+    from ravelin.functions.scalars import map_hash
+
+    return t.part.where((map_hash(c("p_partkey")) >= 0.125) & (map_hash(c("p_partkey")) < 0.25)).select("p_partkey")

@@ -1 +1,178 @@
-"""Questions to come."""
+"""Questions about single values: readings, keys, periods, shapes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ravelin.functions import scalars
+from ravelin.plans.registry import RECORDS, question
+
+c = F.col
+_DATES = "(VALUES (1, '2024-02-30'), (2, '20240310'), (3, '2024-3-5'), (4, ''), (5, NULL), (6, '2024-03-10T12:00'), (7, 'x'), (8, '2024.7.9'), (9, '2023/12')) AS d(id, v)"
+_TEXTS = "(VALUES (1, '1e5'), (2, '-3.50'), (3, '12'), (4, 'a'), (5, ''), (6, NULL), (7, 'AB-12'), (8, ' Two  Words '), (9, 'yes')) AS d(id, v)"
+
+
+def dates(t):
+    return t.spark.sql(f"SELECT * FROM {_DATES}")
+
+
+def texts(t):
+    return t.spark.sql(f"SELECT * FROM {_TEXTS}")
+
+
+_GUARDED = "CASE WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') OR regexp_matches(v, '^[0-9]{8}') THEN try_strptime(replace(v[1:10], '-', '')[1:8], '%Y%m%d')::DATE END"
+for _name in ("fn_sp_date", "fn_date_guard", "udf_sp_date"):
+    question(_name, f"SELECT id, {_GUARDED} AS d FROM {_DATES}")(lambda t: dates(t).select("id", scalars.guarded_date(c("v")).alias("d")))
+
+
+@question("fn_parse_date", f"SELECT id, CASE id WHEN 2 THEN DATE '2024-03-10' WHEN 3 THEN DATE '2024-03-05' WHEN 6 THEN DATE '2024-03-10' WHEN 8 THEN DATE '2024-07-09' WHEN 9 THEN DATE '2023-12-01' END AS d FROM {_DATES}")
+def _(t):
+    return dates(t).select("id", scalars.free_date(c("v")).alias("d"))
+
+
+@question("fn_numeric", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?') THEN v::DOUBLE END AS x FROM {_TEXTS}")
+def _(t):
+    return texts(t).select("id", scalars.numeric(c("v")).alias("x"))
+
+
+@question("fn_convert", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?') THEN 'number' WHEN lower(v) IN ('true', 't', 'yes', 'y', 'on') THEN 'bool' WHEN v IS NULL OR v = '' THEN 'missing' ELSE 'text' END AS kind FROM {_TEXTS}")
+def _(t):
+    kind = F.when(scalars.missing(c("v")), "missing").when(scalars.numeric(c("v")).isNotNull(), "number").when(scalars.truth(c("v")), "bool").otherwise("text")
+    return texts(t).select("id", kind.alias("kind"))
+
+
+for _name in ("fn_bigrams", "udf_bigrams"):
+    question(_name, "SELECT p_partkey, count(DISTINCT lower(p_name)[i:i + 1]) AS n FROM part, range(1, 100) r(i) WHERE i < length(p_name) GROUP BY 1")(lambda t: t.part.select("p_partkey", F.size(scalars.bigrams(c("p_name"))).cast("long").alias("n")))
+for _name in ("fn_norm_key", "fn_compare_key"):
+    question(_name, f"SELECT id, lower(regexp_replace(trim(v), '\\s+', ' ', 'g')) AS k FROM {_TEXTS}")(lambda t: texts(t).select("id", scalars.norm_key(c("v")).alias("k")))
+
+
+@question("fn_search_words", "SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(lower(text[1:200]), ' ')) AS w FROM documents) WHERE length(w) >= 2")
+def _(t):
+    return t.documents.select("doc_id", F.explode(F.split(F.lower(F.substring("text", 1, 200)), " ")).alias("w")).where(F.length("w") >= 2).distinct()
+
+
+@question("fn_bucket", "SELECT event_id, ts::DATE AS day, date_trunc('week', ts)::DATE AS week, date_trunc('month', ts)::DATE AS month, date_trunc('quarter', ts)::DATE AS quarter, date_trunc('year', ts)::DATE AS year FROM events")
+def _(t):
+    return t.events.select("event_id", *[scalars.bucket(c("ts"), g).alias(g) for g in scalars.GRAINS])
+
+
+@question("fn_age", f"SELECT o_orderkey, l_linenumber, l_partkey, age, (year(l_shipdate) - year(o_orderdate))::INT AS years FROM {RECORDS} x")
+def _(t):
+    return t.records.select("o_orderkey", "l_linenumber", "l_partkey", "age", scalars.age(scalars.bucket(c("o_orderdate"), "year"), scalars.bucket(c("l_shipdate"), "year"), "year").alias("years"))
+
+
+@question("fn_period_label", "SELECT event_id, strftime(ts, '%G-W%V') AS week, year(ts) || '-Q' || quarter(ts) AS quarter, strftime(ts, '%Y-%m') AS month FROM events")
+def _(t):
+    return t.events.select("event_id", *[scalars.period_label(c("ts"), g).alias(g) for g in ("week", "quarter", "month")])
+
+
+@question("fn_next_period", "SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE AS next, (date_trunc('month', o_orderdate) - INTERVAL 3 MONTH)::DATE AS before FROM orders")
+def _(t):
+    m = scalars.bucket(c("o_orderdate"), "month")
+    return t.orders.select(m.alias("m")).distinct().select("m", scalars.shifted(c("m"), "month", 1).alias("next"), scalars.shifted(c("m"), "quarter", -1).alias("before"))
+
+
+@question("fn_shift", "SELECT event_id, (date_trunc('week', ts)::DATE + 14)::DATE AS later FROM events")
+def _(t):
+    return t.events.select("event_id", scalars.shifted(scalars.bucket(c("ts"), "week"), "week", 2).alias("later"))
+
+
+@question("fn_dense", "SELECT unnest(range(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS period")
+def _(t):
+    from ravelin.operators.metrics import dense
+
+    return dense(t.spark, "1995-01-01", "2001-11-01")
+
+
+@question("fn_is_closed", "SELECT DISTINCT date_trunc('quarter', o_orderdate)::DATE AS q, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH)::DATE <= DATE '2001-07-15' - 20 AS closed FROM orders")
+def _(t):
+    q = scalars.bucket(c("o_orderdate"), "quarter")
+    return t.orders.select(q.alias("q")).distinct().withColumn("closed", scalars.is_closed(c("q"), "quarter", F.lit("2001-07-15").cast("date"), 20))
+
+
+@question("fn_has_gap", "SELECT (max(date_trunc('month', o_orderdate)) + INTERVAL 1 MONTH)::DATE < DATE '2001-11-01' - INTERVAL 1 MONTH AS gap FROM orders")
+def _(t):
+    through = scalars.bucket(F.max("o_orderdate"), "month")
+    return t.orders.agg((scalars.shifted(through, "month", 1) < F.add_months(F.lit("2001-11-01").cast("date"), -1)).alias("gap"))
+
+
+@question("fn_mask", "SELECT p_brand, regexp_replace(regexp_replace(regexp_replace(p_brand, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape FROM part")
+def _(t):
+    return t.part.select("p_brand", scalars.mask(c("p_brand")).alias("shape"))
+
+
+@question("fn_code_parser", "SELECT p_partkey, string_split(p_brand, '#')[1] AS head, string_split(p_brand, '#')[2]::INT AS number FROM part")
+def _(t):
+    parts = F.split("p_brand", "#")
+    return t.part.select("p_partkey", F.element_at(parts, 1).alias("head"), F.element_at(parts, 2).cast("int").alias("number"))
+
+
+@question("fn_validate", "SELECT p_partkey, list_filter([CASE WHEN p_size > 45 THEN 'range' END, CASE WHEN NOT regexp_full_match(p_brand, 'Brand#[0-9]') THEN 'pattern' END, CASE WHEN p_type NOT IN ('ECONOMY', 'SMALL', 'LARGE') THEN 'enum' END], lambda x: x IS NOT NULL) AS faults FROM part")
+def _(t):
+    faults = [F.when(c("p_size") > 45, "range"), F.when(~c("p_brand").rlike("^Brand#[0-9]$"), "pattern"), F.when(~c("p_type").isin("ECONOMY", "SMALL", "LARGE"), "enum")]
+    return t.part.select("p_partkey", F.array_compact(F.array(*faults)).alias("faults"))
+
+
+@question("fn_retype", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+') THEN v::BIGINT END AS whole, v IS NOT NULL AND v <> '' AND NOT regexp_full_match(v, '-?[0-9]+') AS failed FROM {_TEXTS}")
+def _(t):
+    fits = c("v").rlike("^-?[0-9]+$")
+    return texts(t).select("id", F.when(fits, c("v").try_cast("bigint")).alias("whole"), (c("v").isNotNull() & (c("v") != "") & ~fits).alias("failed"))
+
+
+@question("fn_key_match", "SELECT a.id, p_partkey FROM (VALUES (1, 'BLUE bolt'), (2, 'red widget'), (3, 'nothing')) a(id, k) JOIN part ON upper(p_name) = upper(k)")
+def _(t):
+    asked = t.spark.createDataFrame([(1, "BLUE bolt"), (2, "red widget"), (3, "nothing")], "id int, k string")
+    return t.part.join(F.broadcast(asked), F.upper("p_name") == F.upper("k")).select("id", "p_partkey")
+
+
+@question("fn_map_value", "SELECT p_partkey, coalesce(CASE p_type WHEN 'ECONOMY' THEN 'E' WHEN 'SMALL' THEN 'S' END, upper(p_type)) AS code FROM part")
+def _(t):
+    known = F.create_map(F.lit("ECONOMY"), F.lit("E"), F.lit("SMALL"), F.lit("S"))
+    return t.part.select("p_partkey", F.coalesce(F.try_element_at(known, c("p_type")), F.upper("p_type")).alias("code"))
+
+
+@question("fn_multi_array", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def _(t):
+    return t.events.select("event_id", F.from_json("props", "k bigint").k.alias("k"))
+
+
+@question("fn_weighted_jaccard", "WITH s AS (SELECT DISTINCT c_mktsegment AS tag, c_nationkey AS n FROM customer), w AS (SELECT tag, ln(25.0 / count(*)) + 1 AS w FROM s GROUP BY 1), x AS (SELECT tag FROM s WHERE n = 1), y AS (SELECT tag FROM s WHERE n = 2) SELECT round(coalesce(sum(w) FILTER (tag IN (SELECT tag FROM x) AND tag IN (SELECT tag FROM y)), 0) / sum(w) FILTER (tag IN (SELECT tag FROM x) OR tag IN (SELECT tag FROM y)), 6) AS similarity FROM w")
+def _(t):
+    own = t.customer.select(c("c_mktsegment").alias("tag"), c("c_nationkey").alias("n")).distinct()
+    tags = own.groupBy("tag").agg((F.log(F.lit(25.0) / F.count("*")) + 1).alias("w"), F.max((c("n") == 1).cast("int")).alias("x"), F.max((c("n") == 2).cast("int")).alias("y"))
+    return tags.agg(F.round(F.sum(c("w") * c("x") * c("y")) / F.sum(c("w") * F.greatest("x", "y")), 6).alias("similarity"))
+
+
+@question("fn_sections", "SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS section FROM conversations")
+def _(t):
+    return t.conversations.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("section"))
+
+
+@question("fn_level", "SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'high' WHEN p_size >= 20 THEN 'middle' ELSE 'low' END AS level FROM part")
+def _(t):
+    return t.part.select("p_partkey", scalars.rung(c("p_size"), [(20, "middle"), (40, "high")], "low").alias("level"))
+
+
+@question("fn_rung", "SELECT s_suppkey, CASE WHEN s_acctbal >= 5000 THEN 'b' ELSE 'a' END AS rung FROM supplier")
+def _(t):
+    return t.supplier.select("s_suppkey", scalars.rung(c("s_acctbal"), [(5000, "b")], "a").alias("rung"))
+
+
+@question("fn_accuracy", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def _(t):
+    return t.events.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+for _name in ("fn_stale", "udf_lineage_stale"):
+    question(_name, "SELECT o_orderkey, o_orderstatus IS DISTINCT FROM 'F' AS stale FROM orders")(lambda t: t.orders.select("o_orderkey", (~c("o_orderstatus").eqNullSafe("F")).alias("stale")))
+
+
+@question("udf_map_hash", "SELECT p_partkey, md5(p_partkey::VARCHAR)[1:2] < '80' AS left_half FROM part")
+def _(t):
+    return t.part.select("p_partkey", (scalars.map_hash(c("p_partkey")) < 0.5).alias("left_half"))
+
+
+@question("src_nested_pick", "SELECT event_id, (props->>'k')::INT AS k FROM events WHERE (props->>'k')::INT > 50")
+def _(t):
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where("k > 50")
