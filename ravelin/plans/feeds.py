@@ -1 +1,58 @@
-"""Questions to come."""
+"""Change feeds and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ravelin.plans.registry import question
+from ravelin.streaming import events
+
+c = F.col
+
+
+@question("feed_changes", "SELECT event_id AS id, false AS deleted FROM events WHERE ts > TIMESTAMP '2024-01-25' AND event_type <> 'error' UNION ALL SELECT event_id, true FROM events WHERE ts > TIMESTAMP '2024-01-25' AND event_type = 'error'")
+def _(t):
+    return t.events.where(c("ts") > F.lit("2024-01-25").cast("timestamp")).select(c("event_id").alias("id"), (c("event_type") == "error").alias("deleted"))
+
+
+@question("feed_edges", "SELECT l_orderkey, l_partkey, l_linestatus = 'F' AS cut FROM lineitem WHERE l_shipdate > TIMESTAMP '2001-06-01'")
+def _(t):
+    return t.lineitem.where(c("l_shipdate") > F.lit("2001-06-01").cast("timestamp")).select("l_orderkey", "l_partkey", (c("l_linestatus") == "F").alias("cut"))
+
+
+@question("metric_audit_periods", "SELECT DISTINCT date_trunc('month', l_shipdate)::DATE AS period FROM lineitem WHERE l_orderkey % 500 = 0")
+def _(t):
+    # periods before and after an edit, from a log of JSON snapshots
+    log = t.lineitem.where("l_orderkey % 500 = 0").select(F.to_json(F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"))).alias("before"))
+    return log.select(F.to_date(F.date_trunc("month", F.to_date(F.get_json_object("before", "$.d")))).alias("period")).distinct()
+
+
+@question("metric_foreign_change", "SELECT max(ts) AS last FROM events")
+def _(t):
+    return t.events.agg(F.max("ts").alias("last"))
+
+
+@question("stream_watermark", "SELECT max(ts) - INTERVAL 1 HOUR AS watermark FROM events")
+def _(t):
+    return t.events.agg((F.max("ts") - F.expr("interval 1 hour")).alias("watermark"))
+
+
+@question("stream_tumbling", "SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def _(t):
+    return events.settled(events.tumbling(events.stream(t.spark, t.folder), "ts", "1 day", "2 days", ["event_type"]), "tumbling")
+
+
+@question("stream_sliding", "SELECT s AS start, s + INTERVAL 2 DAY AS \"end\", count(*) AS n FROM (SELECT date_trunc('day', ts) - to_days(k::INT) AS s FROM events, range(2) r(k)) GROUP BY 1")
+def _(t):
+    return events.settled(events.sliding(events.stream(t.spark, t.folder), "ts", "2 days", "1 day", "2 days", []), "sliding")
+
+
+@question("stream_session", "SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", user_id, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, ts, (ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR)::INT AS new FROM events)) GROUP BY user_id, coalesce(g, 0)")
+def _(t):
+    return events.settled(events.sessions(events.stream(t.spark, t.folder), "ts", "6 hours", "1 day", ["user_id"]), "sessions")
+
+
+@question("stream_upsert", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t):
+    rows = events.timed(events.stream(t.spark, t.folder), "ts").withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return events.settled(rows.select("user_id", "event_type"), "upsert", "append")

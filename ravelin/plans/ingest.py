@@ -1 +1,184 @@
-"""Questions to come."""
+"""Questions about incoming tables: matching, plans, profiles, quality, history."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ravelin.plans.registry import question
+
+c = F.col
+_NEW = "(SELECT p_partkey + 10 AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE upper(p_name) END AS name, p_size FROM part WHERE p_partkey % 4 = 0)"
+
+
+def incoming(t):
+    return t.part.where("p_partkey % 4 = 0").select((c("p_partkey") + 10).alias("k"), F.when(c("p_partkey") % 3 == 0, c("p_name")).otherwise(F.upper("p_name")).alias("name"), "p_size")
+
+
+@question("ingest_map_row", f"SELECT k, lower(name) AS name, p_size * 2 AS size FROM {_NEW}")
+def _(t):
+    return incoming(t).select("k", F.lower("name").alias("name"), (c("p_size") * 2).alias("size"))
+
+
+@question("ingest_match", f"SELECT k, p_partkey IS NOT NULL AS matched FROM {_NEW} n LEFT JOIN part ON p_partkey = k")
+def _(t):
+    return incoming(t).join(t.part.select("p_partkey"), c("k") == c("p_partkey"), "left").select("k", c("p_partkey").isNotNull().alias("matched"))
+
+
+_PLAN = f"SELECT k, CASE WHEN p.p_partkey IS NULL THEN 'create' WHEN p.p_name IS DISTINCT FROM name OR p.p_size IS DISTINCT FROM n.p_size THEN 'update' ELSE 'same' END AS action FROM {_NEW} n LEFT JOIN part p ON p.p_partkey = k"
+
+
+def plan(t):
+    old = t.part.select("p_partkey", "p_name", c("p_size").alias("old_size"))
+    differs = ~c("p_name").eqNullSafe(c("name")) | ~c("old_size").eqNullSafe(c("p_size"))
+    return incoming(t).join(old, c("k") == c("p_partkey"), "left").select("k", F.when(c("p_partkey").isNull(), "create").when(differs, "update").otherwise("same").alias("action"))
+
+
+question("ingest_plan", _PLAN)(plan)
+question("bulk_edit_plan", f"SELECT action, count(*) AS n FROM ({_PLAN}) GROUP BY 1")(lambda t: plan(t).groupBy("action").agg(F.count("*").alias("n")))
+
+
+@question("ingest_refs", "SELECT s_suppkey, n_nationkey FROM (SELECT s_suppkey, 'nation_' || s_nationkey AS cell FROM supplier) LEFT JOIN nation ON lower(n_name) = cell")
+def _(t):
+    cells = t.supplier.select("s_suppkey", F.concat(F.lit("nation_"), c("s_nationkey").cast("string")).alias("cell"))
+    return cells.join(F.broadcast(t.nation.select("n_nationkey", F.lower("n_name").alias("cell"))), "cell", "left").select("s_suppkey", "n_nationkey")
+
+
+@question("ingest_edges", "SELECT o_orderkey AS src, o_custkey AS dst, c_custkey IS NOT NULL AS known FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 = 0")
+def _(t):
+    return t.orders.where("o_orderkey % 10 = 0").join(t.customer.select("c_custkey"), c("o_custkey") == c("c_custkey"), "left").select(c("o_orderkey").alias("src"), c("o_custkey").alias("dst"), c("c_custkey").isNotNull().alias("known"))
+
+
+@question("gather_edges", "SELECT l_orderkey, l_partkey, l_suppkey, count(*) AS n, count(DISTINCT l_quantity) > 1 AS conflict FROM lineitem GROUP BY 1, 2, 3")
+def _(t):
+    return t.lineitem.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"), (F.min("l_quantity") != F.max("l_quantity")).alias("conflict"))
+
+
+@question("bulk_undo_plan", "SELECT o_orderkey, o_orderstatus AS back FROM orders WHERE o_orderkey % 11 = 0 AND o_orderstatus <> 'X'")
+def _(t):
+    after = t.orders.where("o_orderkey % 11 = 0").select("o_orderkey", F.lit("X").alias("now"))
+    return t.orders.select("o_orderkey", c("o_orderstatus").alias("back")).join(after, "o_orderkey").where("back <> now").select("o_orderkey", "back")
+
+
+@question("infer_type", "SELECT count(*) FILTER (try_cast(props->>'k' AS BIGINT) IS NOT NULL) AS whole, count(*) FILTER (props->>'k' IS NULL) AS blank, count(*) AS total FROM events")
+def _(t):
+    k = F.get_json_object("props", "$.k")
+    return t.events.agg(F.count_if(k.try_cast("bigint").isNotNull()).alias("whole"), F.count_if(k.isNull()).alias("blank"), F.count("*").alias("total"))
+
+
+@question("infer_table", "SELECT count(DISTINCT p_brand) AS brands, count(DISTINCT p_type) AS types, count(DISTINCT p_partkey) = count(*) AS key_unique, max(length(p_name)) AS longest FROM part")
+def _(t):
+    return t.part.agg(F.countDistinct("p_brand").alias("brands"), F.countDistinct("p_type").alias("types"), (F.countDistinct("p_partkey") == F.count("*")).alias("key_unique"), F.max(F.length("p_name")).cast("long").alias("longest"))
+
+
+@question("infer_links", "SELECT count(DISTINCT o_custkey) AS found, count(DISTINCT o_custkey) FILTER (o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)) AS hits FROM orders")
+def _(t):
+    keys = t.customer.where("c_custkey % 2 = 0").select(c("c_custkey").alias("o_custkey"), F.lit(1).alias("hit"))
+    return t.orders.select("o_custkey").distinct().join(keys, "o_custkey", "left").agg(F.count("*").alias("found"), F.count("hit").alias("hits"))
+
+
+@question("profile_table", "SELECT count(*) AS n, count(DISTINCT l_returnflag) AS flags, count(*) FILTER (l_returnflag = '') AS blanks, min(l_shipdate)::DATE AS first, max(l_shipdate)::DATE AS last FROM lineitem")
+def _(t):
+    return t.lineitem.agg(F.count("*").alias("n"), F.countDistinct("l_returnflag").alias("flags"), F.count_if(c("l_returnflag") == "").alias("blanks"), F.to_date(F.min("l_shipdate")).alias("first"), F.to_date(F.max("l_shipdate")).alias("last"))
+
+
+@question("profile_cardinality", "SELECT (SELECT max(n) FROM (SELECT count(DISTINCT p_brand) AS n FROM part GROUP BY p_name)) AS brands_of_name, (SELECT max(n) FROM (SELECT count(DISTINCT p_name) AS n FROM part GROUP BY p_brand)) AS names_of_brand")
+def _(t):
+    pairs = t.part.select("p_name", "p_brand").distinct()
+    a = pairs.groupBy("p_name").agg(F.count("*").alias("n")).agg(F.max("n").alias("brands_of_name"))
+    return a.crossJoin(pairs.groupBy("p_brand").agg(F.count("*").alias("n")).agg(F.max("n").alias("names_of_brand")))
+
+
+@question("quality_missing", "SELECT count(*) FILTER (text IS NULL OR text = '') AS no_text, count(*) FILTER (lang IS NULL OR lang = '') AS no_lang FROM documents")
+def _(t):
+    return t.documents.agg(F.count_if(c("text").isNull() | (c("text") == "")).alias("no_text"), F.count_if(c("lang").isNull() | (c("lang") == "")).alias("no_lang"))
+
+
+@question("quality_orphans", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def _(t):
+    return t.part.select("p_partkey").join(t.lineitem.where("l_quantity > 45").select(c("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+
+
+@question("quality_broken_refs", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0)")
+def _(t):
+    return t.labels.select("doc_id").join(t.documents.where("doc_id % 5 <> 0").select("doc_id"), "doc_id", "left_anti")
+
+
+@question("quality_duplicates", "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    return t.documents.groupBy(F.md5(c("text").cast("binary")).alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@question("quality_alias_clash", "SELECT p_name, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 30")
+def _(t):
+    return t.part.groupBy("p_name").agg(F.countDistinct("p_partkey").alias("n")).where("n > 30")
+
+
+@question("fill_priority", "SELECT p_type, count(*) FILTER (p_size < 10) AS missing, round(count(*) FILTER (p_size < 10) * 100.0 / count(*), 6)::DOUBLE AS score FROM part GROUP BY 1")
+def _(t):
+    return t.part.groupBy("p_type").agg(F.count_if(c("p_size") < 10).alias("missing"), F.round(F.count_if(c("p_size") < 10) * 100.0 / F.count("*"), 6).alias("score"))
+
+
+@question("miss_counts", "SELECT event_type AS scope, user_id % 10 AS norm, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1, 2")
+def _(t):
+    return t.events.groupBy(c("event_type").alias("scope"), (c("user_id") % 10).alias("norm")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@question("history_asof", "SELECT user_id, event_type AS state FROM events WHERE ts <= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def _(t):
+    return t.events.where(c("ts") <= F.lit("2024-01-15").cast("timestamp")).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+
+
+@question("merge_rewrite", "SELECT o_orderkey, CASE WHEN o_custkey % 100 = 1 THEN o_custkey - 1 ELSE o_custkey END AS o_custkey FROM orders")
+def _(t):
+    moved = t.customer.where("c_custkey % 100 = 1").select(c("c_custkey").alias("o_custkey"), (c("c_custkey") - 1).alias("into"))
+    return t.orders.select("o_orderkey", "o_custkey").join(moved, "o_custkey", "left").select("o_orderkey", F.coalesce("into", "o_custkey").alias("o_custkey"))
+
+
+@question("promote_enum", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_type)::INT AS type_id FROM part")
+def _(t):
+    # numbers are given to the few distinct values, then joined back
+    ids = t.part.select("p_type").distinct().withColumn("type_id", F.row_number().over(Window.orderBy("p_type")))
+    return t.part.join(F.broadcast(ids), "p_type").select("p_partkey", "type_id")
+
+
+@question("retype_plan", "SELECT count(*) FILTER (try_cast(string_split(p_brand, '#')[2] AS INT) IS NOT NULL) AS converts, count(*) FILTER (try_cast(p_name AS INT) IS NULL) AS fails FROM part")
+def _(t):
+    return t.part.agg(F.count_if(F.element_at(F.split("p_brand", "#"), 2).try_cast("int").isNotNull()).alias("converts"), F.count_if(c("p_name").try_cast("int").isNull()).alias("fails"))
+
+
+@question("bundle_tombstones", "SELECT o_orderkey FROM orders WHERE o_orderkey % 9 = 0")
+def _(t):
+    return t.orders.select("o_orderkey").join(t.orders.where("o_orderkey % 9 <> 0").select("o_orderkey"), "o_orderkey", "left_anti")
+
+
+@question("maturity_coverage", "SELECT p_brand, round(count(*) FILTER (p_size >= 20) / count(*), 6) AS coverage FROM part GROUP BY 1")
+def _(t):
+    return t.part.groupBy("p_brand").agg(F.round(F.count_if(c("p_size") >= 20) / F.count("*"), 6).alias("coverage"))
+
+
+@question("maturity_capacity", "SELECT sum(p_size)::BIGINT AS total FROM (SELECT DISTINCT p_partkey, p_size FROM part JOIN lineitem ON l_partkey = p_partkey)")
+def _(t):
+    return t.part.join(t.lineitem.select(c("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").agg(F.sum("p_size").alias("total"))
+
+
+@question("sync_deprecate_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 20 <> 0)")
+def _(t):
+    return t.customer.select("c_custkey").join(t.customer.where("c_custkey % 20 <> 0").select("c_custkey"), "c_custkey", "left_anti")
+
+
+@question("alert_fresh", "SELECT DISTINCT l_suppkey AS key FROM lineitem WHERE l_quantity = 50 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+def _(t):
+    seen = t.supplier.where("s_suppkey % 2 = 0").select(c("s_suppkey").alias("key"))
+    return t.lineitem.where("l_quantity = 50").select(c("l_suppkey").alias("key")).distinct().join(seen, "key", "left_anti")
+
+
+@question("insight_score", "SELECT l_suppkey, round(abs(avg((l_returnflag = 'R')::INT) - 0.33) * ln(1 + count(*)), 6) AS score FROM lineitem GROUP BY 1")
+def _(t):
+    return t.lineitem.groupBy("l_suppkey").agg(F.round(F.abs(F.avg((c("l_returnflag") == "R").cast("int")) - 0.33) * F.log(1 + F.count("*")), 6).alias("score"))
+
+
+@question("insight_tidy", "SELECT p_type, p_brand, n FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) = 1")
+def _(t):
+    by = t.part.groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
+    return by.withColumn("r", F.row_number().over(Window.partitionBy("p_type").orderBy(F.desc("n"), "p_brand"))).where("r = 1").drop("r")

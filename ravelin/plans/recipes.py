@@ -1 +1,190 @@
-"""Questions to come."""
+"""Statistics over metric cells."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ravelin.functions.scalars import bucket
+from ravelin.operators import statistics
+from ravelin.plans.registry import RECORDS, question
+
+c = F.col
+_BY = "(SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS total FROM lineitem GROUP BY 1)"
+_MONTHS = "(SELECT date_trunc('month', l_shipdate)::DATE AS m, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS total FROM lineitem GROUP BY 1)"
+
+
+def by_supplier(t):
+    return t.lineitem.groupBy("l_suppkey").agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
+
+
+def by_month(t):
+    return t.lineitem.groupBy(bucket(c("l_shipdate"), "month").alias("m")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
+
+
+question("stat_frame", f"SELECT * FROM {_BY}")(by_supplier)
+question("stat_series", f"SELECT * FROM {_MONTHS}")(by_month)
+
+
+@question("stat_totals", f"SELECT sum(hits)::BIGINT AS hits, sum(total)::BIGINT AS total, round(sum(hits) / sum(total), 6) AS rate FROM {_BY}")
+def _(t):
+    return by_supplier(t).agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"), F.round(F.sum("hits") / F.sum("total"), 6).alias("rate"))
+
+
+@question("stat_concentration", f"WITH s AS (SELECT l_suppkey, hits / sum(hits) OVER () AS s, row_number() OVER (ORDER BY hits, l_suppkey) AS i, count(*) OVER () AS n FROM {_BY}) SELECT round(sum(s * s), 6) AS hhi, round(sum((2 * i - n - 1) * s) / max(n), 6) AS gini, round(sum(CASE WHEN i > n - 4 THEN s ELSE 0 END), 6) AS cr4, round(1 / sum(s * s), 6) AS effective FROM s")
+def _(t):
+    return statistics.concentration(by_supplier(t), "l_suppkey", "hits")
+
+
+@question("stat_homogeneity", f"WITH x AS (SELECT *, sum(hits) OVER () / sum(total) OVER () AS p, sum(total) OVER () AS n FROM {_BY}), e AS (SELECT *, total * p AS expected, hits - total * p AS d FROM x) SELECT l_suppkey, round(expected, 6) AS expected, round(d / sqrt(expected * (1 - p) * (1 - total / n)), 6) AS residual, round(sum(d * d / (expected * (1 - p))) OVER (), 6) AS chi2 FROM e")
+def _(t):
+    return statistics.homogeneity(by_supplier(t), "l_suppkey", "hits", "total")
+
+
+_U = f"WITH a AS (SELECT m, hits / total AS rate, sum(hits) OVER () / sum(total) OVER () AS center, total FROM {_MONTHS}), b AS (SELECT *, sqrt(center / total) AS sigma, (rate - center) / sqrt(center / total) AS z FROM a), d AS (SELECT *, abs(z - lag(z) OVER (ORDER BY m)) AS moved FROM b), s AS (SELECT *, greatest(avg(moved) OVER () / 1.128, 1.0) AS sz FROM d)"
+
+
+@question("stat_control", f"{_U} SELECT m, round(rate, 6) AS rate, round(center, 6) AS center, round(sz, 6) AS sigma_z, round(greatest(center - 3 * sigma * sz, 0), 6) AS low, round(center + 3 * sigma * sz, 6) AS high, rate < greatest(center - 3 * sigma * sz, 0) OR rate > center + 3 * sigma * sz AS out FROM s")
+def _(t):
+    return statistics.u_chart(by_month(t), "m", "hits", "total")
+
+
+@question("win_nelson", f"{_U}, r AS (SELECT m, z, (z > lag(z) OVER (ORDER BY m))::INT AS up, (z < lag(z) OVER (ORDER BY m))::INT AS down FROM b) SELECT m, round(z, 6) AS z, abs(z) > 3 AS beyond, count(z) OVER nine = 9 AND (min(z) OVER nine > 0 OR max(z) OVER nine < 0) AS same_side, count(z) OVER six = 6 AND (sum(up) OVER five = 5 OR sum(down) OVER five = 5) AS trend, count(z) OVER three = 3 AND (sum((z > 2)::INT) OVER three >= 2 OR sum((z < -2)::INT) OVER three >= 2) AS two_of_three FROM r WINDOW nine AS (ORDER BY m ROWS 8 PRECEDING), six AS (ORDER BY m ROWS 5 PRECEDING), five AS (ORDER BY m ROWS 4 PRECEDING), three AS (ORDER BY m ROWS 2 PRECEDING)")
+def _(t):
+    whole = Window.partitionBy()
+    center = F.sum("hits").over(whole) / F.sum("total").over(whole)
+    own = by_month(t).withColumn("center", center)
+    return statistics.runs(own, "m", (c("hits") / c("total") - c("center")) / F.sqrt(c("center") / c("total")))
+
+
+@question("stat_collapse", f"SELECT age, count(*) AS units, count(*) FILTER (l_returnflag = 'R') AS hits FROM {RECORDS} x WHERE age >= 0 GROUP BY 1")
+def _(t):
+    return t.records.where("age >= 0").groupBy("age").agg(F.count("*").alias("units"), F.count_if(c("l_returnflag") == "R").alias("hits"))
+
+
+@question("stat_reference_rates", f"WITH a AS (SELECT age, count(*) FILTER (l_returnflag = 'R') / count(*) AS rate FROM {RECORDS} x WHERE age >= 0 GROUP BY 1), s AS (SELECT l_suppkey, age, count(*) AS units, count(*) FILTER (l_returnflag = 'R') AS hits FROM {RECORDS} x WHERE age >= 0 GROUP BY 1, 2) SELECT l_suppkey, sum(hits)::BIGINT AS hits, round(sum(units * rate), 6) AS expected, round(sum(hits) / sum(units * rate), 6) AS ratio FROM s JOIN a USING (age) GROUP BY 1")
+def _(t):
+    own = t.records.where("age >= 0").groupBy("l_suppkey", "age").agg(F.count("*").alias("units"), F.count_if(c("l_returnflag") == "R").alias("hits"))
+    rates = own.groupBy("age").agg((F.sum("hits") / F.sum("units")).alias("rate"))
+    return own.join(rates, "age").groupBy("l_suppkey").agg(F.sum("hits").alias("hits"), F.round(F.sum(c("units") * c("rate")), 6).alias("expected"), F.round(F.sum("hits") / F.sum(c("units") * c("rate")), 6).alias("ratio"))
+
+
+@question("stat_actuarial", f"WITH a AS (SELECT age, count(*) AS n FROM {RECORDS} x WHERE age >= 0 GROUP BY 1), r AS (SELECT age, n, sum(n) OVER (ORDER BY age ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM a) SELECT age, n, risk::BIGINT AS risk, CASE WHEN n < risk THEN round(1 - exp(sum(ln(CASE WHEN n < risk THEN 1 - n / risk END)) OVER (ORDER BY age ROWS UNBOUNDED PRECEDING)), 6) ELSE 1.0 END AS failed FROM r")
+def _(t):
+    by = t.records.where("age >= 0").groupBy("age").agg(F.count("*").alias("n"))
+    risk = by.withColumn("risk", F.sum("n").over(Window.orderBy("age").rowsBetween(0, Window.unboundedFollowing)))
+    upto = Window.orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
+    alive = F.exp(F.sum(F.log(F.when(c("n") < c("risk"), 1 - c("n") / c("risk")))).over(upto))
+    return risk.select("age", "n", "risk", F.when(c("n") < c("risk"), F.round(1 - alive, 6)).otherwise(1.0).alias("failed"))
+
+
+@question("stat_ratio", f"SELECT m, round(hits / nullif(lag(hits) OVER (ORDER BY m), 0), 6) AS ratio, round(1.96 * sqrt(1 / nullif(hits, 0) + 1 / nullif(lag(hits) OVER (ORDER BY m), 0)), 6) AS half FROM {_MONTHS}")
+def _(t):
+    before = F.nullif(F.lag("hits").over(Window.orderBy("m")), F.lit(0))
+    hits = F.nullif(c("hits"), F.lit(0))
+    return by_month(t).select("m", F.round(c("hits") / before, 6).alias("ratio"), F.round(1.96 * F.sqrt(1 / hits + 1 / before), 6).alias("half"))
+
+
+@question("stat_groups", f"WITH x AS (SELECT *, sum(hits) OVER () / sum(total) OVER () AS p FROM {_BY}), m AS (SELECT avg(hits / total) AS mean, var_samp(hits / total) - avg(p * (1 - p) / total) AS v FROM x) SELECT l_suppkey, round((hits + mean * greatest(mean * (1 - mean) / greatest(v, 0.000001) - 1, 1)) / (total + greatest(mean * (1 - mean) / greatest(v, 0.000001) - 1, 1)), 6) AS shrunk FROM {_BY}, m")
+def _(t):
+    own = by_supplier(t).withColumn("p", F.sum("hits").over(Window.partitionBy()) / F.sum("total").over(Window.partitionBy()))
+    m = own.agg(F.avg(c("hits") / c("total")).alias("mean"), (F.var_samp(c("hits") / c("total")) - F.avg(c("p") * (1 - c("p")) / c("total"))).alias("v"))
+    k = F.greatest(c("mean") * (1 - c("mean")) / F.greatest("v", F.lit(0.000001)) - 1, F.lit(1.0))
+    return own.crossJoin(F.broadcast(m)).select("l_suppkey", F.round((c("hits") + c("mean") * k) / (c("total") + k), 6).alias("shrunk"))
+
+
+@question("stat_cutin", "SELECT l_shipdate >= DATE '1998-06-01' AS after, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS hits, round(count(*) FILTER (l_returnflag = 'R') / count(*), 6) AS rate FROM lineitem GROUP BY 1")
+def _(t):
+    return t.lineitem.groupBy((c("l_shipdate") >= F.lit("1998-06-01").cast("timestamp")).alias("after")).agg(F.count("*").alias("n"), F.count_if(c("l_returnflag") == "R").alias("hits"), F.round(F.count_if(c("l_returnflag") == "R") / F.count("*"), 6).alias("rate"))
+
+
+@question("stat_trend", f"WITH x AS (SELECT *, row_number() OVER (ORDER BY m) AS i, sum(hits) OVER () / sum(total) OVER () AS p FROM {_MONTHS}), y AS (SELECT *, sum(total * i) OVER () / sum(total) OVER () AS ibar FROM x) SELECT round(sum(hits * (i - ibar)) / sqrt(any_value(p) * (1 - any_value(p)) * sum(total * (i - ibar) * (i - ibar))), 4) AS z FROM y")
+def _(t):
+    whole = Window.partitionBy()
+    own = by_month(t).withColumn("i", F.row_number().over(Window.orderBy("m"))).withColumn("p", F.sum("hits").over(whole) / F.sum("total").over(whole))
+    own = own.withColumn("d", c("i") - F.sum(c("total") * c("i")).over(whole) / F.sum("total").over(whole))
+    return own.agg(F.round(F.sum(c("hits") * c("d")) / F.sqrt(F.first("p") * (1 - F.first("p")) * F.sum(c("total") * c("d") * c("d"))), 4).alias("z"))
+
+
+@question("stat_auc", "WITH g AS (SELECT l_quantity AS s, count(*) FILTER (l_returnflag = 'R') AS pos, count(*) FILTER (l_returnflag <> 'R') AS neg FROM lineitem GROUP BY 1), r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM r")
+def _(t):
+    g = t.lineitem.groupBy(c("l_quantity").alias("s")).agg(F.count_if(c("l_returnflag") == "R").alias("pos"), F.count_if(c("l_returnflag") != "R").alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return g.withColumn("below", below).agg(F.round(F.sum(c("pos") * (c("below") + c("neg") / 2)) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+
+
+_CROSS = "(SELECT p_brand AS a, p_type AS b, count(*) AS n FROM part GROUP BY 1, 2)"
+
+
+@question("stat_assoc", f"SELECT a, b, n, round(n * sum(n) OVER () / (sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b)), 6) AS lift FROM {_CROSS}")
+def _(t):
+    by = t.part.groupBy(c("p_brand").alias("a"), c("p_type").alias("b")).agg(F.count("*").alias("n"))
+    lift = c("n") * F.sum("n").over(Window.partitionBy()) / (F.sum("n").over(Window.partitionBy("a")) * F.sum("n").over(Window.partitionBy("b")))
+    return by.withColumn("lift", F.round(lift, 6))
+
+
+@question("stat_dispersion", f"SELECT a, round(1 / sum(s * s), 6) AS effective FROM (SELECT a, n / sum(n) OVER (PARTITION BY a) AS s FROM {_CROSS}) GROUP BY 1")
+def _(t):
+    by = t.part.groupBy(c("p_brand").alias("a"), c("p_type").alias("b")).agg(F.count("*").alias("n")).withColumn("s", c("n") / F.sum("n").over(Window.partitionBy("a")))
+    return by.groupBy("a").agg(F.round(1 / F.sum(c("s") * c("s")), 6).alias("effective"))
+
+
+@question("stat_coverage", "SELECT c_mktsegment, count(DISTINCT c_nationkey) AS covered, round(count(DISTINCT c_nationkey) / 25, 6) AS share FROM customer WHERE c_acctbal > 5000 GROUP BY 1")
+def _(t):
+    return t.customer.where("c_acctbal > 5000").groupBy("c_mktsegment").agg(F.countDistinct("c_nationkey").alias("covered")).withColumn("share", F.round(c("covered") / 25, 6))
+
+
+@question("stat_recurrence", "SELECT count(*) AS both FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE year(l_shipdate) = 1996 AND l_returnflag = 'R') JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE year(l_shipdate) = 1998 AND l_returnflag = 'R') USING (l_partkey)")
+def _(t):
+    one = lambda y: t.lineitem.where((F.year("l_shipdate") == y) & (c("l_returnflag") == "R")).select("l_partkey").distinct()
+    return one(1996).join(one(1998), "l_partkey").agg(F.count("*").alias("both"))
+
+
+@question("stat_profile", "SELECT l_linestatus, count(*) FILTER (l_suppkey = 5) AS n, round((count(*) FILTER (l_suppkey = 5) / (SELECT count(*) FROM lineitem WHERE l_suppkey = 5)) / (count(*) / (SELECT count(*) FROM lineitem)), 6) AS lift FROM lineitem GROUP BY 1")
+def _(t):
+    by = t.lineitem.groupBy("l_linestatus").agg(F.count_if(c("l_suppkey") == 5).alias("n"), F.count("*").alias("all"))
+    whole = Window.partitionBy()
+    return by.select("l_linestatus", "n", F.round((c("n") / F.sum("n").over(whole)) / (c("all") / F.sum("all").over(whole)), 6).alias("lift"))
+
+
+_P = f"(SELECT l_suppkey, round(1 / (1 + abs(hits - total * 0.33)), 6) AS p FROM {_BY})"
+
+
+@question("stat_bh", f"SELECT l_suppkey, p, round(least(min(raw) OVER (ORDER BY p DESC, l_suppkey DESC ROWS UNBOUNDED PRECEDING), 1.0), 6) AS q FROM (SELECT l_suppkey, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, l_suppkey) AS raw FROM {_P})")
+def _(t):
+    tests = by_supplier(t).select("l_suppkey", F.round(1 / (1 + F.abs(c("hits") - c("total") * 0.33)), 6).alias("p"))
+    return statistics.adjusted(tests, "l_suppkey", "p").withColumn("q", F.round("q", 6))
+
+
+@question("stat_sprt", f"WITH x AS (SELECT m, hits, total, sum(hits) OVER () / sum(total) OVER () AS p FROM {_MONTHS}) SELECT m, round(sum(hits * ln(1.5) - total * p * 0.5) OVER (ORDER BY m ROWS UNBOUNDED PRECEDING), 4) AS llr FROM x")
+def _(t):
+    own = by_month(t).withColumn("p", F.sum("hits").over(Window.partitionBy()) / F.sum("total").over(Window.partitionBy()))
+    step = c("hits") * F.lit(math.log(1.5)) - c("total") * c("p") * 0.5
+    return own.select("m", F.round(F.sum(step).over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)), 4).alias("llr"))
+
+
+@question("stat_changes_scan")
+def _(t):
+    """Change points of the monthly returns of each supplier; one series is one small group."""
+    by = t.lineitem.groupBy("l_suppkey", bucket(c("l_shipdate"), "month").alias("m")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
+
+    def scan(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("m")
+        at = statistics.changes(frame.hits.to_numpy(float), frame.total.to_numpy(float), 2 * math.log(100))
+        return pd.DataFrame({"l_suppkey": pd.Series([frame.l_suppkey.iloc[0]] * len(at), dtype="int64"), "m": pd.Series([frame.m.iloc[k] for k in at], dtype="object")})
+
+    return by.groupBy("l_suppkey").applyInPandas(scan, "l_suppkey long, m date")
+
+
+@question("stat_garwood")
+def _(t):
+    def intervals(frames):
+        for frame in frames:
+            found = [statistics.poisson_interval(int(h)) for h in frame.hits]
+            yield frame.assign(low=[round(a, 6) for a, _ in found], high=[round(b, 6) for _, b in found])
+
+    return by_month(t).mapInPandas(intervals, "m date, hits long, total long, low double, high double")

@@ -1 +1,99 @@
-"""Questions to come."""
+"""Questions about sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ravelin.plans.registry import question
+from ravelin.sources import files
+
+c = F.col
+
+
+@question("scan_interface", "SELECT 'customer' AS type, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier")
+def _(t):
+    a = t.customer.select(F.lit("customer").alias("type"), c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_mktsegment").alias("segment"))
+    b = t.supplier.select(F.lit("supplier").alias("type"), c("s_suppkey").alias("id"), c("s_name").alias("name"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@question("scan_system_view", "SELECT n_nationkey AS id, n_name AS label FROM nation")
+def _(t):
+    return t.nation.select(c("n_nationkey").alias("id"), c("n_name").alias("label"))
+
+
+@question("scan_refs", "SELECT l_orderkey AS src, 'part' AS key, l_partkey AS dst FROM lineitem UNION ALL SELECT l_orderkey, 'supplier', l_suppkey FROM lineitem")
+def _(t):
+    ends = F.explode(F.array(F.struct(F.lit("part").alias("key"), c("l_partkey").alias("dst")), F.struct(F.lit("supplier").alias("key"), c("l_suppkey").alias("dst")))).alias("r")
+    return t.lineitem.select(c("l_orderkey").alias("src"), ends).select("src", "r.key", "r.dst")
+
+
+@question("scan_sample", "SELECT o_orderkey FROM orders WHERE md5(o_orderkey::VARCHAR)[1:1] < '4'")
+def _(t):
+    # a sample by a hash of the key: the same rows on every run
+    return t.orders.where(F.substring(F.md5(c("o_orderkey").cast("string")), 1, 1) < "4").select("o_orderkey")
+
+
+for _fmt, _name in (("csv", "src_csv_json"), ("json", "src_file"), ("tsv", "sink_csv")):
+    question(_name, "SELECT p_partkey, p_name, p_brand, p_size FROM part")(lambda t, fmt=_fmt: files.there_and_back(t.part.select("p_partkey", "p_name", "p_brand", "p_size"), fmt))
+
+
+@question("src_incremental", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
+def _(t):
+    return files.changed_since(t.events, "ts", "2024-01-20 00:00:00").select("event_id")
+
+
+@question("src_overlap_incremental", "SELECT DISTINCT event_id FROM events WHERE ts > TIMESTAMP '2024-01-19 23:55:00'")
+def _(t):
+    return files.changed_since(t.events, "ts", "2024-01-20 00:00:00", 5).select("event_id").dropDuplicates(["event_id"])
+
+
+@question("src_incremental_edges", "SELECT l_orderkey, l_partkey, l_returnflag = 'R' AS deleted FROM lineitem WHERE l_shipdate > TIMESTAMP '2001-01-01'")
+def _(t):
+    return files.changed_since(t.lineitem, "l_shipdate", "2001-01-01").select("l_orderkey", "l_partkey", (c("l_returnflag") == "R").alias("deleted"))
+
+
+@question("src_drift", "SELECT 'p_size' AS \"column\", 'missing' AS kind UNION ALL SELECT 'weight', 'new'")
+def _(t):
+    found = files.drift(t.part, t.part.drop("p_size").withColumn("weight", F.lit(1.0)))
+    return t.spark.createDataFrame(found, "column string, kind string")
+
+
+@question("sink_append", "SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey + 100 FROM nation")
+def _(t):
+    path = files.scratch(t.spark)
+    t.nation.select("n_nationkey").write.mode("append").parquet(path)
+    t.nation.select((c("n_nationkey") + 100).alias("n_nationkey")).write.mode("append").parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@question("sink_update", "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def _(t):
+    return files.updated(t.supplier, t.supplier.where("s_suppkey % 4 = 0").select("s_suppkey", F.lit(0.0).alias("s_acctbal")), "s_suppkey")
+
+
+@question("sink_objects_export", "SELECT o_orderkey, c_name AS customer, (SELECT string_agg(DISTINCT l_suppkey::VARCHAR, ';' ORDER BY l_suppkey::VARCHAR) FROM lineitem WHERE l_orderkey = o_orderkey) AS suppliers FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 200")
+def _(t):
+    many = t.lineitem.where("l_orderkey < 200").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(c("l_suppkey").cast("string"))), ";").alias("suppliers"))
+    own = t.orders.where("o_orderkey < 200").join(t.customer, c("o_custkey") == c("c_custkey"))
+    return own.join(many, c("o_orderkey") == c("l_orderkey"), "left").select("o_orderkey", c("c_name").alias("customer"), "suppliers")
+
+
+@question("census_pages", "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY 1 LIMIT 20 OFFSET 20")
+def _(t):
+    return t.part.groupBy("p_name").agg(F.count("*").alias("n")).orderBy("p_name").offset(20).limit(20)
+
+
+@question("sink_rdf_data", "SELECT 'part/' || p_partkey AS s, 'p_name' AS p, p_name AS o FROM part UNION ALL SELECT 'part/' || p_partkey, 'p_brand', p_brand FROM part")
+def _(t):
+    return files.triples(t.part.select("p_partkey", "p_name", "p_brand"), "p_partkey", "part")
+
+
+@question("sink_rdf_schema", "SELECT 'n_nationkey' AS name, 'int' AS kind UNION ALL SELECT 'n_name', 'string' UNION ALL SELECT 'n_regionkey', 'int'")
+def _(t):
+    return t.spark.createDataFrame(t.nation.dtypes, "name string, kind string")
+
+
+@question("sink_graph_csv", "SELECT parent, child FROM (SELECT 'r:' || n_regionkey AS parent, 'n:' || n_nationkey AS child FROM nation UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer)")
+def _(t):
+    return files.there_and_back(t.tree, "csv")

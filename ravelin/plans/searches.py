@@ -1 +1,93 @@
-"""Questions to come."""
+"""Questions by words, letters and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ravelin.functions.scalars import bigrams
+from ravelin.operators import vectors
+from ravelin.operators.relations import contains
+from ravelin.plans.registry import question
+
+c = F.col
+
+
+def hits(t):
+    one = lambda df, key, kind, *fields: df.where(F.greatest(*[contains(c(f), "bolt").cast("int") for f in fields], F.lit(0)) == 1).select(F.lit(kind).alias("type"), c(key).cast("long").alias("id"))
+    return one(t.part, "p_partkey", "part", "p_name", "p_brand").union(one(t.supplier, "s_suppkey", "supplier", "s_name")).distinct()
+
+
+_HITS = "(SELECT 'part' AS type, p_partkey AS id FROM part WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_brand), 'bolt') UNION SELECT 'supplier', s_suppkey FROM supplier WHERE contains(lower(s_name), 'bolt'))"
+question("search_global", f"SELECT * FROM {_HITS}")(hits)
+question("search_counts", f"SELECT type, count(*) AS n FROM {_HITS} GROUP BY 1")(lambda t: hits(t).groupBy("type").agg(F.count("*").alias("n")))
+
+
+@question("search_containing", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ring') UNION SELECT p_partkey FROM part WHERE contains(lower(p_brand), '#1')")
+def _(t):
+    return t.part.where(contains(c("p_name"), "ring")).select("p_partkey").union(t.part.where(contains(c("p_brand"), "#1")).select("p_partkey")).distinct()
+
+
+@question("search_fields", "SELECT c_custkey FROM customer WHERE contains(lower(c_name), '99') AND contains(lower(c_mktsegment), 'b')")
+def _(t):
+    return t.customer.where(contains(c("c_name"), "99") & contains(c("c_mktsegment"), "b")).select("c_custkey")
+
+
+_GRAMS = "(SELECT DISTINCT p_name, lower(p_name)[i:i + 1] AS g FROM part, range(1, 60) r(i) WHERE i < length(p_name))"
+
+
+@question("search_bigram", f"SELECT p_name, count(*) AS shared FROM {_GRAMS} WHERE g IN ('bl', 'lu', 'ue', 'e ', ' b', 'bo', 'ol', 'lt') GROUP BY 1 HAVING count(*) >= 4")
+def _(t):
+    asked = bigrams(F.lit("blue bolt"))
+    return t.part.select("p_name").distinct().select("p_name", F.size(F.array_intersect(bigrams(c("p_name")), asked)).cast("long").alias("shared")).where("shared >= 4")
+
+
+@question("search_trigram", f"WITH q AS (SELECT unnest(['bl', 'lu', 'ue', 'e ', ' b', 'bo', 'ol', 'lt']) AS g), n AS (SELECT p_name, count(*) AS n, count(*) FILTER (g IN (SELECT g FROM q)) AS s FROM {_GRAMS} GROUP BY 1) SELECT p_name, round(s / (n + 8 - s), 6) AS similarity FROM n WHERE s / (n + 8 - s) >= 0.3")
+def _(t):
+    asked, own = bigrams(F.lit("blue bolt")), bigrams(c("p_name"))
+    both = F.size(F.array_intersect(own, asked))
+    return t.part.select("p_name").distinct().select("p_name", F.round(both / (F.size(own) + F.size(asked) - both), 6).alias("similarity")).where("similarity >= 0.3")
+
+
+@question("vector_topk", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e) DESC, vec_id LIMIT 8")
+def _(t):
+    asked = t.embeddings.where("vec_id = 0").select("embedding").first()[0]
+    return vectors.nearest(t.embeddings, "vec_id", "embedding", asked, 8).withColumn("score", F.round("score", 6))
+
+
+@question("topk_similar", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7) SELECT vec_id FROM embeddings, q WHERE vec_id <> 7 ORDER BY list_cosine_similarity(embedding::DOUBLE[], e) DESC, vec_id LIMIT 5")
+def _(t):
+    asked = t.embeddings.where("vec_id = 7").select("embedding").first()[0]
+    return vectors.nearest(t.embeddings.where("vec_id <> 7"), "vec_id", "embedding", asked, 5).select("vec_id")
+
+
+@question("vector_sync", "SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)")
+def _(t):
+    own = t.documents.select("doc_id", F.md5(c("text").cast("binary")).alias("h"))
+    return own.join(own.where("doc_id % 3 = 0").select("h"), "h", "left_anti").select("doc_id")
+
+
+@question("search_similar", "WITH s AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS tag FROM customer WHERE c_acctbal > 9000) SELECT a.n AS a, b.n AS b, count(*) AS shared FROM s a JOIN s b ON a.tag = b.tag AND a.n < b.n GROUP BY 1, 2")
+def _(t):
+    own = t.customer.where("c_acctbal > 9000").select(c("c_nationkey").alias("n"), c("c_mktsegment").alias("tag")).distinct()
+    return own.withColumnRenamed("n", "a").join(own.withColumnRenamed("n", "b"), "tag").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+_ASKED = "(VALUES (1, 'BLUE bolt'), (2, '17'), (3, 'Brand#3'), (4, 'nothing at all')) AS q(id, asked)"
+
+
+@question("fn_resolve", f"SELECT id, coalesce((SELECT min(p_partkey) FROM part WHERE p_partkey::VARCHAR = asked), (SELECT min(p_partkey) FROM part WHERE lower(p_name) = lower(asked)), (SELECT min(p_partkey) FROM part WHERE lower(p_brand) = lower(asked))) AS found FROM {_ASKED}")
+def resolve(t):
+    # a ladder of equi-joins; the first step that finds something wins, then the smallest key
+    asked = t.spark.sql(f"SELECT * FROM {_ASKED}")
+    keys = t.part.select("p_partkey", F.explode(F.array(F.struct(F.lit(1).alias("step"), c("p_partkey").cast("string").alias("k")), F.struct(F.lit(2).alias("step"), F.lower("p_name").alias("k")), F.struct(F.lit(3).alias("step"), F.lower("p_brand").alias("k")))).alias("s")).select("p_partkey", "s.*")
+    best = keys.join(F.broadcast(asked), c("k") == F.lower("asked")).groupBy("id").agg(F.min(F.struct("step", "p_partkey")).alias("b")).select(c("id").alias("_id"), c("b.p_partkey").alias("found"))
+    return asked.join(best, c("id") == c("_id"), "left").select("id", "found")
+
+
+question("resolve_many", f"SELECT id, coalesce((SELECT min(p_partkey) FROM part WHERE p_partkey::VARCHAR = asked), (SELECT min(p_partkey) FROM part WHERE lower(p_name) = lower(asked)), (SELECT min(p_partkey) FROM part WHERE lower(p_brand) = lower(asked))) IS NOT NULL AS resolved FROM {_ASKED}")(lambda t: resolve(t).select("id", c("found").isNotNull().alias("resolved")))
+
+
+@question("alias_lookup", "SELECT p_partkey, n_nationkey FROM part JOIN nation ON lower(replace(n_name, '_', ' ')) = 'nation ' || (p_partkey % 25) WHERE p_partkey < 100")
+def _(t):
+    alias = t.nation.select("n_nationkey", F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("k"))
+    return t.part.where("p_partkey < 100").withColumn("k", F.concat(F.lit("nation "), (c("p_partkey") % 25).cast("string"))).join(F.broadcast(alias), "k").select("p_partkey", "n_nationkey")
