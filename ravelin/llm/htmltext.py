@@ -226,6 +226,9 @@ LABELLED = [
     '<body data-y="0"><div class="menu"><a href="/a">Shop</a> <a href="/b">Basket</a></div><main data-y="1"><h1>How to sharpen a knife</h1><p>Wet the stone, hold the blade at twenty degrees and draw it towards you.</p><div class="ad" data-y="0"><p>Buy the best knives of the season now, with free delivery to your door.</p></div><p>Repeat on the other side, then strop it on leather.</p><h2>Common mistakes</h2><p>Do not press hard, since pressure rounds the edge.</p><section class="comments" data-y="0"><p>Thanks, this helped me a lot, my knives are sharp again.</p></section></main><form><p>Subscribe to our newsletter and get a tip every week, free of charge.</p><label>Your mail</label></form><footer>&copy; Blades</footer></body>',
     '<body data-y="0"><div class="topbar">Sign in</div><div><div class="post" data-y="1"><h2>Notes on a bridge</h2><p>The old bridge was built of oak, and it stood for two centuries.</p><p>Its piles are still there, under the water, and can be seen when the river is low.</p><table><tr><td>Length in metres</td><td>120</td></tr></table></div><div class="sidebar" data-y="0"><h3>Popular</h3><ul><li><a href="/1">The mill and its owners</a></li><li><a href="/2">Floods of the last century</a></li></ul></div></div><div class="footer"><p>Contact us, or write to the editor.</p></div></body>',
     '<body data-y="0"><p>Share this page with your friends</p><div data-y="1"><h1>Plain page</h1><p>This page has no classes at all, only a long paragraph, which goes on, and on, and says what it has to say.</p><p>Another paragraph follows it, with some more words, so that there is a text.</p></div><div data-y="0"><a href="/x">Back to top</a></div><div>Copyright 2020 by nobody</div></body>',
+    '<article data-y="1"><p>A page that holds a single paragraph, and nothing around it.</p></article>',
+    '<main data-y="1"><h1>Bare page</h1><p>There is no menu above this text.</p><p>Nor does anything follow it, since the page ends here.</p></main>',
+    '<body data-y="0"><article data-y="1"><h1>Cut off</h1><p>The transfer of this page broke off in its last paragraph, so that no footer</p></article></body>',
 ]
 
 
