@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ravelin.functions.scalars import bucket, shifted
 
-MERGED = {"count": F.sum("count"), "value_count": F.sum("value_count"), "sum": F.sum("sum"), "min": F.min("min"), "max": F.max("max")}
+#: How each measure of a cell merges.
+MERGED = {"count": F.sum, "value_count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
 def cells(records: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -24,7 +25,7 @@ def once(records: DataFrame, keys: list[str], ident: str, value: str) -> DataFra
 
 def read(found: DataFrame, keys: list[str]) -> DataFrame:
     """Cells merged to fewer keys; the average comes from merged sums."""
-    out = found.groupBy(*keys).agg(*[c.alias(k) for k, c in MERGED.items()])
+    out = found.groupBy(*keys).agg(*[f(k).alias(k) for k, f in MERGED.items()])
     return out.withColumn("avg", F.when(F.col("value_count") > 0, F.col("sum") / F.col("value_count")))
 
 
@@ -61,7 +62,7 @@ def stay(found: DataFrame, grain: str, periods: int, until: Column) -> DataFrame
     """Each cell copied to its period and the following ones, not past ``until``, and merged again; a missing period isn't spread."""
     spread = found.withColumn("_k", F.explode(F.when(F.col("period").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(periods - 1)))))
     moved = spread.withColumn("period", F.when(F.col("period").isNotNull(), shifted(F.col("period"), grain, F.col("_k")))).where(F.col("period").isNull() | (F.col("period") <= until))
-    return moved.groupBy(*[c for c in found.columns if c not in MERGED]).agg(*[c.alias(k) for k, c in MERGED.items()])
+    return moved.groupBy(*[c for c in found.columns if c not in MERGED]).agg(*[f(k).alias(k) for k, f in MERGED.items()])
 
 
 def dense(spark, first, last, grain: str = "month") -> DataFrame:
