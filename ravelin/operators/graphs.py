@@ -127,3 +127,16 @@ def composition_similarity(items: DataFrame, owner: str, item: str, most_owners:
     out = out.withColumn("similarity", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6))
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("a", "b", "shared", "similarity", "rank")
+
+
+def communities(edges: DataFrame, a: str, b: str, weight: str, rounds: int) -> DataFrame:
+    """(node, label) after ``rounds`` of label propagation over undirected edges given in both directions; ties go to the smallest label.
+
+    Every round is a join and two map-side-combined aggregates.
+    """
+    own = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col(weight).alias("w")))
+    labels = _cut(own.select("node").distinct().withColumn("label", F.col("node")))
+    for _ in range(rounds):
+        votes = own.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("w").alias("w"))
+        labels = _cut(votes.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label")))
+    return labels

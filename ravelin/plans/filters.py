@@ -195,3 +195,21 @@ def _(t):
 def _(t):
     own = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
     return own.withColumnRenamed("l_suppkey", "a").join(own.withColumnRenamed("l_suppkey", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@question("join_reach", "SELECT l_orderkey, l_linenumber, l_partkey, c_nationkey AS reached FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey WHERE l_quantity = 1")
+def _(t):
+    owner = t.orders.join(t.customer, c("o_custkey") == c("c_custkey"), "left").select("o_orderkey", c("c_nationkey").alias("reached"))
+    return t.lineitem.where("l_quantity = 1").join(owner, c("l_orderkey") == c("o_orderkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "reached")
+
+
+@question("join_axis_apply", "SELECT n_name, o_orderpriority, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def _(t):
+    place = t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey"), "left").select("c_custkey", "n_name")
+    return t.orders.join(place, c("o_custkey") == c("c_custkey"), "left").groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@question("path_edge_field", "SELECT o_orderkey, max(l_quantity) AS qty FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500 GROUP BY 1")
+def _(t):
+    edges = t.lineitem.where("l_orderkey < 500").groupBy("l_orderkey").agg(F.max("l_quantity").alias("qty"))
+    return t.orders.where("o_orderkey < 500").join(edges, c("o_orderkey") == c("l_orderkey"), "left").select("o_orderkey", "qty")

@@ -208,3 +208,27 @@ def _(t):
     from ravelin.functions.scalars import map_hash
 
     return t.part.where((map_hash(c("p_partkey")) >= 0.125) & (map_hash(c("p_partkey")) < 0.25)).select("p_partkey")
+
+
+@question("graph_cycle", f"WITH RECURSIVE s(root, node, d) AS (SELECT parent, child, 1 FROM ({BOM} UNION ALL SELECT 1999::BIGINT, 0::BIGINT, 1::BIGINT) e WHERE parent = 0 UNION SELECT root, child, d + 1 FROM ({BOM} UNION ALL SELECT 1999::BIGINT, 0::BIGINT, 1::BIGINT) e JOIN s ON parent = node WHERE d < 12) SELECT count(*) FILTER (node = root) > 0 AS cyclic FROM s")
+def _(t):
+    edges = t.bom.select("parent", "child").union(t.spark.createDataFrame([(1999, 0)], "parent long, child long"))
+    below = graphs.reach(edges, edges.where("parent = 0").select(c("child").alias("node")), "parent", "child", 12)
+    return below.agg((F.count_if(c("node") == 0) > 0).alias("cyclic"))
+
+
+@question("lineage_fold", f"{_STALE} SELECT p_partkey, p_partkey IN (SELECT node FROM s) AS stale, p_partkey IN (SELECT node FROM d) AS direct FROM part")
+def _(t):
+    direct = t.bom.where("parent % 50 = 3").select(c("child").alias("p_partkey")).distinct().withColumn("direct", F.lit(True))
+    stale = graphs.reach(t.bom, direct.select(c("p_partkey").alias("node")), "parent", "child").select(c("node").alias("p_partkey"), F.lit(True).alias("stale"))
+    return t.part.select("p_partkey").join(stale, "p_partkey", "left").join(direct, "p_partkey", "left").select("p_partkey", F.coalesce("stale", F.lit(False)).alias("stale"), F.coalesce("direct", F.lit(False)).alias("direct"))
+
+
+@question("graph_cluster")
+def _(t):
+    """Label propagation over suppliers that share orders: labels start as ids and follow the heaviest neighbouring label."""
+    from ravelin.operators.graphs import communities
+
+    own = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
+    pairs = own.withColumnRenamed("l_suppkey", "a").join(own.withColumnRenamed("l_suppkey", "b"), "l_orderkey").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
+    return communities(pairs, "a", "b", "w", 5)

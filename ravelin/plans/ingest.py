@@ -182,3 +182,25 @@ def _(t):
 def _(t):
     by = t.part.groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
     return by.withColumn("r", F.row_number().over(Window.partitionBy("p_type").orderBy(F.desc("n"), "p_brand"))).where("r = 1").drop("r")
+
+
+@question("alert_same_change", "SELECT l_suppkey, m FROM (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate)::DATE AS m FROM lineitem WHERE l_quantity = 50) f WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT l_suppkey AS s, date_trunc('month', l_shipdate)::DATE AS d FROM lineitem WHERE l_quantity = 49) o WHERE s = l_suppkey AND abs((year(d) - year(m)) * 12 + month(d) - month(m)) <= 1)")
+def _(t):
+    # a finding within one month of an earlier one is the same: the earlier ones are widened, so the join stays one of equal keys
+    at = lambda q: t.lineitem.where(c("l_quantity") == q).select("l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("m")).distinct()
+    seen = at(49).select("l_suppkey", F.explode(F.array(*[F.add_months("m", k) for k in (-1, 0, 1)])).alias("m"))
+    return at(50).join(seen, ["l_suppkey", "m"], "left_anti")
+
+
+@question("insight_scan", "SELECT kind, key, score FROM (SELECT 'brand' AS kind, p_brand AS key, round(count(*) / avg(p_size), 6) AS score FROM part GROUP BY p_brand UNION ALL SELECT 'type', p_type, round(count(*) / avg(p_size), 6) FROM part GROUP BY p_type)")
+def _(t):
+    one = lambda kind, col: t.part.groupBy(c(col).alias("key")).agg(F.round(F.count("*") / F.avg("p_size"), 6).alias("score")).select(F.lit(kind).alias("kind"), "key", "score")
+    return one("brand", "p_brand").union(one("type", "p_type"))
+
+
+@question("alias_suggest", "SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON string_split(a.p_name, ' ')[1] = string_split(b.p_name, ' ')[1] AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 3")
+def _(t):
+    # names that share a first word and differ by three letters at most
+    own = t.part.select("p_name").distinct().withColumn("head", F.element_at(F.split("p_name", " "), 1))
+    pairs = own.select(c("p_name").alias("a"), "head").join(own.select(c("p_name").alias("b"), "head"), "head")
+    return pairs.where("a < b").where(F.levenshtein("a", "b") <= 3).select("a", "b")

@@ -144,3 +144,29 @@ def _(t):
 
     period = bucket(c("l_shipdate"), "month")
     return t.lineitem.select(period.alias("period")).distinct().withColumn("closed", is_closed(c("period"), "month", F.lit("2001-11-04").cast("date"), 10))
+
+
+@question("metric_hash", f"SELECT md5(concat_ws('|', strftime(period, '%Y-%m-%d'), l_returnflag)) AS cell, sum(count)::BIGINT AS n FROM {CELLS} GROUP BY 1")
+def _(t):
+    key = F.md5(F.concat_ws("|", F.date_format("period", "yyyy-MM-dd"), "l_returnflag"))
+    return cells(t).groupBy(key.alias("cell")).agg(F.sum("count").alias("n"))
+
+
+_SAMPLED = "(SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE md5(l_orderkey::VARCHAR)[1:1] < '4' GROUP BY 1, 2)"
+
+
+def sampled(t):
+    # a sample by a hash of the record: nested samples are subsets of each other
+    few = t.lineitem.where(F.substring(F.md5(c("l_orderkey").cast("string")), 1, 1) < "4")
+    return few.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+
+
+@question("metric_estimate", f"SELECT count(*) AS seen, count(*) FILTER (n = 1) AS once, count(*) FILTER (n = 2) AS twice FROM {_SAMPLED}")
+def _(t):
+    return sampled(t).agg(F.count("*").alias("seen"), F.count_if(c("n") == 1).alias("once"), F.count_if(c("n") == 2).alias("twice"))
+
+
+@question("metric_estimate_combos", f"SELECT round(count(*) + pow(count(*) FILTER (n = 1), 2) / (2.0 * greatest(count(*) FILTER (n = 2), 1)), 3) AS estimate FROM {_SAMPLED}")
+def _(t):
+    once, twice = F.count_if(c("n") == 1), F.count_if(c("n") == 2)
+    return sampled(t).agg(F.round(F.count("*") + F.pow(once, F.lit(2)) / (F.lit(2.0) * F.greatest(twice, F.lit(1))), 3).alias("estimate"))

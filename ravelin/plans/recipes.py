@@ -188,3 +188,90 @@ def _(t):
             yield frame.assign(low=[round(a, 6) for a, _ in found], high=[round(b, 6) for _, b in found])
 
     return by_month(t).mapInPandas(intervals, "m date, hits long, total long, low double, high double")
+
+
+@question("stat_changes")
+def _(t):
+    """Change points of the monthly returns: one dense, bounded series."""
+
+    def scan(frames):
+        import pandas as pd
+
+        whole = pd.concat(frames).sort_values("m")
+        at = statistics.changes(whole.hits.to_numpy(float), whole.total.to_numpy(float), 2 * math.log(max(len(whole), 2)))
+        yield whole.iloc[at][["m"]]
+
+    return by_month(t).coalesce(1).mapInPandas(scan, "m date")
+
+
+def _fits(frames):
+    import numpy as np
+    import pandas as pd
+
+    whole = pd.concat(frames)
+    units, horizon, fails = [], [], []
+    for _, own in whole.groupby("cohort"):
+        f = np.bincount(own.age, own.hits, minlength=int(own.age.max()) + 1)
+        units.append(float(own.units.sum()))
+        horizon.append(len(f))
+        fails.append(f)
+    shape, scale = statistics.weibull(np.array(units), np.array(horizon), fails) if units else (float("nan"),) * 2
+    yield pd.DataFrame({"shape": [round(shape, 4)], "scale": [round(scale, 4)], "b10": [round(scale * (-math.log(0.9)) ** (1 / shape), 4)]})
+
+
+def by_cohort(t):
+    return t.records.where("age >= 0").groupBy("cohort", "age").agg(F.count("*").alias("units"), F.count_if(c("l_returnflag") == "R").alias("hits"))
+
+
+for _name, _columns in (("stat_life", ("shape", "scale")), ("stat_blife", ("b10",))):
+    # cohorts by ages: a frame bounded by the calendar
+    question(_name)(lambda t, columns=_columns: by_cohort(t).coalesce(1).mapInPandas(_fits, "shape double, scale double, b10 double").select(*columns))
+
+
+@question("stat_sprt_scan", "WITH x AS (SELECT l_suppkey, date_trunc('month', l_shipdate)::DATE AS m, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS total FROM lineitem GROUP BY 1, 2), p AS (SELECT sum(hits) / sum(total) AS p FROM x) SELECT l_suppkey, max(llr) > 6.0 AS signal FROM (SELECT l_suppkey, sum(hits * ln(1.5) - total * p * 0.5) OVER (PARTITION BY l_suppkey ORDER BY m ROWS UNBOUNDED PRECEDING) AS llr FROM x, p) GROUP BY 1")
+def _(t):
+    by = t.lineitem.groupBy("l_suppkey", bucket(c("l_shipdate"), "month").alias("m")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
+    rate = by.agg((F.sum("hits") / F.sum("total")).alias("p"))
+    step = c("hits") * F.lit(math.log(1.5)) - c("total") * c("p") * 0.5
+    llr = F.sum(step).over(Window.partitionBy("l_suppkey").orderBy("m").rowsBetween(Window.unboundedPreceding, 0))
+    return by.crossJoin(F.broadcast(rate)).select("l_suppkey", llr.alias("llr")).groupBy("l_suppkey").agg((F.max("llr") > 6.0).alias("signal"))
+
+
+@question("stat_ca")
+def _(t):
+    """Correspondence analysis of two axes: coordinates of the first axis' values from the bounded table of their counts."""
+
+    def scores(frames):
+        import numpy as np
+        import pandas as pd
+
+        table = pd.concat(frames).pivot_table(index="a", columns="b", values="n", fill_value=0)
+        p = table.to_numpy(float) / table.to_numpy().sum()
+        r, k = p.sum(axis=1), p.sum(axis=0)
+        u, s, _ = np.linalg.svd((p - np.outer(r, k)) / np.sqrt(np.outer(r, k)), full_matrices=False)
+        first = np.abs(u[:, 0] * s[0] / np.sqrt(r))
+        yield pd.DataFrame({"a": table.index, "size": first.round(6)})
+
+    by = t.part.groupBy(c("p_brand").alias("a"), c("p_type").alias("b")).agg(F.count("*").alias("n"))
+    return by.coalesce(1).mapInPandas(scores, "a string, size double")
+
+
+@question("stat_logit")
+def _(t):
+    """Logistic regression of returns on the quantity, on grouped cells (a bounded frame) by iterated least squares."""
+
+    def fit(frames):
+        import numpy as np
+        import pandas as pd
+
+        g = pd.concat(frames)
+        x = np.column_stack([np.ones(len(g)), g.q.to_numpy(float) / 50])
+        hits, n, b = g.hits.to_numpy(float), g.total.to_numpy(float), np.zeros(2)
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-x @ b))
+            w = n * p * (1 - p)
+            b = b + np.linalg.solve(x.T @ (w[:, None] * x), x.T @ (hits - n * p))
+        yield pd.DataFrame({"term": ["intercept", "quantity"], "b": b.round(6)})
+
+    by = t.lineitem.groupBy(c("l_quantity").alias("q")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
+    return by.coalesce(1).mapInPandas(fit, "term string, b double")

@@ -97,3 +97,21 @@ def _(t):
 @question("sink_graph_csv", "SELECT parent, child FROM (SELECT 'r:' || n_regionkey AS parent, 'n:' || n_nationkey AS child FROM nation UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer)")
 def _(t):
     return files.there_and_back(t.tree, "csv")
+
+
+@question("src_catalog", "SELECT 'n_name' AS \"column\", 'string' AS kind UNION ALL SELECT 'n_nationkey', 'int' UNION ALL SELECT 'n_regionkey', 'int'")
+def _(t):
+    t.nation.createOrReplaceTempView("_nation")
+    return t.spark.createDataFrame([(x.name, x.dataType) for x in t.spark.catalog.listColumns("_nation")], "column string, kind string")
+
+
+@question("src_file_fetch", "SELECT r_regionkey, r_name FROM region")
+def _(t):
+    return t.spark.read.load(f"{t.folder}/region.parquet", format="parquet").select("r_regionkey", "r_name")
+
+
+@question("src_decode", "SELECT p_partkey, p_name FROM part WHERE p_partkey < 50")
+def _(t):
+    path = files.scratch(t.spark)
+    t.part.where("p_partkey < 50").select("p_partkey", "p_name").write.options(header=True, encoding="ISO-8859-1").csv(path)
+    return t.spark.read.schema("p_partkey long, p_name string").options(header=True, encoding="ISO-8859-1").csv(path)

@@ -176,3 +176,16 @@ def _(t):
 @question("src_nested_pick", "SELECT event_id, (props->>'k')::INT AS k FROM events WHERE (props->>'k')::INT > 50")
 def _(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where("k > 50")
+
+
+@question("fn_parse_datetime", "SELECT event_id, (strftime(ts, '%Y-%m-%dT%H:%M:%S'))::TIMESTAMP AS at FROM events")
+def _(t):
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return t.events.select("event_id", F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("at"))
+
+
+@question("fn_chunks", "SELECT doc_id, ceil(length(text) / 1500.0)::BIGINT AS chunks FROM documents WHERE text <> ''")
+def _(t):
+    n = F.ceil(F.length("text") / 1500.0)
+    pieces = F.transform(F.sequence(F.lit(1), n), lambda k: F.substr("text", ((k - 1) * 1500 + 1).cast("int"), F.lit(1500)))
+    return t.documents.where("text <> ''").select("doc_id", F.size(pieces).cast("long").alias("chunks"))
