@@ -35,7 +35,7 @@ def reach(edges: DataFrame, roots: DataFrame, src: str, dst: str, depth: int = 2
         frontier = _cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(k)))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.union(frontier))
+        seen = seen.union(frontier)
     return seen
 
 
@@ -49,7 +49,7 @@ def closure(edges: DataFrame, src: str, dst: str, depth: int = 20) -> DataFrame:
         frontier = _cut(new.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.union(frontier))
+        seen = seen.union(frontier)
     return seen
 
 
@@ -64,7 +64,7 @@ def levels(edges: DataFrame, roots: DataFrame, src: str, dst: str, level: int, d
         frontier = _cut(new.join(seen, "node", "left_anti").withColumn("d", F.lit(k)))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.union(frontier))
+        seen = seen.union(frontier)
     return seen.select("node", "ancestor")
 
 
