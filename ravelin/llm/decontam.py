@@ -110,23 +110,38 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
     The window set is broadcast in parts of at most MOST_WINDOWS windows, whose number is counted first; one part is the usual
     case and needs no shuffle of documents. Null, empty and wordless texts have no words and no hits, items without words
-    never occur, items with equal texts are all found, and items without an id are left out. Repeated rows of documents stay
-    rows (of parts, rows of one id are merged). Empty tables give no rows, or no hits. Other columns are never read.
+    never occur, items with equal texts are all found, and items without an id are left out. Repeated rows of documents and
+    rows without an id stay rows. Empty tables give no rows, or no hits. Other columns are never read.
     """
-    spark = docs.sparkSession
-    grams = written(benchmark_windows(items, item_id, item_text, width), "windows")
-    parts = max(1, -(-grams.count() // MOST_WINDOWS))
+    grams, parts = _in_parts(items, item_id, item_text, width)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if parts == 1:
+        held = docs.sparkSession.sparkContext.broadcast(WindowSet(grams.collect()))
+        return rows.mapInArrow(_scanned(held), "doc_id long, n_words long, spans array<array<long>>, items array<long>")
+    rows = written(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "rows")
+    found = _scanned_in_parts(rows.select("key", "text"), grams, parts)
+    return rows.select("key", "doc_id").join(found, "key").select("doc_id", "n_words", "spans", "items")
+
+
+def _in_parts(items: DataFrame, item_id: str, item_text: str, width: int) -> tuple[DataFrame, int]:
+    """The windows of the benchmark, and the number of parts they are broadcast in."""
+    grams = written(benchmark_windows(items, item_id, item_text, width), "windows")
+    return grams, max(1, -(-grams.count() // MOST_WINDOWS))
+
+
+def _scanned_in_parts(rows: DataFrame, grams: DataFrame, parts: int) -> DataFrame:
+    """(key, n_words, spans, items) of every row (key, text), whose keys are unique: every part scans the whole texts, and what
+    the parts found in a row is united by its key. The first part gives all rows, the others those with hits."""
     found = None
     for part in range(parts):
-        own = grams.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part) if parts > 1 else grams
-        held = spark.sparkContext.broadcast(WindowSet(own.collect()))
-        one = rows.mapInArrow(_scanned(held), "doc_id long, n_words long, spans array<array<long>>, items array<long>")
+        own = grams.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part)
+        held = rows.sparkSession.sparkContext.broadcast(WindowSet(own.collect()))
+        one = rows.mapInArrow(_scanned(held), "key long, n_words long, spans array<array<long>>, items array<long>")
+        one = written(one.where(F.size("spans") > 0) if part else one, "found")
+        held.destroy()
         found = one if found is None else found.union(one)
-    if parts > 1:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = found.withColumn("spans", _union_spans()("spans"))
-    return found
+    found = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.withColumn("spans", _union_spans()("spans"))
 
 
 def _union_spans():
@@ -137,8 +152,6 @@ def _union_spans():
     return union
 
 
-
-
 def report(found: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) from the rows of ``scan``."""
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -156,36 +169,57 @@ def _cut(held, drop_share: float):
     def rows(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("_text"))
-            data, offsets = textops.text_buffers(texts)
             own = next(_scanned(held)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(batch))), texts], ["id", "text"])])))
-            new, keep = [], []
-            for row, (n, spans) in enumerate(zip(own.column(1).to_pylist(), own.column(2).to_pylist(), strict=True)):
-                hit = sum(s[1] - s[0] for s in spans)
-                keep.append(hit == 0 or hit <= drop_share * n)
-                if not hit:
-                    new.append(texts[row].as_py())
-                    continue
-                raw, at, out = data[offsets[row] : offsets[row + 1]].tobytes(), 0, []
-                for _, _, a, b in spans:
-                    out.append(raw[at:a])
-                    at = b
-                new.append(b"".join([*out, raw[at:]]).decode())
-            columns = [*batch.columns[:-1], pa.array(new, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
+            yield _without(batch, own.column(1), own.column(2), drop_share)
+
+    return rows
+
+
+def _cut_found(drop_share: float):
+    """As ``_cut``, for rows that end with their number of words and their spans."""
+
+    def rows(batches):
+        for batch in batches:
+            yield _without(batch.select(batch.schema.names[:-2]), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), drop_share)
 
     return rows
 
 
+def _without(batch, n_words, spans, drop_share: float):
+    """The rows of ``batch``, whose last column is the text, with the spans cut out; rows of which too much is hit go."""
+    texts = batch.column(batch.num_columns - 1)
+    data, offsets = textops.text_buffers(texts)
+    new, keep = [], []
+    for row, (n, own) in enumerate(zip(n_words.to_pylist(), spans.to_pylist(), strict=True)):
+        hit = sum(s[1] - s[0] for s in own)
+        keep.append(hit == 0 or hit <= drop_share * n)
+        if not hit:
+            new.append(texts[row].as_py())
+            continue
+        raw, at, out = data[offsets[row] : offsets[row + 1]].tobytes(), 0, []
+        for _, _, a, b in own:
+            out.append(raw[at:a])
+            at = b
+        new.append(b"".join([*out, raw[at:]]).decode())
+    columns = [*batch.columns[:-1], pa.array(new, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
+
+
 def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", drop_share: float = 0.5, item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` with all columns, without benchmark passages: hit spans are cut out of the text, and documents of
-    which more than ``drop_share`` of the words are hit go. A benchmark of more than MOST_WINDOWS windows is cut part by part."""
-    spark = docs.sparkSession
-    grams = written(benchmark_windows(items, item_id, item_text, width), "windows")
-    parts = max(1, -(-grams.count() // MOST_WINDOWS))
-    names, out = docs.columns, docs
-    for part in range(parts):
-        own = grams.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part) if parts > 1 else grams
-        held = spark.sparkContext.broadcast(WindowSet(own.collect()))
-        rows = out.select(*[F.col(c) for c in names if c != text_col], F.col(text_col).cast("string").alias("_text"))
-        out = rows.mapInArrow(_cut(held, drop_share), rows.schema).withColumnRenamed("_text", text_col).select(*names)
-    return out
+    which more than ``drop_share`` of the words are hit go. A benchmark of more than MOST_WINDOWS windows is scanned for in
+    parts, but texts are cut and judged once, by the spans of all parts."""
+    grams, parts = _in_parts(items, item_id, item_text, width)
+    names = docs.columns
+    columns = [*[F.col(c) for c in names if c != text_col], F.col(text_col).cast("string").alias("_text")]
+    if parts == 1:
+        held = docs.sparkSession.sparkContext.broadcast(WindowSet(grams.collect()))
+        rows = docs.select(*columns)
+        out = rows.mapInArrow(_cut(held, drop_share), rows.schema)
+    else:
+        rows = written(docs.select(F.monotonically_increasing_id().alias("_key"), *columns), "rows")
+        found = _scanned_in_parts(rows.select(F.col("_key").alias("key"), F.col("_text").alias("text")), grams, parts)
+        found = found.select(F.col("key").alias("_key"), F.col("n_words").alias("_n_words"), F.col("spans").alias("_spans"))
+        joined = rows.join(found, "_key").drop("_key")
+        out = joined.mapInArrow(_cut_found(drop_share), rows.drop("_key").schema)
+    return out.withColumnRenamed("_text", text_col).select(*names)

@@ -224,3 +224,22 @@ def test_decontamination_in_parts(odd, spark, monkeypatch):
     once = sorted(map(repr, decontam.report(decontam.scan(docs, items)).collect()))
     monkeypatch.setattr(decontam, "MOST_WINDOWS", 100)
     assert sorted(map(repr, decontam.report(decontam.scan(docs, items)).collect())) == once
+
+
+def test_decontamination_in_parts_keeps_rows(odd, none, spark, monkeypatch):
+    passage = lambda k: " ".join(f"p{k}x{j}" for j in range(30))
+    free = lambda n: " ".join(f"free{j}" for j in range(n))
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "One"), (4, ""), *[(10 + k, passage(k)) for k in range(8)]], "item_id long, text string")
+    rows = [(100 + k, f"{passage(k)} {free(20)} {passage(k + 1)} {free(20)}") for k in range(7)]
+    rows += [(100, f"{free(50)} {passage(3)}"), (None, f"{passage(5)} {free(90)}"), (None, free(12)), (None, f"{free(40)} {passage(6)}")]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = lambda df: sorted(map(repr, df.collect()))
+    scanned, cut = seen(decontam.report(decontam.scan(docs, items))), seen(decontam.cleaned(docs, items))
+    wide = seen(decontam.cleaned(odd, items, drop_share=0.9))
+    # 60 of 100 words are passages, so these go; of what stays, no word of a passage is left
+    assert len(scanned) == docs.count() and not any("p0x" in x or "doc_id=101" in x for x in cut)
+    monkeypatch.setattr(decontam, "MOST_WINDOWS", 12)
+    assert seen(decontam.report(decontam.scan(docs, items))) == scanned
+    assert seen(decontam.cleaned(docs, items)) == cut
+    assert seen(decontam.cleaned(odd, items, drop_share=0.9)) == wide
+    assert decontam.scan(none, items).collect() == decontam.cleaned(none, items).collect() == []
