@@ -14,6 +14,9 @@ one component are done with each other, and the rest gets new pivots (GROWTH tim
 one component or has been compared in full. A pair is first held against a parity sketch, whose distance never exceeds the
 true one, and then verified on the whole sets. Jaccard distance is a metric, so the distances to a common pivot rule out
 most other pairs of a bucket without a look at them.
+
+Links are counted afterwards: every link lies within one component, so the different sets of each component are compared in full,
+in blocks, and each stands for as many documents as have it.
 """
 
 from __future__ import annotations
@@ -43,6 +46,11 @@ LEVEL_RATIO = 4
 SALTS, HOT_COUNT = 16, 1000
 #: Buckets of so many members are compared in full after the first round; in larger ones pivots grow by this factor from round to round.
 SMALL, GROWTH = 24, 4
+#: Sets of a block in which a component is compared in full, and the ratio of sizes in one of its levels (above 4/3, so that linked
+#: sets lie in the same or in neighbouring levels).
+BLOCK, SIZE_STEP = 512, 1.34
+#: Shingles whose counts are added at once.
+COLUMNS = 2048
 #: Distances that differ by more than this have no link between them; 1/4 and a margin for rounding.
 FAR = 0.25 + 1e-9
 
@@ -187,8 +195,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``: groups linked by a similarity of 0.75 or more.
 
     Null, empty and wordless texts have no shingles and are alone. Rows that repeat an id stay rows; the id is linked where any
-    of its texts is. A row without an id gets its size and no component. ``n_links`` counts the links that were verified, which
-    suffice to hold the component together. An empty table gives no rows; other columns are never read.
+    of its texts is. A row without an id gets its size and no component. ``n_links`` is the number of other ids whose text is
+    equal or similar. An empty table gives no rows; other columns are never read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -239,13 +247,138 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         buckets = open_.join(heads.select("sig", F.col("pivot").alias("id")), ["sig", "id"], "left_anti").select("sig", "id", "lo", "hi")
         pivots *= GROWTH
     out = profile.select("doc_id", F.col("n").alias("n_shingles"))
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    ends = _link_counts(known, roots, texts)
     return (
         out.join(written(roots.join(ends, "id", "left"), "linked"), F.col("doc_id") == F.col("id"), "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each set of ``left`` with each of ``right``."""
+    values = [np.concatenate(x) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [len(own) for own in x]) for x in (left, right)]
+    known = np.intersect1d(*values)
+    if left is right:
+        # an element of one set only is common to no two
+        found, times = np.unique(values[0], return_counts=True)
+        known = found[times > 1]
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(known):
+        return out
+    places = []
+    for value, row in zip(values, rows, strict=True):
+        at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+        same = known[at] == value
+        order = np.argsort(at[same], kind="stable")
+        places.append((at[same][order], row[same][order]))
+    for first in range(0, len(known), COLUMNS):
+        both = []
+        for (at, row), own in zip(places, (left, right), strict=True):
+            a, b = np.searchsorted(at, (first, first + COLUMNS))
+            one = np.zeros((len(own), min(COLUMNS, len(known) - first)), np.float32)
+            one[row[a:b], at[a:b] - first] = 1
+            both.append(one)
+        out += (both[0] @ both[1].T).astype(np.int64)
+    return out
+
+
+def _cell_links(sides: tuple[dict, dict, dict]) -> Iterator[tuple[bytes, bytes | None, int | None]]:
+    """(print, null, documents it is linked to) of the sets of a cell, and (print, other, null) both ways for links of marked sets.
+
+    ``sides`` hold (shingles, documents, mark) by print: the first two are compared with each other, or all of the third.
+    """
+    one, other = (sides[2], sides[2]) if sides[2] else (sides[0], sides[1])
+    if not one or not other or len(sides[2]) == 1:
+        return
+    a, b = list(one.values()), list(other.values())
+    left = [x[0] for x in a]
+    same = _shared(left, left if one is other else [x[0] for x in b])
+    union = np.array([len(x[0]) for x in a])[:, None] + np.array([len(x[0]) for x in b])[None, :] - same
+    linked = (same > 0) & (100 * same >= 75 * union)
+    if one is other:
+        np.fill_diagonal(linked, False)
+    for names, found, weights in ((one, linked, b), (other, linked.T, a))[: 1 if one is other else 2]:
+        for name, n in zip(names, found @ np.array([x[1] for x in weights]), strict=True):
+            if n:
+                yield name, None, int(n)
+    marks = [np.array([x[2] for x in side]) for side in (a, b)]
+    names, others = list(one), list(other)
+    for i, k in np.argwhere(linked & (marks[0][:, None] | marks[1][None, :])):
+        yield names[i], others[k], None
+        if one is not other:
+            yield others[k], names[i], None
+
+
+def _counted(batches):
+    """Rows (root, la, ia, lb, ib, side, print, docs, marked, text), sorted so that the rows of each cell are together."""
+    now, sides = None, ({}, {}, {})
+
+    def sent(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["print", "other", "links"])
+
+    for batch in batches:
+        cells = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+        which, prints, docs, marked = (batch.column(k).to_pylist() for k in range(5, 9))
+        found: list[tuple] = []
+        for row, own in shingle_sets(batch.column(9)):
+            if cells[row] != now:
+                found += _cell_links(sides)
+                now, sides = cells[row], ({}, {}, {})
+            # an id may have other texts, too
+            if xxhash.xxh3_128_digest(own.tobytes()) == prints[row]:
+                sides[which[row]][prints[row]] = (own, docs[row], marked[row])
+        yield sent(found)
+    yield sent(list(_cell_links(sides)))
+
+
+def _link_counts(known: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, n_links) of every linked id: the number of other ids that have an equal or similar text.
+
+    Equal texts are one set with a number of documents. The different sets of a component are compared in full: a component of up
+    to BLOCK sets is one cell; a larger one is cut into levels by size and blocks by hash, and every pair of blocks of the same
+    or neighbouring levels is a cell, so each pair of sets meets once. Ids with several texts may be reached by more than one of
+    them, so their links are listed and counted by id.
+    """
+    spark = known.sparkSession
+    held = written(known.join(roots, "id").select("id", "n", "print", "many", "root"), "held")
+    sets = held.groupBy("print").agg(F.min("root").alias("root"), F.min("id").alias("id"), F.min("n").alias("n"), F.sum((~F.col("many")).cast("long")).alias("docs"), F.max("many").alias("marked"))
+    sets = written(sets.withColumn("level", F.floor(F.log("n") / F.lit(float(np.log(SIZE_STEP)))).cast("int")), "sets")
+    sizes = sets.groupBy("root").agg(F.count("*").alias("sets")).where("sets > 1")
+    levels = sets.groupBy("root", "level").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    large = sizes.where(F.col("sets") > BLOCK).select("root").join(levels, "root").groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("levels"))
+    dealt = sets.join(sizes.select("root"), "root").join(F.broadcast(large), "root", "left")
+    dealt = dealt.withColumns({"blocks": F.expr("levels[level]"), "up": F.expr("coalesce(levels[level + 1], 0)"), "down": F.expr("coalesce(levels[level - 1], 0)")})
+    dealt = written(dealt.withColumn("block", F.expr("cast(pmod(xxhash64(print), blocks) as int)")).drop("levels"), "dealt")
+
+    bits = spark.sparkContext.broadcast(id_bitmap(dealt, "id"))
+    own = texts.withColumn("slot", slot("id")).mapInArrow(_picked(bits), "id long, text string")
+    cell = "named_struct('la', {}, 'ia', {}, 'lb', {}, 'ib', {}, 'side', {})".format
+    none = "filter(array({}), x -> false)".format(cell("0", "0", "0", "0", "0"))
+    some = "if({0} > 0, transform(sequence(0, greatest({0}, 1) - 1), k -> {1}), {2})".format
+    within = some("blocks", cell("level", "least(block, k)", "level", "greatest(block, k)", "if(k = block, 2, if(block < k, 0, 1))"), none)
+    above, below = some("up", cell("level", "block", "level + 1", "k", "0"), none), some("down", cell("level - 1", "k", "level", "block", "1"), none)
+    cells = f"if(blocks is null, array({cell('0', '0', '0', '0', '2')}), concat({within}, {above}, {below}))"
+    rows = dealt.join(own, "id").select("root", "print", "docs", "marked", "text", F.explode(F.expr(cells)).alias("cell"))
+    key = ["root", "la", "ia", "lb", "ib"]
+    rows = rows.select("root", "cell.*", "print", "docs", "marked", "text").repartition(*key).sortWithinPartitions(*key)
+    found = written(rows.mapInArrow(_counted, "print binary, other binary, links long"), "found")
+
+    total = found.where("other is null").groupBy("print").agg(F.sum("links").alias("links"))
+    by_set = sets.select("print", "docs").join(total, "print", "left").select("print", (F.col("docs") + F.coalesce("links", F.lit(0))).alias("reached"))
+    several = written(held.where("many").select(F.col("id").alias("far"), F.col("print").alias("other")), "several")
+    if several.isEmpty():
+        return held.join(by_set, "print").select("id", (F.col("reached") - 1).alias("n_links"))
+    near = written(found.where("other is not null").select("print", "other").union(sets.where("marked").select("print", F.col("print").alias("other"))).distinct(), "near")
+    reach = near.join(several, "other").select("print", "far").distinct().groupBy("print").agg(F.count("*").alias("more"))
+    by_set = by_set.join(reach, "print", "left").select("print", (F.col("reached") + F.coalesce("more", F.lit(0))).alias("reached"))
+    single = held.where("not many").join(by_set, "print").select("id", (F.col("reached") - 1).alias("n_links"))
+    mine = written(several.select(F.col("far").alias("id"), F.col("other").alias("print")).join(near, "print").select("id", "other").distinct(), "mine")
+    docs = mine.join(sets.select(F.col("print").alias("other"), "docs"), "other").select("id", "docs")
+    others = mine.join(several, "other").where("id <> far").select("id", "far").distinct().select("id", F.lit(1).cast("long").alias("docs"))
+    return single.union(docs.union(others).groupBy("id").agg(F.sum("docs").alias("n_links")))
+
+
 def _links(compared: DataFrame) -> DataFrame:
     return compared.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
 

@@ -243,3 +243,41 @@ def test_decontamination_in_parts_keeps_rows(odd, none, spark, monkeypatch):
     assert seen(decontam.cleaned(docs, items)) == cut
     assert seen(decontam.cleaned(odd, items, drop_share=0.9)) == wide
     assert decontam.scan(none, items).collect() == decontam.cleaned(none, items).collect() == []
+
+
+def brute_links(rows):
+    sets = []
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    near = {r.doc_id: set() for r in rows}
+    for a, x in enumerate(rows):
+        for b, y in enumerate(rows):
+            same = len(sets[a] & sets[b])
+            if x.doc_id != y.doc_id and same and 100 * same >= 75 * len(sets[a] | sets[b]):
+                near[x.doc_id].add(y.doc_id)
+    return sorted((r.doc_id, len(near[r.doc_id])) for r in rows)
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_all_links_are_counted(odd, spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    monkeypatch.setattr(partenum, "COLUMNS", 64)
+    rng = random.Random(7)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range((8, 60, 200)[family])]
+        for copy in range(16):
+            # near copies, cut to different lengths, each third one twice
+            own = base[: len(base) - rng.randrange(1 + len(base) // 4)]
+            if copy % 2:
+                own[rng.randrange(len(own))] = f"x{rng.randrange(1000)}"
+            rows += [(1000 + 100 * family + 2 * copy, " ".join(own))]
+            rows += [(1001 + 100 * family + 2 * copy, " ".join(own))] if copy % 3 == 0 else []
+    # ids with several texts, in one family and across two
+    rows += [(1000, rows[30][1]), (1000, rows[31][1]), (1002, rows[5][1]), (1102, rows[50][1]), (7777, rows[3][1]), (7777, rows[40][1])]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = partenum.jaccard_groups(docs).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got if r.doc_id is not None) == brute_links([r for r in docs.collect() if r.doc_id is not None])
