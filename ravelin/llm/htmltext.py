@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 #: Pages of the table that are trained on (about, by a hash of the id), steps and step size of training, weight decay.
 SAMPLE, STEPS, RATE, DECAY = 300, 120, 0.5, 1e-3
-#: Tags that bound blocks, tags without an end, tags whose content is never text.
+#: Tags that bound blocks, tags without an end, tags whose content is never text up to their end tag or the end of the page.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template iframe svg math object canvas audio video head title".split())
+HIDDEN = set("script style".split())
 #: What the features look at.
 TAGS = "article main section div p h1 h2 h3 h4 li ul ol table td nav header footer aside form button select textarea figure figcaption blockquote pre dl details".split()
 HINTS = {
@@ -39,6 +39,7 @@ _HINT = {w: k for k, words in HINTS.items() for w in words.split()}
 _AUTO_CLOSE = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE_END = re.compile(r"<(/?title|/?head|/?body)\b[^>]*>?", re.I)
 _WHITE = re.compile(r"\s+")
 
 FEATURES = ["bias", *(f"in {t}" for t in TAGS), *(f"own {t}" for t in ("p", "h", "li", "td", "div", "other")), *(f"hint {h}" for h in HINTS), "words 1-3", "words 4-9", "words 10-24", "words 25-", "stop", "links none", "links some", "links most", "copyright", "first", "last", "commas", "label"]
@@ -50,7 +51,7 @@ def blocks(page: str) -> list[tuple[str, list[int], dict[str, str]]]:
     out: list[tuple[str, list[int], dict]] = []
     stack: list[tuple[str, frozenset, str | None]] = []
     parts: list[str] = []
-    linked, in_link, at, n = 0, False, 0, len(page)
+    linked, in_link, foreign, at, n = 0, False, 0, 0, len(page)
 
     def flush():
         nonlocal parts, linked
@@ -80,12 +81,22 @@ def blocks(page: str) -> list[tuple[str, list[int], dict[str, str]]]:
         if tag == "br":
             parts.append(" ")
             continue
+        if tag in ("svg", "math"):
+            foreign = max(0, foreign - 1) if closing else foreign + (not m[3].endswith("/"))
+            continue
+        if foreign and m[3].endswith("/"):
+            continue
         if tag in HIDDEN and not closing:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            if tag in BLOCK:
-                flush()
             at = end.end() if end else n
             continue
+        if tag == "title" and not closing:
+            # only a title that is closed before the next one, or before the body, is skipped
+            end = _TITLE_END.search(page, at)
+            if end and end[1].lower() == "/title":
+                flush()
+                at = end.end()
+                continue
         if tag not in BLOCK:
             continue
         flush()
@@ -96,7 +107,7 @@ def blocks(page: str) -> list[tuple[str, list[int], dict[str, str]]]:
                     del stack[k:]
                     break
             continue
-        while stack and stack[-1][0] in _AUTO_CLOSE.get(tag, {"p"}):
+        while stack and (stack[-1][0] in _AUTO_CLOSE.get(tag, {"p"}) or stack[-1][0] == "head" and tag != "title"):
             stack.pop()
         if tag not in EMPTY:
             names = " ".join(next(filter(None, x), "") for x in _NAMES.findall(m[3])) if m[3] else ""

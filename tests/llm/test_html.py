@@ -35,3 +35,13 @@ def test_pages(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "Some words, which are a text.", 29), (1, "", 0), (2, "", 0), (2, "", 0)]
     assert htmltext.extract(odd.where("false"), chain).collect() == []
     assert htmltext.fit(odd.where("false")).decode([]) == []
+
+
+def test_open_and_embedded_tags_lose_no_text():
+    texts = lambda page: [b[0] for b in htmltext.blocks(page)]
+    assert texts("<head><title>t</title><meta charset=x><body><p>one</p><p>two") == ["one", "two"]
+    assert texts("<head><title>t</title><p>one</p>") == ["one"]
+    assert texts("<p>one</p><svg viewBox='0 0 1 1'/><p>two</p><svg><path d='x'/><script/></svg><p>three</p>") == ["one", "two", "three"]
+    assert texts("<article><p>a <math><mi>x</mi></math> b</p><object><p>c</p></object><noscript><p>d</p></noscript></article>") == ["a x b", "c", "d"]
+    assert texts("<p>one</p><iframe src=x><p>two</p><video><p>three") == ["one", "two", "three"]
+    assert texts("<p>one</p><script>var a = '<p>two'") == ["one"] and texts("<title>t<body><p>one</p><svg><title>x</title></svg>")[-1] == "one"
