@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 21
@@ -13,10 +14,6 @@ CHUNK_BYTES = 1 << 21
 SPACE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-
-
 def separators(chars: bytes) -> np.ndarray:
     """A table over bytes; A-Z never separate, as they are lower-cased before splitting."""
     table = np.zeros(256, dtype=bool)
@@ -28,21 +25,12 @@ def separators(chars: bytes) -> np.ndarray:
 SPACE_SEP, ALNUM_SEP = separators(SPACE), separators(NOT_ALNUM)
 
 
-_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _VALUES.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
-_powers = {"n": 0, "up": np.empty(0, np.uint64), "down": np.empty(0, np.uint64)}
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
-        for key, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-        _powers["n"] = size
-    return _powers["up"][:n], _powers["down"][:n]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+#: By number of bytes that count: the mask of a little-endian block of 8.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+_LONG = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -99,11 +87,30 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans; with ``fold`` equal for spans that differ in the case of A-Z only."""
-    up, down = _grown(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _VALUES)[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    """64-bit hashes of byte spans; with ``fold`` equal for spans that differ in the case of A-Z only.
+
+    Blocks of 8 bytes are scrambled one after the other into a state that begins with the length, all spans at once. No sum
+    or power series over letters is involved, so strings of a regular build (such as Thue-Morse words) don't meet.
+    """
+    out = (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if not len(out):
+        return out
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[:-8] = _FOLD[data] if fold else data
+    blocks = np.ndarray(len(data) + 1, "<u8", raw.data, strides=(1,))
+    lengths = ends - starts
+    for k in np.flatnonzero(lengths > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    left = np.flatnonzero(lengths <= _LONG)
+    at, rest = starts[left], lengths[left]
+    while len(left):
+        block = blocks[at]
+        short = np.flatnonzero(rest < 8)
+        block[short] &= _MASK[rest[short]]
+        out[left] = mixed((out[left] ^ block) * np.uint64(0xD6E8FEB86659FD93))
+        on = np.flatnonzero(rest > 8)
+        left, at, rest = left[on], at[on] + 8, rest[on] - 8
+    return out
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
