@@ -1,22 +1,18 @@
 """Exact Jaccard self-join of word-shingle sets by PartEnum signatures.
 
-Two sets of sizes a and b with Jaccard similarity of 3/4 or more differ in k <= (a + b) / 7 elements. The shingle domain is
-cut into partitions (their number follows the size band), and a set's signatures are its non-empty partitions with their
-contents. Every differing element spoils one partition at most, so of any k + 1 non-empty partitions of either set one is
-equal in both; each set therefore enumerates only the first k + 1 single-partition subsets of one order that all sets share,
-the partitions with the rarest contents first. Similar sets of one band share a signature by construction; no link is lost.
-
-The order comes from a count sketch over the shingles of all documents. It has a fixed size and decides about speed only:
-any order gives the same links.
-
-Candidates are resolved per signature bucket without emitting all pairs: every member is compared with a pivot, members of
-one component are done with each other, and the rest gets new pivots (GROWTH times as many each round) until every bucket lies in
-one component or has been compared in full. A pair is first held against a parity sketch, whose distance never exceeds the
-true one, and then verified on the whole sets. Jaccard distance is a metric, so the distances to a common pivot rule out
-most other pairs of a bucket without a look at them.
-
-Links are counted afterwards: every link lies within one component, so the different sets of each component are compared in full,
-in blocks, and each stands for as many documents as have it.
+Two sets of sizes a and b with Jaccard similarity of 3/4 or more differ in k <= (a + b) / 7 elements. The shingle domain is cut in
+two levels, by a table over size bands (``BANDS``): n1 groups of n2 partitions. A group that holds at most k2 of the differing elements
+has n2 - k2 partitions that are equal in both sets, so one of its C(n2, k2) subsets of partitions is a signature that both sets have.
+A set enumerates the subsets of its first groups, as many as k differing elements can't all spoil; a group all of whose elements lie
+in one partition can be spoiled by one element and counts once, any other counts k2 + 1 times. Groups of rare shingles come first
+(the domain is cut by classes of a count sketch before it is cut by hash), which keeps passages that many documents share out of most
+signatures. The sketch has a fixed size and decides about speed only.
+
+Equal sets are one set from the start, with the number of documents that have it. Sets that share a signature form a bucket; buckets
+with the same smallest member (its pivot) form one cluster, which is compared in full: first by count vectors, whose distance never
+exceeds the number of differing elements, then what is left on the whole sets. Clusters are compared in cells of bounded size, as
+matrices, so neither pairs of a bucket nor links of a group become rows. A pair that meets in several clusters is counted in the
+one with the smallest pivot.
 """
 
 from __future__ import annotations
@@ -29,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ravelin.llm import textops
@@ -38,21 +33,22 @@ from ravelin.llm.store import id_bitmap, in_bitmap, slot, written
 
 #: Bits of a cell's number in the count sketch (4 bytes a cell, so 16 MiB in all) and the pieces in which tasks send it.
 SKETCH_BITS, SKETCH_PARTS = 22, 16
-#: Bits of the parity sketch of a set.
-PARITY_BITS = 1024
-#: Partitions per element at the top of a size level, and the ratio of sizes in a level.
-LEVEL_RATIO = 4
-#: Pieces of a pivot's members, and of the bucket of a signature whose shingles are all counted this often.
-SALTS, HOT_COUNT = 16, 1000
-#: Buckets of so many members are compared in full after the first round; in larger ones pivots grow by this factor from round to round.
-SMALL, GROWTH = 24, 4
-#: Sets of a block in which a component is compared in full, and the ratio of sizes in one of its levels (above 4/3, so that linked
-#: sets lie in the same or in neighbouring levels).
-BLOCK, SIZE_STEP = 512, 1.34
+#: Ratio of the largest to the smallest size of a band.
+BAND_RATIO = 4
+#: (largest size of the band, groups per element of the largest size, partitions of a group, partitions that may differ). In the
+#: bands of the first line each element is a group of its own.
+BANDS = [(64, 1 << 55, 1, 0), (1 << 40, 0.25, 3, 1)]
+#: Limits of the classes of shingles, as multiples of twice the mean count of a sketch cell plus 8.
+CLASSES = (1, 4, 32)
+#: Signatures whose shingles are all counted this often (and twice the mean) are dealt to pieces of this many sets.
+HOT_COUNT = 1000
+#: Keys of sets that a task remembers, to give the signatures of equal texts once; beyond it starts anew.
+REMEMBERED = 1 << 20
+#: Sets and shingles of a block in which a cluster is compared in full, and the ratio of sizes in one of its levels (above 4/3, so
+#: that linked sets lie in the same or in neighbouring levels).
+BLOCK, BLOCK_SHINGLES, SIZE_STEP = 512, 1 << 20, 1.34
 #: Shingles whose counts are added at once.
 COLUMNS = 2048
-#: Distances that differ by more than this have no link between them; 1/4 and a margin for rounding.
-FAR = 0.25 + 1e-9
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
@@ -71,110 +67,152 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.nda
                 yield row, np.empty(0, np.uint64)
 
 
-_FIELDS = ["doc_id", "n", "print", "parity", "sketch", "part"]
+def _print(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+def _key(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def tally(own: np.ndarray) -> np.ndarray:
+    """Counts of the set's elements by hash, in a power of two of cells of one byte (4 elements a cell at most on average)."""
+    cells = 1 << max(6, (max(len(own) - 1, 1) >> 2).bit_length())
+    return np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells).clip(0, 255).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    """Rows of tallies brought to fewer cells. Clipping and adding never make a distance larger than the number of differing elements."""
+    while counts.shape[1] > cells:
+        half = counts.shape[1] // 2
+        counts = (counts[:, :half].astype(np.uint16) + counts[:, half:]).clip(0, 255).astype(np.uint8)
+    return counts
+
+
+_FIELDS = ["doc_id", "n", "print", "key", "tally", "sketch", "part"]
+_PROFILE = "doc_id long, n long, print binary, key long, tally binary, sketch binary, part int"
+
+
+class _Remembered(set):
+    def new(self, key: int) -> bool:
+        if key in self:
+            return False
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(key)
+        return True
 
 
 def _profiles(batches):
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), _Remembered()
     for batch in batches:
-        ids, found = batch.column(0), []
-        for row, own in shingle_sets(batch.column(1)):
-            np.add.at(sketch, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            odd = np.bincount((own & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-            found.append((len(own), xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist() if len(own) else None))
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], _FIELDS)
+        found = []
+        for _, own in shingle_sets(batch.column(1)):
+            if not len(own):
+                found.append((0, None, None, None))
+                continue
+            name = _print(own)
+            if seen.new(_key(name)):
+                np.add.at(sketch, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            found.append((len(own), name, _key(name), tally(own).tobytes()))
+        n = len(batch)
+        columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], _FIELDS)
     if sketch.any():
-        parts = sketch.reshape(SKETCH_PARTS, -1)
-        n = SKETCH_PARTS
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.array(range(n), pa.int32())], _FIELDS)
+        n, parts = SKETCH_PARTS, sketch.reshape(SKETCH_PARTS, -1)
+        none = [pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.array(range(n), pa.int32())], _FIELDS)
 
 
-def _added(frame):
-    import pandas as pd
+def _added(batches):
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total = totals.setdefault(part, np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64))
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+    packed = [zlib.compress(x.clip(0, 2**32 - 1).astype(np.uint32).tobytes(), 1) for x in totals.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(packed, pa.binary())], ["part", "sketch"])
 
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
-    for x in frame.sketch:
-        total += np.frombuffer(zlib.decompress(x), np.uint32)
-    return pd.DataFrame({"part": [frame.part.iloc[0]], "sketch": [zlib.compress(total.clip(0, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
+def _band(top: int) -> tuple[int, int, int]:
+    """(n1, n2, k2) of the band with this largest size."""
+    for largest, groups, parts, differ in BANDS:
+        if top <= largest:
+            return int(groups * top) if groups < 1 else groups, parts, differ
+    raise ValueError(f"no band for sets of {top} shingles")
 
-def signatures(own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, counts of their rarest shingles) of a set, at the level of its size and, where it has larger partners there, at the next."""
-    size, out = len(own), []
-    level = 0
-    while LEVEL_RATIO ** (level + 1) < size:
+
+def signatures(own: np.ndarray, sketch: np.ndarray, finer: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
+    """(signatures, counts of their rarest shingles) of a set, in the band of its size and, where it has larger partners there, in the next.
+
+    None if the groups don't suffice for the differing elements that must be borne (a matter of bad luck with the hash); the
+    caller then cuts the whole domain ``finer``.
+    """
+    size, level = len(own), 0
+    while BAND_RATIO ** (level + 1) < size:
         level += 1
-    top = LEVEL_RATIO ** (level + 1)
-    largest = size * 4 // 3
-    rarity = sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    top, largest = BAND_RATIO ** (level + 1), size * 4 // 3
+    counts = sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+    kinds = np.searchsorted(np.array(CLASSES) * (2 * float(sketch.mean()) + 8), counts).astype(np.uint64)
+    sigs, rarest = [], []
     for lev, most in [(level, min(largest, top))] + ([(level + 1, largest)] if largest > top else []):
-        apart = (size + most) // 7
-        # a level of few elements keeps each in a partition of its own
-        places = 1 << 62 if lev < 4 else LEVEL_RATIO ** (lev + 1) // 2
-        part = textops.mixed(own ^ np.uint64(lev + 1)) % np.uint64(places)
-        order = np.argsort(part, kind="stable")
-        part, content, rare = part[order], textops.mixed(own[order] + np.uint64(0x632BE59BD9B4E019)), rarity[order]
-        heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        if len(heads) <= apart:
-            raise ValueError(f"a set of {size} shingles fills {len(heads)} partitions, of which {apart} may differ")
-        sums = np.add.reduceat(content, heads)
-        rarest = np.minimum.reduceat(rare, heads)
-        sigs = textops.mixed(sums ^ textops.mixed(part[heads] + np.uint64(lev * 0x9E3779B97F4A7C15 % (1 << 64))))
-        if apart + 1 < len(sigs):
-            first = np.lexsort((sigs, rarest))[: apart + 1]
-            sigs, rarest = sigs[first], rarest[first]
-        out.append((sigs, rarest))
-    return tuple(map(np.concatenate, zip(*out, strict=True)))
-
-
-def _signature_rows(sketch):
+        differ = (size + most) // 7
+        n1, n2, k2 = _band(BAND_RATIO ** (lev + 1))
+        n1 *= finer
+        mixed = textops.mixed(own ^ np.uint64(0x51ED270B * (lev + 1)))
+        group = kinds * np.uint64(n1) + mixed % np.uint64(n1)
+        order = np.argsort(group, kind="stable")
+        group, counted = group[order], counts[order]
+        part = (textops.mixed(mixed[order]) % np.uint64(n2)).astype(np.int64)
+        content = textops.mixed(own[order] + np.uint64(0x632BE59BD9B4E019))
+        heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        sums = np.stack([np.add.reduceat(np.where(part == k, content, np.uint64(0)), heads) for k in range(n2)])
+        filled = np.stack([np.logical_or.reduceat(part == k, heads) for k in range(n2)])
+        several = filled.sum(0) > 1
+        bears = np.cumsum(np.where(several, k2 + 1, 1))
+        enough = int(np.searchsorted(bears, differ, side="right")) + 1
+        if enough > len(heads):
+            return None
+        few, several = slice(0, enough), several[:enough]
+        tag = textops.mixed(group[heads[few]] + np.uint64(lev * 0x9E3779B97F4A7C15 % (1 << 64)))
+        whole, rare = sums[:, few].sum(0), np.minimum.reduceat(counted, heads)[few]
+        # a group in one partition has that one signature; the others leave out each partition in turn
+        sigs.append(textops.mixed(whole[~several] ^ tag[~several]))
+        rarest.append(rare[~several])
+        for k in range(n2) if k2 else ():
+            sigs.append(textops.mixed((whole - sums[k, few])[several] ^ tag[several]))
+            rarest.append(rare[several])
+    return np.concatenate(sigs), np.concatenate(rarest)
+
+
+def _signature_rows(sketch, finer: int):
     def rows(batches):
-        counts = np.frombuffer(sketch.value, np.uint32)
-        hot = HOT_COUNT + 2 * counts.mean()
+        counts, seen = np.frombuffer(sketch.value, np.uint32), _Remembered()
+        hot = HOT_COUNT + 2 * int(counts.mean())
+        held, size = [], 0
         for batch in batches:
-            ids, held, size = batch.column(0).to_numpy(), [], 0
-            for row, own in shingle_sets(batch.column(1)):
-                if len(own):
-                    sigs, rarest = signatures(own, counts)
-                    held.append((sigs, np.where(rarest > hot, 1 + int(ids[row]) % SALTS, 0).astype(np.int8), np.full(len(sigs), ids[row], np.int64)))
-                    size += len(sigs)
+            for _, own in shingle_sets(batch.column(0)):
+                if not len(own) or not seen.new(key := _key(_print(own))):
+                    continue
+                if (found := signatures(own, counts, finer)) is None:
+                    held.append((np.zeros(1, np.uint64), np.array([-1], np.int32), np.zeros(1, np.int64)))
+                    continue
+                sigs, rarest = found
+                salts = np.where(rarest > hot, 1 + key % (1 + rarest // hot), 0).astype(np.int32)
+                held.append((sigs, salts, np.full(len(sigs), key, np.int64)))
+                size += len(sigs)
                 if size > 1 << 17:
                     yield _sent(held)
                     held, size = [], 0
-            if held:
-                yield _sent(held)
+        if held:
+            yield _sent(held)
 
     return rows
 
 
 def _sent(held):
-    sigs, salts, ids = map(np.concatenate, zip(*held, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(salts), pa.array(ids)], ["sig", "salt", "id"])
-
-
-def _verified(batches):
-    """Rows (pivot, salt, id, text), sorted so that the pivot's own text (id = pivot) comes first in each (pivot, salt)."""
-    now, bases = None, []
-    for batch in batches:
-        pivots, salts, ids = (batch.column(k).to_numpy() for k in (0, 1, 2))
-        own = batch.column(3).to_numpy(zero_copy_only=False)
-        found: list[tuple] = []
-        for row, shingles in shingle_sets(batch.column(4)):
-            key = (pivots[row], salts[row])
-            if key != now:
-                now, bases = key, []
-            if own[row]:
-                bases.append(shingles)
-            elif bases:
-                found.append((pivots[row], ids[row], *max(_overlap(base, shingles) for base in bases)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.float64()))], ["pivot", "id", "linked", "share"])
-
-
-def _overlap(one: np.ndarray, other: np.ndarray) -> tuple[bool, float]:
-    same = len(np.intersect1d(one, other, assume_unique=True))
-    union = len(one) + len(other) - same
-    return same > 0 and 100 * same >= 75 * union, same / union
+    sigs, salts, keys = map(np.concatenate, zip(*held, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(salts), pa.array(keys)], ["sig", "salt", "key"])
 
 
 def _picked(bits):
@@ -185,10 +223,17 @@ def _picked(bits):
     return rows
 
 
-def _parity_distance(a: str, b: str):
-    """Column: bits in which two parity sketches differ (at most the number of elements in which the sets differ)."""
-    words = [f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(PARITY_BITS // 64)]
-    return F.expr(" + ".join(words))
+def _buckets(docs: DataFrame, sketch) -> DataFrame:
+    """(sig, key, first, last, salt) of the signatures that two sets or more may share."""
+    finer = 1
+    while True:
+        sigs = docs.where("id is not null").select("text").mapInArrow(_signature_rows(sketch, finer), "sig long, salt int, key long")
+        own = Window.partitionBy("sig", "salt")
+        shared = sigs.withColumn("first", F.min("key").over(own)).withColumn("last", F.max("key").over(own)).where("first <> last or salt <> 0")
+        buckets = written(shared, "buckets")
+        if buckets.where("salt < 0").isEmpty():
+            return buckets
+        finer *= 2
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,58 +245,151 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = written(docs.mapInArrow(_profiles, "doc_id long, n long, print binary, parity array<long>, sketch binary, part int").withColumn("kind", F.when(F.col("part").isNull(), 0).otherwise(1)), "profiles", ["kind"])
-    profile = found.where("kind = 0").select("doc_id", "n", "print", "parity")
+    found = written(docs.mapInArrow(_profiles, _PROFILE).withColumn("kind", F.when(F.col("part").isNull(), 0).otherwise(1)), "profiles", ["kind"])
+    profile = found.where("kind = 0").select("doc_id", "n", "print", "key", "tally")
     counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
-    for r in found.where("kind = 1").select("part", "sketch").groupBy("part").applyInPandas(_added, "part int, sketch binary").collect():
+    for r in found.where("kind = 1").select("part", "sketch").repartition("part").mapInArrow(_added, "part int, sketch binary").collect():
         counts[r.part] = np.frombuffer(zlib.decompress(r.sketch), np.uint32)
-    sketch = spark.sparkContext.broadcast(counts.tobytes())
-
-    sigs = docs.where("id is not null").mapInArrow(_signature_rows(sketch), "sig long, salt byte, id long")
-    own = Window.partitionBy("sig", "salt")
-    shared = sigs.withColumn("first", F.min("id").over(own)).withColumn("last", F.max("id").over(own)).where("first <> last or salt > 0")
-    buckets = written(shared.select("sig", "id", "first", "salt"), "buckets")
-    # pieces of a hot bucket share one pivot too
-    hot = written(buckets.where("salt > 0").groupBy("sig").agg(F.min("first").alias("pivot")), "hot")
-    buckets = buckets.where("salt = 0").select("sig", "id", "first").union(buckets.where("salt > 0").join(hot, "sig").select("sig", "id", F.col("pivot").alias("first")))
-    texts = docs.where("id is not null")
-    known = profile.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "n", "print", "parity").dropDuplicates(["id", "print"])
-    known = known.join(buckets.select("id").distinct(), "id", "left_semi")
-    known = written(known.join(known.groupBy("id").agg((F.count("*") > 1).alias("many")), "id"), "known")
-
-
-    # first round: all members against the smallest id of their bucket
-    near = written(_compared(buckets.where("id <> first").select(F.col("first").alias("pivot"), "id").distinct(), known, texts), "compared")
-    links = _links(near)
-    roots = written(components(links), "roots")
-    buckets, pivots = written(_unsettled(buckets, near, roots), "unsettled"), 1
-    while True:
-        labelled = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = labelled.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).where("a <> b")
-        mixed = written(mixed.select("sig", F.when(F.col("size") <= SMALL, SMALL).otherwise(pivots).alias("pivots")), "mixed")
-        if mixed.isEmpty():
-            break
-        open_ = written(labelled.join(mixed, "sig"), "open")
-        # the smallest ids are the pivots; ranked in pieces first, so that no task gets a large bucket
-        few = open_.withColumn("rank", F.row_number().over(Window.partitionBy("sig", F.pmod("id", F.lit(SALTS))).orderBy("id"))).where("rank <= pivots")
-        heads = few.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("id"))).where("rank <= pivots")
-        heads = written(heads.select("sig", F.col("id").alias("pivot"), F.col("root").alias("pivot_root"), F.col("lo").alias("pivot_lo"), F.col("hi").alias("pivot_hi")), "heads")
-        # distances to the first pivot bound those of other pairs
-        apart = F.greatest(F.col("lo") - F.col("pivot_hi"), F.col("pivot_lo") - F.col("hi")) > FAR
-        pairs = open_.drop("pivots").join(heads, "sig").where((F.col("id") > F.col("pivot")) & (F.col("root") != F.col("pivot_root")) & ~apart).select("pivot", "id").distinct()
-        fresh = _links(written(_compared(pairs, known, texts), "compared"))
-        if not fresh.isEmpty():
-            links = written(links.union(fresh), "links")
-            roots = written(components(links), "roots")
-        # what a pivot was compared with is settled, so pivots leave their buckets; their components stay in roots
-        buckets = open_.join(heads.select("sig", F.col("pivot").alias("id")), ["sig", "id"], "left_anti").select("sig", "id", "lo", "hi")
-        pivots *= GROWTH
-    out = profile.select("doc_id", F.col("n").alias("n_shingles"))
-    ends = _link_counts(known, roots, texts)
-    return (
-        out.join(written(roots.join(ends, "id", "left"), "linked"), F.col("doc_id") == F.col("id"), "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
+    buckets = _buckets(docs, spark.sparkContext.broadcast(counts.tobytes()))
+
+    # the pieces of a hot bucket have one pivot
+    hot = written(buckets.where("salt > 0").groupBy("sig").agg(F.min("first").alias("pivot"), F.max("last").alias("last")).where("pivot <> last"), "hot")
+    cold = buckets.where("salt = 0").select(F.col("first").alias("pivot"), "key")
+    members = written(cold.union(buckets.where("salt > 0").select("sig", "key").join(hot, "sig").select("pivot", "key")).distinct(), "members")
+
+    # each id with each of its sets; sets with their smallest id and the number of ids that have no other set
+    ids = written(profile.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "n", "print", "key").distinct(), "ids")
+    several = written(ids.groupBy("id").count().where("count > 1").select("id"), "several")
+    held = ids.join(several.withColumn("many", F.lit(True)), "id", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    held = written(held, "held") if not several.isEmpty() else ids.withColumn("many", F.lit(False))
+    sets = held.groupBy("print").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("key").alias("key"), F.sum((~F.col("many")).cast("long")).alias("docs"), F.max("many").alias("marked"))
+    sets = written(sets.withColumn("level", F.floor(F.log("n") / F.lit(float(np.log(SIZE_STEP)))).cast("int")), "sets")
+    tallies = profile.where("doc_id is not null").join(members.select("key").distinct(), "key", "left_semi").groupBy("print").agg(F.max("tally").alias("tally"))
+
+    rows = members.join(sets.select("print", "n", "key", "level"), "key").select("pivot", "print", "n", "level")
+    rows = written(rows.join(tallies, "print"), "tallied")
+    near = _in_cells(rows, ["tally"]).mapInArrow(_plausible, "pivot long, print binary").distinct()
+    near = written(near.join(sets, "print"), "plausible")
+    # a pair is counted in the cluster with the smallest of its common pivots
+    pivots = near.groupBy("print").agg(F.collect_set("pivot").alias("pivots"))
+    near = near.join(pivots, "print").withColumn("lesser", F.expr("array_sort(filter(pivots, x -> x < pivot))")).drop("pivots")
+    near = written(near, "near")
+    ends = near.select(F.col("rep").alias("id")).distinct()
+    bits = spark.sparkContext.broadcast(id_bitmap(ends, "id"))
+    texts = docs.where("id is not null").withColumn("slot", slot("id")).mapInArrow(_picked(bits), "id long, text string").join(ends, "id", "left_semi")
+    links = _in_cells(near, ["rep", "docs", "marked", "lesser"], texts).mapInArrow(_counted, "print binary, other binary, links long, a long, b long")
+    links = written(links, "links")
+
+    edges = links.where("a is not null").select("a", "b")
+    if not several.isEmpty():
+        edges = edges.union(held.where("many").select("id", "print").join(sets.select("print", "rep"), "print").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    roots = written(components(edges), "roots")
+    total = links.where("links is not null").groupBy("print").agg(F.sum("links").alias("links"))
+    # what is more than a text of its own
+    special = sets.join(total, "print", "left").join(roots, F.col("rep") == F.col("id"), "left")
+    special = special.where("docs > 1 or links is not null or marked or id is not null")
+    special = written(special.select(F.col("print").alias("_print"), "marked", "docs", F.coalesce("root", "rep").alias("root"), (F.col("docs") + F.coalesce("links", F.lit(0))).alias("reached")), "special")
+    other = None
+    if not several.isEmpty():
+        special, other = _of_several(special, links, held, several)
+    out = profile.select("doc_id", F.col("n").alias("n_shingles"), "print").join(special, F.col("print") == F.col("_print"), "left")
+    out = out.withColumn("n_links", F.coalesce(F.col("reached") - 1, F.lit(0)).cast("long"))
+    if other is not None:
+        out = out.join(other, "doc_id", "left").withColumn("n_links", F.coalesce("all_links", "n_links"))
+    there = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return out.select("doc_id", "n_shingles", F.when(there, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(there, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+
+
+def _of_several(special: DataFrame, links: DataFrame, held: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``special`` with the ids that have several texts counted, and (doc_id, all_links) of those ids.
+
+    Such an id may be reached by more than one of its texts, so its links are listed and counted by id.
+    """
+    marked = special.where("marked").select(F.col("_print").alias("print"))
+    near = written(links.where("other is not null").select("print", "other").union(marked.select("print", F.col("print").alias("other"))).distinct(), "near")
+    far = written(held.where("many").select(F.col("id").alias("far"), F.col("print").alias("other")), "far")
+    reach = near.join(far, "other").select("print", "far").distinct().groupBy("print").agg(F.count("*").alias("more"))
+    mine = written(far.select(F.col("far").alias("id"), F.col("other").alias("print")).join(near, "print").select("id", "other").distinct(), "mine")
+    single = mine.join(special.select(F.col("_print").alias("other"), "docs"), "other").select("id", "docs")
+    others = mine.join(far, "other").where("id <> far").select("id", "far").distinct().select("id", F.lit(1).cast("long").alias("docs"))
+    other = written(single.union(others).groupBy(F.col("id").alias("doc_id")).agg(F.sum("docs").alias("all_links")), "other")
+    special = special.join(reach, F.col("_print") == F.col("print"), "left").withColumn("reached", F.col("reached") + F.coalesce("more", F.lit(0))).drop("print", "more")
+    return written(special, "special"), other
+
+
+def _in_cells(rows: DataFrame, fields: list[str], texts: DataFrame | None = None) -> DataFrame:
+    """Rows (pivot, print, n, level, fields) dealt to cells, sorted so that the rows of a cell are together: pivot, the cell's four
+    numbers, side, print, n, the fields and, if given, the text.
+
+    A cluster of up to BLOCK sets and BLOCK_SHINGLES shingles is one cell; a larger one is cut into levels by size and blocks by
+    hash, and every pair of blocks of the same or of neighbouring levels is a cell, so each pair of sets meets once.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+    levels = rows.groupBy("pivot", "level").agg(parts.alias("blocks"), F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    large = levels.groupBy("pivot").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles"), F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("levels"))
+    large = written(large.where((F.col("sets") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES) & (F.col("sets") > 2)).select("pivot", "levels"), "large")
+    dealt = rows.join(large, "pivot", "left").withColumns({"blocks": F.expr("levels[level]"), "up": F.expr("coalesce(levels[level + 1], 0)"), "down": F.expr("coalesce(levels[level - 1], 0)")})
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(print), blocks) as int)")).drop("levels")
+    cell = "named_struct('la', {}, 'ia', {}, 'lb', {}, 'ib', {}, 'side', {})".format
+    none = "filter(array({}), x -> false)".format(cell("0", "0", "0", "0", "0"))
+    some = "if({0} > 0, transform(sequence(0, greatest({0}, 1) - 1), k -> {1}), {2})".format
+    within = some("blocks", cell("level", "least(block, k)", "level", "greatest(block, k)", "if(k = block, 2, if(block < k, 0, 1))"), none)
+    above, below = some("up", cell("level", "block", "level + 1", "k", "0"), none), some("down", cell("level - 1", "k", "level", "block", "1"), none)
+    cells = f"if(blocks is null, array({cell('0', '0', '0', '0', '2')}), concat({within}, {above}, {below}))"
+    key = ["pivot", "la", "ia", "lb", "ib"]
+    if texts is not None:
+        dealt, fields = dealt.join(texts, F.col("rep") == F.col("id")), [*fields, "text"]
+    rows = dealt.select("pivot", "print", "n", *fields, F.explode(F.expr(cells)).alias("cell")).select("pivot", "cell.*", "print", "n", *fields)
+    return rows.repartition(*key).sortWithinPartitions(*key)
+
+
+def _plausible_ones(sides: tuple[list, list, list]) -> set[bytes]:
+    """Prints of a cell's sets that have a partner by size and tally; ``sides`` hold (print, n, tally)."""
+    left, right = (sides[2], sides[2]) if sides[2] else (sides[0], sides[1])
+    if not left or not right or len(sides[2]) == 1:
+        return set()
+    stacked = {}
+    for cells in {len(x[2]) for x in right}:
+        rows = [k for k, x in enumerate(right) if len(x[2]) == cells]
+        stacked[cells] = np.array(rows), np.array([right[k][1] for k in rows]), np.stack([right[k][2] for k in rows])
+    good, partners = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    for k, (_, n, own) in enumerate(left):
+        for cells, (rows, sizes, counts) in stacked.items():
+            fits = (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)) & ~(good[k] & partners[rows])
+            if left is right:
+                fits &= rows != k
+            if not fits.any():
+                continue
+            fewer = min(cells, len(own))
+            apart = np.abs(folded(counts[fits], fewer).astype(np.int16) - folded(own[None, :], fewer).astype(np.int16)).sum(1, dtype=np.int64)
+            close = rows[fits][7 * apart <= sizes[fits] + n]
+            if len(close):
+                good[k] = True
+                partners[close] = True
+                if left is right:
+                    good[close] = partners[k] = True
+    return {x[0] for x, one in zip(left, good, strict=True) if one} | {x[0] for x, one in zip(right, partners, strict=True) if one}
+
+
+def _plausible(batches):
+    """Rows (pivot, la, ia, lb, ib, side, print, n, tally) by cell; gives (pivot, print) of the sets that may have a link there."""
+    now, sides = None, ([], [], [])
+
+    def sent(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["pivot", "print"])
+
+    for batch in batches:
+        cells = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+        which, prints, sizes, tallies = (batch.column(k).to_pylist() for k in range(5, 9))
+        found: list[tuple] = []
+        for row, cell in enumerate(cells):
+            if cell != now:
+                found += [(now[0], x) for x in _plausible_ones(sides)] if now else []
+                now, sides = cell, ([], [], [])
+            sides[which[row]].append((prints[row], sizes[row], np.frombuffer(tallies[row], np.uint8)))
+        yield sent(found)
+    if now:
+        yield sent([(now[0], x) for x in _plausible_ones(sides)])
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -283,10 +421,27 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _cell_links(sides: tuple[dict, dict, dict]) -> Iterator[tuple[bytes, bytes | None, int | None]]:
-    """(print, null, documents it is linked to) of the sets of a cell, and (print, other, null) both ways for links of marked sets.
+def _local_roots(linked: np.ndarray) -> np.ndarray:
+    """The first member of each row's connected part of a symmetric boolean matrix."""
+    root = np.full(len(linked), -1)
+    for k in range(len(linked)):
+        if root[k] >= 0:
+            continue
+        part = np.zeros(len(linked), bool)
+        part[k], edge = True, np.array([k])
+        while len(edge):
+            new = linked[edge].any(0) & ~part
+            part |= new
+            edge = np.flatnonzero(new)
+        root[part] = k
+    return root
 
-    ``sides`` hold (shingles, documents, mark) by print: the first two are compared with each other, or all of the third.
+
+def _cell_links(sides: tuple[dict, dict, dict]) -> Iterator[tuple]:
+    """Of the sets of a cell: (print, null, documents it is linked to, null, null); (print, other, null, null, null) both ways for
+    links of marked sets; and (null, null, null, a, b) for ids that are connected.
+
+    ``sides`` hold (shingles, id, documents, mark, smaller pivots) by print: the first two are compared with each other, or all of the third.
     """
     one, other = (sides[2], sides[2]) if sides[2] else (sides[0], sides[1])
     if not one or not other or len(sides[2]) == 1:
@@ -298,132 +453,46 @@ def _cell_links(sides: tuple[dict, dict, dict]) -> Iterator[tuple[bytes, bytes |
     linked = (same > 0) & (100 * same >= 75 * union)
     if one is other:
         np.fill_diagonal(linked, False)
+    if not linked.any():
+        return
+    ids = [x[1] for x in a] + ([] if one is other else [x[1] for x in b])
+    whole = linked if one is other else np.block([[np.zeros((len(a), len(a)), bool), linked], [linked.T, np.zeros((len(b), len(b)), bool)]])
+    for k, root in enumerate(_local_roots(whole).tolist()):
+        if root != k:
+            yield None, None, None, ids[k], ids[root]
+    # links that another cluster counts
+    met = [x[4] for x in a]
+    linked &= _shared(met, met if one is other else [x[4] for x in b]) == 0
     for names, found, weights in ((one, linked, b), (other, linked.T, a))[: 1 if one is other else 2]:
-        for name, n in zip(names, found @ np.array([x[1] for x in weights]), strict=True):
-            if n:
-                yield name, None, int(n)
-    marks = [np.array([x[2] for x in side]) for side in (a, b)]
+        for name, hits, n in zip(names, found.sum(1).tolist(), (found @ np.array([x[2] for x in weights])).tolist(), strict=True):
+            if hits:
+                yield name, None, n, None, None
+    marks = [np.array([x[3] for x in side]) for side in (a, b)]
     names, others = list(one), list(other)
     for i, k in np.argwhere(linked & (marks[0][:, None] | marks[1][None, :])):
-        yield names[i], others[k], None
+        yield names[i], others[k], None, None, None
         if one is not other:
-            yield others[k], names[i], None
+            yield others[k], names[i], None, None, None
 
 
 def _counted(batches):
-    """Rows (root, la, ia, lb, ib, side, print, docs, marked, text), sorted so that the rows of each cell are together."""
+    """Rows (pivot, la, ia, lb, ib, side, print, n, rep, docs, marked, lesser, text) by cell; gives the rows of ``_cell_links``."""
     now, sides = None, ({}, {}, {})
 
     def sent(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["print", "other", "links"])
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["print", "other", "links", "a", "b"])
 
     for batch in batches:
         cells = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
-        which, prints, docs, marked = (batch.column(k).to_pylist() for k in range(5, 9))
+        which, prints, _, reps, docs, marked, lesser = (batch.column(k).to_pylist() for k in range(5, 12))
         found: list[tuple] = []
-        for row, own in shingle_sets(batch.column(9)):
+        for row, own in shingle_sets(batch.column(12)):
             if cells[row] != now:
                 found += _cell_links(sides)
                 now, sides = cells[row], ({}, {}, {})
             # an id may have other texts, too
-            if xxhash.xxh3_128_digest(own.tobytes()) == prints[row]:
-                sides[which[row]][prints[row]] = (own, docs[row], marked[row])
+            if _print(own) == prints[row]:
+                sides[which[row]][prints[row]] = (own, reps[row], docs[row], marked[row], np.array(lesser[row], np.int64))
         yield sent(found)
     yield sent(list(_cell_links(sides)))
-
-
-def _link_counts(known: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, n_links) of every linked id: the number of other ids that have an equal or similar text.
-
-    Equal texts are one set with a number of documents. The different sets of a component are compared in full: a component of up
-    to BLOCK sets is one cell; a larger one is cut into levels by size and blocks by hash, and every pair of blocks of the same
-    or neighbouring levels is a cell, so each pair of sets meets once. Ids with several texts may be reached by more than one of
-    them, so their links are listed and counted by id.
-    """
-    spark = known.sparkSession
-    held = written(known.join(roots, "id").select("id", "n", "print", "many", "root"), "held")
-    sets = held.groupBy("print").agg(F.min("root").alias("root"), F.min("id").alias("id"), F.min("n").alias("n"), F.sum((~F.col("many")).cast("long")).alias("docs"), F.max("many").alias("marked"))
-    sets = written(sets.withColumn("level", F.floor(F.log("n") / F.lit(float(np.log(SIZE_STEP)))).cast("int")), "sets")
-    sizes = sets.groupBy("root").agg(F.count("*").alias("sets")).where("sets > 1")
-    levels = sets.groupBy("root", "level").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    large = sizes.where(F.col("sets") > BLOCK).select("root").join(levels, "root").groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("levels"))
-    dealt = sets.join(sizes.select("root"), "root").join(F.broadcast(large), "root", "left")
-    dealt = dealt.withColumns({"blocks": F.expr("levels[level]"), "up": F.expr("coalesce(levels[level + 1], 0)"), "down": F.expr("coalesce(levels[level - 1], 0)")})
-    dealt = written(dealt.withColumn("block", F.expr("cast(pmod(xxhash64(print), blocks) as int)")).drop("levels"), "dealt")
-
-    bits = spark.sparkContext.broadcast(id_bitmap(dealt, "id"))
-    own = texts.withColumn("slot", slot("id")).mapInArrow(_picked(bits), "id long, text string")
-    cell = "named_struct('la', {}, 'ia', {}, 'lb', {}, 'ib', {}, 'side', {})".format
-    none = "filter(array({}), x -> false)".format(cell("0", "0", "0", "0", "0"))
-    some = "if({0} > 0, transform(sequence(0, greatest({0}, 1) - 1), k -> {1}), {2})".format
-    within = some("blocks", cell("level", "least(block, k)", "level", "greatest(block, k)", "if(k = block, 2, if(block < k, 0, 1))"), none)
-    above, below = some("up", cell("level", "block", "level + 1", "k", "0"), none), some("down", cell("level - 1", "k", "level", "block", "1"), none)
-    cells = f"if(blocks is null, array({cell('0', '0', '0', '0', '2')}), concat({within}, {above}, {below}))"
-    rows = dealt.join(own, "id").select("root", "print", "docs", "marked", "text", F.explode(F.expr(cells)).alias("cell"))
-    key = ["root", "la", "ia", "lb", "ib"]
-    rows = rows.select("root", "cell.*", "print", "docs", "marked", "text").repartition(*key).sortWithinPartitions(*key)
-    found = written(rows.mapInArrow(_counted, "print binary, other binary, links long"), "found")
-
-    total = found.where("other is null").groupBy("print").agg(F.sum("links").alias("links"))
-    by_set = sets.select("print", "docs").join(total, "print", "left").select("print", (F.col("docs") + F.coalesce("links", F.lit(0))).alias("reached"))
-    several = written(held.where("many").select(F.col("id").alias("far"), F.col("print").alias("other")), "several")
-    if several.isEmpty():
-        return held.join(by_set, "print").select("id", (F.col("reached") - 1).alias("n_links"))
-    near = written(found.where("other is not null").select("print", "other").union(sets.where("marked").select("print", F.col("print").alias("other"))).distinct(), "near")
-    reach = near.join(several, "other").select("print", "far").distinct().groupBy("print").agg(F.count("*").alias("more"))
-    by_set = by_set.join(reach, "print", "left").select("print", (F.col("reached") + F.coalesce("more", F.lit(0))).alias("reached"))
-    single = held.where("not many").join(by_set, "print").select("id", (F.col("reached") - 1).alias("n_links"))
-    mine = written(several.select(F.col("far").alias("id"), F.col("other").alias("print")).join(near, "print").select("id", "other").distinct(), "mine")
-    docs = mine.join(sets.select(F.col("print").alias("other"), "docs"), "other").select("id", "docs")
-    others = mine.join(several, "other").where("id <> far").select("id", "far").distinct().select("id", F.lit(1).cast("long").alias("docs"))
-    return single.union(docs.union(others).groupBy("id").agg(F.sum("docs").alias("n_links")))
-
-
-def _links(compared: DataFrame) -> DataFrame:
-    return compared.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-
-
-def _unsettled(buckets: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(sig, id, lo, hi): what the first round leaves open of the buckets.
-
-    Jaccard distance is a metric: if the distances of x and y to their pivot differ by more than 1/4, x and y aren't linked.
-    So a bucket is done if all of it has one root, and a member close to the pivot leaves it if it is that far from all members
-    with other roots.
-    """
-    ends = compared.select("pivot", "id", "lo", "hi").union(compared.select("pivot", F.col("pivot").alias("id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")).distinct())
-    ends = ends.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    ends = written(ends.join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot")), "ends")
-    # pivots with a member of another root; all buckets of the others are done
-    mixed = written(ends.where("root <> pivot_root").select(F.col("pivot").alias("first")).distinct(), "pivots")
-    rows = buckets.join(mixed, "first", "left_semi").join(ends.withColumnRenamed("pivot", "first"), ["first", "id"])
-    rows = written(rows.select("sig", "id", "lo", "hi", (F.col("root") != F.col("pivot_root")).alias("other")), "rows")
-    # an overlap is never missed: the margin is kept for the rounding of the shares
-    nearest = written(rows.where("other").groupBy("sig").agg(F.min("lo").alias("nearest")), "nearest")
-    return rows.join(nearest, "sig").where(F.col("other") | (F.col("nearest") - F.col("hi") <= FAR)).select("sig", "id", "lo", "hi")
-
-
-def _compared(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
-    """(pivot, id, linked, lo, hi) of each pair: is the similarity 0.75 or more, and bounds of the Jaccard distance.
-
-    Sizes and parity sketches give lower bounds; a pair that they don't rule out is held against the whole sets. An id with
-    several texts is linked where any of them is, and its distances are left open.
-    """
-    spark = pairs.sparkSession
-    left = known.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("print").alias("print_p"), F.col("parity").alias("parity_p"), F.col("many").alias("many_p"))
-    both, flips = F.col("n") + F.col("m"), _parity_distance("parity", "parity_p")
-    near = pairs.join(left, "pivot").join(known, "id").withColumn("same", F.col("print") == F.col("print_p"))
-    near = near.withColumn("maybe", (F.lit(4) * F.least("n", "m") >= F.lit(3) * F.greatest("n", "m")) & (7 * flips <= both))
-    near = near.withColumn("lo", F.when(F.col("same"), 0.0).otherwise(F.greatest(1 - F.least("n", "m") / F.greatest("n", "m"), 2 * flips / (both + flips))))
-    near = written(near.groupBy("pivot", "id").agg(F.max("same").alias("same"), F.max("maybe").alias("maybe"), F.min("lo").alias("lo"), F.max(F.col("many") | F.col("many_p")).alias("many")), "near")
-    check = near.where("maybe and not same").select("pivot", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    ends = check.select("id").union(check.select("pivot")).distinct()
-    bits = spark.sparkContext.broadcast(id_bitmap(ends, "id"))
-    own = written(texts.withColumn("slot", slot("id")).mapInArrow(_picked(bits), "id long, text string").join(ends, "id", "left_semi"), "texts")
-    members = check.join(own, "id").select("pivot", "salt", "id", F.lit(False).alias("own"), "text")
-    heads = check.select("pivot", "salt").distinct().join(own.withColumnRenamed("id", "pivot"), "pivot").select("pivot", "salt", F.col("pivot").alias("id"), F.lit(True).alias("own"), "text")
-    dealt = members.union(heads).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("own"))
-    exact = dealt.mapInArrow(_verified, "pivot long, id long, linked boolean, share double").groupBy("pivot", "id").agg(F.max("linked").alias("linked"), F.max("share").alias("share"))
-    rest = near.where("same or not maybe").select("pivot", "id", F.col("same").alias("linked"), F.when(F.col("many"), 0.0).otherwise(F.col("lo")).alias("lo"), F.when(F.col("same") & ~F.col("many"), 0.0).otherwise(1.0).alias("hi"))
-    open_ = near.where("many").select("pivot", "id", F.lit(True).alias("many"))
-    exact = exact.join(open_, ["pivot", "id"], "left").select("pivot", "id", "linked", F.when(F.col("many"), 0.0).otherwise(1 - F.col("share")).alias("lo"), F.when(F.col("many"), 1.0).otherwise(1 - F.col("share")).alias("hi"))
-    return rest.union(exact)
