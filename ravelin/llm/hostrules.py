@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm import textops
+from ravelin.llm import memory, textops
 from ravelin.llm.store import written
 
 #: Symbols that are counted, fewest words, and the largest share of words in repeated windows (in hundredths).
@@ -67,14 +67,14 @@ def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndar
 
 def _counted(batches):
     for batch in batches:
-        counts = text_counts(batch.column(batch.schema.get_field_index("_text")))
+        counts = text_counts(batch.column(2))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x) for x in counts.values())], [*batch.schema.names[:-1], *counts])
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, host, counts, base_failed) of every row; see ``text_counts``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("_text"))
-    out = rows.mapInArrow(_counted, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    out = rows.mapInArrow(memory.lean(_counted), "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
@@ -110,17 +110,32 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop("_host", "host_kept")
 
 
-def _flagged(batches):
-    for batch in batches:
-        c = text_counts(batch.column(batch.num_columns - 1))
-        failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
-        yield pa.RecordBatch.from_arrays(batch.columns, batch.schema.names).filter(pa.array(~failed))
+def _flagged(at: int, name: str, drop: bool):
+    def rows(batches):
+        for batch in batches:
+            c = text_counts(batch.column(at))
+            failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
+            columns, names = (batch.columns[:at] + batch.columns[at + 1 :], batch.schema.names[:at] + batch.schema.names[at + 1 :]) if drop else (batch.columns, batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(failed)], [*names, name])
+
+    return rows
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, with all their columns and without a shuffle of their texts."""
-    counts = written(measured(docs, id_col, text_col, host_col), "counts")
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns and without a shuffle of their texts.
+
+    The rows are judged once and written with their verdicts, from which those of the hosts are counted. Columns may have any
+    names; null, empty and wordless texts go, repeated rows stay rows, and an empty table gives no rows.
+    """
+    failed, host = (memory.free_name(docs.columns, x) for x in ("failed", "gone_host"))
+    if dict(docs.dtypes)[text_col] == "string":
+        rows, at, drop = docs, docs.columns.index(text_col), False
+    else:
+        rows, at, drop = docs.withColumn(memory.free_name([*docs.columns, failed, host], "as_text"), F.col(text_col).cast("string")), len(docs.columns), True
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{failed}` boolean"
+    seen = written(rows.mapInArrow(memory.lean(_flagged(at, failed, drop)), schema), "flagged")
+    verdicts = host_verdicts(seen.select(F.col(host_col).cast("string").alias("host"), F.col(failed).alias("base_failed")), limit)
     # only the hosts that go are joined, and Spark picks the join by their size
-    gone = written(host_verdicts(counts, limit).where(~F.col("host_kept")).select(F.col("host").alias("_host")), "gone")
-    rows = docs.select("*", F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(_flagged, rows.schema).drop("_text").join(gone, F.col(host_col).cast("string") == F.col("_host"), "left_anti")
+    gone = written(verdicts.where(~F.col("host_kept")).select(F.col("host").alias(host)), "gone")
+    good = seen.where(~F.col(failed))
+    return good.join(gone, good[host_col].cast("string") == gone[host], "left_anti").select(*docs.columns)

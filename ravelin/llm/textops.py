@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: Bytes that separate words in the two word rules.
 SPACE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -86,33 +86,56 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans; with ``fold`` equal for spans that differ in the case of A-Z only.
+def padded(data: np.ndarray) -> np.ndarray:
+    """``data`` and 8 zero bytes, so that a block of 8 bytes can be read at each of its places."""
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[:-8] = data
+    return raw
+
+
+def blocks(raw: np.ndarray) -> np.ndarray:
+    """The little-endian block of 8 bytes at each place of ``padded`` bytes, without a copy."""
+    return np.ndarray(len(raw) - 7, "<u8", raw.data, strides=(1,))
+
+
+def block_steps(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(spans, place of their next block, bytes that remain), all spans at once, until none remains; empty spans have one step."""
+    left, at, rest = np.arange(len(starts)), starts, lengths
+    while len(left):
+        yield left, at, rest
+        on = np.flatnonzero(rest > 8)
+        left, at, rest = left[on], at[on] + 8, rest[on] - 8
+
 
-    Blocks of 8 bytes are scrambled one after the other into a state that begins with the length, all spans at once. No sum
-    or power series over letters is involved, so strings of a regular build (such as Thue-Morse words) don't meet.
+def masked(block: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The blocks without bytes behind the ends of their spans."""
+    short = np.flatnonzero(rest < 8)
+    block[short] &= _MASK[rest[short]]
+    return block
+
+
+def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of ``padded`` bytes.
+
+    Blocks of 8 bytes are scrambled one after the other into a state that begins with the length. No sum or power series over
+    letters is involved, so strings of a regular build (such as Thue-Morse words) don't meet.
     """
-    out = (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    if not len(out):
-        return out
-    raw = np.zeros(len(data) + 8, np.uint8)
-    raw[:-8] = _FOLD[data] if fold else data
-    blocks = np.ndarray(len(data) + 1, "<u8", raw.data, strides=(1,))
     lengths = ends - starts
+    out = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in np.flatnonzero(lengths > _LONG):
         out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
-    left = np.flatnonzero(lengths <= _LONG)
-    at, rest = starts[left], lengths[left]
-    while len(left):
-        block = blocks[at]
-        short = np.flatnonzero(rest < 8)
-        block[short] &= _MASK[rest[short]]
-        out[left] = mixed((out[left] ^ block) * np.uint64(0xD6E8FEB86659FD93))
-        on = np.flatnonzero(rest > 8)
-        left, at, rest = left[on], at[on] + 8, rest[on] - 8
+    few, view = np.flatnonzero(lengths <= _LONG), blocks(raw)
+    for left, at, rest in block_steps(starts[few], lengths[few]):
+        own = few[left]
+        out[own] = mixed((out[own] ^ masked(view[at], rest)) * np.uint64(0xD6E8FEB86659FD93))
     return out
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of byte spans; with ``fold`` equal for spans that differ in the case of A-Z only."""
+    return hashed(padded(_FOLD[data] if fold else data), starts, ends)
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` values; result i covers values i to i + n - 1 (the caller skips runs over a text's end)."""
     count = max(0, len(hashes) - n + 1)
