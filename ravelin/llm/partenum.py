@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ravelin.llm import textops
+from ravelin.llm import memory, textops
 from ravelin.llm.graph import components
 from ravelin.llm.store import id_bitmap, in_bitmap, slot, written
 
@@ -35,8 +35,8 @@ from ravelin.llm.store import id_bitmap, in_bitmap, slot, written
 SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: Ratio of the largest to the smallest size of a band.
 BAND_RATIO = 4
-#: (largest size of the band, groups per element of the largest size, partitions of a group, partitions that may differ). In the
-#: bands of the first line each element is a group of its own.
+#: (largest size of the band, groups per element of the largest size, partitions of a group, partitions that may differ: 0 or 1). In
+#: the bands of the first line each element is a group of its own.
 BANDS = [(64, 1 << 55, 1, 0), (1 << 40, 0.25, 3, 1)]
 #: Limits of the classes of shingles, as multiples of twice the mean count of a sketch cell plus 8.
 CLASSES = (1, 4, 32)
@@ -142,8 +142,14 @@ def _band(top: int) -> tuple[int, int, int]:
     raise ValueError(f"no band for sets of {top} shingles")
 
 
-def signatures(own: np.ndarray, sketch: np.ndarray, finer: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
-    """(signatures, counts of their rarest shingles) of a set, in the band of its size and, where it has larger partners there, in the next.
+def limits(sketch: np.ndarray) -> np.ndarray:
+    """Counts at which the classes of shingles end."""
+    return np.array(CLASSES) * (2 * float(sketch.mean()) + 8)
+
+
+def signatures(own: np.ndarray, sketch: np.ndarray, ends: np.ndarray, finer: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
+    """(signatures, counts of their rarest shingles) of a set, in the band of its size and, where it has larger partners there, in the next;
+    ``ends`` are the ``limits`` of the sketch.
 
     None if the groups don't suffice for the differing elements that must be borne (a matter of bad luck with the hash); the
     caller then cuts the whole domain ``finer``.
@@ -153,7 +159,7 @@ def signatures(own: np.ndarray, sketch: np.ndarray, finer: int = 1) -> tuple[np.
         level += 1
     top, largest = BAND_RATIO ** (level + 1), size * 4 // 3
     counts = sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
-    kinds = np.searchsorted(np.array(CLASSES) * (2 * float(sketch.mean()) + 8), counts).astype(np.uint64)
+    kinds = np.searchsorted(ends, counts).astype(np.uint64)
     sigs, rarest = [], []
     for lev, most in [(level, min(largest, top))] + ([(level + 1, largest)] if largest > top else []):
         differ = (size + most) // 7
@@ -161,40 +167,44 @@ def signatures(own: np.ndarray, sketch: np.ndarray, finer: int = 1) -> tuple[np.
         n1 *= finer
         mixed = textops.mixed(own ^ np.uint64(0x51ED270B * (lev + 1)))
         group = kinds * np.uint64(n1) + mixed % np.uint64(n1)
-        order = np.argsort(group, kind="stable")
-        group, counted = group[order], counts[order]
-        part = (textops.mixed(mixed[order]) % np.uint64(n2)).astype(np.int64)
-        content = textops.mixed(own[order] + np.uint64(0x632BE59BD9B4E019))
+        part = group * np.uint64(n2) + textops.mixed(mixed) % np.uint64(n2) if n2 > 1 else group
+        order = np.argsort(part, kind="stable")
+        part, group = part[order], group[order]
+        content, counted = textops.mixed(own[order] + np.uint64(0x632BE59BD9B4E019)), counts[order]
+        # sums of contents by partition, then by group
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        sums, group = np.add.reduceat(content, starts), group[starts]
         heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        sums = np.stack([np.add.reduceat(np.where(part == k, content, np.uint64(0)), heads) for k in range(n2)])
-        filled = np.stack([np.logical_or.reduceat(part == k, heads) for k in range(n2)])
-        several = filled.sum(0) > 1
-        bears = np.cumsum(np.where(several, k2 + 1, 1))
-        enough = int(np.searchsorted(bears, differ, side="right")) + 1
+        filled = np.diff(np.append(heads, len(group)))
+        enough = int(np.searchsorted(np.cumsum(np.where(filled > 1, k2 + 1, 1)), differ, side="right")) + 1
         if enough > len(heads):
             return None
-        few, several = slice(0, enough), several[:enough]
-        tag = textops.mixed(group[heads[few]] + np.uint64(lev * 0x9E3779B97F4A7C15 % (1 << 64)))
-        whole, rare = sums[:, few].sum(0), np.minimum.reduceat(counted, heads)[few]
-        # a group in one partition has that one signature; the others leave out each partition in turn
-        sigs.append(textops.mixed(whole[~several] ^ tag[~several]))
-        rarest.append(rare[~several])
-        for k in range(n2) if k2 else ():
-            sigs.append(textops.mixed((whole - sums[k, few])[several] ^ tag[several]))
-            rarest.append(rare[several])
+        whole, rare = np.add.reduceat(sums, heads)[:enough], np.minimum.reduceat(counted, starts[heads])[:enough]
+        tag = textops.mixed(group[heads[:enough]] + np.uint64(lev * 0x9E3779B97F4A7C15 % (1 << 64)))
+        # subsets of n2 - k2 partitions: without each of the filled ones in turn, and without an empty one
+        filled = filled[:enough]
+        full = filled < n2 if k2 else np.ones(enough, bool)
+        sigs.append(textops.mixed(whole[full] ^ tag[full]))
+        rarest.append(rare[full])
+        if k2:
+            of = np.repeat(np.arange(enough), filled)
+            left_out = np.flatnonzero(filled[of] > 1)
+            of = of[left_out]
+            sigs.append(textops.mixed((whole[of] - sums[left_out]) ^ tag[of]))
+            rarest.append(rare[of])
     return np.concatenate(sigs), np.concatenate(rarest)
 
 
 def _signature_rows(sketch, finer: int):
     def rows(batches):
         counts, seen = np.frombuffer(sketch.value, np.uint32), _Remembered()
-        hot = HOT_COUNT + 2 * int(counts.mean())
+        hot, ends = HOT_COUNT + 2 * int(counts.mean()), limits(counts)
         held, size = [], 0
         for batch in batches:
             for _, own in shingle_sets(batch.column(0)):
                 if not len(own) or not seen.new(key := _key(_print(own))):
                     continue
-                if (found := signatures(own, counts, finer)) is None:
+                if (found := signatures(own, counts, ends, finer)) is None:
                     held.append((np.zeros(1, np.uint64), np.array([-1], np.int32), np.zeros(1, np.int64)))
                     continue
                 sigs, rarest = found
@@ -227,7 +237,7 @@ def _buckets(docs: DataFrame, sketch) -> DataFrame:
     """(sig, key, first, last, salt) of the signatures that two sets or more may share."""
     finer = 1
     while True:
-        sigs = docs.where("id is not null").select("text").mapInArrow(_signature_rows(sketch, finer), "sig long, salt int, key long")
+        sigs = docs.where("id is not null").select("text").mapInArrow(memory.lean(_signature_rows(sketch, finer)), "sig long, salt int, key long")
         own = Window.partitionBy("sig", "salt")
         shared = sigs.withColumn("first", F.min("key").over(own)).withColumn("last", F.max("key").over(own)).where("first <> last or salt <> 0")
         buckets = written(shared, "buckets")
@@ -245,12 +255,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = written(docs.mapInArrow(_profiles, _PROFILE).withColumn("kind", F.when(F.col("part").isNull(), 0).otherwise(1)), "profiles", ["kind"])
+    found = written(docs.mapInArrow(memory.lean(_profiles), _PROFILE).withColumn("kind", F.when(F.col("part").isNull(), 0).otherwise(1)), "profiles", ["kind"])
     profile = found.where("kind = 0").select("doc_id", "n", "print", "key", "tally")
     counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
     for r in found.where("kind = 1").select("part", "sketch").repartition("part").mapInArrow(_added, "part int, sketch binary").collect():
         counts[r.part] = np.frombuffer(zlib.decompress(r.sketch), np.uint32)
-    buckets = _buckets(docs, spark.sparkContext.broadcast(counts.tobytes()))
+    sketch = spark.sparkContext.broadcast(counts.tobytes())
+    buckets = _buckets(docs, sketch)
+    sketch.destroy()
 
     # the pieces of a hot bucket have one pivot
     hot = written(buckets.where("salt > 0").groupBy("sig").agg(F.min("first").alias("pivot"), F.max("last").alias("last")).where("pivot <> last"), "hot")
@@ -268,7 +280,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = members.join(sets.select("print", "n", "key", "level"), "key").select("pivot", "print", "n", "level")
     rows = written(rows.join(tallies, "print"), "tallied")
-    near = _in_cells(rows, ["tally"]).mapInArrow(_plausible, "pivot long, print binary").distinct()
+    near = _in_cells(rows, ["tally"]).mapInArrow(memory.lean(_plausible), "pivot long, print binary").distinct()
     near = written(near.join(sets, "print"), "plausible")
     # a pair is counted in the cluster with the smallest of its common pivots
     pivots = near.groupBy("print").agg(F.collect_set("pivot").alias("pivots"))
@@ -277,8 +289,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = near.select(F.col("rep").alias("id")).distinct()
     bits = spark.sparkContext.broadcast(id_bitmap(ends, "id"))
     texts = docs.where("id is not null").withColumn("slot", slot("id")).mapInArrow(_picked(bits), "id long, text string").join(ends, "id", "left_semi")
-    links = _in_cells(near, ["rep", "docs", "marked", "lesser"], texts).mapInArrow(_counted, "print binary, other binary, links long, a long, b long")
+    links = _in_cells(near, ["rep", "docs", "marked", "lesser"], texts).mapInArrow(memory.lean(_counted), "print binary, other binary, links long, a long, b long")
     links = written(links, "links")
+    bits.destroy()
 
     edges = links.where("a is not null").select("a", "b")
     if not several.isEmpty():
