@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.llm import memory
 from ravelin.llm.store import written
 from ravelin.llm.tokens import encoder
 
@@ -53,7 +54,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(doc_id, piece, start, length, ids_crc32, ids) of every document: its token ids and ``end_id``, cut only if longer than
     ``capacity``, where the first piece may be shorter. A null text is empty: one piece with the end id. ``ids`` is null unless asked for."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_cut(path, capacity, end_id, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    return rows.mapInArrow(memory.lean(_cut(path, capacity, end_id, with_ids), keeps=True), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
 
 
 def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -135,7 +136,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, partition_rows: int = PAR
     while n_left:
         n = max(1, -(-n_left // partition_rows))
         dealt = left.repartition(n, F.xxhash64("doc_id", "piece", F.lit(turn)))
-        now = written(dealt.mapInArrow(_packed(capacity, turn), ddl), f"packed{turn}")
+        now = written(dealt.mapInArrow(memory.lean(_packed(capacity, turn)), ddl), f"packed{turn}")
         stats = now.groupBy((F.col("room") == 0).alias("full")).agg(F.count_if(F.col("offset") == 0).alias("bins"), F.count("*").alias("n")).collect()
         bins = settled + sum(r.bins for r in stats)
         loose = next((r.n for r in stats if not r.full), 0)

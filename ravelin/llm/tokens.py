@@ -2,7 +2,7 @@
 
 The two public vocabularies cut a text into pieces (words with their leading space, numbers, symbols, white space) that are
 encoded one by one. Pieces are found with array operations, each distinct piece is encoded once per worker by the library's
-model, and its ids are kept under a 64-bit hash in a bounded table. Texts with characters outside a plain range (where Unicode
+model, and its ids are kept under a 64-bit hash in a bounded table, with the piece's letters, which are compared on every hit. Texts with characters outside a plain range (where Unicode
 versions or normalisation could matter) and texts with the strings of special tokens go through the library as a whole.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from ravelin.llm import textops
+from ravelin.llm import memory, textops
 from ravelin.llm.hashing import KeyTable
 
 #: Entries of a worker's table of pieces; beyond it starts anew.
@@ -22,14 +22,10 @@ MOST_PIECES = 1 << 21
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSAFE = range(5)
 _PLAIN = 0x2100
 
-_encoders: dict[str, "Encoder"] = {}
-
 
 def encoder(path: str) -> "Encoder":
-    """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder for a vocabulary file; it lives until the worker keeps something else."""
+    return memory.kept(f"encoder:{path}", lambda: Encoder(path))
 
 
 def _classes() -> np.ndarray:
@@ -57,8 +53,6 @@ class Encoder:
         self.lower = (spec.get("normalizer") or {}).get("type") == "Sequence"
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.classes = _classes()
-        rng = np.random.default_rng(7)
-        self.values = rng.integers(1, 1 << 63, _PLAIN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         # the printable stand-ins of the 256 bytes in byte-level vocabularies
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in keep]
@@ -69,8 +63,10 @@ class Encoder:
     def _clear(self) -> None:
         self.known = KeyTable()
         self.at, self.many, self.flat, self.used = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), np.zeros(1 << 17, np.uint32), 0
+        # the pieces themselves: place and bytes of each, and all of them in a row with room for a last block
+        self.place, self.bytes, self.letters, self.filled = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), np.zeros(1 << 18, np.uint8), 0
 
-    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _add(self, keys: np.ndarray, pieces: list[str], spans: list[np.ndarray]) -> None:
         # all pieces at once in the vocabulary's stand-ins; no plain piece holds the separator
         shown = self.shown[np.frombuffer("\x00".join(pieces).encode(), np.uint8)].tobytes().decode("utf-32-le")
         one = self.model.tokenize
@@ -80,12 +76,29 @@ class Encoder:
         new = self.known.add(keys)
         while self.known.n > len(self.at):
             self.at, self.many = np.resize(self.at, 2 * len(self.at)), np.resize(self.many, 2 * len(self.many))
+            self.place, self.bytes = np.resize(self.place, 2 * len(self.place)), np.resize(self.bytes, 2 * len(self.bytes))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.at[new] = self.used + np.cumsum(counts) - counts
         self.many[new] = counts
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        letters, sizes = np.concatenate(spans), np.array([len(x) for x in spans], np.int64)
+        while self.filled + len(letters) + 8 > len(self.letters):
+            self.letters = np.resize(self.letters, 2 * len(self.letters))
+        self.place[new], self.bytes[new] = self.filled + np.cumsum(sizes) - sizes, sizes
+        self.letters[self.filled : self.filled + len(letters)] = letters
+        self.filled += len(letters)
+
+    def _same(self, entry: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bool:
+        """Are the spans of ``raw`` the very pieces of their entries?"""
+        if (self.bytes.take(entry) != lengths).any():
+            return False
+        here, there, places = textops.blocks(raw), textops.blocks(self.letters), self.place.take(entry)
+        for left, at, rest in textops.block_steps(starts, lengths):
+            if ((textops.masked(here[at], rest)) != textops.masked(there[places[left] + (at - starts[left])], rest)).any():
+                return False
+        return True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -101,30 +114,28 @@ class Encoder:
             bad = np.unique(np.searchsorted(at, np.flatnonzero((kinds == _UNSAFE) | (codes >= _PLAIN)), side="right") - 1).tolist()
             if any(s in text for s in self.special):
                 bad = sorted({*bad, *(r for r in range(end - first) if any(s in text[at[r] : at[r + 1]] for s in self.special))})
-            if not bad:
-                ids, own = self._plain(text, codes, kinds, at)
-                yield first, end, ids, own
+            if not bad and (found := self._plain(text, codes, kinds, at)):
+                yield first, end, *found
                 continue
             wrong, parts = set(bad), []
             for r in range(end - first):
-                if r in wrong:
-                    parts.append(self._ids(text[at[r] : at[r + 1]]))
-                else:
-                    own = slice(at[r], at[r + 1])
-                    parts.append(self._plain(text[own], codes[own], kinds[own], np.array([0, at[r + 1] - at[r]]))[0])
+                own = slice(at[r], at[r + 1])
+                found = None if r in wrong else self._plain(text[own], codes[own], kinds[own], np.array([0, at[r + 1] - at[r]]))
+                parts.append(found[0] if found else self._ids(text[own]))
             yield first, end, np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
-    def _plain(self, text: str, codes: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, text: str, codes: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, offsets) of plain text; None if two of its pieces, or one and a known one, have one hash."""
         if not len(codes):
             return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
         if self.lower:
             text = text.lower()
             codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         starts, ends = self._pieces(codes, kinds, at)
-        up, down = textops._grown(len(codes) + 1)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(self.values.take(codes) * up[: len(codes)], out=sums[1:])
-        keys = textops.mixed((sums[ends] - sums[starts]) * down[starts]) | np.uint64(1 << 63)
+        # plain letters fit 16 bits
+        raw = textops.padded(codes.astype("<u2").view(np.uint8))
+        first, size = 2 * starts, 2 * (ends - starts)
+        keys = textops.hashed(raw, first, first + size) | np.uint64(1 << 63)
         entry = self.known.find(keys)
         if (entry < 0).any():
             new, where = np.unique(keys[entry < 0], return_index=True)
@@ -134,8 +145,11 @@ class Encoder:
                 spans = where
             else:
                 spans = np.flatnonzero(entry < 0)[where]
-            self._add(new, [text[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
+            own = list(zip(starts[spans].tolist(), ends[spans].tolist(), strict=True))
+            self._add(new, [text[a:b] for a, b in own], [raw[2 * a : 2 * b] for a, b in own])
             entry = self.known.find(keys)
+        if not self._same(entry, raw, first, size):
+            return None
         counts = self.many.take(entry)
         total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
         ids = self.flat.take(np.repeat(self.at.take(entry) - total[:-1], counts) + np.arange(total[-1]))
