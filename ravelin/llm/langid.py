@@ -18,27 +18,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm import textops
+from ravelin.llm import memory, textops
 from ravelin.llm.hashing import KeyTable
 from ravelin.llm.store import written
 
-#: Labelled documents by language that are learned from (about, by a hash of the id); rounds of fitting; longest piece; letters
-#: that are scored at once (a longer word is scored in parts); words that a worker remembers; weight of the common distribution.
-SAMPLE, ROUNDS, LONGEST, SPAN, MOST_WORDS, PRIOR = 2000, 3, 10, 24, 1 << 21, 500.0
+#: Labelled documents by language that are learned from (about, by a hash of the id); rounds of fitting; words that a worker
+#: remembers; weight of the common distribution.
+SAMPLE, ROUNDS, MOST_WORDS, PRIOR = 2000, 3, 1 << 21, 500.0
+#: Letters of the words that are summed over together, as products; longer ones (in scripts without spaces, whole sentences) are summed
+#: over one by one, as logarithms, with the same result.
+TOGETHER = 24
 #: Probability of a letter that no piece covers.
 _UNKNOWN = 1e-9
 _START = "▁"
 
 _letters: list[np.ndarray] = []
-_workers: dict[str, "Scorer"] = {}
 
 
 def vocabulary(path: str) -> dict[str, int]:
-    """Pieces of a SentencePiece model of LONGEST characters at most, in lower case, and their numbers."""
+    """The pieces of letters of a SentencePiece model, in lower case, and their numbers."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = sorted({p.lower() for p in map(model.id_to_piece, range(model.get_piece_size())) if not p.startswith("<") and 0 < len(p) <= LONGEST})
+    found = sorted({p.lower() for p in map(model.id_to_piece, range(model.get_piece_size())) if not p.startswith("<") and p})
     return {p: k for k, p in enumerate(p for p in found if all(c == _START or c.isalpha() for c in p))}
 
 
@@ -66,34 +68,47 @@ def words(column: pa.Array) -> Iterator[tuple[int, int, str, np.ndarray, np.ndar
         begin[heads] = own[heads]
         close[heads[1:] - 1] = own[heads[1:] - 1]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(close) + 1
-        up, down = textops._grown(len(codes) + 1)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(textops.mixed(codes.astype(np.uint64) + np.uint64(0x51ED27)) * up[: len(codes)], out=sums[1:])
-        keys = textops.mixed((sums[ends] - sums[starts]) * down[starts]) | np.uint64(1)
+        keys = textops.hashed(textops.padded(codes.view(np.uint8)), 4 * starts, 4 * ends) | np.uint64(1)
         yield first, end, low, starts, ends, np.searchsorted(starts, at), keys
 
 
+class Pieces(dict):
+    """Numbers of pieces; ``heads`` are the beginnings of longer ones, at which looking further pays."""
+
+    def __init__(self, pieces: dict[str, int]):
+        super().__init__(pieces)
+        self.heads = {p[:k] for p in pieces for k in range(1, len(p))}
+
+    def __reduce__(self):
+        return Pieces, (dict(self),)
+
+    def arcs(self, word: str) -> Iterator[tuple[int, int, int]]:
+        """(from, to, piece) of all pieces inside a word, by their beginnings; a letter that is no piece has the number behind the last."""
+        unknown, get, heads, n = len(self), self.get, self.heads, len(word)
+        for i in range(n):
+            own = word[i]
+            yield i, i + 1, get(own, unknown)
+            j = i + 1
+            while j < n and own in heads:
+                j += 1
+                own = word[i:j]
+                p = get(own)
+                if p is not None:
+                    yield i, j, p
+
+
 class Lattice:
     """All pieces inside a list of words: arcs (word, from, to, piece), ordered by their end."""
 
     def __init__(self, found: list[str], pieces: dict[str, int]):
-        unknown = len(pieces)
+        pieces = pieces if isinstance(pieces, Pieces) else Pieces(pieces)
         arcs: list[tuple[int, int, int, int]] = []
-        get = pieces.get
         for w, word in enumerate(found):
-            word = _START + word
-            n = len(word)
-            for i in range(n):
-                single = get(word[i])
-                arcs.append((w, i, i + 1, unknown if single is None else single))
-                for j in range(i + 2, min(n, i + LONGEST) + 1):
-                    p = get(word[i:j])
-                    if p is not None:
-                        arcs.append((w, i, j, p))
+            arcs += [(w, *arc) for arc in pieces.arcs(_START + word)]
         table = np.array(arcs, np.int64).reshape(-1, 4)
         table = table[np.argsort(table[:, 2], kind="stable")]
         self.word, self.i, self.j, self.piece = table.T
-        self.size = np.array([len(w) + 1 for w in found], np.int64)
+        self.size = np.array([len(w) + len(_START) for w in found], np.int64)
         self.steps = np.searchsorted(self.j, np.arange(1, (int(self.size.max()) if len(found) else 0) + 2))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
@@ -118,28 +133,54 @@ class Lattice:
         return np.bincount(self.piece, share * counts[self.word], minlength=len(p))
 
 
-def _spans(word: str) -> list[str]:
-    return [word[k : k + SPAN] for k in range(0, len(word), SPAN)]
+def long_forward(word: str, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+    """The log of the summed probability of all segmentations of one word of any length, for logs[piece, column].
+
+    Sums are carried on to the places where pieces end, so only the places up to the longest piece are held.
+    """
+    open_: dict[int, list[np.ndarray]] = {0: [np.zeros(logs.shape[1])]}
+    now, at = None, -1
+    for i, j, p in pieces.arcs(_START + word):
+        if i != at:
+            at, now = i, np.logaddexp.reduce(open_.pop(i), axis=0)
+        open_.setdefault(j, []).append(now + logs[p])
+    return np.logaddexp.reduce(open_[len(word) + len(_START)], axis=0)
+
+
+def long_expected(word: str, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+    """Expected number of each piece over all segmentations of one word of any length, for logs[piece]."""
+    arcs = list(pieces.arcs(_START + word))
+    n = len(word) + len(_START)
+    ahead, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    ahead[0] = back[n] = 0.0
+    for i, j, p in arcs:
+        ahead[j] = np.logaddexp(ahead[j], ahead[i] + logs[p])
+    for i, j, p in reversed(arcs):
+        back[i] = np.logaddexp(back[i], logs[p] + back[j])
+    first, last, piece = np.array(arcs).T
+    return np.bincount(piece, np.exp(ahead[first] + logs[piece] + back[last] - ahead[n]), minlength=len(logs))
 
 
 class Scorer:
     """Log probabilities of words under each language, remembered by a worker."""
 
     def __init__(self, pieces: dict[str, int], p: np.ndarray):
-        self.pieces, self.p = pieces, p
+        self.pieces, self.p, self.log_p = Pieces(pieces), p, np.log(np.maximum(p, 1e-300))
         self._clear()
 
     def _clear(self) -> None:
         self.known, self.logs = KeyTable(), np.zeros((1 << 15, self.p.shape[1]), np.float32)
 
     def logs_of(self, found: list[str]) -> np.ndarray:
-        parts = [(w, s) for w, word in enumerate(found) for s in _spans(word)]
         out = np.zeros((len(found), self.p.shape[1]))
-        for k in range(0, len(parts), 4096):
-            own = parts[k : k + 4096]
-            lattice = Lattice([s for _, s in own], self.pieces)
-            alpha = lattice.forward(self.p)[np.arange(len(own)), lattice.size]
-            np.add.at(out, [w for w, _ in own], np.log(np.maximum(alpha, 1e-300)))
+        short = [k for k, word in enumerate(found) if len(word) <= TOGETHER]
+        for k in range(0, len(short), 4096):
+            own = short[k : k + 4096]
+            lattice = Lattice([found[w] for w in own], self.pieces)
+            out[own] = np.log(np.maximum(lattice.forward(self.p)[np.arange(len(own)), lattice.size], 1e-300))
+        for k, word in enumerate(found):
+            if len(word) > TOGETHER:
+                out[k] = long_forward(word, self.pieces, self.log_p)
         return out
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +215,7 @@ class Model:
         self.languages, self.pieces, self.p, self.name = languages, pieces, p, uuid.uuid4().hex
 
     def scorer(self) -> Scorer:
-        if self.name not in _workers:
-            _workers.clear()
-            _workers[self.name] = Scorer(self.pieces, self.p)
-        return _workers[self.name]
+        return memory.kept(f"scorer:{self.name}", lambda: Scorer(self.pieces, self.p))
 
 
 def _word_counts(batches):
@@ -193,15 +231,20 @@ def _word_counts(batches):
 def _expectations(held):
     def rows(batches):
         languages, pieces, p = held.value
+        pieces, logs = Pieces(pieces), np.log(np.maximum(p, 1e-300))
         sums = np.zeros((len(languages), len(pieces) + 1))
         for batch in batches:
             lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()], np.int64)
             found, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for k in range(len(languages)):
                 own = np.flatnonzero(lang == k)
-                for at in range(0, len(own), 2048):
-                    part = [(s, n[i]) for i in own[at : at + 2048] for s in _spans(found[i])]
-                    sums[k] += Lattice([s for s, _ in part], pieces).expected(p[:, k], np.array([c for _, c in part], float))
+                short = [i for i in own.tolist() if len(found[i]) <= TOGETHER]
+                for at in range(0, len(short), 2048):
+                    part = short[at : at + 2048]
+                    sums[k] += Lattice([found[i] for i in part], pieces).expected(p[:, k], n[part].astype(float))
+                for i in own.tolist():
+                    if len(found[i]) > TOGETHER:
+                        sums[k] += n[i] * long_expected(found[i], pieces, logs[:, k])
         k, piece = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums[k, piece])], ["k", "piece", "c"])
 
@@ -220,13 +263,13 @@ def fit(labelled: DataFrame, path: str, lang_col: str = "lang", text_col: str =
     if not languages:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, int((1 << 20) * min(1.0, sample / sizes[k])) + 1)])
-    counts = written(rows.where(F.col("h") < share[F.col("lang")]).select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    counts = written(rows.where(F.col("h") < share[F.col("lang")]).select("lang", "text").mapInArrow(memory.lean(_word_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     p = np.full((len(pieces) + 1, len(languages)), 1.0 / len(pieces))
     p[-1] = _UNKNOWN
     for _ in range(rounds):
         held = spark.sparkContext.broadcast((languages, pieces, p))
         sums = np.zeros((len(languages), len(pieces) + 1))
-        for r in counts.mapInArrow(_expectations(held), "k int, piece int, c double").groupBy("k", "piece").agg(F.sum("c").alias("c")).collect():
+        for r in counts.mapInArrow(memory.lean(_expectations(held)), "k int, piece int, c double").groupBy("k", "piece").agg(F.sum("c").alias("c")).collect():
             sums[r.k, r.piece] = r.c
         sums = sums[:, :-1]
         common = (sums.sum(axis=0) + 0.01) / (sums.sum() + 0.01 * len(pieces))
@@ -234,32 +277,39 @@ def fit(labelled: DataFrame, path: str, lang_col: str = "lang", text_col: str =
     return Model(languages, pieces, p)
 
 
-def _predicted(held):
+def _predicted(held, at: int, names: list[str]):
     def rows(batches):
         model = held.value
         for batch in batches:
-            sums, n = model.scorer().texts(batch.column(batch.num_columns - 1))
+            sums, n = model.scorer().texts(batch.column(at))
             if model.languages:
                 best = sums.argmax(axis=1)
                 score = 1.0 / np.exp(np.minimum(sums - sums.max(axis=1, keepdims=True), 0)).sum(axis=1)
                 lang = [model.languages[b] if c else "und" for b, c in zip(best.tolist(), n.tolist(), strict=True)]
             else:
                 lang, score = ["und"] * len(batch), np.zeros(len(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(n > 0, score, 0.0))], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(n > 0, score, 0.0))], [*batch.schema.names, *names])
 
     return rows
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` of every row and (lang_pred, score): the likeliest learned language of the whole text and its posterior.
 
+    ``names`` are the names of the two new columns; ``keep`` mustn't hold them.
+
     Null texts and texts without a letter are ``und`` with a score of 0, as is every text if no language was learned. Rows that
     repeat stay rows, ties go to the first language by name, an empty table gives no rows, and other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*(keep or []), F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", lang_pred string, score double"
-    return rows.mapInArrow(_predicted(held), schema).drop("_text")
+    held, keep = docs.sparkSession.sparkContext.broadcast(model), list(keep or [])
+    # a text that is kept anyway isn't sent twice
+    if text_col in keep and dict(docs.dtypes)[text_col] == "string":
+        rows, at, more = docs.select(*keep), keep.index(text_col), []
+    else:
+        more = [memory.free_name([*keep, *names], "text")]
+        rows, at = docs.select(*keep, F.col(text_col).cast("string").alias(more[0])), len(keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{names[0]}` string, `{names[1]}` double"
+    return rows.mapInArrow(memory.lean(_predicted(held, at, list(names)), keeps=True), schema).drop(*more)
 
 
 def held_out(id_col: str = "doc_id"):
