@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ravelin.llm import histsort
+from ravelin.llm import histsort, memory
 from ravelin.llm.store import filesystem, shared_dir, written
 from ravelin.llm.tokens import encoder
 
@@ -155,13 +155,13 @@ def read_file(data: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np.nda
     return docs, counts, out.reshape(-1)[:n_ids]
 
 
-def _tokenised(path: str, end_id: int, cuts: list[int]):
+def _tokenised(path: str, end_id: int, cuts: histsort.Ranges):
     """Rows (part, doc_id, n, ids) and, from each task, its counts of ids as a row with part -1; ids are zlib-compressed 16- or 32-bit numbers."""
 
     def rows(batches):
-        edges, counts = np.array(cuts, np.int64), np.zeros(1, np.int64)
+        counts = np.zeros(1, np.int64)
         for batch in batches:
-            docs = batch.column(0)
+            docs, ties = batch.column(0), batch.column(2).to_numpy()
             for first, end, ids, at in encoder(path).column(batch.column(1)):
                 ids = ids.astype(np.uint32)
                 own = np.bincount(ids, minlength=end_id + 1)
@@ -169,11 +169,11 @@ def _tokenised(path: str, end_id: int, cuts: list[int]):
                 counts = np.resize(np.pad(counts, (0, max(0, len(own) - len(counts)))), max(len(own), len(counts)))
                 counts[: len(own)] += own
                 who = docs.slice(first, end - first)
-                part = np.searchsorted(edges, who.to_numpy(), side="right")
+                part = cuts.of(who.to_numpy(), ties[first:end])
                 blobs = [zlib.compress(np.append(ids[at[k] : at[k + 1]], end_id).astype("<u4").reshape(-1, 1).view("<u2").T.tobytes(), 1) for k in range(end - first)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), who, pa.array(np.diff(at) + 1, pa.int64()), pa.array(blobs, pa.binary())], ["part", "doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), who, pa.array(ties[first:end]), pa.array(blobs, pa.binary())], ["part", "doc_id", "tie", "ids"])
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["part", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["part", "doc_id", "tie", "ids"])
 
     return rows
 
@@ -252,20 +252,21 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(folder, table, manifest): all documents as token files in ascending id order, with ``end_id`` after each.
 
     The manifest (part, file, n_docs, n_tokens, bytes, crc32) is written last, so that a folder with one is complete.
-    Null texts are empty. Rows that repeat an id follow each other; rows without an id are left out, as they have no place in
+    Null texts are empty. Rows that repeat an id follow each other, by a hash of
+    their texts; rows without an id are left out, as they have no place in
     the order. An empty table gives no files. Other columns are never read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    sizes = written(rows.select("doc_id", F.coalesce(F.octet_length("text") + 16, F.lit(16)).cast("long").alias("size")), "sizes")
-    cuts = histsort.key_ranges(sizes, "doc_id", "size", file_bytes_target)
-    coded = written(rows.mapInArrow(_tokenised(path, end_id, cuts), "part int, doc_id long, n long, ids binary").withColumn("kind", F.when(F.col("part") < 0, 1).otherwise(0)), "ids", ["kind"])
+    rows = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sizes = rows.select("doc_id", "tie", F.coalesce(F.octet_length("text") + 16, F.lit(16)).cast("long").alias("size"))
+    cuts = histsort.key_ranges(sizes, "doc_id", "tie", "size", file_bytes_target)
+    coded = written(rows.mapInArrow(memory.lean(_tokenised(path, end_id, cuts), keeps=True), "part int, doc_id long, tie long, ids binary").withColumn("kind", F.when(F.col("part") < 0, 1).otherwise(0)), "ids", ["kind"])
     sums = coded.where("kind = 1").groupBy("kind").applyInPandas(_summed, "ids binary").collect()
     table = Table.of(np.frombuffer(sums[0].ids, "<i8") if sums else np.zeros(1, np.int64))
     shared, folder = spark.sparkContext.broadcast(table), shared_dir(spark)
-    n = max(len(cuts) + 1, 1)
-    dealt = coded.where("kind = 0").select("part", "doc_id", "ids").repartition(n, "part").sortWithinPartitions("part", "doc_id")
-    manifest = dealt.mapInArrow(_writer(folder, shared), "part int, file string, n_docs long, n_tokens long, bytes long, crc32 long")
+    dealt = coded.where("kind = 0").select("part", "doc_id", "ids", "tie").repartitionById(len(cuts), "part").sortWithinPartitions("part", "doc_id", "tie")
+    manifest = dealt.mapInArrow(memory.lean(_writer(folder, shared)), "part int, file string, n_docs long, n_tokens long, bytes long, crc32 long")
     manifest.write.parquet(posixpath.join(folder, "_manifest"))
     return folder, table, spark.read.schema(manifest.schema).parquet(posixpath.join(folder, "_manifest"))
 
@@ -273,7 +274,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 def read_tokens(spark, folder: str, table: Table, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files of the manifest."""
     held = spark.sparkContext.broadcast(table)
-    # one row for each file: a running sum over names and sizes only
-    files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row for each file: a running sum and number over names and sizes only
+    order = Window.orderBy("part")
+    files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("k", (F.row_number().over(order) - 1).cast("int"))
     count = max(1, manifest.count())
-    return files.select("file", "crc32", "start").repartition(count, "file").mapInArrow(_reader(folder, held), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("file", "crc32", "start", "k").repartitionById(count, "k").mapInArrow(memory.lean(_reader(folder, held)), "doc_id long, start long, n_tokens long, ids_crc32 long")

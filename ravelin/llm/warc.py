@@ -18,8 +18,9 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ravelin.llm import histsort
+from ravelin.llm import histsort, memory
 from ravelin.llm.store import filesystem, shared_dir, written
 
 #: Payloads of fewer bytes are never revisits; payload bytes of a sorted range; compressed bytes after which a file is rolled.
@@ -28,14 +29,14 @@ LEAST_REVISIT, RANGE_BYTES, ROLL_BYTES = 1000, 32 << 20, 16 << 20
 _VERSION, _PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page_id: int, url: str | None, date: str, payload: bytes | None, kind: str, refers_to: int | None, sha1: str, length: int) -> bytes:
+def record(page_id: int, url: str | None, date: str, payload: bytes | None, kind: str, refers_to: int | None, sha1: str, length: int, copy: int = 0) -> bytes:
     """One record: an HTTP response with its payload, or a revisit with the headers only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = http + (payload or b"") if kind == "response" else http
     head = [
         _VERSION,
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{kind}')}>",
+        f"WARC-Record-ID: <urn:uuid:{_name(page_id, kind, sha1, copy)}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_header(url)}",
         "Content-Type: application/http;msgtype=response",
@@ -45,11 +46,16 @@ def record(page_id: int, url: str | None, date: str, payload: bytes | None, kind
         f"X-Payload-Length: {length}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:response')}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:uuid:{_name(refers_to, 'response', sha1, 0)}>", f"X-Refers-To-Page-ID: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _name(page_id: int, kind: str, sha1: str, copy: int) -> uuid.UUID:
+    """A record's id: of its page, kind and payload, and its number among records that are alike in these."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{kind}:{sha1}:{copy}")
+
+
 def _header(value: str | None) -> str:
     """A header's value stays on its line: white space becomes %20."""
     return "%20".join((value or "").split())
@@ -75,7 +81,8 @@ _MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("records",
 
 
 def _writer(folder: str, date: str, roll: int):
-    """Rows (part, page_id, url, html, sha1, refers_to) sorted by part and page: of each page the verdicts (html null) first, then its rows."""
+    """Rows (part, page_id, url, html, sha1, refers_to) sorted by part, page and payload: of each first the verdict (html null), if
+    it is a revisit, then its rows in the order of their addresses."""
 
     def rows(batches):
         from pyspark import TaskContext
@@ -92,14 +99,15 @@ def _writer(folder: str, date: str, roll: int):
             now["file"] = None
             return pa.RecordBatch.from_pylist([row], _MANIFEST)
 
-        known: tuple = (None, {})
+        known, refers, copy = (None, None), None, -1
         for batch in batches:
-            for part, page, url, html, sha1, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if known[0] != (part, page):
-                    known = ((part, page), {})
-                if sha1 is not None:
-                    known[1][sha1] = refers
+            for part, page, url, html, sha1, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if known != (page, sha1):
+                    known, refers, copy = (page, sha1), None, -1
+                if html is None:
+                    refers = verdict
                     continue
+                copy += 1
                 if now["file"] and (now["part"] != part or now["bytes"] >= roll):
                     yield closed()
                 if now["part"] != part:
@@ -109,9 +117,10 @@ def _writer(folder: str, date: str, roll: int):
                     now["out"] = fs.open_output_stream(posixpath.join(root, now["file"] + tag), compression=None)
                 payload = (html or "").encode()
                 digest = hashlib.sha1(payload).hexdigest()
-                first = known[1].get(digest)
-                kind = "revisit" if first is not None and first != page else "response"
-                data = gzipped(record(page, url, date, payload, kind, first if kind == "revisit" else None, digest, len(payload)))
+                if digest != sha1:
+                    raise ValueError(f"page {page}: the payload isn't the one that was judged")
+                kind = "response" if refers is None else "revisit"
+                data = gzipped(record(page, url, date, payload, kind, refers, digest, len(payload), copy))
                 now["out"].write(data)
                 now["sha"].update(data)
                 now["records"] += 1
@@ -122,14 +131,11 @@ def _writer(folder: str, date: str, roll: int):
     return rows
 
 
-def _parted(cuts: list[int]):
+def _parted(cuts: histsort.Ranges):
     def rows(batches):
-        import numpy as np
-
-        edges = np.array(cuts, np.int64)
         for batch in batches:
-            part = np.searchsorted(edges, batch.column(0).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], ["part", *batch.schema.names])
+            part = cuts.of(batch.column(0).to_numpy(), batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns[:5]], ["part", *batch.schema.names[:5]])
 
     return rows
 
@@ -139,19 +145,23 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Of records with equal payloads of 1000 bytes or more, the one with the largest page id is the response and the others are
     revisits of it. A null payload is empty, a null address is an empty header. Rows that repeat an id and a payload are each a
-    record; those with the largest id are all responses. Rows without an id are left out, as they have no place in the order.
+    record with an id of its own; those with the largest page id are all responses. Rows without an id are left out, as they have no place in the order.
     An empty table gives no files. Columns besides the three are never read.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(text_col).cast("string").alias("html")).where("page_id is not null")
     digests, responses = verdicts(pages, "page_id", "html")
-    cuts = histsort.key_ranges(digests.withColumn("w", F.col("payload_bytes") + 300), "page_id", "w", range_bytes)
-    again = digests.select("page_id", "sha1").join(responses, "sha1").where("page_id <> refers_to").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha1", "refers_to").distinct()
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("refers_to"))
-    ddl = "part int, page_id long, url string, html string, sha1 string, refers_to long"
-    dealt = rows.union(again).mapInArrow(_parted(cuts), ddl).repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "page_id", F.col("sha1").isNull(), "sha1", F.coalesce("url", F.lit("")))
+    # ties are cut by a part of the digest, so a page id on many rows doesn't meet in one range
+    tie = lambda sha1: F.conv(F.substring(sha1, 1, 15), 16, 10).cast("long")
+    cuts = histsort.key_ranges(digests.select("page_id", tie("sha1").alias("tie"), (F.col("payload_bytes") + 300).alias("w")), "page_id", "tie", "w", range_bytes)
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
+    # the verdict on a payload of a page goes before its rows, so texts are shuffled once and never joined
+    again = digests.select("page_id", "sha1").join(responses, "sha1").where("page_id < refers_to").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha1", "refers_to").distinct()
+    rows = rows.withColumn("refers_to", F.lit(None).cast("long")).union(again).withColumn("tie", tie("sha1"))
+    placed = rows.mapInArrow(memory.lean(_parted(cuts)), "part int, page_id long, url string, html string, sha1 string, refers_to long")
+    dealt = placed.repartitionById(len(cuts), "part").sortWithinPartitions("part", "page_id", "sha1", F.col("html").isNotNull(), F.coalesce("url", F.lit("")))
     folder = shared_dir(spark)
-    manifest = dealt.mapInArrow(_writer(folder, date, roll_bytes), "part int, file string, records long, bytes long, sha256 string")
+    manifest = dealt.mapInArrow(memory.lean(_writer(folder, date, roll_bytes)), "part int, file string, records long, bytes long, sha256 string")
     manifest.write.parquet(posixpath.join(folder, "_manifest"))
     return folder, spark.read.schema(manifest.schema).parquet(posixpath.join(folder, "_manifest"))
 
@@ -220,7 +230,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_READ)], schema=_READ)
 
 
+def _one_by_one(files: DataFrame) -> DataFrame:
+    """The files of a manifest, one in each task."""
+    numbered = files.withColumn("n", F.row_number().over(Window.orderBy("file")) - 1)
+    return numbered.repartitionById(max(1, files.count()), F.col("n").cast("int")).drop("n")
+
+
 def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, html) of every record of the manifest's files; a revisit's html is null."""
     files = manifest.select("file", "records")
-    return files.repartition(max(1, files.count()), "file").mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    return _one_by_one(files).mapInArrow(memory.lean(_reader(folder)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
