@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import decontam, hostrules, langid, packing, partenum, store
+from ravelin.llm import decontam, hostrules, langid, memory, packing, partenum, store
 from ravelin.llm.queries import vocabulary
 
 #: Posterior of the likeliest language below which a document is rejected.
@@ -17,31 +17,42 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host passes; null texts go."""
+    """Documents that pass the rules and whose host passes; null texts go, repeated rows stay, an empty table stays empty."""
     return hostrules.kept_rows(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter or without a clear language go."""
+    """Documents in a learned language; those without a letter or without a clear language go. Repeated rows stay, and all go if
+    no row has a language to learn."""
     model = langid.fit(docs.where(~langid.held_out()), vocabulary("piece_bpe_32k.model"))
-    found = langid.predict(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    pred, score = (memory.free_name(docs.columns, x) for x in ("pred", "posterior"))
+    found = langid.predict(docs, model, keep=docs.columns, names=(pred, score))
+    return found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; documents without an id stay."""
+    """One document of each group, the one with the smallest id, and of rows with that id the one with the first text; documents
+    without an id stay, as do null and empty texts, and an empty table stays empty."""
     groups = store.written(partenum.jaccard_groups(docs), "groups")
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    twice = store.written(groups.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return rest
+    # minima combine before the shuffle, so an id on many rows is one row of each task
+    first = rest.join(twice, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), "text").alias("row"), F.first(F.struct(*docs.columns)).alias("any"))
+    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).union(first.select(F.coalesce("row", "any").alias("row")).select("row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages: passages are cut out, and documents that are mostly passages go."""
+    """Documents without benchmark passages: passages are cut out, and documents that are mostly passages go. Null and empty texts
+    and repeated rows stay, and an empty table stays empty."""
     clean = decontam.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece; a null text is one piece with the end id, repeated
+    rows are packed each on their own, and an empty table gives no rows."""
     return packing.packed_documents(docs, vocabulary("byte_bpe_50k.json")).drop("certified")
 
 
