@@ -111,19 +111,24 @@ def fan_out(edges: DataFrame, src: str, dst: str, cap: int) -> DataFrame:
     return edges.withColumn("_r", F.row_number().over(Window.partitionBy(src).orderBy(dst))).where(F.col("_r") <= cap).drop("_r")
 
 
-def composition_similarity(items: DataFrame, owner: str, item: str, most_owners: int, top: int) -> DataFrame:
-    """(a, b, shared, similarity): Jaccard similarity of owners by their distinct items, the ``top`` for each.
+def shared_counts(items: DataFrame, owner: str, item: str, block: int = 1000) -> DataFrame:
+    """(a, b, shared): the number of common items of every two owners that have one; each pair both ways.
 
-    Pairs come from shared items. Items of more than ``most_owners`` owners are not expanded into pairs; that is a stated limit
-    of the measure (they are left out of the sets, too), so the result is exact for the sets that remain.
+    Counts are added up before they are shuffled. The owners of an item with more than ``block`` of them meet in blocks, each
+    with all others, so no item is one task's work however many owners it has.
     """
-    own = items.select(owner, item).distinct()
-    usable = own.groupBy(item).agg(F.count("*").alias("_n")).where(F.col("_n") <= most_owners).select(item)
-    own = _cut(own.join(usable, item))
-    sizes = own.groupBy(owner).agg(F.count("*").alias("n"))
-    a, b = own.select(F.col(owner).alias("a"), item), own.select(F.col(owner).alias("b"), item)
-    shared = a.join(b, item).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = shared.join(sizes.select(F.col(owner).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(owner).alias("b"), F.col("n").alias("nb")), "b")
+    own = _cut(items.select(F.col(owner).alias("_o"), F.col(item).alias("_i")).distinct())
+    hot = own.groupBy("_i").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("_n")).where("_n > 1")
+    cut = _cut(own.join(hot, "_i", "left").withColumn("_n", F.coalesce("_n", F.lit(1))))
+    left = cut.select("_i", F.col("_o").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
+    right = cut.select("_i", F.col("_o").alias("b"), F.pmod(F.xxhash64("_o"), F.col("_n")).cast("int").alias("_k"))
+    return left.join(right, ["_i", "_k"]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def composition_similarity(items: DataFrame, owner: str, item: str, top: int) -> DataFrame:
+    """(a, b, shared, similarity, rank): Jaccard similarity of owners by their distinct items, the ``top`` for each."""
+    sizes = items.select(owner, item).distinct().groupBy(owner).agg(F.count("*").alias("n"))
+    out = shared_counts(items, owner, item).join(sizes.select(F.col(owner).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(owner).alias("b"), F.col("n").alias("nb")), "b")
     out = out.withColumn("similarity", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6))
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("a", "b", "shared", "similarity", "rank")

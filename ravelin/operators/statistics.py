@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravelin.operators.numeric import chi2_tail, poisson_interval  # noqa: F401
+from ravelin.operators.ordered import placed, with_totals
+
 
 def concentration(groups: DataFrame, key: str, value: str) -> DataFrame:
     """One row: Herfindahl index, Gini coefficient, share of the largest 4, effective number of groups."""
-    whole = Window.partitionBy()
-    up = Window.orderBy(value, key)
-    s = groups.withColumn("s", F.col(value) / F.sum(value).over(whole)).withColumn("i", F.row_number().over(up)).withColumn("n", F.count("*").over(whole))
+    own = with_totals(groups.select(key, value), all=F.sum(value), n=F.count("*"))
+    s = placed(own, [F.asc(value), F.asc(key)], name="i").withColumn("s", F.col(value) / F.col("all"))
     return s.agg(
         F.round(F.sum(F.col("s") * F.col("s")), 6).alias("hhi"),
         F.round(F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("s")) / F.max("n"), 6).alias("gini"),
@@ -25,96 +27,56 @@ def concentration(groups: DataFrame, key: str, value: str) -> DataFrame:
 
 def homogeneity(groups: DataFrame, key: str, hits: str, total: str) -> DataFrame:
     """(key, expected, residual, chi2): adjusted residuals of a 2 x K table, and its chi-square on every line."""
-    whole = Window.partitionBy()
-    p = F.sum(hits).over(whole) / F.sum(total).over(whole)
-    own = groups.withColumn("p", p).withColumn("all", F.sum(total).over(whole))
+    own = with_totals(groups, p=F.sum(hits) / F.sum(total), all=F.sum(total))
     own = own.withColumn("expected", F.col(total) * F.col("p"))
     own = own.withColumn("d", F.col(hits) - F.col("expected")).withColumn("residual", F.col("d") / F.sqrt(F.col("expected") * (1 - F.col("p")) * (1 - F.col(total) / F.col("all"))))
-    chi2 = F.sum(F.col("d") * F.col("d") / (F.col("expected") * (1 - F.col("p")))).over(whole)
-    return own.select(key, F.round("expected", 6).alias("expected"), F.round("residual", 6).alias("residual"), F.round(chi2, 6).alias("chi2"))
+    own = with_totals(own, chi2=F.sum(F.col("d") * F.col("d") / (F.col("expected") * (1 - F.col("p")))))
+    return own.select(key, F.round("expected", 6).alias("expected"), F.round("residual", 6).alias("residual"), F.round("chi2", 6).alias("chi2"))
+
 
+def chart(series: DataFrame, at: str, count: str, exposure: str, kind: str = "u", baseline: Column | None = None) -> DataFrame:
+    """(at, rate, center, sigma_z, z, low, high, out): control chart whose limits are widened by the spread of the standardised points.
 
-def u_chart(series: DataFrame, at: str, count: str, exposure: str) -> DataFrame:
-    """(at, rate, center, sigma_z, low, high, out): u chart whose limits are widened by the spread of the standardised points."""
-    whole, order = Window.partitionBy(), Window.orderBy(at)
-    own = series.withColumn("rate", F.col(count) / F.col(exposure)).withColumn("center", F.sum(count).over(whole) / F.sum(exposure).over(whole))
-    own = own.withColumn("sigma", F.sqrt(F.col("center") / F.col(exposure))).withColumn("z", (F.col("rate") - F.col("center")) / F.col("sigma"))
-    own = own.withColumn("moved", F.abs(F.col("z") - F.lag("z").over(order))).withColumn("sigma_z", F.greatest(F.avg("moved").over(whole) / 1.128, F.lit(1.0)))
+    ``kind`` is u (counts by exposure), c (counts of equal exposures) or p (shares, which end at 1). The centre and the spread come from
+    the points of ``baseline`` (all, if not given) that have an exposure. A series is bounded by its calendar.
+    """
+    order = Window.orderBy(at)
+    size = F.lit(1.0) if kind == "c" else F.col(exposure)
+    own = series.withColumn("_n", F.when(F.col(exposure) > 0, size)).withColumn("_b", (F.lit(True) if baseline is None else baseline) & F.col("_n").isNotNull())
+    own = with_totals(own, center=F.sum(F.when(F.col("_b"), F.col(count))) / F.sum(F.when(F.col("_b"), F.col("_n"))))
+    spread = F.col("center") * (1 - F.col("center")) if kind == "p" else F.col("center")
+    own = own.withColumn("rate", F.col(count) / F.col("_n")).withColumn("sigma", F.sqrt(spread / F.col("_n"))).withColumn("raw", (F.col("rate") - F.col("center")) / F.col("sigma"))
+    # moving ranges go from one baseline point to the next
+    based = own.where("_b").withColumn("moved", F.abs(F.col("raw") - F.lag("raw").over(order)))
+    own = own.crossJoin(F.broadcast(based.agg(F.greatest(F.coalesce(F.avg("moved") / 1.128, F.lit(1.0)), F.lit(1.0)).alias("sigma_z"))))
     half = 3 * F.col("sigma") * F.col("sigma_z")
     low, high = F.greatest(F.col("center") - half, F.lit(0.0)), F.col("center") + half
-    return own.select(at, *[F.round(c, 6).alias(n) for n, c in (("rate", F.col("rate")), ("center", F.col("center")), ("sigma_z", F.col("sigma_z")), ("low", low), ("high", high))], ((F.col("rate") < low) | (F.col("rate") > high)).alias("out"))
+    high = F.least(high, F.lit(1.0)) if kind == "p" else high
+    own = own.withColumns({"low": low, "high": high, "z": F.col("raw") / F.col("sigma_z")})
+    return own.select(at, *[F.round(n, 6).alias(n) for n in ("rate", "center", "sigma_z", "z", "low", "high")], ((F.col("rate") < F.col("low")) | (F.col("rate") > F.col("high"))).alias("out"))
 
 
-def runs(series: DataFrame, at: str, z: Column) -> DataFrame:
-    """(at, z, beyond, same_side, trend, two_of_three): four run rules over fixed frames."""
+def runs(points: DataFrame, at: str, z: str, rate: str) -> DataFrame:
+    """(at, z, beyond, same_side, trend, two_of_three): four run rules over fixed frames; trends are those of the rates."""
     order = Window.orderBy(at)
-    own = series.withColumn("z", z)
     side = lambda n: Window.orderBy(at).rowsBetween(1 - n, 0)
-    full = lambda n: F.count("z").over(side(n)) == n
-    up, down = (F.col("z") > F.lag("z").over(order)).cast("int"), (F.col("z") < F.lag("z").over(order)).cast("int")
-    own = own.withColumn("up", up).withColumn("down", down)
+    full = lambda n: F.count(z).over(side(n)) == n
+    own = points.withColumn("up", (F.col(rate) > F.lag(rate).over(order)).cast("int")).withColumn("down", (F.col(rate) < F.lag(rate).over(order)).cast("int"))
     return own.select(
         at,
-        F.round("z", 6).alias("z"),
-        (F.abs("z") > 3).alias("beyond"),
-        (full(9) & ((F.min("z").over(side(9)) > 0) | (F.max("z").over(side(9)) < 0))).alias("same_side"),
+        z,
+        (F.abs(z) > 3).alias("beyond"),
+        (full(9) & ((F.min(z).over(side(9)) > 0) | (F.max(z).over(side(9)) < 0))).alias("same_side"),
         (full(6) & ((F.sum("up").over(side(5)) == 5) | (F.sum("down").over(side(5)) == 5))).alias("trend"),
-        (full(3) & ((F.sum((F.col("z") > 2).cast("int")).over(side(3)) >= 2) | (F.sum((F.col("z") < -2).cast("int")).over(side(3)) >= 2))).alias("two_of_three"),
+        (full(3) & (((F.sum((F.col(z) > 2).cast("int")).over(side(3)) >= 2) & (F.col(z) > 2)) | ((F.sum((F.col(z) < -2).cast("int")).over(side(3)) >= 2) & (F.col(z) < -2)))).alias("two_of_three"),
     )
 
 
 def adjusted(tests: DataFrame, key: str, p: str) -> DataFrame:
-    """(key, p, q): Benjamini-Hochberg q values; the running minimum from the largest p down."""
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(p, key))
-    raw = tests.withColumn("raw", F.col(p) * n / rank)
-    down = Window.orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    return raw.select(key, p, F.least(F.min("raw").over(down), F.lit(1.0)).alias("q"))
-
-
-def gamma_q(a: float, x: float) -> float:
-    """Upper regularised incomplete gamma function, by its series or its continued fraction."""
-    if x <= 0:
-        return 1.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > 1e-15 * abs(total):
-            k += 1
-            term *= x / k
-            total += term
-        return 1 - front * total
-    b, c, d = x + 1 - a, 1e300, 1 / (x + 1 - a)
-    h = d
-    for i in range(1, 10_000):
-        an = i * (a - i)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
-
-
-def chi2_tail(x: float, df: float) -> float:
-    return gamma_q(df / 2, x / 2)
-
-
-def _solve(f, low: float, high: float) -> float:
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) > 0 else (low, mid)
-    return (low + high) / 2
-
-
-def poisson_interval(count: int, level: float = 0.95) -> tuple[float, float]:
-    """Exact interval of a Poisson mean."""
-    a = (1 - level) / 2
-    low = 0.0 if count == 0 else _solve(lambda m: a - (1 - gamma_q(count, m)), 0, count)
-    high = _solve(lambda m: gamma_q(count + 1, m) - a, count, count + 20 + 10 * math.sqrt(count + 1))
-    return low, high
+    """(key, p, q): Benjamini-Hochberg q values, the smallest p n / rank from a test on."""
+    own = with_totals(tests.select(key, p), _n=F.count("*"))
+    out = placed(own, [F.asc(p), F.asc(key)], least={"q": F.col(p) * F.col("_n") / F.col("rank")})
+    return out.select(key, p, F.least("q", F.lit(1.0)).alias("q"))
 
 
 def changes(counts: np.ndarray, exposures: np.ndarray, penalty: float, least: int = 3) -> list[int]:
@@ -139,40 +101,167 @@ def changes(counts: np.ndarray, exposures: np.ndarray, penalty: float, least: in
     return out[::-1]
 
 
+def searched(value, start: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """(point, value) where a function of a few parameters is smallest: a simplex that is reflected, stretched or drawn in."""
+    points = [start] + [start + step for step in np.diag(np.full(len(start), 0.5))]
+    scores = [value(x) for x in points]
+    for _ in range(rounds):
+        order = np.argsort(scores, kind="stable")
+        points, scores = [points[i] for i in order], [scores[i] for i in order]
+        if scores[-1] - scores[0] < 1e-10:
+            break
+        mid = np.mean(points[:-1], axis=0)
+        tried = [(s := value(x := mid + f * (points[-1] - mid)), x) for f in (-1.0, -2.0, 0.5)]
+        ahead, far, inner = tried
+        best = min(ahead, far, key=lambda t: t[0]) if ahead[0] < scores[-2] else inner
+        if best[0] < scores[-1]:
+            scores[-1], points[-1] = best
+        else:
+            points = [points[0]] + [(points[0] + x) / 2 for x in points[1:]]
+            scores = [scores[0]] + [value(x) for x in points[1:]]
+    k = int(np.argmin(scores))
+    return points[k], scores[k]
+
+
 def weibull(units: np.ndarray, horizon: np.ndarray, fails: list[np.ndarray]) -> tuple[float, float]:
-    """(shape, scale) by maximum likelihood from cohorts: units at risk, ages observed, failures at ages 0, 1, ... (grouped by age)."""
+    """(shape, scale) by maximum likelihood from cohorts that begin at one time: units at risk, ages observed, failures at ages 0, 1, ..."""
 
-    def minus_log(shape: float, scale: float) -> float:
+    def minus_log(theta: np.ndarray) -> float:
+        shape, scale = np.exp(theta)
         out = 0.0
         for n, h, f in zip(units, horizon, fails, strict=True):
-            t = np.arange(int(h) + 1)
-            cdf = 1 - np.exp(-((t / scale) ** shape))
-            p = np.clip(np.diff(cdf), 1e-300, None)
-            out -= float((f[: len(p)] * np.log(p)).sum()) + (n - f[: len(p)].sum()) * math.log(max(1 - cdf[-1], 1e-300))
+            reached = -np.expm1(-((np.arange(int(h) + 1) / scale) ** shape))
+            share = np.clip(np.diff(reached), 1e-300, None)
+            out -= float((f[: len(share)] * np.log(share)).sum()) + (n - f[: len(share)].sum()) * math.log(max(1 - reached[-1], 1e-300))
         return out
 
-    # a simplex search over the logs of both parameters
-    points = [np.array(x, float) for x in ((0.0, 3.0), (0.5, 3.0), (0.0, 4.0))]
-    value = lambda x: minus_log(math.exp(x[0]), math.exp(x[1]))
-    scores = [value(x) for x in points]
-    for _ in range(300):
-        order = np.argsort(scores)
-        points, scores = [points[i] for i in order], [scores[i] for i in order]
-        mid = (points[0] + points[1]) / 2
-        for factor in (1.0, 2.0, -0.5):
-            new = mid + factor * (mid - points[2])
-            s = value(new)
-            if factor == 1.0 and s < scores[0]:
-                further = mid + 2 * (mid - points[2])
-                if value(further) < s:
-                    new, s = further, value(further)
-            if s < scores[2] and factor != 2.0:
-                points[2], scores[2] = new, s
-                break
-        else:
-            points = [points[0], (points[0] + points[1]) / 2, (points[0] + points[2]) / 2]
-            scores = [value(x) for x in points]
-        if abs(scores[2] - scores[0]) < 1e-10:
+    (shape, scale), _ = searched(minus_log, np.array([0.0, 3.0]))
+    return math.exp(shape), math.exp(scale)
+
+
+class Life:
+    """A Weibull life fitted to failures by age: of all units, or of a share of them that can fail at all (``defective``).
+
+    Within a cohort units begin evenly over a period, so a unit has reached age a in period a with the mean of the distribution over
+    the period. ``failures[a]`` are counts by age, ``horizons`` the last age seen of each cohort and ``left`` its units without a failure.
+    """
+
+    def __init__(self, failures: np.ndarray, horizons: np.ndarray, left: np.ndarray, defective: bool):
+        self.failures, self.horizons, self.left, self.defective = failures, horizons, left, defective
+        mean = (failures * np.arange(1, len(failures) + 1)).sum() / max(failures.sum(), 1)
+        start = np.array([0.0, math.log(max(2 * mean, 1.0))] + ([0.0] if defective else []))
+        self.theta, loss = searched(self._loss, start)
+        self.log_likelihood = -loss
+
+    @staticmethod
+    def unpacked(theta: np.ndarray) -> tuple[float, float, float]:
+        """(shape, scale, share that can fail)"""
+        return math.exp(min(theta[0], 5)), math.exp(min(theta[1], 30)), 1 / (1 + math.exp(-theta[2])) if len(theta) > 2 else 1.0
+
+    @staticmethod
+    def cumulative(ages: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """Failed share of a cohort at the end of each age, by the midpoint rule on 16 parts of a period."""
+        shape, scale, share = Life.unpacked(theta)
+        inside = (np.arange(16) + 0.5) / 16
+        return share * -np.expm1(-(((ages[:, None] + inside) / scale) ** shape)).mean(axis=1)
+
+    def _loss(self, theta: np.ndarray) -> float:
+        failed = np.diff(self.cumulative(np.arange(len(self.failures), dtype=float), theta), prepend=0.0)
+        stay = 1 - self.cumulative(self.horizons.astype(float), theta)
+        return -float((self.failures * np.log(np.maximum(failed, 1e-300))).sum() + (self.left * np.log(np.maximum(stay, 1e-300))).sum())
+
+    def life(self, share: float, theta: np.ndarray | None = None) -> float | None:
+        """The age at which ``share`` of the units has failed; none, if it never does."""
+        shape, scale, most = self.unpacked(self.theta if theta is None else theta)
+        return scale * (-math.log1p(-share / most)) ** (1 / shape) if share < most else None
+
+    def covariance(self) -> np.ndarray | None:
+        """Of the parameters, from the curvature of the likelihood; none where it isn't bent in all directions."""
+        k, step = len(self.theta), 1e-3
+        at = lambda *moves: self._loss(self.theta + sum(step * sign * np.eye(k)[i] for i, sign in moves))
+        bend = np.array([[(at((i, 1), (j, 1)) - at((i, 1), (j, -1)) - at((i, -1), (j, 1)) + at((i, -1), (j, -1))) / (4 * step * step) for j in range(k)] for i in range(k)])
+        values = np.linalg.eigvalsh(bend)
+        return np.linalg.inv(bend) if values[0] > 1e-10 * values[-1] else None
+
+    def life_interval(self, share: float, width: float = 1.959964) -> tuple[float, float] | None:
+        """Of ``life``, by the slopes of its logarithm."""
+        middle, spread = self.life(share), self.covariance()
+        if middle is None or spread is None:
+            return None
+        slopes = []
+        for step in np.eye(len(self.theta)) * 1e-4:
+            up, down = self.life(share, self.theta + step), self.life(share, self.theta - step)
+            if up is None or down is None:
+                return None
+            slopes.append((math.log(up) - math.log(down)) / 2e-4)
+        half = width * math.sqrt(max(float(np.array(slopes) @ spread @ np.array(slopes)), 0.0))
+        return middle * math.exp(-half), middle * math.exp(half)
+
+
+def best_life(failures: np.ndarray, horizons: np.ndarray, left: np.ndarray) -> tuple[Life, float]:
+    """(life, p): the defective model where its likelihood is larger by more than chance gives (5 %; the share is at its bound), else the plain one."""
+    plain, other = (Life(failures, horizons, left, x) for x in (False, True))
+    p = chi2_tail(max(2 * (other.log_likelihood - plain.log_likelihood), 0.0), 1) / 2
+    return (other if p < 0.05 else plain), p
+
+
+def season_index(counts: np.ndarray, exposures: np.ndarray, season: np.ndarray, length: int) -> np.ndarray:
+    """Expected ratio of each season to the level: medians of the points' ratios to the median of a year around them, with mean 1."""
+    rate = counts / np.maximum(exposures, 1e-300)
+    half = length // 2
+    level = np.array([np.median(rate[max(0, k - half) : k + half + 1]) for k in range(len(rate))])
+    ratio = np.where(level > 0, rate / np.maximum(level, 1e-300), 1.0)
+    index = np.array([np.median(ratio[season == s]) if (season == s).any() else 1.0 for s in range(length)])
+    return np.maximum(index / max(index.mean(), 1e-300), 1e-6)
+
+
+def seasonal_changes(counts: np.ndarray, exposures: np.ndarray, season: np.ndarray, length: int, penalty: float, rounds: int = 10) -> tuple[list[int], np.ndarray]:
+    """(change points, season index): seasons and levels in turn, each with the other taken out, until the change points stay."""
+    index, found = season_index(counts, exposures, season, length) if len(counts) >= 2 * length else np.ones(length), None
+    for _ in range(rounds):
+        now = changes(counts, exposures * index[season], penalty)
+        if now == found:
             break
-    best = points[int(np.argmin(scores))]
-    return math.exp(best[0]), math.exp(best[1])
+        found = now
+        if len(counts) < 2 * length:
+            break
+        level = np.zeros(len(counts))
+        for a, b in zip([0, *now], [*now, len(counts)], strict=True):
+            level[a:b] = counts[a:b].sum() / max((exposures[a:b] * index[season[a:b]]).sum(), 1e-300)
+        index = season_index(counts, exposures * np.maximum(level, 1e-300), season, length)
+    return found or [], index
+
+
+def linked_groups(shapes: np.ndarray, most: int = 10) -> tuple[np.ndarray, float]:
+    """(group of each row, silhouette): rows joined by average distance of cosines, cut where the silhouette is best."""
+    size = np.linalg.norm(shapes, axis=1, keepdims=True)
+    unit = shapes / np.where(size > 0, size, 1)
+    apart = np.clip(1 - unit @ unit.T, 0, None)
+    np.fill_diagonal(apart, 0)
+    n = len(apart)
+    member = np.eye(n, dtype=bool)
+    best = (np.zeros(n, np.int64), -1.0)
+    while len(member) > 2:
+        sizes = member.sum(axis=1)
+        mean = member @ apart @ member.T / np.outer(sizes, sizes)
+        np.fill_diagonal(mean, np.inf)
+        a, b = sorted(divmod(int(mean.argmin()), len(mean)))
+        member[a] |= member[b]
+        member = np.delete(member, b, axis=0)
+        if len(member) <= min(most, n - 1):
+            group = member.argmax(axis=0)
+            sums = apart @ member.T
+            sizes = member.sum(axis=1)
+            own = sums[np.arange(n), group] / np.maximum(sizes[group] - 1, 1)
+            others = np.where(np.arange(len(member)) == group[:, None], np.inf, sums / sizes).min(axis=1)
+            score = float(np.where(sizes[group] > 1, (others - own) / np.maximum(np.maximum(own, others), 1e-300), 0).mean())
+            if score >= best[1]:
+                best = group, score
+    return best
+
+
+def ppmi(table: np.ndarray) -> np.ndarray:
+    """Positive pointwise mutual information of a table of counts."""
+    total = table.sum()
+    expected = np.outer(table.sum(axis=1), table.sum(axis=0)) / max(total, 1)
+    return np.maximum(np.log(np.where((table > 0) & (expected > 0), table / np.maximum(expected, 1e-300), 1.0)), 0)

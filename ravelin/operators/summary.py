@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravelin.operators.ordered import placed, with_totals
+
 MEASURES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
@@ -54,9 +56,8 @@ def shares(groups: DataFrame, within: list[str], value: str = "n") -> DataFrame:
 
 def pareto(groups: DataFrame, key: str, value: str) -> DataFrame:
     """Cumulative share and class (A to 80, B to 95, C) of grouped values, largest first."""
-    order = Window.orderBy(F.desc(value), key)
-    upto = F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(Window.partitionBy())
-    out = groups.withColumn("rank", F.row_number().over(order)).withColumn("cumulative", F.round(100 * upto, 6))
+    out = placed(with_totals(groups, _all=F.sum(value)), [F.desc(value), F.asc(key)], {"cumulative": F.col(value)})
+    out = out.withColumn("rank", F.col("rank").cast("int")).withColumn("cumulative", F.round(100 * F.col("cumulative") / F.col("_all"), 6)).drop("_all")
     return out.withColumn("class", F.when(F.col("cumulative") <= 80, "A").when(F.col("cumulative") <= 95, "B").otherwise("C"))
 
 

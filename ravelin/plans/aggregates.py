@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ravelin.functions.scalars import bucket, folded, period_label
 from ravelin.operators import graphs, summary
 from ravelin.operators.relations import best_linked, fill_ratio
+from ravelin.operators.ordered import placed
 from ravelin.plans.registry import RECORDS, TREE, question
 
 c = F.col
@@ -187,7 +188,7 @@ def _(t):
 
 @question("win_rank", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey)::INT AS rank FROM supplier")
 def _(t):
-    return t.supplier.select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("rank"))
+    return placed(t.supplier.select("s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), F.asc("s_suppkey")]).select("s_suppkey", c("rank").cast("int").alias("rank"))
 
 
 @question("win_moving_range", "SELECT month, n, abs(n - lag(n) OVER (ORDER BY month)) AS moved FROM (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders GROUP BY 1)")

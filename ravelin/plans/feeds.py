@@ -20,31 +20,38 @@ def _(t):
     return t.lineitem.where(c("l_shipdate") > F.lit("2001-06-01").cast("timestamp")).select("l_orderkey", "l_partkey", (c("l_linestatus") == "F").alias("cut"))
 
 
-@question("metric_audit_periods", "SELECT DISTINCT date_trunc('month', l_shipdate)::DATE AS period FROM lineitem WHERE l_orderkey % 500 = 0")
+@question("metric_audit_periods", "SELECT DISTINCT date_trunc('month', d)::DATE AS period FROM (SELECT l_shipdate AS d FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_shipdate + INTERVAL 40 DAY FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F')")
 def _(t):
-    # periods before and after an edit, from a log of JSON snapshots
-    log = t.lineitem.where("l_orderkey % 500 = 0").select(F.to_json(F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"))).alias("before"))
-    return log.select(F.to_date(F.date_trunc("month", F.to_date(F.get_json_object("before", "$.d")))).alias("period")).distinct()
+    # an edit touches the periods of its values before and after; a deletion has no value after. The log holds both as JSON
+    snap = lambda d: F.to_json(F.struct(F.date_format(d, "yyyy-MM-dd").alias("d")))
+    log = t.lineitem.where("l_returnflag = 'R'").select(snap("l_shipdate").alias("before"), F.when(c("l_linestatus") == "F", snap(c("l_shipdate") + F.expr("interval 40 days"))).alias("after"))
+    both = log.select(F.explode(F.array("before", "after")).alias("side")).where("side is not null")
+    return both.select(F.to_date(F.date_trunc("month", F.to_date(F.get_json_object("side", "$.d")))).alias("period")).distinct()
 
 
-@question("metric_foreign_change", "SELECT max(ts) AS last FROM events")
+@question("metric_foreign_change", "SELECT 'customer' AS type, (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus = 'F') AS last, (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus = 'F') > TIMESTAMP '1999-01-01' AS foreign UNION ALL SELECT 'part', (SELECT max(l_shipdate) FROM lineitem WHERE l_returnflag = 'N'), (SELECT max(l_shipdate) FROM lineitem WHERE l_returnflag = 'N') > TIMESTAMP '1999-01-01'")
 def _(t):
-    return t.events.agg(F.max("ts").alias("last"))
+    # a refresh isn't incremental if another type that the metric reads has changed since the last one
+    last = t.orders.where("o_orderstatus = 'F'").agg(F.max("o_orderdate").alias("last")).select(F.lit("customer").alias("type"), "last")
+    last = last.union(t.lineitem.where("l_returnflag = 'N'").agg(F.max("l_shipdate").alias("last")).select(F.lit("part").alias("type"), "last"))
+    return last.withColumn("foreign", c("last") > F.lit("1999-01-01").cast("timestamp_ntz"))
 
 
-@question("stream_watermark", "SELECT max(ts) - INTERVAL 1 HOUR AS watermark FROM events")
+@question("stream_watermark", "SELECT least(max(ts), min(CASE WHEN event_type = 'error' AND ts > TIMESTAMP '2024-01-28' THEN ts END)) AS watermark FROM events")
 def _(t):
-    return t.events.agg((F.max("ts") - F.expr("interval 1 hour")).alias("watermark"))
+    # the earliest time that no open transaction can still fall before: the begin of the oldest open one, else the latest time
+    open_ = (c("event_type") == "error") & (c("ts") > F.lit("2024-01-28").cast("timestamp_ntz"))
+    return t.events.agg(F.least(F.max("ts"), F.min(F.when(open_, c("ts")))).alias("watermark"))
 
 
 @question("stream_tumbling", "SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def _(t):
-    return events.settled(events.tumbling(events.stream(t.spark, t.folder), "ts", "1 day", "2 days", ["event_type"]), "tumbling")
+    return events.settled(events.tumbling(events.stream(t.spark, t.folder), "ts", "1 day", "2 days", ["event_type"]), "tumbling", "update", ["start", "end", "event_type"])
 
 
 @question("stream_sliding", "SELECT s AS start, s + INTERVAL 2 DAY AS \"end\", count(*) AS n FROM (SELECT date_trunc('day', ts) - to_days(k::INT) AS s FROM events, range(2) r(k)) GROUP BY 1")
 def _(t):
-    return events.settled(events.sliding(events.stream(t.spark, t.folder), "ts", "2 days", "1 day", "2 days", []), "sliding")
+    return events.settled(events.sliding(events.stream(t.spark, t.folder), "ts", "2 days", "1 day", "2 days", []), "sliding", "update", ["start", "end"])
 
 
 @question("stream_session", "SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", user_id, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, ts, (ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR)::INT AS new FROM events)) GROUP BY user_id, coalesce(g, 0)")
@@ -52,7 +59,7 @@ def _(t):
     return events.settled(events.sessions(events.stream(t.spark, t.folder), "ts", "6 hours", "1 day", ["user_id"]), "sessions")
 
 
-@question("stream_upsert", "SELECT DISTINCT user_id, event_type FROM events")
+@question("stream_upsert", "SELECT user_id, event_type, event_id AS last_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def _(t):
-    rows = events.timed(events.stream(t.spark, t.folder), "ts").withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    return events.settled(rows.select("user_id", "event_type"), "upsert", "append")
+    # the newest row of each external id replaces the stored one; a batch that is sent again changes nothing
+    return events.upserted(events.stream(t.spark, t.folder), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", c("event_id").alias("last_id"), "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ravelin.functions.scalars import bigrams
-from ravelin.operators import vectors
+from ravelin.operators import graphs, vectors
 from ravelin.operators.relations import contains
 from ravelin.plans.registry import question
 
@@ -69,7 +69,7 @@ def _(t):
 @question("search_similar", "WITH s AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS tag FROM customer WHERE c_acctbal > 9000) SELECT a.n AS a, b.n AS b, count(*) AS shared FROM s a JOIN s b ON a.tag = b.tag AND a.n < b.n GROUP BY 1, 2")
 def _(t):
     own = t.customer.where("c_acctbal > 9000").select(c("c_nationkey").alias("n"), c("c_mktsegment").alias("tag")).distinct()
-    return own.withColumnRenamed("n", "a").join(own.withColumnRenamed("n", "b"), "tag").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return graphs.shared_counts(own, "n", "tag").where("a < b")
 
 
 _ASKED = "(VALUES (1, 'BLUE bolt'), (2, '17'), (3, 'Brand#3'), (4, 'nothing at all')) AS q(id, asked)"
@@ -87,7 +87,7 @@ def resolve(t):
 question("resolve_many", f"SELECT id, coalesce((SELECT min(p_partkey) FROM part WHERE p_partkey::VARCHAR = asked), (SELECT min(p_partkey) FROM part WHERE lower(p_name) = lower(asked)), (SELECT min(p_partkey) FROM part WHERE lower(p_brand) = lower(asked))) IS NOT NULL AS resolved FROM {_ASKED}")(lambda t: resolve(t).select("id", c("found").isNotNull().alias("resolved")))
 
 
-@question("alias_lookup", "SELECT p_partkey, n_nationkey FROM part JOIN nation ON lower(replace(n_name, '_', ' ')) = 'nation ' || (p_partkey % 25) WHERE p_partkey < 100")
+@question("alias_lookup", "SELECT p_partkey, n_nationkey FROM part JOIN nation ON lower(replace(n_name, '_', ' ')) = 'nation ' || (p_partkey % 25)")
 def _(t):
     alias = t.nation.select("n_nationkey", F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("k"))
-    return t.part.where("p_partkey < 100").withColumn("k", F.concat(F.lit("nation "), (c("p_partkey") % 25).cast("string"))).join(F.broadcast(alias), "k").select("p_partkey", "n_nationkey")
+    return t.part.withColumn("k", F.concat(F.lit("nation "), (c("p_partkey") % 25).cast("string"))).join(alias, "k").select("p_partkey", "n_nationkey")

@@ -47,9 +47,9 @@ for _name in ("fn_norm_key", "fn_compare_key"):
     question(_name, f"SELECT id, lower(regexp_replace(trim(v), '\\s+', ' ', 'g')) AS k FROM {_TEXTS}")(lambda t: texts(t).select("id", scalars.norm_key(c("v")).alias("k")))
 
 
-@question("fn_search_words", "SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(lower(text[1:200]), ' ')) AS w FROM documents) WHERE length(w) >= 2")
+@question("fn_search_words", "SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents) WHERE length(w) >= 2")
 def _(t):
-    return t.documents.select("doc_id", F.explode(F.split(F.lower(F.substring("text", 1, 200)), " ")).alias("w")).where(F.length("w") >= 2).distinct()
+    return t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).where(F.length("w") >= 2).distinct()
 
 
 @question("fn_bucket", "SELECT event_id, ts::DATE AS day, date_trunc('week', ts)::DATE AS week, date_trunc('month', ts)::DATE AS month, date_trunc('quarter', ts)::DATE AS quarter, date_trunc('year', ts)::DATE AS year FROM events")

@@ -15,7 +15,8 @@ def stream(spark: SparkSession, folder: str, table: str = "events") -> DataFrame
 
 
 def windowed(rows: DataFrame, at: str, late: str, window: Column, keys: list[str]) -> DataFrame:
-    """Counts by event-time window; rows later than ``late`` behind the watermark are left out, and state before it is dropped."""
+    """Counts by event-time window; rows later than ``late`` behind the watermark are left out, and in update or append mode (see
+    ``settled``) the state of windows before it is dropped."""
     counts = timed(rows, at).withWatermark(at, late).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"))
     return counts.select(*[F.col(f"w.{k}").cast("timestamp_ntz").alias(k) for k in ("start", "end")], *keys, "n")
 
@@ -37,8 +38,33 @@ def sessions(rows: DataFrame, at: str, gap: str, late: str, keys: list[str]) ->
     return windowed(rows, at, late, F.session_window(at, gap), keys)
 
 
-def settled(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is available now, run to its end, as a table of its own; a rerun goes on from the stream's checkpoint."""
+def upserted(rows: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
+    """A stream merged into a table: of each key the row with the largest ``newest``, after all that is available now.
+
+    Every micro-batch is reduced to one row a key, joined with the stored version and written as the next one; a batch that runs again
+    after a failure reads the same version and writes the same rows. The stream itself keeps no state.
+    """
+    spark, place = rows.sparkSession, scratch(rows.sparkSession)
+    fields = [c for c in rows.columns if c not in key]
+    best = F.max_by(F.struct(*fields), F.struct(*newest)).alias("_b")
+
+    done: list[int] = []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        done.append(number)
+        stored = batch if number == 0 else batch.unionByName(spark.read.schema(rows.schema).parquet(f"{place}/{number - 1}"))
+        stored.groupBy(*key).agg(best).select(*key, "_b.*").select(*rows.columns).write.mode("overwrite").parquet(f"{place}/{number}")
+
+    run = rows.writeStream.option("checkpointLocation", f"{place}/state").foreachBatch(merge).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{place}/{max(done)}") if done else spark.createDataFrame([], rows.schema)
+
+
+def settled(result: DataFrame, name: str, mode: str = "complete", key: list[str] | None = None) -> DataFrame:
+    """All that is available now, run to its end, as a table of its own; a rerun goes on from the stream's checkpoint.
+
+    In update mode each micro-batch's rows are written on their own, and of each ``key`` the row of the last batch counts.
+    """
     spark = result.sparkSession
     place = scratch(spark)
     if mode == "append":
@@ -47,8 +73,12 @@ def settled(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
         return spark.read.schema(result.schema).parquet(f"{place}/{name}")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/{name}")
+        batch.write.mode("overwrite").parquet(f"{place}/{name}/_batch={number}" if mode == "update" else f"{place}/{name}")
 
     run = result.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{place}/{name}")
+    if mode != "update":
+        return spark.read.schema(result.schema).parquet(f"{place}/{name}")
+    found = spark.read.schema(f"{result.schema.toDDL()}, `_batch` int").parquet(f"{place}/{name}")
+    rest = [c for c in result.columns if c not in key]
+    return found.groupBy(*key).agg(*[F.max_by(c, "_batch").alias(c) for c in rest]).select(*result.columns)

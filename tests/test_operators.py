@@ -77,3 +77,115 @@ def test_weibull_is_recovered():
         fails.append(np.bincount(own[own < h], minlength=h)[:h].astype(float))
     shape, scale = statistics.weibull(np.array(units), np.array(horizon), fails)
     assert shape == pytest.approx(1.5, abs=0.05) and scale == pytest.approx(20, rel=0.03)
+
+
+def test_tails_match_sums():
+    import math
+    import random
+
+    from ravelin.operators import numeric
+
+    rng = random.Random(4)
+    for _ in range(60):
+        n, p = rng.randrange(1, 60), rng.uniform(0.02, 0.98)
+        k = rng.randrange(n + 1)
+        pmf = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+        assert numeric.binomial_p(k, n, p) == pytest.approx(min(1.0, sum(x for x in pmf if x <= pmf[k] * (1 + 1e-7))), abs=1e-9)
+        assert numeric.beta_cdf(k + 1, n - k, p) == pytest.approx(sum(pmf[k + 1 :]), abs=1e-12) if k < n else True
+        marked, drawn = rng.randrange(n + 1), rng.randrange(n + 1)
+        tail = sum(math.comb(marked, i) * math.comb(n - marked, drawn - i) for i in range(k, drawn + 1)) / math.comb(n, drawn)
+        assert numeric.hypergeometric_tail(k, n, marked, drawn) == pytest.approx(tail, abs=1e-12)
+        q = rng.uniform(0.01, 0.99)
+        assert numeric.beta_cdf(2.5, 7.0, numeric.beta_quantile(q, 2.5, 7.0)) == pytest.approx(q, abs=1e-9)
+        assert numeric.gamma_q(3.5, 2 * numeric.gamma_quantile(q, 3.5, 2.0)) == pytest.approx(1 - q, abs=1e-9)
+    assert numeric.normal_cdf(1.959964) == pytest.approx(0.975, abs=1e-6)
+    assert numeric.chi2_tail(3.841459, 1) == pytest.approx(0.05, abs=1e-6)
+    low, high = numeric.poisson_interval(5)
+    assert (low, high) == (pytest.approx(1.6235, abs=1e-4), pytest.approx(11.6683, abs=1e-4))
+
+
+def test_lives_are_found_again():
+    import numpy as np
+
+    from ravelin.operators.statistics import Life, best_life
+
+    rng = np.random.default_rng(3)
+    for share in (1.0, 0.2):
+        horizons = np.arange(4, 40)
+        failures, left = np.zeros(40), []
+        for h in horizons:
+            ages = np.floor(rng.random(4000) + 13.14 * rng.weibull(1.5, 4000))
+            ages = ages[(rng.random(4000) < share) & (ages <= h)].astype(int)
+            failures += np.bincount(ages, minlength=40)
+            left.append(4000 - len(ages))
+        best, p = best_life(failures, horizons, np.array(left, float))
+        shape, scale, found = Life.unpacked(best.theta)
+        assert shape == pytest.approx(1.5, abs=0.1) and scale == pytest.approx(13.14, rel=0.1)
+        assert best.defective == (share < 1) and found == pytest.approx(share, abs=0.02)
+        low, high = best.life_interval(0.1)
+        assert low < best.life(0.1) < high < 1.2 * low
+        assert (best.life(0.5) is None) == (share < 0.5)
+
+
+def test_change_points_match_all_partitions():
+    import itertools
+    import math
+
+    import numpy as np
+
+    from ravelin.operators.statistics import changes, seasonal_changes
+
+    rng = np.random.default_rng(6)
+
+    def cost(c, e):
+        return -2 * c * math.log(c / e) if c > 0 else 0.0
+
+    for _ in range(10):
+        counts, exposures = rng.poisson(np.where(np.arange(13) < 6, 4, 12)).astype(float), rng.uniform(0.5, 2, 13)
+        ways = [w for k in range(4) for w in itertools.combinations(range(3, 11), k) if all(b - a >= 3 for a, b in zip((0, *w), (*w, 13), strict=True))]
+        total = lambda w: sum(cost(counts[a:b].sum(), exposures[a:b].sum()) for a, b in zip((0, *w), (*w, 13), strict=True)) + 5 * len(w)
+        assert total(tuple(changes(counts, exposures, 5.0))) == pytest.approx(min(map(total, ways)))
+    season = np.arange(72) % 12
+    level = np.where(np.arange(72) < 40, 50, 100) * (1 + 0.5 * np.sin(2 * np.pi * season / 12))
+    found, index = seasonal_changes(rng.poisson(level).astype(float), np.ones(72), season, 12, 3 * math.log(72))
+    assert len(found) == 1 and abs(found[0] - 40) <= 2 and index[3] > 1.3 > 0.8 > index[9]
+
+
+def test_rows_of_one_shape_are_one_group():
+    import numpy as np
+
+    from ravelin.operators.statistics import linked_groups, ppmi
+
+    table = np.array([[90, 5, 5], [45, 3, 2], [5, 80, 15], [4, 70, 16], [6, 10, 84.0]])
+    group, score = linked_groups(ppmi(table))
+    assert group[0] == group[1] and group[2] == group[3] and len(set(group)) == 3 and score > 0.5
+
+
+def test_places_and_sums_over_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from ravelin.operators.ordered import placed
+
+    rows = [(k, (k * 7919) % 1000) for k in range(2500)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = placed(df, [F.desc("v"), F.asc("k")], {"run": F.col("v")}, {"low": F.col("v") * 1000 + F.col("rank")}).orderBy("rank").collect()
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert [(r.k, r.v) for r in got] == want and [r["rank"] for r in got] == list(range(1, 2501))
+    run, low = 0, []
+    for r in got:
+        run += r.v
+        assert r.run == run
+    values = [r.v * 1000 + r["rank"] for r in got]
+    for v in reversed(values):
+        low.append(min([v, *low[-1:]]))
+    assert [r.low for r in got] == low[::-1]
+    assert placed(df.where("false"), [F.asc("k")]).collect() == []
+
+
+def test_shared_counts_split_hot_items(spark):
+    from ravelin.operators.graphs import shared_counts
+
+    rows = [(o, 0) for o in range(60)] + [(o, 1 + o % 7) for o in range(60)] + [(3, 0)]
+    df = spark.createDataFrame(rows, "o long, i long")
+    got = {(r.a, r.b): r.shared for r in shared_counts(df, "o", "i", block=8).collect()}
+    assert got == {(a, b): 1 + (a % 7 == b % 7) for a in range(60) for b in range(60) if a != b}
