@@ -29,10 +29,24 @@ def numeric(c: Column) -> Column:
 
 
 def guarded_date(c: Column) -> Column:
-    """Date of a text that begins with YYYY-MM-DD or YYYYMMDD, or null; never an error."""
-    head = F.substring(F.translate(F.substring(c, 1, 10), "-", ""), 1, 8)
-    shaped = c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}") | c.rlike(r"^[0-9]{8}")
-    return F.when(shaped, F.try_to_date(head, "yyyyMMdd"))
+    """Date of a text that begins with one in either notation, with dashes or without; null for others and for days that don't exist."""
+    dashed, plain = (F.regexp_extract(c, f"^({p})", 1) for p in ("[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{8}"))
+    return F.coalesce(F.try_to_date(dashed, "yyyy-MM-dd"), F.try_to_date(plain, "yyyyMMdd"))
+
+
+def date_or_null(c: Column, kind: str) -> Column:
+    """A date of any column: dates and times as they are, texts as ``guarded_date`` reads them."""
+    return F.to_date(c) if kind.startswith(("date", "timestamp")) else guarded_date(c.cast("string"))
+
+
+def free_datetime(c: Column) -> Column:
+    """Time of a text: a date in any notation alone (midnight) or with a clock behind T or a blank; a text with a zone has none."""
+    text = F.trim(c)
+    parts = [F.regexp_extract(text, r"^([^ T]+)[ T]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.][0-9]+)?)?$", k) for k in (1, 2, 3, 4)]
+    day, hour, minute, second = free_date(parts[0]), *(F.when(p == "", "0").otherwise(p).cast("int") for p in parts[1:])
+    good = day.isNotNull() & (parts[1] != "") & (hour < 24) & (minute < 60) & (second < 60)
+    at = F.when(good, F.to_timestamp_ntz(F.concat(day.cast("string"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":"), F.lpad(second.cast("string"), 2, "0")), F.lit("yyyy-MM-dd HH:mm:ss")))
+    return F.coalesce(at, F.when(~text.contains(":"), free_date(text).cast("timestamp_ntz")))
 
 
 def free_date(c: Column) -> Column:
@@ -86,11 +100,6 @@ def bigrams(c: Column) -> Column:
     return F.when(F.length(low) >= 2, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
 
 
-def norm_key(c: Column) -> Column:
-    """Comparison key: blanks collapsed, trimmed, lower case (compatibility forms are left to ``ravelin.functions.text``)."""
-    return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-
-
 def mask(c: Column) -> Column:
     """Shape of a value: capital letters A, small letters a, digits 9."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "9")
@@ -107,3 +116,30 @@ def rung(c: Column, steps: list[tuple[float, str]], below: str) -> Column:
     for at, label in sorted(steps):
         out = F.when(c >= at, F.lit(label)).otherwise(out)
     return F.when(c.isNotNull(), out)
+
+
+def required(c: Column) -> Column:
+    return F.when(missing(c), "required")
+
+
+def in_range(c: Column, low: float | None = None, high: float | None = None) -> Column:
+    """A value outside of the bounds; a missing one isn't."""
+    out = F.lit(False)
+    if low is not None:
+        out = out | (c < low)
+    if high is not None:
+        out = out | (c > high)
+    return F.when(out, "range")
+
+
+def decimals(c: Column, most: int) -> Column:
+    """A decimal number with more places behind the point than ``most``, zeros at its end aside."""
+    return F.when(F.length(F.regexp_extract(c.cast("string"), r"[.]([0-9]*?)0*$", 1)) > most, "decimals")
+
+
+def shaped(c: Column, pattern: str) -> Column:
+    return F.when(~c.rlike(f"^(?:{pattern})$"), "pattern")
+
+
+def one_of(c: Column, options: list[str]) -> Column:
+    return F.when(~c.isin(*options), "enum")

@@ -145,3 +145,178 @@ def communities(edges: DataFrame, a: str, b: str, weight: str, rounds: int) -> D
         votes = own.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("w").alias("w"))
         labels = _cut(votes.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label")))
     return labels
+
+
+def modularity(edges: DataFrame, labels: DataFrame, a: str, b: str, weight: str) -> DataFrame:
+    """One row: how much more weight lies within the groups of ``labels`` (node, label) than chance would put there; edges both ways."""
+    own = edges.select(F.col(a).alias("node"), F.col(b).alias("_other"), F.col(weight).alias("_w")).join(labels, "node")
+    own = own.join(labels.select(F.col("node").alias("_other"), F.col("label").alias("_far")), "_other")
+    groups = own.groupBy("label").agg(F.sum("_w").alias("_all"), F.sum(F.when(F.col("label") == F.col("_far"), F.col("_w")).otherwise(0)).alias("_in"))
+    whole = groups.agg(F.sum("_all").alias("_m"))
+    return groups.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("_in") / F.col("_m") - F.pow(F.col("_all") / F.col("_m"), F.lit(2))).alias("modularity"))
+
+
+def parallel_groups(edges: DataFrame, a: str, b: str, weight: str, rounds: int = 12) -> DataFrame:
+    """(node, label) of groups with high modularity: every node moves to the neighbouring group that gains most, in parallel.
+
+    Only the nodes of one half (by hash and round) move at a time, since neighbours that move together may swap for ever. Edges are given
+    in both directions. Ties go to the smallest label. A round is three joins on written tables and map-side-combined sums, so a node
+    with a third of all edges is split.
+    """
+    own = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col(weight).cast("double").alias("w")).where("node <> other"))
+    degree = _cut(own.groupBy("node").agg(F.sum("w").alias("k")))
+    labels = _cut(degree.select("node", F.col("node").alias("label")))
+    mass = degree.agg(F.sum("k")).first()[0] or 1.0
+    still = 0
+    for turn in range(rounds):
+        total = labels.join(degree, "node").groupBy("label").agg(F.sum("k").alias("kc"))
+        into = own.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("w").alias("w"))
+        here = labels.select("node", F.col("label").alias("now"))
+        moves = into.where(F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2).join(here, "node").join(degree, "node").join(total, "label")
+        # the node's own weight doesn't count for the group it is in
+        rest = F.col("kc") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)
+        moves = moves.withColumn("gain", F.col("w") - F.col("k") * rest / mass)
+        best = moves.groupBy("node").agg(F.max_by(F.struct("label", "gain"), F.struct("gain", -F.col("label"))).alias("best"), F.max(F.when(F.col("label") == F.col("now"), F.col("gain"))).alias("stay"))
+        # a node alone in its group gains nothing by staying
+        best = best.where(F.col("best.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12).select("node", F.col("best.label").alias("to"))
+        labels = _cut(labels.join(best, "node", "left").select("node", F.coalesce("to", "label").alias("label"), (F.col("to").isNotNull() & (F.col("to") != F.col("label"))).alias("moved")))
+        still = 0 if not labels.where("moved").isEmpty() else still + 1
+        labels = labels.select("node", "label")
+        if still == 2:
+            break
+    return labels
+
+
+def betweenness(edges: DataFrame, src: str, dst: str, sources: DataFrame, depth: int = 20) -> DataFrame:
+    """(node, score): the share of shortest paths from the ``sources`` (node) to all others that a node lies on, summed over them.
+
+    Path counts go out level by level, for all sources at once, and dependencies come back the same way. With a sample of sources the sums
+    are estimates, to be scaled by the share that was drawn.
+    """
+    step = _cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct())
+    level = _cut(sources.select(F.col("node").alias("root"), "node").distinct().withColumn("paths", F.lit(1.0)))
+    seen, levels_ = level.select("root", "node"), [level]
+    for _ in range(depth):
+        new = level.join(step, F.col("node") == F.col("_s")).groupBy("root", F.col("_d").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = _cut(new.join(seen, ["root", "node"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels_.append(level)
+        seen = seen.union(level.select("root", "node"))
+    back = levels_[-1].withColumn("share", F.lit(0.0))
+    out = [back]
+    for upper in reversed(levels_[:-1]):
+        below = back.select("root", F.col("node").alias("_d"), F.col("paths").alias("_p"), "share").join(step, "_d")
+        sums = below.join(upper.withColumnRenamed("node", "_s"), ["root", "_s"]).groupBy("root", "_s").agg(F.sum(F.col("paths") / F.col("_p") * (1 + F.col("share"))).alias("share"))
+        back = _cut(upper.join(sums.withColumnRenamed("_s", "node"), ["root", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
+        out.append(back)
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.union(x)
+    return whole.where("root <> node").groupBy("node").agg(F.sum("share").alias("score"))
+
+
+def indented(edges: DataFrame, root, src: str, dst: str, qty: str, depth: int = 20, most: int = 1_000_000) -> DataFrame:
+    """(path, level, node, quantity): one line for every path from the root, as a parts list shows it; quantities multiply along it.
+
+    Paths can be far more than nodes, so more than ``most`` lines raise instead of running on; so does a cycle, at ``depth``.
+    """
+    step = _cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"), F.col(qty).alias("_q")))
+    level = _cut(edges.sparkSession.createDataFrame([(root,)], "node long").select(F.array("node").alias("path"), "node", F.lit(1).cast("long").alias("quantity")))
+    out, lines = None, 0
+    for k in range(1, depth + 2):
+        level = level.join(step, F.col("node") == F.col("_s")).select(F.concat("path", F.array("_d")).alias("path"), F.col("_d").alias("node"), (F.col("quantity") * F.col("_q")).alias("quantity"))
+        level = _cut(level)
+        n = level.count()
+        if not n:
+            break
+        lines += n
+        if lines > most or k > depth:
+            raise ValueError(f"the parts list of {root} has more than {most} lines or {depth} levels; it may hold a cycle")
+        now = level.withColumn("level", F.lit(k))
+        out = now if out is None else out.union(now)
+    return (level.withColumn("level", F.lit(0)) if out is None else out).select("path", "level", "node", "quantity")
+
+
+def chains(edges: DataFrame, start, end, src: str, dst: str, depth: int = 8, first: int = 5) -> DataFrame:
+    """(chain): the first shortest chains between two nodes, in the order of their nodes; at most ``depth`` edges.
+
+    Only nodes that lie on a shortest chain are walked, so every partial chain can be finished and the first of each step are enough.
+    """
+    on = _cut(shortest(edges, start, end, src, dst, depth))
+    step = _cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct())
+    last = on.agg(F.max("step")).first()[0]
+    kind = edges.schema[src].dataType.simpleString()
+    at = edges.sparkSession.createDataFrame([(start,)], f"node {kind}").select(F.array("node").alias("chain"), "node")
+    if last is None:
+        return at.select("chain").where("false")
+    for k in range(1, last + 1):
+        next_ = on.where(F.col("step") == k).select(F.col("node").alias("_d"))
+        at = at.join(step, F.col("node") == F.col("_s")).join(next_, "_d").select(F.concat("chain", F.array("_d")).alias("chain"), F.col("_d").alias("node"))
+        at = _cut(at.orderBy("chain").limit(first))
+    return at.select("chain")
+
+
+def cycle(edges: DataFrame, start, src: str, dst: str, depth: int = 20) -> DataFrame:
+    """(chain): the first shortest chain that leads from a node back to it; no row if there is none of ``depth`` edges."""
+    kind = edges.schema[src].dataType
+    back = edges.where(F.col(dst) == F.lit(start)).select(F.col(src), F.lit(None).cast(kind).alias(dst))
+    # the way back ends in a node of its own, so that the chain may begin and end with the same one
+    goal = edges.where(F.col(dst) != F.lit(start)).select(src, dst)
+    ends = back.select(F.col(src).alias("node")).distinct()
+    ahead = _cut(reach(goal, edges.sparkSession.createDataFrame([(start,)], f"node {kind.simpleString()}"), src, dst, depth - 1).join(ends, "node"))
+    best = ahead.orderBy("depth", "node").limit(1).collect()
+    if not best:
+        return ahead.select(F.array("node").alias("chain")).where("false")
+    return chains(goal, start, best[0].node, src, dst, depth, 1).select(F.concat("chain", F.array(F.lit(start).cast(kind))).alias("chain")) if best[0].depth else ahead.limit(1).select(F.array(F.lit(start).cast(kind), F.lit(start).cast(kind)).alias("chain"))
+
+
+def subtree_fold(edges: DataFrame, values: DataFrame, src: str, dst: str, value: str, depth: int = 20) -> DataFrame:
+    """(node, n, sum, min, max, avg, log_product) of the values (node, value) of each node's whole subtree, itself included.
+
+    Folded from the leaves up, one level a round, so a node is sent once to its parent. Edges must form trees: a node with two parents
+    raises, as its values would count twice. ``log_product`` is the sum of the logarithms of positive values.
+    """
+    step = _cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("node")).distinct())
+    if not step.groupBy("node").count().where("count > 1").isEmpty():
+        raise ValueError("a node has more than one parent")
+    v = F.col(value).cast("double")
+    own = values.groupBy("node").agg(F.count(v).alias("n"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(F.log(F.when(v > 0, v))).alias("log"))
+    tops = step.select(F.col("_s").alias("node")).distinct().join(step.select("node"), "node", "left_anti")
+    at = _cut(reach(step.withColumnRenamed("node", "_d"), tops.union(own.select("node").join(step.select("node"), "node", "left_anti").join(tops, "node", "left_anti")), "_s", "_d", depth))
+    deepest = at.agg(F.max("depth")).first()[0] or 0
+    placed = _cut(at.join(own, "node", "left"))
+    merge = [F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("log").alias("log")]
+    below, out = None, []
+    for k in range(deepest, -1, -1):
+        here = placed.where(F.col("depth") == k).drop("depth")
+        here = _cut(here if below is None else here.unionByName(below.join(step, "node").select(F.col("_s").alias("node"), "n", "sum", "min", "max", "log")).groupBy("node").agg(*merge))
+        out.append(here)
+        below = here
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.union(x)
+    return whole.select("node", F.coalesce("n", F.lit(0)).alias("n"), "sum", "min", "max", F.when(F.col("n") > 0, F.col("sum") / F.col("n")).alias("avg"), F.col("log").alias("log_product"))
+
+
+def inferred(triples: DataFrame, inverse: list[tuple[str, str]], transitive: list[str], subclass: DataFrame | None = None) -> DataFrame:
+    """(s, p, o) with what follows: inverse properties both ways, transitive properties closed, and types of all classes above (s, o)."""
+    out = triples.select("s", "p", "o")
+    for a, b in inverse:
+        out = out.union(out.where(F.col("p") == a).select(F.col("o").alias("s"), F.lit(b).alias("p"), F.col("s").alias("o"))).union(out.where(F.col("p") == b).select(F.col("o").alias("s"), F.lit(a).alias("p"), F.col("s").alias("o")))
+    out = _cut(out.distinct())
+    for p in transitive:
+        out = out.union(closure(out.where(F.col("p") == p), "s", "o").select(F.col("root").alias("s"), F.lit(p).alias("p"), F.col("node").alias("o")))
+    if subclass is not None:
+        above = closure(subclass, "s", "o").select(F.col("root").alias("_c"), F.col("node").alias("_u"))
+        out = out.union(out.where("p = 'type'").join(above, F.col("o") == F.col("_c")).select("s", "p", F.col("_u").alias("o")))
+    return out.distinct()
+
+
+def gathered(edges: DataFrame, root, src: str, dst: str, depth: int, most: int) -> DataFrame:
+    """(level, node, hidden): what a node reaches, level by level, the first ``most`` of each level by id (what a screen shows), and how
+    many of the level are left out."""
+    at = reach(edges, edges.sparkSession.createDataFrame([(root,)], f"node {edges.schema[src].dataType.simpleString()}"), src, dst, depth)
+    sizes = at.groupBy("depth").agg(F.count("*").alias("_n"))
+    own = at.withColumn("_r", F.row_number().over(Window.partitionBy("depth").orderBy("node"))).where(F.col("_r") <= most)
+    return own.join(sizes, "depth").select(F.col("depth").alias("level"), "node", F.greatest(F.col("_n") - most, F.lit(0)).alias("hidden"))

@@ -81,15 +81,31 @@ def _(t):
     return graphs.explosion(t.bom, 0, "parent", "child", "qty").groupBy("min_level").agg(F.count("*").alias("parts"), F.sum("quantity").alias("quantity"))
 
 
-@question("rollup_fold", "SELECT n_regionkey, count(*) AS n, sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS cents, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@question("graph_bom_indented", f"WITH RECURSIVE s(path, level, node, quantity) AS (SELECT [0::BIGINT], 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT list_append(path, child), level + 1, child, quantity * qty FROM {BOM} e JOIN s ON parent = node) SELECT path, level::INT AS level, node, quantity FROM s WHERE level > 0")
 def _(t):
-    return t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("n"), F.sum(F.round(c("c_acctbal") * 100).cast("long")).alias("cents"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    return graphs.indented(t.bom, 0, "parent", "child", "qty")
 
 
-@question("rollup_weighted", f"{_EXPLODED} SELECT sum(q * p_size)::BIGINT AS weighted, sum(q)::BIGINT AS quantity, round(sum(q * p_size) / sum(q), 6) AS mean FROM s JOIN part ON node = p_partkey WHERE level > 0")
+@question("graph_where_used", f"WITH RECURSIVE s(node, q, level) AS (SELECT 1500::BIGINT % (SELECT count(*) FROM part), 1::BIGINT, 0 UNION ALL SELECT parent, q * qty, level + 1 FROM {BOM} e JOIN s ON child = node) SELECT node, sum(q)::BIGINT AS quantity, min(level)::INT AS min_level FROM s WHERE level > 0 GROUP BY 1")
+def _(t):
+    # the assemblies that a part goes into, with the number of it in one of them
+    part = 1500 % t.part.count()
+    return graphs.explosion(t.bom, part, "child", "parent", "qty").select("node", "quantity", "min_level")
+
+
+_BELOW = f"WITH RECURSIVE s(root, node) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT root, child FROM {BOM} e JOIN s ON parent = node)"
+
+
+@question("rollup_fold", f"{_BELOW} SELECT root AS node, count(*) AS n, sum(p_size)::DOUBLE AS sum, min(p_size)::DOUBLE AS min, max(p_size)::DOUBLE AS max, round(avg(p_size), 6) AS avg, round(sum(ln(p_size)), 6) AS log_product FROM s JOIN part ON node = p_partkey GROUP BY 1")
+def _(t):
+    values = t.part.select(c("p_partkey").alias("node"), "p_size")
+    return graphs.subtree_fold(t.bom, values, "parent", "child", "p_size").withColumns({"avg": F.round("avg", 6), "log_product": F.round("log_product", 6)})
+
+
+@question("rollup_weighted", f"{_EXPLODED} SELECT sum(q * p_size)::BIGINT AS weighted, sum(q)::BIGINT AS quantity, round(sum(q * p_size) / sum(q), 6) AS mean, round(sum(q * ln(p_size)), 4) AS log_power FROM s JOIN part ON node = p_partkey WHERE level > 0")
 def _(t):
     own = graphs.explosion(t.bom, 0, "parent", "child", "qty").join(t.part, c("node") == c("p_partkey"))
-    return own.agg(F.sum(c("quantity") * c("p_size")).alias("weighted"), F.sum("quantity").alias("quantity"), F.round(F.sum(c("quantity") * c("p_size")) / F.sum("quantity"), 6).alias("mean"))
+    return own.agg(F.sum(c("quantity") * c("p_size")).alias("weighted"), F.sum("quantity").alias("quantity"), F.round(F.sum(c("quantity") * c("p_size")) / F.sum("quantity"), 6).alias("mean"), F.round(F.sum(c("quantity") * F.log("p_size")), 4).alias("log_power"))
 
 
 @question("graph_neighbors", f"SELECT parent, child FROM {BOM} QUALIFY row_number() OVER (PARTITION BY parent ORDER BY child) <= 2")
@@ -118,9 +134,9 @@ def _(t):
     return graphs.reach(t.tree, nodes(t, "r:0", kind="string"), "parent", "child", 1)
 
 
-@question("graph_whole", f"SELECT least(level, 3) AS level, count(*) AS n FROM (WITH RECURSIVE s(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT child, level + 1 FROM {BOM} e JOIN s ON parent = node) SELECT node, min(level)::INT AS level FROM s GROUP BY 1) GROUP BY 1")
+@question("graph_whole", f"WITH RECURSIVE s(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT child, level + 1 FROM {BOM} e JOIN s ON parent = node WHERE level < 6) SELECT level::INT AS level, node, greatest(n - 50, 0) AS hidden FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY node) AS r, count(*) OVER (PARTITION BY level) AS n FROM s) WHERE r <= 50")
 def _(t):
-    return graphs.reach(t.bom, nodes(t, 0), "parent", "child").groupBy(F.least("depth", F.lit(3)).alias("level")).agg(F.count("*").alias("n"))
+    return graphs.gathered(t.bom, 0, "parent", "child", 6, 50)
 
 
 @question("graph_shortest_path", f"WITH RECURSIVE f(node, d) AS (SELECT 0::BIGINT, 0 UNION SELECT child, d + 1 FROM {DAG} e JOIN f ON parent = node WHERE d < 8), b(node, d) AS (SELECT 1960::BIGINT, 0 UNION SELECT parent, d + 1 FROM {DAG} e JOIN b ON child = node WHERE d < 8), p AS (SELECT x.node, x.d, x.d + y.d AS total FROM (SELECT node, min(d) AS d FROM f GROUP BY 1) x JOIN (SELECT node, min(d) AS d FROM b GROUP BY 1) y ON x.node = y.node) SELECT d::INT AS step, node FROM p WHERE total = (SELECT min(total) FROM p)")
@@ -128,6 +144,11 @@ def _(t):
     return graphs.shortest(t.dag, 0, 1960, "parent", "child")
 
 
+@question("graph_chains", f"WITH RECURSIVE s(chain, node) AS (SELECT [0::BIGINT], 0::BIGINT UNION ALL SELECT list_append(chain, child), child FROM {DAG} e JOIN s ON parent = node WHERE len(chain) < 9), f AS (SELECT chain, len(chain) AS n FROM s WHERE node = 196) SELECT chain FROM f WHERE n = (SELECT min(n) FROM f) ORDER BY chain LIMIT 5")
+def _(t):
+    return graphs.chains(t.dag, 0, 196, "parent", "child", 8, 5)
+
+
 @question("graph_depends_count", f"WITH RECURSIVE s(root, node) AS (SELECT parent, child FROM {DAG} UNION SELECT root, child FROM {DAG} e JOIN s ON parent = node) SELECT node, count(*) AS n FROM s WHERE root <> node GROUP BY 1")
 def _(t):
     return graphs.closure(t.dag, "parent", "child").where("root <> node").groupBy("node").agg(F.count("*").alias("n"))
@@ -185,9 +206,12 @@ def _(t):
     return graphs.reach(t.bom, direct, "parent", "child").agg(F.count("*").alias("n"))
 
 
-@question("rdf_inferred", f"WITH RECURSIVE s(sub, sup) AS (SELECT child, parent FROM {TREE} UNION SELECT s.sub, parent FROM {TREE} e JOIN s ON child = s.sup) SELECT sub, sup FROM s")
+@question("rdf_inferred", f"WITH RECURSIVE b(s, p, o) AS (SELECT 'part/' || child, 'partOf', 'part/' || parent FROM {BOM} UNION ALL SELECT 'part/' || p_partkey, 'type', p_type FROM part), i AS (SELECT s, p, o FROM b UNION SELECT o, 'hasPart', s FROM b WHERE p = 'partOf'), u(s, o) AS (SELECT s, o FROM i WHERE p = 'partOf' UNION SELECT u.s, i.o FROM u JOIN i ON u.o = i.s AND i.p = 'partOf'), h(c, d) AS (SELECT * FROM (VALUES ('ECONOMY', 'cheap'), ('SMALL', 'cheap'), ('cheap', 'thing')) v(c, d) UNION SELECT h.c, v.d FROM h JOIN (VALUES ('ECONOMY', 'cheap'), ('SMALL', 'cheap'), ('cheap', 'thing')) v(c, d) ON h.d = v.c) SELECT s, p, o FROM i UNION SELECT s, 'partOf', o FROM u UNION SELECT s, 'type', d FROM i JOIN h ON o = c WHERE p = 'type'")
 def _(t):
-    return graphs.closure(t.tree, "child", "parent").select(c("root").alias("sub"), c("node").alias("sup"))
+    node = lambda x: F.concat(F.lit("part/"), c(x).cast("string"))
+    triples = t.bom.select(node("child").alias("s"), F.lit("partOf").alias("p"), node("parent").alias("o")).union(t.part.select(node("p_partkey"), F.lit("type"), "p_type"))
+    classes = t.spark.createDataFrame([("ECONOMY", "cheap"), ("SMALL", "cheap"), ("cheap", "thing")], "s string, o string")
+    return graphs.inferred(triples, [("partOf", "hasPart")], ["partOf"], classes)
 
 
 @question("graph_stable_cluster", "WITH o AS (SELECT p_partkey AS id, p_size % 7 AS a FROM part), n AS (SELECT p_partkey AS id, (p_size + (p_partkey % 10 = 0)::INT) % 7 AS b FROM part), x AS (SELECT a, b, count(*) AS n FROM o JOIN n USING (id) GROUP BY 1, 2) SELECT b, a FROM x WHERE 2 * n > (SELECT count(*) FROM o WHERE o.a = x.a) AND 2 * n > (SELECT count(*) FROM n WHERE n.b = x.b)")
@@ -197,9 +221,12 @@ def _(t):
     return sizes.where("2 * n > na and 2 * n > nb").select("b", "a")
 
 
-@question("map_hash_place", "SELECT p_partkey, md5(p_partkey::VARCHAR)[1:8] AS place FROM part")
+@question("map_hash_place", "SELECT p_partkey, round(sqrt(u) * cos(2 * pi() * v), 6) AS x, round(sqrt(u) * sin(2 * pi() * v), 6) AS y FROM (SELECT p_partkey, ('0x' || md5(p_partkey::VARCHAR)[1:8])::BIGINT / 4294967296.0 AS u, ('0x' || md5(p_partkey::VARCHAR)[9:16])::BIGINT / 4294967296.0 AS v FROM part)")
 def _(t):
-    return t.part.select("p_partkey", F.substring(F.md5(c("p_partkey").cast("string")), 1, 8).alias("place"))
+    # a place in the unit disc that depends on the key alone and spreads evenly: the root of one number is the radius, another the angle
+    h = F.md5(c("p_partkey").cast("string"))
+    part = lambda k: F.conv(F.substring(h, k, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return t.part.select("p_partkey", F.round(F.sqrt(part(1)) * F.cos(2 * F.pi() * part(9)), 6).alias("x"), F.round(F.sqrt(part(1)) * F.sin(2 * F.pi() * part(9)), 6).alias("y"))
 
 
 @question("map_box", "SELECT p_partkey FROM part WHERE md5(p_partkey::VARCHAR)[1:2] BETWEEN '20' AND '3f'")
@@ -209,11 +236,12 @@ def _(t):
     return t.part.where((map_hash(c("p_partkey")) >= 0.125) & (map_hash(c("p_partkey")) < 0.25)).select("p_partkey")
 
 
-@question("graph_cycle", f"WITH RECURSIVE s(root, node, d) AS (SELECT parent, child, 1 FROM ({BOM} UNION ALL SELECT 1999::BIGINT, 0::BIGINT, 1::BIGINT) e WHERE parent = 0 UNION SELECT root, child, d + 1 FROM ({BOM} UNION ALL SELECT 1999::BIGINT, 0::BIGINT, 1::BIGINT) e JOIN s ON parent = node WHERE d < 12) SELECT count(*) FILTER (node = root) > 0 AS cyclic FROM s")
+@question("graph_cycle", f"WITH RECURSIVE up(chain, node) AS (SELECT [p_partkey, 0::BIGINT], p_partkey FROM part WHERE p_partkey = (SELECT max(p_partkey) FROM part) UNION ALL SELECT list_prepend(parent, chain), parent FROM {BOM} e JOIN up ON child = node) SELECT chain FROM up WHERE node = 0")
 def _(t):
-    edges = t.bom.select("parent", "child").union(t.spark.createDataFrame([(1999, 0)], "parent long, child long"))
-    below = graphs.reach(edges, edges.where("parent = 0").select(c("child").alias("node")), "parent", "child", 12)
-    return below.agg((F.count_if(c("node") == 0) > 0).alias("cyclic"))
+    # an edge from the last part to the first closes a cycle; its nodes are the witness
+    last = t.part.agg(F.max("p_partkey")).first()[0]
+    edges = t.bom.select("parent", "child").union(t.spark.createDataFrame([(last, 0)], "parent long, child long"))
+    return graphs.cycle(edges, 0, "parent", "child")
 
 
 @question("lineage_fold", f"{_STALE} SELECT p_partkey, p_partkey IN (SELECT node FROM s) AS stale, p_partkey IN (SELECT node FROM d) AS direct FROM part")
@@ -225,8 +253,19 @@ def _(t):
 
 @question("graph_cluster")
 def _(t):
-    """Label propagation over suppliers that share orders: labels start as ids and follow the heaviest neighbouring label."""
-    from ravelin.operators.graphs import communities
-
+    """Groups of suppliers that share orders, by moves that gain modularity, with the modularity of all."""
     pairs = graphs.shared_counts(t.lineitem, "l_suppkey", "l_orderkey").withColumnRenamed("shared", "w")
-    return communities(pairs, "a", "b", "w", 5)
+    labels = graphs.parallel_groups(pairs, "a", "b", "w")
+    return labels.crossJoin(F.broadcast(graphs.modularity(pairs, labels, "a", "b", "w"))).withColumn("modularity", F.round("modularity", 6))
+
+
+#: Sources of paths are the nodes of this share of the hash range.
+DRAWN = 16
+
+
+@question("graph_betweenness")
+def _(t):
+    """Share of shortest paths through each part, estimated from a sixteenth of the parts as sources (drawn by a hash of the key)."""
+    both = t.dag.select("parent", "child").union(t.dag.select("child", "parent"))
+    sources = t.part.where(F.pmod(F.xxhash64("p_partkey"), F.lit(DRAWN)) == 0).select(c("p_partkey").alias("node"))
+    return graphs.betweenness(both, "parent", "child", sources).withColumn("score", F.round(c("score") * DRAWN, 4))

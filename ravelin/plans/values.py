@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ravelin.functions import scalars
+from ravelin.functions import scalars, sqlfunctions
+from ravelin.functions import texts as keys
+from ravelin.operators import matching
 from ravelin.plans.registry import RECORDS, question
 
 c = F.col
-_DATES = "(VALUES (1, '2024-02-30'), (2, '20240310'), (3, '2024-3-5'), (4, ''), (5, NULL), (6, '2024-03-10T12:00'), (7, 'x'), (8, '2024.7.9'), (9, '2023/12')) AS d(id, v)"
-_TEXTS = "(VALUES (1, '1e5'), (2, '-3.50'), (3, '12'), (4, 'a'), (5, ''), (6, NULL), (7, 'AB-12'), (8, ' Two  Words '), (9, 'yes')) AS d(id, v)"
+_DATES = "(VALUES (1, '2024-02-30'), (2, '20240310'), (3, '2024-3-5'), (4, ''), (5, NULL), (6, '2024-03-10T12:00'), (7, 'x'), (8, '2024.7.9'), (9, '2023/12'), (10, '2024.3.5 13:05'), (11, ' 2024-02-29 '), (12, '2024-13-01'), (13, '2024-03-10 25:00'), (14, '2024-03-10T12:00:07Z')) AS d(id, v)"
+_TEXTS = "(VALUES (1, '1e5'), (2, '-3.50'), (3, '12'), (4, 'a'), (5, ''), (6, NULL), (7, 'AB-12'), (8, ' Two  Words '), (9, 'yes'), (10, 'Ｆｕｌｌ　Ｗｉｄｅ'), (11, '１２')) AS d(id, v)"
 
 
 def dates(t):
@@ -21,15 +23,36 @@ def texts(t):
 
 
 _GUARDED = "CASE WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') OR regexp_matches(v, '^[0-9]{8}') THEN try_strptime(replace(v[1:10], '-', '')[1:8], '%Y%m%d')::DATE END"
-for _name in ("fn_sp_date", "fn_date_guard", "udf_sp_date"):
-    question(_name, f"SELECT id, {_GUARDED} AS d FROM {_DATES}")(lambda t: dates(t).select("id", scalars.guarded_date(c("v")).alias("d")))
+question("fn_sp_date", f"SELECT id, {_GUARDED} AS d FROM {_DATES}")(lambda t: dates(t).select("id", scalars.guarded_date(c("v")).alias("d")))
 
 
-@question("fn_parse_date", f"SELECT id, CASE id WHEN 2 THEN DATE '2024-03-10' WHEN 3 THEN DATE '2024-03-05' WHEN 6 THEN DATE '2024-03-10' WHEN 8 THEN DATE '2024-07-09' WHEN 9 THEN DATE '2023-12-01' END AS d FROM {_DATES}")
+@question("udf_sp_date", f"SELECT id, {_GUARDED} AS d FROM {_DATES}")
+def _(t):
+    sqlfunctions.register(t.spark)
+    return t.spark.sql(f"SELECT id, sp_date(v) AS d FROM {_DATES}")
+
+
+@question("fn_date_guard", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE AS shipped, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_shipdate::DATE END AS written FROM lineitem")
+def _(t):
+    # a column of times is read as it is, one of texts is guarded: some lines hold a day that doesn't exist
+    rows = t.lineitem.withColumn("text", F.when(c("l_linenumber") == 3, "2024-02-31").when(c("l_linenumber") % 2 == 0, F.date_format("l_shipdate", "yyyyMMdd")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm")))
+    kinds = dict(rows.dtypes)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", scalars.date_or_null(c("l_shipdate"), kinds["l_shipdate"]).alias("shipped"), scalars.date_or_null(c("text"), kinds["text"]).alias("written"))
+
+
+_FREE = "coalesce(CASE WHEN regexp_matches(v, '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})') THEN try_strptime(replace(v[1:10], '-', '')[1:8], '%Y%m%d') END, try_strptime(regexp_replace(trim(v), '[./]', '-', 'g'), ['%Y-%m-%d', '%Y-%m']))"
+
+
+@question("fn_parse_date", f"SELECT id, ({_FREE})::DATE AS d FROM {_DATES}")
 def _(t):
     return dates(t).select("id", scalars.free_date(c("v")).alias("d"))
 
 
+@question("fn_parse_datetime", f"SELECT id, coalesce(try_strptime(regexp_replace(replace(trim(v), 'T', ' '), '[./]', '-', 'g'), ['%Y-%m-%d %H:%M', '%Y-%m-%d %H:%M:%S']), CASE WHEN NOT contains(v, ':') THEN {_FREE.replace('v[1:10]', 'trim(v)[1:10]').replace('regexp_matches(v', 'regexp_matches(trim(v)')} END) AS at FROM {_DATES}")
+def _(t):
+    return dates(t).select("id", scalars.free_datetime(c("v")).alias("at"))
+
+
 @question("fn_numeric", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?') THEN v::DOUBLE END AS x FROM {_TEXTS}")
 def _(t):
     return texts(t).select("id", scalars.numeric(c("v")).alias("x"))
@@ -41,15 +64,25 @@ def _(t):
     return texts(t).select("id", kind.alias("kind"))
 
 
-for _name in ("fn_bigrams", "udf_bigrams"):
-    question(_name, "SELECT p_partkey, count(DISTINCT lower(p_name)[i:i + 1]) AS n FROM part, range(1, 100) r(i) WHERE i < length(p_name) GROUP BY 1")(lambda t: t.part.select("p_partkey", F.size(scalars.bigrams(c("p_name"))).cast("long").alias("n")))
-for _name in ("fn_norm_key", "fn_compare_key"):
-    question(_name, f"SELECT id, lower(regexp_replace(trim(v), '\\s+', ' ', 'g')) AS k FROM {_TEXTS}")(lambda t: texts(t).select("id", scalars.norm_key(c("v")).alias("k")))
+_PIECES = "SELECT p_partkey, count(DISTINCT lower(p_name)[i:i + 1]) AS n FROM part, range(1, 100) r(i) WHERE i < length(p_name) GROUP BY 1"
+question("fn_bigrams", _PIECES)(lambda t: t.part.select("p_partkey", F.size(scalars.bigrams(c("p_name"))).cast("long").alias("n")))
+
+
+@question("udf_bigrams", _PIECES)
+def _(t):
+    sqlfunctions.register(t.spark)
+    return t.part.select("p_partkey", F.expr("cast(size(sp_bigrams(p_name)) AS bigint)").alias("n"))
+
+
+# the second alphabet of the full-width letters of the table above
+_WIDE = "translate(v, 'Ｆｕｌ　Ｗｉｄｅ１２', 'Ful Wide12')"
+question("fn_norm_key", f"SELECT id, lower(regexp_replace(trim({_WIDE}), '\\s+', ' ', 'g')) AS k FROM {_TEXTS}")(lambda t: texts(t).select("id", keys.norm_key(c("v")).alias("k")))
+question("fn_compare_key", "SELECT p_partkey, lower(p_brand || ' ' || p_name) AS k FROM part")(lambda t: t.part.select("p_partkey", keys.norm_key(F.concat_ws("\u3000", "p_brand", F.lit(""), "p_name")).alias("k")))
 
 
 @question("fn_search_words", "SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents) WHERE length(w) >= 2")
 def _(t):
-    return t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).where(F.length("w") >= 2).distinct()
+    return t.documents.select("doc_id", F.explode(keys.search_words(c("text"))).alias("w")).distinct()
 
 
 @question("fn_bucket", "SELECT event_id, ts::DATE AS day, date_trunc('week', ts)::DATE AS week, date_trunc('month', ts)::DATE AS month, date_trunc('quarter', ts)::DATE AS quarter, date_trunc('year', ts)::DATE AS year FROM events")
@@ -102,16 +135,26 @@ def _(t):
     return t.part.select("p_brand", scalars.mask(c("p_brand")).alias("shape"))
 
 
-@question("fn_code_parser", "SELECT p_partkey, string_split(p_brand, '#')[1] AS head, string_split(p_brand, '#')[2]::INT AS number FROM part")
+@question("fn_code_parser", "WITH x AS (SELECT p_partkey, p_type, CASE WHEN p_size = 50 THEN '' WHEN p_size % 10 = 0 THEN p_brand || '_' || p_type || '_x_y_z' WHEN p_size > 25 THEN p_brand || '_' || p_type || '_' || p_size ELSE p_brand || '_' || p_type END AS code FROM part), y AS (SELECT *, regexp_full_match(code, 'Brand#[0-9]+_[A-Z]+(_[0-9]+)?') AS ok FROM x) SELECT p_partkey, CASE WHEN ok THEN regexp_extract(code, '^Brand#([0-9]+)', 1)::INT END AS brand, CASE WHEN ok THEN split_part(code, '_', 2) END AS kind, CASE WHEN ok AND code LIKE '%\\_%\\_%' ESCAPE '\\' THEN split_part(code, '_', 3)::INT END AS size, CASE WHEN code = '' THEN 'blank' WHEN NOT ok THEN 'unreadable' WHEN p_type = 'LARGE' AND code NOT LIKE '%\\_%\\_%' ESCAPE '\\' THEN 'size_required' END AS failure FROM y")
 def _(t):
-    parts = F.split("p_brand", "#")
-    return t.part.select("p_partkey", F.element_at(parts, 1).alias("head"), F.element_at(parts, 2).cast("int").alias("number"))
+    code = F.when(c("p_size") == 50, "").when(c("p_size") % 10 == 0, F.concat_ws("_", "p_brand", "p_type", F.lit("x_y_z"))).when(c("p_size") > 25, F.concat_ws("_", "p_brand", "p_type", "p_size")).otherwise(F.concat_ws("_", "p_brand", "p_type"))
+    slots = [keys.Slot("brand", "Brand#[0-9]+"), keys.Slot("kind", "[A-Z]+"), keys.Slot("size", "[0-9]+", optional=True)]
+    read = t.part.withColumn("code", code).select("p_partkey", "p_type", *keys.code_slots(c("code"), slots))
+    read = keys.checked(read, [("size_required", (c("p_type") != "LARGE") | c("size").isNotNull())])
+    return read.select("p_partkey", F.regexp_extract("brand", "[0-9]+", 0).cast("int").alias("brand"), "kind", c("size").cast("int").alias("size"), "failure")
 
 
-@question("fn_validate", "SELECT p_partkey, list_filter([CASE WHEN p_size > 45 THEN 'range' END, CASE WHEN NOT regexp_full_match(p_brand, 'Brand#[0-9]') THEN 'pattern' END, CASE WHEN p_type NOT IN ('ECONOMY', 'SMALL', 'LARGE') THEN 'enum' END], lambda x: x IS NOT NULL) AS faults FROM part")
+@question("fn_validate", "SELECT p_partkey, list_filter([CASE WHEN nullif(p_name, '') IS NULL OR p_size % 9 = 0 THEN 'required' END, CASE WHEN p_size > 45 THEN 'range' END, CASE WHEN regexp_matches((p_retailprice / 4)::DECIMAL(18, 4)::VARCHAR, '[.][0-9]{2}[0-9]*[1-9]') THEN 'decimals' END, CASE WHEN NOT regexp_full_match(p_brand, 'Brand#[0-9]') THEN 'pattern' END, CASE WHEN p_type NOT IN ('ECONOMY', 'SMALL', 'LARGE') THEN 'enum' END], lambda x: x IS NOT NULL) AS faults FROM part")
 def _(t):
-    faults = [F.when(c("p_size") > 45, "range"), F.when(~c("p_brand").rlike("^Brand#[0-9]$"), "pattern"), F.when(~c("p_type").isin("ECONOMY", "SMALL", "LARGE"), "enum")]
-    return t.part.select("p_partkey", F.array_compact(F.array(*faults)).alias("faults"))
+    given, price = F.when(c("p_size") % 9 != 0, c("p_name")), (c("p_retailprice") / 4).cast("decimal(18,4)")
+    rules = [
+        scalars.required(given),
+        scalars.in_range(c("p_size"), high=45),
+        scalars.decimals(price, 2),
+        scalars.shaped(c("p_brand"), "Brand#[0-9]"),
+        scalars.one_of(c("p_type"), ["ECONOMY", "SMALL", "LARGE"]),
+    ]
+    return t.part.select("p_partkey", F.array_compact(F.array(*rules)).alias("faults"))
 
 
 @question("fn_retype", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+') THEN v::BIGINT END AS whole, v IS NOT NULL AND v <> '' AND NOT regexp_full_match(v, '-?[0-9]+') AS failed FROM {_TEXTS}")
@@ -120,10 +163,15 @@ def _(t):
     return texts(t).select("id", F.when(fits, c("v").try_cast("bigint")).alias("whole"), (c("v").isNotNull() & (c("v") != "") & ~fits).alias("failed"))
 
 
-@question("fn_key_match", "SELECT a.id, p_partkey FROM (VALUES (1, 'BLUE bolt'), (2, 'red widget'), (3, 'nothing')) a(id, k) JOIN part ON upper(p_name) = upper(k)")
+_CODES = "(VALUES (1, 'Part_7_red'), (2, 'PART_7_RED'), (3, 'part_12'), (4, 'part_1'), (5, 'nothing')) AS q(id, asked)"
+_KEYS = "(SELECT 'Part_' || p_partkey || '_' || split_part(p_name, ' ', 1) AS k FROM part UNION SELECT 'Part_7_red' UNION SELECT 'part_1_a' UNION SELECT 'part_1_b')"
+
+
+@question("fn_key_match", f"WITH k AS (SELECT k, upper(k) AS u FROM {_KEYS}), f AS (SELECT k, upper(k[1:i - 1]) AS front FROM k, range(2, 40) r(i) WHERE i <= length(k) AND k[i:i] IN ('_', '-', ' ')), s AS (SELECT id, 1 AS step, k FROM {_CODES} JOIN k ON k = asked UNION SELECT id, 2, k FROM {_CODES} JOIN k ON u = upper(asked) UNION SELECT id, 3, k FROM {_CODES} JOIN f ON front = upper(asked)), b AS (SELECT id, step, count(DISTINCT k) AS n, min(k) AS k FROM s GROUP BY 1, 2), w AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY step) = 1) SELECT q.id, CASE WHEN n = 1 THEN w.k END AS found, CASE WHEN n > 1 THEN 'several' ELSE coalesce(['exact', 'case', 'prefix'][step], 'none') END AS how FROM {_CODES} LEFT JOIN w ON q.id = w.id")
 def _(t):
-    asked = t.spark.createDataFrame([(1, "BLUE bolt"), (2, "red widget"), (3, "nothing")], "id int, k string")
-    return t.part.join(F.broadcast(asked), F.upper("p_name") == F.upper("k")).select("id", "p_partkey")
+    named = t.part.select(F.concat(F.lit("Part_"), "p_partkey", F.lit("_"), F.split("p_name", " ")[0]).alias("k"))
+    named = named.union(t.spark.sql("SELECT explode(array('Part_7_red', 'part_1_a', 'part_1_b'))")).distinct()
+    return matching.key_match(t.spark.sql(f"SELECT * FROM {_CODES}"), "id", "asked", named, "k")
 
 
 @question("fn_map_value", "SELECT p_partkey, coalesce(CASE p_type WHEN 'ECONOMY' THEN 'E' WHEN 'SMALL' THEN 'S' END, upper(p_type)) AS code FROM part")
@@ -144,9 +192,11 @@ def _(t):
     return tags.agg(F.round(F.sum(c("w") * c("x") * c("y")) / F.sum(c("w") * F.greatest("x", "y")), 6).alias("similarity"))
 
 
-@question("fn_sections", "SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS section FROM conversations")
+@question("fn_sections")
 def _(t):
-    return t.conversations.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("section"))
+    """Sections of every whole document under the headings of its text, with those of a heading made from its language in front."""
+    body = F.concat(F.lit("# "), F.coalesce("lang", F.lit("none")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return t.documents.select("doc_id", F.posexplode(keys.sections(body)).alias("place", "s")).select("doc_id", "place", "s.*")
 
 
 @question("fn_level", "SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'high' WHEN p_size >= 20 THEN 'middle' ELSE 'low' END AS level FROM part")
@@ -164,28 +214,28 @@ def _(t):
     return t.events.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-for _name in ("fn_stale", "udf_lineage_stale"):
-    question(_name, "SELECT o_orderkey, o_orderstatus IS DISTINCT FROM 'F' AS stale FROM orders")(lambda t: t.orders.select("o_orderkey", (~c("o_orderstatus").eqNullSafe("F")).alias("stale")))
+question("fn_stale", "SELECT o_orderkey, o_orderstatus IS DISTINCT FROM 'F' AS stale FROM orders")(lambda t: t.orders.select("o_orderkey", (~c("o_orderstatus").eqNullSafe("F")).alias("stale")))
 
 
-@question("udf_map_hash", "SELECT p_partkey, md5(p_partkey::VARCHAR)[1:2] < '80' AS left_half FROM part")
+@question("udf_lineage_stale", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN false ELSE p_brand <> 'Brand#' || (p_partkey % 25) END AS stale, regexp_extract(p_brand, '[0-9]+$')::INT AS revision FROM part")
 def _(t):
-    return t.part.select("p_partkey", (scalars.map_hash(c("p_partkey")) < 0.5).alias("left_half"))
+    # a result pins the revision that it was made from; without a pin it is never stale
+    sqlfunctions.register(t.spark)
+    return t.part.select("p_partkey", F.expr("sp_lineage_stale(if(p_size % 5 = 0, null, 'Brand#' || (p_partkey % 25)), p_brand)").alias("stale"), F.expr("sp_revision(p_brand)").alias("revision"))
 
 
-@question("src_nested_pick", "SELECT event_id, (props->>'k')::INT AS k FROM events WHERE (props->>'k')::INT > 50")
+@question("udf_map_hash", "SELECT p_partkey, md5(p_partkey::VARCHAR)[1:2] < '80' AS left_half FROM part")
 def _(t):
-    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where("k > 50")
+    sqlfunctions.register(t.spark)
+    return t.part.select("p_partkey", F.expr("sp_map_hash(cast(p_partkey AS string)) < 0.5").alias("left_half"))
 
 
-@question("fn_parse_datetime", "SELECT event_id, (strftime(ts, '%Y-%m-%dT%H:%M:%S'))::TIMESTAMP AS at FROM events")
+@question("src_nested_pick", "SELECT event_id, (props->>'k')::INT AS k FROM events WHERE (props->>'k')::INT > 50")
 def _(t):
-    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    return t.events.select("event_id", F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("at"))
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where("k > 50")
 
 
-@question("fn_chunks", "SELECT doc_id, ceil(length(text) / 1500.0)::BIGINT AS chunks FROM documents WHERE text <> ''")
+@question("fn_chunks")
 def _(t):
-    n = F.ceil(F.length("text") / 1500.0)
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda k: F.substr("text", ((k - 1) * 1500 + 1).cast("int"), F.lit(1500)))
-    return t.documents.where("text <> ''").select("doc_id", F.size(pieces).cast("long").alias("chunks"))
+    """Chunks of every whole document by paragraph, of 1500 letters at most."""
+    return t.documents.where("text <> ''").select("doc_id", F.posexplode(keys.chunks(c("text"))).alias("place", "chunk"))

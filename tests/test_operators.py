@@ -189,3 +189,61 @@ def test_shared_counts_split_hot_items(spark):
     df = spark.createDataFrame(rows, "o long, i long")
     got = {(r.a, r.b): r.shared for r in shared_counts(df, "o", "i", block=8).collect()}
     assert got == {(a, b): 1 + (a % 7 == b % 7) for a in range(60) for b in range(60) if a != b}
+
+
+def test_betweenness_matches_all_paths(spark):
+    import itertools
+
+    edges = [(0, 1), (1, 2), (0, 3), (3, 2), (2, 4), (4, 5), (1, 5), (6, 0)]
+    both = edges + [(b, a) for a, b in edges]
+    near = {k: [b for a, b in both if a == k] for k in range(7)}
+
+    def shortest(a, b):
+        ways, found = [[a]], []
+        while ways and not found:
+            ways = [w + [n] for w in ways for n in near[w[-1]] if n not in w]
+            found = [w for w in ways if w[-1] == b]
+        return found
+
+    want = dict.fromkeys(range(7), 0.0)
+    for a, b in itertools.permutations(range(7), 2):
+        ways = shortest(a, b)
+        for w in ways:
+            for n in w[1:-1]:
+                want[n] += 1 / len(ways)
+    got = graphs.betweenness(spark.createDataFrame(both, "a long, b long"), "a", "b", spark.range(7).withColumnRenamed("id", "node"))
+    assert {r.node: r.score for r in got.collect()} == pytest.approx(want)
+
+
+def test_groups_gain_modularity(spark):
+    clique = lambda k: [(a, b) for a in range(k, k + 5) for b in range(k, k + 5) if a != b]
+    pairs = clique(0) + clique(10) + clique(20) + [(0, 10), (10, 0), (11, 20), (20, 11)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "a long, b long, w int")
+    labels = graphs.parallel_groups(edges, "a", "b", "w")
+    groups = {}
+    for r in labels.collect():
+        groups.setdefault(r.label, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [list(range(k, k + 5)) for k in (0, 10, 20)]
+    m = len(pairs)
+    sums = [(20, sum(1 for a, _ in pairs if a // 10 == k)) for k in range(3)]
+    assert graphs.modularity(edges, labels, "a", "b", "w").first()[0] == pytest.approx(sum(i / m - (s / m) ** 2 for i, s in sums))
+
+
+def test_cycles_and_chains(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 4), (4, 4), (1, 5), (5, 3)], "a long, b long")
+    assert [r.chain for r in graphs.cycle(edges, 1, "a", "b").collect()] == [[1, 2, 3, 1]]
+    assert [r.chain for r in graphs.cycle(edges, 4, "a", "b").collect()] == [[4, 4]]
+    assert graphs.cycle(edges.where("b <> 1"), 1, "a", "b").collect() == []
+    assert [r.chain for r in graphs.chains(edges, 1, 3, "a", "b").collect()] == [[1, 2, 3], [1, 5, 3]]
+    with pytest.raises(ValueError):
+        graphs.subtree_fold(edges, spark.createDataFrame([(1, 1)], "node long, v long"), "a", "b", "v")
+
+
+def test_chunks_and_sections():
+    from ravelin.functions.texts import chunks_of, sections_of
+
+    paragraphs = ["a" * 900, "b" * 500, "c" * 99, "d" * 3100, "e" * 10, "f" * 1500, "g"]
+    got = chunks_of("\n \n".join(paragraphs))
+    assert got == ["a" * 900 + "\n\n" + "b" * 500, "c" * 99, "d" * 1500, "d" * 1500, "d" * 100 + "\n\n" + "e" * 10, "f" * 1500, "g"]
+    body = "intro\n# One #\nx\n```\n# not a heading\n```\n## Two\n\n### One\ny\n#### deep\nz\n# One\nend"
+    assert sections_of(body) == [("", "", "intro"), ("One", "one", "x\n```\n# not a heading\n```"), ("One > Two > One", "one-2", "y\n#### deep\nz"), ("One", "one-3", "end")]
