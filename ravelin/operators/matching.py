@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.functions.texts import ngrams
+
 #: Characters behind which a key may be cut to its front.
 BOUNDARIES = "[_ -]"
 
@@ -37,3 +39,15 @@ def key_match(asked: DataFrame, ident: str, text: str, keys: DataFrame, key: str
     asked_ = F.col(text)
     rungs = [("exact", own.withColumn("_k", F.col("found")), asked_, "stop"), ("case", own.withColumn("_k", F.upper("found")), F.upper(asked_), "stop"), ("prefix", fronts, F.upper(asked_), "stop")]
     return ladder(asked, ident, rungs, "found")
+
+
+def near_names(asked: DataFrame, ident: str, text: str, names: DataFrame, name: str, floor: float) -> DataFrame:
+    """(ident, name, similarity): names whose three-letter pieces overlap with those of a text, by the share of the union, ``floor`` at least.
+
+    Pairs come from shared pieces (an equi-join), so names without one are never looked at.
+    """
+    own = names.select(F.col(name), ngrams(F.col(name), 3).alias("_g")).withColumn("_n", F.size("_g"))
+    want = asked.select(F.col(ident), ngrams(F.col(text), 3).alias("_g")).withColumn("_m", F.size("_g"))
+    pairs = own.select(name, "_n", F.explode("_g").alias("_p")).join(want.select(ident, "_m", F.explode("_g").alias("_p")), "_p")
+    out = pairs.groupBy(ident, name, "_n", "_m").agg(F.count("*").alias("_k"))
+    return out.withColumn("similarity", F.col("_k") / (F.col("_n") + F.col("_m") - F.col("_k"))).where(F.col("similarity") >= floor).select(ident, name, "similarity")

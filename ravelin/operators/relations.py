@@ -32,6 +32,10 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def any_of(*conditions: Column) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def excluded(*conditions: Column) -> Column:
     """Rows that don't meet all conditions; unknown counts as not met, so matched and excluded rows add up to all."""
     return ~F.coalesce(all_of(*conditions), F.lit(False))
