@@ -104,16 +104,27 @@ def _(t):
     return t.lineitem.where(alive(day, F.date_add(day, 90), "1998-06-15")).select("l_orderkey").distinct()
 
 
-@question("join_valid_on", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate::DATE <= DATE '1998-06-15' AND l_shipdate::DATE + 90 > DATE '1998-06-15' GROUP BY 1")
-def _(t):
+_SPANS = "(SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate::DATE AS a, l_shipdate::DATE + 90 AS b FROM lineitem)"
+
+
+def spans(t):
+    """Lines as links that are alive for 90 days from their shipping."""
     day = F.to_date("l_shipdate")
-    return t.lineitem.where(alive(day, F.date_add(day, 90), "1998-06-15")).groupBy("l_partkey").agg(F.count("*").alias("n"))
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", day.alias("a"), F.date_add(day, 90).alias("b"))
 
 
-@question("join_overlap", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_shipdate::DATE < DATE '1997-02-01' AND l_shipdate::DATE + 90 > DATE '1997-01-01' GROUP BY 1")
+@question("join_valid_on", f"SELECT o_orderkey, count(*) AS n FROM orders JOIN {_SPANS} s ON l_orderkey = o_orderkey AND a <= o_orderdate::DATE + 60 AND b > o_orderdate::DATE + 60 GROUP BY 1")
 def _(t):
-    day = F.to_date("l_shipdate")
-    return t.lineitem.where(overlaps(day, F.date_add(day, 90), "1997-01-01", "1997-02-01")).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    # each order with the links that are alive on its own day, 60 days after it
+    on = spans(t).join(t.orders.select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 60).alias("day")), c("l_orderkey") == c("o_orderkey"))
+    return on.where((c("a") <= c("day")) & (c("b") > c("day"))).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@question("join_overlap", f"SELECT x.l_orderkey, count(*) AS n FROM {_SPANS} x JOIN {_SPANS} y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber AND x.a < y.b AND x.b > y.a GROUP BY 1")
+def _(t):
+    # pairs of links of one order whose times overlap, half-open; the equal key bounds what is compared
+    other = spans(t).select(c("l_orderkey").alias("k"), c("l_linenumber").alias("line"), c("a").alias("a2"), c("b").alias("b2"))
+    return spans(t).join(other, (c("l_orderkey") == c("k")) & (c("l_linenumber") < c("line")) & (c("a") < c("b2")) & (c("b") > c("a2"))).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
 @question("edge_crossed", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE (l_shipdate::DATE > DATE '1998-01-01' AND l_shipdate::DATE <= DATE '1998-01-03') OR (l_shipdate::DATE + 90 > DATE '1998-01-01' AND l_shipdate::DATE + 90 <= DATE '1998-01-03')")
@@ -140,10 +151,18 @@ def _(t):
     return linked(t.part, linked(t.lineitem, urgent, "l_orderkey").select(c("l_partkey").alias("p_partkey")), "p_partkey").select("p_partkey")
 
 
-@question("filter_year", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) <= 1997 AND year(o_orderdate) + 1 >= 1997")
+@question("filter_year", "SELECT 'evergreen' AS policy, p_partkey AS id FROM part UNION ALL SELECT 'lifecycle', o_orderkey FROM orders WHERE year(o_orderdate) <= 1997 AND (o_orderstatus <> 'F' OR year(o_orderdate) + 1 >= 1997) UNION ALL SELECT 'yearly', event_id FROM events WHERE year(ts) = 1997 UNION ALL SELECT 'derived', c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997)")
 def _(t):
-    year = F.year("o_orderdate")
-    return t.orders.where((year <= 1997) & (year + 1 >= 1997)).select("o_orderkey")
+    """What counts for a year, by the policy of the type: always; from its begin to its end (open without one); in its own year; or
+    where something linked does."""
+    year = 1997
+    start = F.year("o_orderdate")
+    end = F.when(c("o_orderstatus") == "F", start + 1)
+    lived = t.orders.where((start <= year) & (end.isNull() | (end >= year))).select(F.lit("lifecycle").alias("policy"), c("o_orderkey").alias("id"))
+    own = t.events.where(F.year("ts") == year).select(F.lit("yearly").alias("policy"), c("event_id").alias("id"))
+    ever = t.part.select(F.lit("evergreen").alias("policy"), c("p_partkey").alias("id"))
+    derived = linked(t.customer, t.orders.where(start == year).select(c("o_custkey").alias("c_custkey")), "c_custkey").select(F.lit("derived").alias("policy"), c("c_custkey").alias("id"))
+    return ever.union(lived).union(own).union(derived)
 
 
 @question("diagnose_zero", "SELECT count(*) FILTER (p_size > 25 AND p_brand = 'none' AND p_retailprice > 0) AS total, count(*) FILTER (p_brand = 'none' AND p_retailprice > 0) AS without_size, count(*) FILTER (p_size > 25 AND p_retailprice > 0) AS without_brand, count(*) FILTER (p_size > 25 AND p_brand = 'none') AS without_price FROM part")
@@ -162,9 +181,10 @@ def _(t):
     return t.part.select("p_partkey").join(stale, "p_partkey", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
 
 
-@question("scan_type", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IS NOT NULL")
+@question("scan_type", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus <> 'P'")
 def _(t):
-    return t.nation.where("n_regionkey is not null").select("n_nationkey", "n_name")
+    # rows of a type without the deleted ones; an unknown mark isn't a deletion
+    return t.orders.where(differs(c("o_orderstatus"), "P")).select("o_orderkey", "o_orderstatus")
 
 
 @question("join_axis_left", f"SELECT r_name, count(*) AS n, sum(l_quantity) AS qty FROM {RECORDS} x LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -208,7 +228,36 @@ def _(t):
     return t.orders.join(place, c("o_custkey") == c("c_custkey"), "left").groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@question("path_edge_field", "SELECT o_orderkey, max(l_quantity) AS qty FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@question("path_edge_field", "SELECT o_orderkey AS key, coalesce(q, []) AS qty FROM orders LEFT JOIN (SELECT l_orderkey, list_sort(list(DISTINCT l_quantity)) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def _(t):
+    return t.schema.with_columns("order", {"qty": "out.lines~l_quantity"})
+
+
+@question("path_parse", "SELECT * FROM (VALUES ('o_orderdate', 0, 'o_orderdate', 'ok'), ('ref.o_custkey.ref.c_nationkey.n_name', 2, 'n_name', 'ok'), ('out.lines', 1, NULL, 'ok'), ('out.lines~l_quantity', 1, 'l_quantity', 'ok'), ('in.lines', NULL, NULL, 'refused'), ('ref.o_custkey', NULL, NULL, 'refused'), ('ref.o_custkey.c_name.more', NULL, NULL, 'refused'), ('ref.o_custkey~l_quantity', NULL, NULL, 'refused'), ('out.lines.no_such', NULL, NULL, 'refused')) v(address, hops, ends_in, state)")
+def _(t):
+    """Addresses of an order: how many hops, what they end in, or that they are refused."""
+    from ravelin.operators.paths import NoSuchAddress
+
+    out = []
+    for text in ("o_orderdate", "ref.o_custkey.ref.c_nationkey.n_name", "out.lines", "out.lines~l_quantity", "in.lines", "ref.o_custkey", "ref.o_custkey.c_name.more", "ref.o_custkey~l_quantity", "out.lines.no_such"):
+        try:
+            address, _ = t.schema.checked("order", text)
+            out.append((text, len(address.hops), address.column or address.edge, "ok"))
+        except NoSuchAddress:
+            out.append((text, None, None, "refused"))
+    return t.spark.createDataFrame(out, "address string, hops int, ends_in string, state string")
+
+
+@question("path_columns", "SELECT o_orderkey AS key, c_name AS customer, n_name AS nation, r_name AS region, coalesce(brands, []) AS brands FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT l_orderkey, list_sort(list(DISTINCT p_brand)) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_orderkey = o_orderkey")
+def _(t):
+    return t.schema.with_columns("order", {"customer": "ref.o_custkey.c_name", "nation": "ref.o_custkey.ref.c_nationkey.n_name", "region": "ref.o_custkey.ref.c_nationkey.ref.n_regionkey.r_name", "brands": "out.lines.p_brand"})
+
+
+@question("path_condition", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3)")
+def _(t):
+    return t.schema.where("supplier", "in.supply.ref.o_custkey.c_nationkey", lambda v: v == 3).select("s_suppkey")
+
+
+@question("path_group", "SELECT n_name AS value, count(DISTINCT l_partkey) AS n FROM (SELECT p_partkey AS l_partkey, n_name FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1")
 def _(t):
-    edges = t.lineitem.groupBy("l_orderkey").agg(F.max("l_quantity").alias("qty"))
-    return t.orders.join(edges, c("o_orderkey") == c("l_orderkey"), "left").select("o_orderkey", "qty")
+    return t.schema.grouped("part", "in.lines.ref.o_custkey.ref.c_nationkey.n_name")

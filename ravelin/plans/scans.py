@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ravelin.plans.registry import question
-from ravelin.sources import files
+from ravelin.sources import files, tabular
 
 c = F.col
 
@@ -34,13 +34,49 @@ def _(t):
     return t.orders.where(F.substring(F.md5(c("o_orderkey").cast("string")), 1, 1) < "4").select("o_orderkey")
 
 
-for _fmt, _name in (("csv", "src_csv_json"), ("json", "src_file"), ("tsv", "sink_csv")):
-    question(_name, "SELECT p_partkey, p_name, p_brand, p_size FROM part")(lambda t, fmt=_fmt: files.there_and_back(t.part.select("p_partkey", "p_name", "p_brand", "p_size"), fmt))
+_SENT = "SELECT {0} AS kind, p_partkey, p_name, p_size FROM part".format
 
 
-@question("src_incremental", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
+def sent(t, name, kind, encoding):
+    """Parts written as other systems send them, a file for each brand, and read again."""
+    own = t.part.select("p_brand", "p_partkey", F.concat("p_name", F.lit(", 부품"), F.when(c("p_size") == 1, F.lit(' "x"')).otherwise("")).alias("p_name"), "p_size")
+    folder = files.scratch(t.spark)
+    tabular.write_bytes(tabular.as_file(own.withColumn("p_brand", F.translate("p_brand", "#", "_")), "p_brand", kind, encoding), folder)
+    back = tabular.read_tabular(t.spark, folder, ["p_partkey", "p_name", "p_size"])
+    plain = F.regexp_replace("p_name", ', 부품( "x")?$', "")
+    return back.select(F.lit(name).alias("kind"), c("p_partkey").cast("long").alias("p_partkey"), plain.alias("p_name"), c("p_size").cast("int").alias("p_size"))
+
+
+_KINDS = [("bom", "csv", "utf-8-sig"), ("tabs", "tsv", "utf-8"), ("rows", "rows", "utf-8")]
+
+
+@question("src_csv_json", " UNION ALL ".join(_SENT(f"'{k[0]}'") for k in _KINDS))
+def _(t):
+    out = [sent(t, *k) for k in _KINDS]
+    return out[0].union(out[1]).union(out[2])
+
+
+@question("src_decode", _SENT("'cp949'"))
+def _(t):
+    return sent(t, "cp949", "csv", "cp949")
+
+
+@question("src_file", f"{_SENT(chr(39) + 'items' + chr(39))} UNION ALL {_SENT(chr(39) + 'value' + chr(39))}")
 def _(t):
-    return files.changed_since(t.events, "ts", "2024-01-20 00:00:00").select("event_id")
+    return sent(t, "items", "items", "utf-8").union(sent(t, "value", "value", "utf-8"))
+
+
+@question("sink_csv", "SELECT p_partkey, p_name, p_brand, p_size FROM part")
+def _(t):
+    return files.there_and_back(t.part.select("p_partkey", "p_name", "p_brand", "p_size"), "csv")
+
+
+@question("src_incremental", "SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 100 + 1 AS page FROM events WHERE ts > TIMESTAMP '2024-01-25 00:00:00'")
+def _(t):
+    """Rows after a watermark, page by page behind a keyset cursor; a page begins where the last one ended, whatever came in between."""
+    rows = files.changed_since(t.events, "ts", "2024-01-25 00:00:00")
+    pages = files.keyset_pages(rows, ["ts", "event_id"], 100)
+    return pages.select("event_id", "page")
 
 
 @question("src_overlap_incremental", "SELECT DISTINCT event_id FROM events WHERE ts > TIMESTAMP '2024-01-19 23:55:00'")
@@ -79,19 +115,28 @@ def _(t):
     return own.join(many, c("o_orderkey") == c("l_orderkey"), "left").select("o_orderkey", c("c_name").alias("customer"), "suppliers")
 
 
-@question("census_pages", "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY 1 LIMIT 20 OFFSET 20")
+@question("census_pages", "SELECT (row_number() OVER (ORDER BY p_name) - 1) // 20 + 1 AS page, p_name, n FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1)")
 def _(t):
-    return t.part.groupBy("p_name").agg(F.count("*").alias("n")).orderBy("p_name").offset(20).limit(20)
+    # all groups as JSON lines, one for each, and read again page by page behind a cursor
+    path = files.scratch(t.spark)
+    t.part.groupBy("p_name").agg(F.count("*").alias("n")).select(F.to_json(F.struct("p_name", "n")).alias("value")).write.text(path)
+    lines = t.spark.read.text(path).select(F.from_json("value", "p_name string, n long").alias("r")).select("r.*")
+    return files.keyset_pages(lines, ["p_name"], 20).select("page", "p_name", "n")
 
 
-@question("sink_rdf_data", "SELECT 'part/' || p_partkey AS s, 'p_name' AS p, p_name AS o FROM part UNION ALL SELECT 'part/' || p_partkey, 'p_brand', p_brand FROM part")
+@question("sink_rdf_data", "SELECT '<part/' || p_partkey || '> <p_name> \"' || p_name || '\" .' AS line FROM part UNION ALL SELECT '<part/' || p_partkey || '> <p_brand> \"' || p_brand || '\" .' FROM part")
 def _(t):
-    return files.triples(t.part.select("p_partkey", "p_name", "p_brand"), "p_partkey", "part")
+    path = files.scratch(t.spark)
+    files.write_ntriples(files.triples(t.part.select("p_partkey", "p_name", "p_brand"), "p_partkey", "part"), path)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 
-@question("sink_rdf_schema", "SELECT 'n_nationkey' AS name, 'int' AS kind UNION ALL SELECT 'n_name', 'string' UNION ALL SELECT 'n_regionkey', 'int'")
+@question("sink_rdf_schema", "SELECT unnest(['<nation> <type> <Class> .', '<nation/n_nationkey> <domain> <nation> .', '<nation/n_nationkey> <range> <integer> .', '<nation/n_name> <domain> <nation> .', '<nation/n_name> <range> <string> .', '<nation/n_regionkey> <domain> <nation> .', '<nation/n_regionkey> <range> <region> .', '<nation/n_regionkey> <type> <ObjectProperty> .']) AS line")
 def _(t):
-    return t.spark.createDataFrame(t.nation.dtypes, "name string, kind string")
+    # a class for the type, a property for each column with its range: the target of a reference, else the kind of value
+    path = files.scratch(t.spark)
+    files.schema_triples(t.nation, "nation", {"n_regionkey": "region"}).coalesce(1).write.text(path)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @question("sink_graph_csv", "SELECT parent, child FROM (SELECT 'r:' || n_regionkey AS parent, 'n:' || n_nationkey AS child FROM nation UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer)")
@@ -108,10 +153,3 @@ def _(t):
 @question("src_file_fetch", "SELECT r_regionkey, r_name FROM region")
 def _(t):
     return t.spark.read.load(f"{t.folder}/region.parquet", format="parquet").select("r_regionkey", "r_name")
-
-
-@question("src_decode", "SELECT p_partkey, p_name FROM part WHERE p_partkey < 50")
-def _(t):
-    path = files.scratch(t.spark)
-    t.part.where("p_partkey < 50").select("p_partkey", "p_name").write.options(header=True, encoding="ISO-8859-1").csv(path)
-    return t.spark.read.schema("p_partkey long, p_name string").options(header=True, encoding="ISO-8859-1").csv(path)

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a local one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base}/ravelin-{uuid.uuid4().hex}"
+    """A new folder that all executors share, below ``spark.checkpoint.dir``. Only a local session, as in tests, may do without the
+    setting; on a cluster a machine's own folder would lose what executors write, so there it raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base if '://' in base else 'file://' + os.path.abspath(base)}/ravelin-{uuid.uuid4().hex}"
 
 
 def read_file(spark: SparkSession, path: str, fmt: str, schema: str, **options) -> DataFrame:
@@ -45,6 +50,16 @@ def changed_since(rows: DataFrame, at: str, since, overlap_minutes: int = 0) ->
     return rows.where(F.col(at) > start)
 
 
+def keyset_pages(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """``rows`` with the number of their page in the order of a unique key; a reader goes on behind the last key it has seen.
+
+    Places are made in range pieces, so no task gets all rows, and no page is read by an offset.
+    """
+    from ravelin.operators.ordered import placed
+
+    return placed(rows, [F.asc(k) for k in key], name="_place").withColumn("page", F.expr(f"(_place - 1) div {size} + 1")).drop("_place")
+
+
 def drift(known: DataFrame, now: DataFrame) -> list[tuple[str, str]]:
     """(column, missing | new | retyped), from schemas only."""
     a, b = dict(known.dtypes), dict(now.dtypes)
@@ -64,3 +79,24 @@ def triples(rows: DataFrame, key: str, kind: str) -> DataFrame:
     fields = [c for c in rows.columns if c != key]
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("p"), F.col(c).cast("string").alias("o")) for c in fields])).alias("x")
     return rows.select(F.concat(F.lit(f"{kind}/"), F.col(key).cast("string")).alias("s"), pairs).select("s", "x.p", "x.o").where("o is not null")
+
+
+def _literal(c):
+    quoted = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), F.replace(F.replace(quoted, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit('"'))
+
+
+def write_ntriples(rows: DataFrame, path: str) -> None:
+    """(s, p, o) as lines of text, one for each triple; objects are literals."""
+    rows.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), _literal(F.col("o")), F.lit(" .")).alias("value")).write.text(path)
+
+
+def schema_triples(rows: DataFrame, kind: str, references: dict[str, str]) -> DataFrame:
+    """(value): what a table defines, as lines: its class, and of each column the domain and range, from its schema only."""
+    names = {"int": "integer", "bigint": "integer", "double": "decimal", "string": "string", "date": "date", "timestamp": "dateTime", "timestamp_ntz": "dateTime", "boolean": "boolean"}
+    lines = [f"<{kind}> <type> <Class> ."]
+    for column, dtype in rows.dtypes:
+        lines += [f"<{kind}/{column}> <domain> <{kind}> .", f"<{kind}/{column}> <range> <{references.get(column, names.get(dtype, dtype))}> ."]
+        if column in references:
+            lines.append(f"<{kind}/{column}> <type> <ObjectProperty> .")
+    return rows.sparkSession.createDataFrame([(x,) for x in lines], "value string")

@@ -45,3 +45,18 @@ class Tables:
         """The parts' edges and those of every seventh part to the part with a fifth of its number."""
         more = self.part.where("p_partkey % 7 = 0 and p_partkey > 0").select(F.expr("p_partkey div 5").alias("parent"), F.col("p_partkey").alias("child"), F.lit(1).cast("long").alias("qty"))
         return self.bom.union(more).dropDuplicates(["parent", "child"])
+
+    @cached_property
+    def schema(self):
+        """The tables with their keys, references and relations, for column addresses."""
+        from ravelin.operators.paths import Relation, Schema
+
+        names = {"order": "orders", "customer": "customer", "nation": "nation", "region": "region", "part": "part", "supplier": "supplier"}
+        lines = Relation(lambda: self.lineitem, "l_orderkey", "l_partkey", "order", "part")
+        supply = Relation(lambda: self.lineitem.select("l_orderkey", "l_suppkey").distinct(), "l_orderkey", "l_suppkey", "order", "supplier")
+        return Schema(
+            {k: lambda v=v: getattr(self, v) for k, v in names.items()},
+            {"order": "o_orderkey", "customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey", "part": "p_partkey", "supplier": "s_suppkey"},
+            {("order", "o_custkey"): "customer", ("customer", "c_nationkey"): "nation", ("nation", "n_regionkey"): "region", ("supplier", "s_nationkey"): "nation"},
+            {"lines": lines, "supply": supply},
+        )
