@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravelin.functions import texts as keys
+from ravelin.operators import matching, profiles
 from ravelin.plans.registry import question
 
 c = F.col
@@ -20,33 +24,89 @@ def _(t):
     return incoming(t).select("k", F.lower("name").alias("name"), (c("p_size") * 2).alias("size"))
 
 
-@question("ingest_match", f"SELECT k, p_partkey IS NOT NULL AS matched FROM {_NEW} n LEFT JOIN part ON p_partkey = k")
-def _(t):
-    return incoming(t).join(t.part.select("p_partkey"), c("k") == c("p_partkey"), "left").select("k", c("p_partkey").isNotNull().alias("matched"))
+#: What is sent: an id of the sender for some rows, a key, a name, a size that may be unreadable, and a brand.
+_SENT = "(SELECT p_partkey AS row, CASE WHEN p_partkey % 8 = 0 THEN 'x' || (p_partkey + 4) END AS external, CASE WHEN p_partkey % 12 <> 4 THEN p_partkey + 40 END AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE upper(p_name) END AS name, CASE WHEN p_partkey % 28 = 0 THEN 'large' ELSE p_size::VARCHAR END AS size FROM part WHERE p_partkey % 4 = 0)"
+#: What is known: external ids of some parts, and the names that only one part has.
+_KNOWN = "(SELECT 'x' || p_partkey AS external, p_partkey FROM part WHERE p_partkey % 3 = 0)"
+_ALONE = "(SELECT lower(p_name || ' ' || p_size) AS name, min(p_partkey) AS p_partkey FROM part GROUP BY 1 HAVING count(*) = 1)"
+_MATCHED = f"(SELECT s.*, coalesce(e.p_partkey, p.p_partkey, a.p_partkey) AS found, CASE WHEN e.p_partkey IS NOT NULL THEN 'external' WHEN p.p_partkey IS NOT NULL THEN 'key' WHEN a.p_partkey IS NOT NULL THEN 'name' ELSE 'none' END AS how FROM {_SENT} s LEFT JOIN {_KNOWN} e ON e.external = s.external LEFT JOIN part p ON p.p_partkey = s.k LEFT JOIN {_ALONE} a ON a.name = lower(s.name || ' ' || s.size))"
+
+
+def arrived(t):
+    key = c("p_partkey")
+    return t.part.where("p_partkey % 4 = 0").select(
+        key.alias("row"),
+        F.when(key % 8 == 0, F.concat(F.lit("x"), (key + 4).cast("string"))).alias("external"),
+        F.when(key % 12 != 4, key + 40).alias("k"),
+        F.when(key % 3 == 0, c("p_name")).otherwise(F.upper("p_name")).alias("name"),
+        F.when(key % 28 == 0, "large").otherwise(c("p_size").cast("string")).alias("size"),
+    )
+
 
+def matched(t):
+    """Rows with the object that they mean: by the sender's id, else by key, else by a name that only one object has."""
+    sent = arrived(t)
+    external = t.part.where("p_partkey % 3 = 0").select(F.concat(F.lit("x"), c("p_partkey").cast("string")).alias("_k"), c("p_partkey").alias("found"))
+    named = t.part.select(F.lower(F.concat_ws(" ", "p_name", "p_size")).alias("_k"), c("p_partkey").alias("found"))
+    alone = named.groupBy("_k").agg(F.count("*").alias("n"), F.min("found").alias("found")).where("n = 1").drop("n")
+    rungs = [("external", external, c("external"), "least"), ("key", t.part.select(c("p_partkey").cast("string").alias("_k"), c("p_partkey").alias("found")), c("k").cast("string"), "least"), ("name", alone, F.lower(F.concat_ws(" ", "name", "size")), "least")]
+    return sent.join(matching.ladder(sent, "row", rungs, "found").withColumnRenamed("row", "_row"), c("row") == c("_row")).drop("_row")
 
-_PLAN = f"SELECT k, CASE WHEN p.p_partkey IS NULL THEN 'create' WHEN p.p_name IS DISTINCT FROM name OR p.p_size IS DISTINCT FROM n.p_size THEN 'update' ELSE 'same' END AS action FROM {_NEW} n LEFT JOIN part p ON p.p_partkey = k"
+
+question("ingest_match", f"SELECT row, found, how FROM {_MATCHED}")(lambda t: matched(t).select("row", "found", "how"))
+
+_PLAN = f"(SELECT row, found, CASE WHEN try_cast(size AS BIGINT) IS NULL THEN 'error' WHEN found IS NOT NULL AND count(*) OVER (PARTITION BY found) > 1 THEN 'error' WHEN found IS NULL THEN 'create' WHEN p.p_name IS DISTINCT FROM m.name OR p.p_size IS DISTINCT FROM try_cast(m.size AS BIGINT) THEN 'update' ELSE 'same' END AS action, CASE WHEN try_cast(size AS BIGINT) IS NULL THEN 'size: unreadable' WHEN found IS NOT NULL AND count(*) OVER (PARTITION BY found) > 1 THEN 'met twice' END AS reason FROM {_MATCHED} m LEFT JOIN part p ON p.p_partkey = found)"
 
 
 def plan(t):
-    old = t.part.select("p_partkey", "p_name", c("p_size").alias("old_size"))
-    differs = ~c("p_name").eqNullSafe(c("name")) | ~c("old_size").eqNullSafe(c("p_size"))
-    return incoming(t).join(old, c("k") == c("p_partkey"), "left").select("k", F.when(c("p_partkey").isNull(), "create").when(differs, "update").otherwise("same").alias("action"))
+    """What an import would do with each row: create, update, leave as it is, or refuse (an unreadable cell, or an object met twice)."""
+    own = matched(t)
+    old = t.part.select(c("p_partkey").alias("found"), "p_name", "p_size")
+    twice = own.where("found is not null").groupBy("found").agg((F.count("*") > 1).alias("twice"))
+    rows = own.join(old, "found", "left").join(twice, "found", "left")
+    size = F.when(c("size").rlike("^-?[0-9]+$"), c("size").cast("long"))
+    reason = F.when(size.isNull(), "size: unreadable").when(F.coalesce("twice", F.lit(False)), "met twice")
+    differs = ~c("p_name").eqNullSafe(c("name")) | ~c("p_size").eqNullSafe(size)
+    return rows.select("row", "found", F.when(reason.isNotNull(), "error").when(c("found").isNull(), "create").when(differs, "update").otherwise("same").alias("action"), reason.alias("reason"))
+
 
+question("ingest_plan", f"SELECT * FROM {_PLAN}")(plan)
 
-question("ingest_plan", _PLAN)(plan)
-question("bulk_edit_plan", f"SELECT action, count(*) AS n FROM ({_PLAN}) GROUP BY 1")(lambda t: plan(t).groupBy("action").agg(F.count("*").alias("n")))
+
+@question("bulk_edit_plan", "SELECT p_partkey, p_size AS before, CASE WHEN p_type = 'SMALL' THEN 7 ELSE p_size END AS after, CASE WHEN p_brand = 'Brand#3' THEN 'locked' WHEN p_type <> 'SMALL' OR p_size = 7 THEN 'same' ELSE 'update' END AS action FROM part")
+def _(t):
+    """One value set on the rows of a filter: what each row would have before and after, and what is left alone."""
+    new = F.when(c("p_type") == "SMALL", 7).otherwise(c("p_size"))
+    action = F.when(c("p_brand") == "Brand#3", "locked").when(new == c("p_size"), "same").otherwise("update")
+    return t.part.select("p_partkey", c("p_size").alias("before"), new.alias("after"), action.alias("action"))
 
 
-@question("ingest_refs", "SELECT s_suppkey, n_nationkey FROM (SELECT s_suppkey, 'nation_' || s_nationkey AS cell FROM supplier) LEFT JOIN nation ON lower(n_name) = cell")
+@question("ingest_refs", "WITH cells AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_nationkey::VARCHAR WHEN 1 THEN ' NATION_' || s_nationkey WHEN 2 THEN 'land ' || s_nationkey ELSE 'nowhere' END AS cell FROM supplier) SELECT s_suppkey, n_nationkey, CASE s_suppkey % 4 WHEN 0 THEN 'key' WHEN 1 THEN 'label' WHEN 2 THEN 'alias' ELSE 'none' END AS how FROM cells LEFT JOIN nation ON (s_suppkey % 4 = 0 AND n_nationkey::VARCHAR = cell) OR (s_suppkey % 4 = 1 AND lower(n_name) = lower(trim(cell))) OR (s_suppkey % 4 = 2 AND 'land ' || n_nationkey = cell)")
 def _(t):
-    cells = t.supplier.select("s_suppkey", F.concat(F.lit("nation_"), c("s_nationkey").cast("string")).alias("cell"))
-    return cells.join(t.nation.select("n_nationkey", F.lower("n_name").alias("cell")), "cell", "left").select("s_suppkey", "n_nationkey")
+    """Cells of text as references: by key, by label in any case, by alias."""
+    kind, nation = c("s_suppkey") % 4, c("s_nationkey").cast("string")
+    cells = t.supplier.select("s_suppkey", F.when(kind == 0, nation).when(kind == 1, F.concat(F.lit(" NATION_"), nation)).when(kind == 2, F.concat(F.lit("land "), nation)).otherwise("nowhere").alias("cell"))
+    known = lambda key: t.nation.select(key.alias("_k"), "n_nationkey")
+    text = keys.norm_key(c("cell"))
+    rungs = [("key", known(c("n_nationkey").cast("string")), text, "stop"), ("label", known(keys.norm_key(c("n_name"))), text, "stop"), ("alias", known(F.concat(F.lit("land "), c("n_nationkey").cast("string"))), text, "stop")]
+    return matching.ladder(cells, "s_suppkey", rungs, "n_nationkey")
 
 
-@question("ingest_edges", "SELECT o_orderkey AS src, o_custkey AS dst, c_custkey IS NOT NULL AS known FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+_THERE = "(SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_linestatus = 'F')"
+
+
+@question("ingest_edges", f"WITH s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey) AS r, l_orderkey AS src, CASE WHEN l_partkey % 50 = 0 THEN -1 ELSE l_partkey END AS dst, min(l_shipdate)::DATE AS a, min(l_shipdate)::DATE + CASE WHEN l_partkey % 30 = 1 THEN -5 ELSE 90 END AS b FROM lineitem GROUP BY l_orderkey, l_partkey) SELECT src, a, count(*) AS n, action FROM (SELECT s.src, a, CASE WHEN o_orderkey IS NULL OR p_partkey IS NULL THEN 'no_end' WHEN b <= a THEN 'period' WHEN count(*) OVER (PARTITION BY s.src) > 6 THEN 'cardinality' WHEN t.src IS NOT NULL THEN 'exists' ELSE 'create' END AS action FROM s LEFT JOIN orders ON o_orderkey = s.src LEFT JOIN part ON p_partkey = s.dst LEFT JOIN {_THERE} t ON t.src = s.src AND t.dst = s.dst) GROUP BY ALL")
 def _(t):
-    return t.orders.join(t.customer.select("c_custkey"), c("o_custkey") == c("c_custkey"), "left").select(c("o_orderkey").alias("src"), c("o_custkey").alias("dst"), c("c_custkey").isNotNull().alias("known"))
+    """What an import of links would do: both ends must be there, a period must end behind its begin, and an order has six links at most;
+    a link that is there already isn't made again."""
+    day = F.to_date(F.min("l_shipdate"))
+    sent = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(day.alias("a")).select(c("l_orderkey").alias("src"), F.when(c("l_partkey") % 50 == 0, -1).otherwise(c("l_partkey")).alias("dst"), "a", F.date_add("a", F.when(c("l_partkey") % 30 == 1, -5).otherwise(90)).alias("b"))
+    many = sent.groupBy(c("src").alias("_m")).agg(F.count("*").alias("links"))
+    there = t.lineitem.where("l_linestatus = 'F'").select(c("l_orderkey").alias("_s"), c("l_partkey").alias("_d")).distinct().withColumn("there", F.lit(True))
+    rows = sent.join(t.orders.select(c("o_orderkey").alias("_o")), c("src") == c("_o"), "left").join(t.part.select(c("p_partkey").alias("_p")), c("dst") == c("_p"), "left")
+    rows = rows.join(many, c("src") == c("_m")).join(there, (c("src") == c("_s")) & (c("dst") == c("_d")), "left")
+    action = F.when(c("_o").isNull() | c("_p").isNull(), "no_end").when(c("b") <= c("a"), "period").when(c("links") > 6, "cardinality").when(c("there"), "exists").otherwise("create")
+    return rows.select("src", "a", action.alias("action")).groupBy("src", "a", "action").agg(F.count("*").alias("n"))
 
 
 @question("gather_edges", "SELECT l_orderkey, l_partkey, l_suppkey, count(*) AS n, count(DISTINCT l_quantity) > 1 AS conflict FROM lineitem GROUP BY 1, 2, 3")
@@ -60,15 +120,20 @@ def _(t):
     return t.orders.select("o_orderkey", c("o_orderstatus").alias("back")).join(after, "o_orderkey").where("back <> now").select("o_orderkey", "back")
 
 
-@question("infer_type", "SELECT count(*) FILTER (try_cast(props->>'k' AS BIGINT) IS NOT NULL) AS whole, count(*) FILTER (props->>'k' IS NULL) AS blank, count(*) AS total FROM events")
-def _(t):
-    k = F.get_json_object("props", "$.k")
-    return t.events.agg(F.count_if(k.try_cast("bigint").isNotNull()).alias("whole"), F.count_if(k.isNull()).alias("blank"), F.count("*").alias("total"))
+_KIND_SQL = """SELECT '{0}' AS "column", CASE WHEN count(v) = 0 THEN 'text' WHEN count(*) FILTER (lower(trim(v)) IN ('true', 't', 'yes', 'y', '1', 'on', 'false', 'f', 'no', 'n', '0', 'off')) = count(v) THEN 'bool' WHEN count(*) FILTER (regexp_full_match(v, '-?[0-9]+([.][0-9]+)?')) = count(v) THEN 'number' WHEN count(*) FILTER (regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(v AS DATE) IS NOT NULL) = count(v) THEN 'date' WHEN count(*) FILTER (try_strptime(v, '%Y-%m-%d %H:%M:%S') IS NOT NULL) = count(v) THEN 'datetime' WHEN count(*) FILTER (regexp_matches(v, '^https?://')) = count(v) THEN 'url' WHEN count(*) >= 20 AND count(DISTINCT v) <= 20 AND count(DISTINCT v) <= 0.5 * count(v) THEN 'enum' WHEN max(length(v)) > 200 THEN 'text_long' ELSE 'text' END AS kind, count(v) AS filled, count(*) - count(v) AS blank, count(DISTINCT v) AS distinct, 0::BIGINT AS decimals FROM (SELECT nullif(nullif({1}, ''), 'null') AS v FROM {2})""".format
+_COLUMNS = [("p_partkey", "p_partkey::VARCHAR"), ("p_name", "p_name"), ("p_brand", "p_brand"), ("p_type", "p_type"), ("p_size", "p_size::VARCHAR"), ("flag", "CASE WHEN p_size % 2 = 0 THEN 'yes' WHEN p_size % 3 = 0 THEN 'no' END"), ("day", "CASE WHEN p_size <> 3 THEN (DATE '2020-01-01' + p_size)::VARCHAR END"), ("at", "(DATE '2020-01-01' + p_size)::VARCHAR || ' 10:20:30'"), ("link", "'https://x/' || p_partkey"), ("empty", "CASE WHEN false THEN '' END")]
+_INFERRED = " UNION ALL ".join(_KIND_SQL(name, sql, "part") for name, sql in _COLUMNS)
 
 
-@question("infer_table", "SELECT count(DISTINCT p_brand) AS brands, count(DISTINCT p_type) AS types, count(DISTINCT p_partkey) = count(*) AS key_unique, max(length(p_name)) AS longest FROM part")
-def _(t):
-    return t.part.agg(F.countDistinct("p_brand").alias("brands"), F.countDistinct("p_type").alias("types"), (F.countDistinct("p_partkey") == F.count("*")).alias("key_unique"), F.max(F.length("p_name")).cast("long").alias("longest"))
+def typed(t):
+    """Parts with columns of all kinds, as text."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), c("p_size")).cast("string")
+    more = {"flag": F.when(c("p_size") % 2 == 0, "yes").when(c("p_size") % 3 == 0, "no"), "day": F.when(c("p_size") != 3, day), "at": F.concat(day, F.lit(" 10:20:30")), "link": F.concat(F.lit("https://x/"), c("p_partkey").cast("string")), "empty": F.lit(None).cast("string")}
+    return t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", *[v.alias(k) for k, v in more.items()])
+
+
+question("infer_type", f"SELECT \"column\", kind FROM ({_INFERRED})")(lambda t: profiles.kinds(typed(t)).select("column", "kind"))
+question("infer_table", _INFERRED)(lambda t: profiles.kinds(typed(t)))
 
 
 @question("infer_links", "SELECT count(DISTINCT o_custkey) AS found, count(DISTINCT o_custkey) FILTER (o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)) AS hits FROM orders")
@@ -77,16 +142,31 @@ def _(t):
     return t.orders.select("o_custkey").distinct().join(keys, "o_custkey", "left").agg(F.count("*").alias("found"), F.count("hit").alias("hits"))
 
 
-@question("profile_table", "SELECT count(*) AS n, count(DISTINCT l_returnflag) AS flags, count(*) FILTER (l_returnflag = '') AS blanks, min(l_shipdate)::DATE AS first, max(l_shipdate)::DATE AS last FROM lineitem")
+_SHAPES = " UNION ALL ".join(f"SELECT '{x}' AS \"column\", regexp_replace(regexp_replace(regexp_replace({x}::VARCHAR, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape FROM part" for x in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+
+
+@question("profile_table", f"SELECT \"column\", shape, count(*) AS n, row_number() OVER (PARTITION BY \"column\" ORDER BY count(*) DESC, shape)::INT AS rank FROM ({_SHAPES}) GROUP BY 1, 2 QUALIFY rank <= 3")
+def _(t):
+    return profiles.shapes(t.part, ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+
+
+@question("profile_keys", "SELECT 'c_custkey' AS key UNION ALL SELECT 'c_name' FROM (SELECT 1 WHERE (SELECT count(DISTINCT c_name) = count(*) FROM customer))")
+def _(t):
+    return profiles.unique_keys(t.customer, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+
+
+_PAIR = "SELECT '{0}' AS a, '{1}' AS b, (SELECT max(n) FROM (SELECT count(DISTINCT {1}) AS n FROM {2} GROUP BY {0})) AS a_max, (SELECT max(n) FROM (SELECT count(DISTINCT {0}) AS n FROM {2} GROUP BY {1})) AS b_max".format
+_PAIRS = " UNION ALL ".join(_PAIR(a, b, "part") for a, b in (("p_partkey", "p_name"), ("p_partkey", "p_brand"), ("p_partkey", "p_type"), ("p_name", "p_brand"), ("p_name", "p_type"), ("p_brand", "p_type")))
+
+
+@question("profile_cardinality", f"SELECT *, (CASE WHEN b_max > 1 THEN 'N' ELSE '1' END) || ':' || (CASE WHEN a_max > 1 THEN CASE WHEN b_max > 1 THEN 'M' ELSE 'N' END ELSE '1' END) AS kind FROM ({_PAIRS})")
 def _(t):
-    return t.lineitem.agg(F.count("*").alias("n"), F.countDistinct("l_returnflag").alias("flags"), F.count_if(c("l_returnflag") == "").alias("blanks"), F.to_date(F.min("l_shipdate")).alias("first"), F.to_date(F.max("l_shipdate")).alias("last"))
+    return profiles.fanout(t.part, ["p_partkey", "p_name", "p_brand", "p_type"])
 
 
-@question("profile_cardinality", "SELECT (SELECT max(n) FROM (SELECT count(DISTINCT p_brand) AS n FROM part GROUP BY p_name)) AS brands_of_name, (SELECT max(n) FROM (SELECT count(DISTINCT p_name) AS n FROM part GROUP BY p_brand)) AS names_of_brand")
+@question("profile_links", "SELECT 'o_custkey' AS \"column\", count(DISTINCT o_custkey) AS values, count(DISTINCT o_custkey) FILTER (o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS hits FROM orders")
 def _(t):
-    pairs = t.part.select("p_name", "p_brand").distinct()
-    a = pairs.groupBy("p_name").agg(F.count("*").alias("n")).agg(F.max("n").alias("brands_of_name"))
-    return a.crossJoin(pairs.groupBy("p_brand").agg(F.count("*").alias("n")).agg(F.max("n").alias("names_of_brand")))
+    return profiles.overlap(t.orders, "o_custkey", t.customer.where("c_acctbal > 0"), "c_custkey")
 
 
 @question("quality_missing", "SELECT count(*) FILTER (text IS NULL OR text = '') AS no_text, count(*) FILTER (lang IS NULL OR lang = '') AS no_lang FROM documents")
@@ -104,14 +184,23 @@ def _(t):
     return t.labels.select("doc_id").join(t.documents.where("doc_id % 5 <> 0").select("doc_id"), "doc_id", "left_anti")
 
 
-@question("quality_duplicates", "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+_LABEL = "lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))"
+
+
+@question("quality_duplicates", f"SELECT md5({_LABEL}) AS h, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def _(t):
-    return t.documents.groupBy(F.md5(c("text").cast("binary")).alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    # equal by normalised label: case and blanks don't tell two objects apart
+    own = t.documents.where("text is not null").select("doc_id", F.md5(keys.norm_key(c("text")).cast("binary")).alias("h"))
+    return own.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@question("quality_alias_clash", "SELECT p_name, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 30")
+@question("quality_alias_clash", "WITH a AS (SELECT s_suppkey, lower(CASE WHEN s_suppkey % 3 = 0 THEN 'NATION_' || s_nationkey WHEN s_suppkey % 3 = 1 THEN (s_nationkey % 5)::VARCHAR ELSE 'alias ' || s_suppkey END) AS k FROM supplier), l AS (SELECT n_nationkey AS owner, lower(n_name) AS k, 'label' AS how FROM nation UNION ALL SELECT n_nationkey, n_nationkey::VARCHAR, 'key' FROM nation) SELECT s_suppkey, owner, how FROM a JOIN l USING (k)")
 def _(t):
-    return t.part.groupBy("p_name").agg(F.countDistinct("p_partkey").alias("n")).where("n > 30")
+    """Aliases that are also the label or the key of another object."""
+    kind, nation = c("s_suppkey") % 3, c("s_nationkey")
+    alias = t.supplier.select("s_suppkey", F.lower(F.when(kind == 0, F.concat(F.lit("NATION_"), nation)).when(kind == 1, (nation % 5).cast("string")).otherwise(F.concat(F.lit("alias "), c("s_suppkey")))).alias("k"))
+    taken = t.nation.select(c("n_nationkey").alias("owner"), F.lower("n_name").alias("k"), F.lit("label").alias("how")).union(t.nation.select("n_nationkey", c("n_nationkey").cast("string"), F.lit("key")))
+    return alias.join(taken, "k").select("s_suppkey", "owner", "how")
 
 
 @question("fill_priority", "SELECT p_type, count(*) FILTER (p_size < 10) AS missing, round(count(*) FILTER (p_size < 10) * 100.0 / count(*), 6)::DOUBLE AS score FROM part GROUP BY 1")
@@ -162,9 +251,13 @@ def _(t):
     return t.part.join(t.lineitem.select(c("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").agg(F.sum("p_size").alias("total"))
 
 
-@question("sync_deprecate_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 20 <> 0)")
+@question("sync_deprecate_missing", "WITH m AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 20 = 0 OR c_nationkey = 3), g AS (SELECT c_nationkey, count(*) AS n, (SELECT count(*) FROM customer x WHERE x.c_nationkey = m.c_nationkey) AS total FROM m GROUP BY 1) SELECT c_custkey, 10 * n > 3 * total AS refused FROM m JOIN g USING (c_nationkey)")
 def _(t):
-    return t.customer.select("c_custkey").join(t.customer.where("c_custkey % 20 <> 0").select("c_custkey"), "c_custkey", "left_anti")
+    """Objects that a source no longer sends; where more than three tenths of a source's would go, none does (the source is likely broken)."""
+    sent = t.customer.where("c_custkey % 20 <> 0 and c_nationkey <> 3").select("c_custkey")
+    gone = t.customer.select("c_custkey", "c_nationkey").join(sent, "c_custkey", "left_anti")
+    share = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("total")).join(gone.groupBy("c_nationkey").agg(F.count("*").alias("n")), "c_nationkey")
+    return gone.join(share, "c_nationkey").select("c_custkey", (10 * c("n") > 3 * c("total")).alias("refused"))
 
 
 @question("alert_fresh", "SELECT DISTINCT l_suppkey AS key FROM lineitem WHERE l_quantity = 50 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
@@ -192,15 +285,46 @@ def _(t):
     return at(50).join(seen, ["l_suppkey", "m"], "left_anti")
 
 
-@question("insight_scan", "SELECT kind, key, score FROM (SELECT 'brand' AS kind, p_brand AS key, round(count(*) / avg(p_size), 6) AS score FROM part GROUP BY p_brand UNION ALL SELECT 'type', p_type, round(count(*) / avg(p_size), 6) FROM part GROUP BY p_type)")
+_FINDING = "SELECT '{0}' AS recipe, {1}::VARCHAR AS key, (count(*) FILTER (l_returnflag = 'R') / count(*)) / p AS ratio, count(*) AS support FROM lineitem {2}, (SELECT count(*) FILTER (l_returnflag = 'R') / count(*) AS p FROM lineitem) GROUP BY {1}, p".format
+
+
+@question("insight_scan", f"SELECT recipe, key, round(ratio, 6) AS ratio, support, round(abs(ln(ratio)) * least(1.0, ln(1 + support) / ln(1001)), 6) AS score FROM ({_FINDING('supplier', 'l_suppkey', '')} UNION ALL {_FINDING('brand', 'p_brand', 'JOIN part ON l_partkey = p_partkey')} UNION ALL {_FINDING('month', 'month(l_shipdate)', '')}) WHERE ratio > 0 QUALIFY row_number() OVER (PARTITION BY recipe ORDER BY score DESC, key) <= 5")
 def _(t):
-    one = lambda kind, col: t.part.groupBy(c(col).alias("key")).agg(F.round(F.count("*") / F.avg("p_size"), 6).alias("score")).select(F.lit(kind).alias("kind"), "key", "score")
-    return one("brand", "p_brand").union(one("type", "p_type"))
+    """Findings of several recipes on one scale: strength (how far a share is from the whole's) times support (how many it rests on), and
+    the five strongest of each."""
+    rows = t.lineitem.join(t.part.select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey"), "left")
+    whole = t.lineitem.agg((F.count_if(c("l_returnflag") == "R") / F.count("*")).alias("p"))
+    out = None
+    for recipe, key in (("supplier", c("l_suppkey")), ("brand", c("p_brand")), ("month", F.month("l_shipdate"))):
+        one = rows.groupBy(key.cast("string").alias("key")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("support")).withColumn("recipe", F.lit(recipe))
+        out = one if out is None else out.unionByName(one)
+    out = out.crossJoin(F.broadcast(whole)).withColumn("ratio", c("hits") / c("support") / c("p")).where("ratio > 0")
+    out = out.withColumn("score", F.round(F.abs(F.log("ratio")) * F.least(F.lit(1.0), F.log(1 + c("support")) / math.log(1001)), 6))
+    ranked = out.withColumn("r", F.row_number().over(Window.partitionBy("recipe").orderBy(F.desc("score"), "key"))).where("r <= 5")
+    return ranked.select("recipe", "key", F.round("ratio", 6).alias("ratio"), "support", "score")
+
+
+_MISSED = "(VALUES (1, 'blu bolt'), (2, 'red gear x'), (3, 'no such thing')) AS q(id, asked)"
+_TRI = "(SELECT DISTINCT {1}, ('  ' || lower({1}) || ' ')[i:i + 2] AS g FROM {0}, range(1, 80) r(i) WHERE i <= length({1}) + 1)".format
+
+
+@question("alias_suggest", f"WITH n AS {_TRI('(SELECT DISTINCT p_name FROM part)', 'p_name')}, a AS {_TRI(_MISSED, 'asked')}, nn AS (SELECT p_name, count(*) AS n FROM n GROUP BY 1), an AS (SELECT asked, count(*) AS m FROM a GROUP BY 1), s AS (SELECT asked, p_name, count(*) AS k FROM a JOIN n USING (g) GROUP BY 1, 2) SELECT id, p_name, round(k / (n + m - k), 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY k / (n + m - k) DESC, p_name)::INT AS rank FROM s JOIN nn USING (p_name) JOIN an USING (asked) JOIN {_MISSED} USING (asked) WHERE k / (n + m - k) >= 0.25 QUALIFY rank <= 3")
+def _(t):
+    """Names that a text that was not found may mean, by shared three-letter pieces; the three nearest of each."""
+    near = matching.near_names(t.spark.sql(f"SELECT * FROM {_MISSED}"), "id", "asked", t.part.select("p_name").distinct(), "p_name", 0.25)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "p_name"))).where("rank <= 3")
+    return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
-@question("alias_suggest", "SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON string_split(a.p_name, ' ')[1] = string_split(b.p_name, ' ')[1] AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 3")
+@question("meeting_sheet", "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey)::INT AS place, o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'")
 def _(t):
-    # names that share a first word and differ by three letters at most
-    own = t.part.select("p_name").distinct().withColumn("head", F.element_at(F.split("p_name", " "), 1))
-    pairs = own.select(c("p_name").alias("a"), "head").join(own.select(c("p_name").alias("b"), "head"), "head")
-    return pairs.where("a < b").where(F.levenshtein("a", "b") <= 3).select("a", "b")
+    """The open orders of each customer as a numbered list: by priority, then by date."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderdate", "o_orderkey")
+    return t.orders.where("o_orderstatus = 'O'").select("o_custkey", F.row_number().over(order).alias("place"), "o_orderkey", "o_orderpriority")
+
+
+@question("slide_rows", "SELECT area, key, n FROM (SELECT 'brand' AS area, p_brand AS key, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'type', p_type, count(*) FROM part GROUP BY 2) QUALIFY row_number() OVER (PARTITION BY area ORDER BY n DESC, key) <= 4")
+def _(t):
+    """What an area of a slide shows: the first four lines of its own grouping (as many as fit are the feature)."""
+    one = lambda area, col: t.part.groupBy(c(col).alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(4).select(F.lit(area).alias("area"), "key", "n")
+    return one("brand", "p_brand").union(one("type", "p_type"))
