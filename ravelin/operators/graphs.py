@@ -12,16 +12,13 @@ from pyspark.sql.window import Window
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: with checkpoint() where the session names a shared folder, which survives lost executors."""
+    """Cut the lineage with checkpoint() in the folder that the session names, which survives lost executors; only a local session, as
+    in tests, may do without the setting."""
     context = df.sparkSession.sparkContext
-    place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if place is None:
-            import os
-            import tempfile
+        from ravelin.sources.files import scratch
 
-            place = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        context.setCheckpointDir(place)
+        context.setCheckpointDir(scratch(df.sparkSession).rsplit("/", 1)[0])
     return df.checkpoint()
 
 

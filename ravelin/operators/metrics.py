@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,9 +101,74 @@ def refreshed(old: DataFrame, records: DataFrame, periods: DataFrame, keys: list
     return stay_.select(*keys, *MERGED).union(cells(again, keys, value).select(*keys, *MERGED))
 
 
-def write_cells(found: DataFrame, path: str) -> None:
-    """Cells by period; only the periods in ``found`` are replaced."""
-    found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+class TooManyCells(ValueError):
+    pass
+
+
+def write_cells(found: DataFrame, path: str, most: int = 10_000_000) -> None:
+    """Cells as a table by period. More than ``most`` raise: counting stops at one more, and nothing is written."""
+    if found.limit(most + 1).count() > most:
+        raise TooManyCells(f"the metric has more than {most} cells; leave out an axis or take a coarser one")
+    found.write.mode("overwrite").partitionBy("period").parquet(path)
+
+
+def rewrite_periods(path: str, records: DataFrame, periods: DataFrame, keys: list[str], value: Column) -> None:
+    """The given periods of written cells anew from ``records``: each is replaced as a whole, and one without a record any more goes.
+
+    A run that is repeated after a failure writes the same cells again. The driver holds the list of periods, which the calendar bounds.
+    """
+    spark = records.sparkSession
+    wanted = {r[0] for r in periods.select("period").distinct().collect()}
+    p = periods.select(F.col("period").alias("_p")).distinct()
+    new = cells(records.join(p, F.col("period").eqNullSafe(F.col("_p")), "left_semi"), keys, value)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+    left = {r[0] for r in new.select("period").distinct().collect()}
+    files = spark._jvm.org.apache.hadoop.fs
+    for gone in wanted - left:
+        place = files.Path(f"{path}/period={'__HIVE_DEFAULT_PARTITION__' if gone is None else gone}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def refresh_plan(records: DataFrame, changed: DataFrame, key: str, period: str, reasons: dict[str, bool], most_share: float = 0.2) -> DataFrame:
+    """(period, mode, reason): the periods to count again, or one row that asks for a full count and says why.
+
+    ``reasons`` are what rules out an incremental refresh, in order (no earlier run, another definition, a changed neighbour, ...);
+    too many changed records do, too.
+    """
+    spark = records.sparkSession
+    why = next((name for name, holds in reasons.items() if holds), None)
+    if why is None:
+        sizes = records.select(key).distinct().join(changed.select(key).distinct().withColumn("_c", F.lit(1)), key, "left").agg(F.count("*").alias("n"), F.count("_c").alias("c")).first()
+        if sizes["c"] > most_share * sizes["n"]:
+            why = "too many changes"
+    if why is not None:
+        return spark.createDataFrame([(None, "full", why)], "period date, mode string, reason string")
+    return changed_periods(records, changed, key, period).select(F.col(period).alias("period"), F.lit("periods").alias("mode"), F.lit(None).cast("string").alias("reason"))
+
+
+def nested_counts(records: DataFrame, ident: str, keys: list[str], eighths: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
+    """(eighths, rows, combos, once, twice): rows and combinations of the keys in nested samples by a hash of the record, in one pass.
+
+    Each sample is part of the next one. Combinations that occur once or twice say how many are unseen.
+    """
+    part = F.conv(F.substring(F.md5(F.col(ident).cast("string")), 1, 1), 16, 10).cast("int")
+    own = records.select(*keys, part.alias("_h")).groupBy(*keys).agg(*[F.count_if(F.col("_h") < 2 * e).alias(f"_{e}") for e in eighths])
+    sums = [F.struct(F.lit(e).alias("eighths"), F.sum(f"_{e}").alias("rows"), F.count_if(F.col(f"_{e}") > 0).alias("combos"), F.count_if(F.col(f"_{e}") == 1).alias("once"), F.count_if(F.col(f"_{e}") == 2).alias("twice")).alias(f"s{e}") for e in eighths]
+    return own.agg(*sums).select(F.explode(F.array(*[f"s{e}" for e in eighths])).alias("s")).select("s.*")
+
+
+def grown_combos(points: list[tuple[int, int]], total: int) -> int:
+    """Combinations of ``total`` rows by the growth through samples (rows, combos): a straight line of logarithms, never steeper than the rows."""
+    known = [(math.log(r), math.log(k)) for r, k in points if r > 0 and k > 0]
+    if not known:
+        return 0
+    rows, combos = max(points)
+    if total <= rows:
+        return combos
+    mx, my = (sum(p[i] for p in known) / len(known) for i in (0, 1))
+    spread = sum((x - mx) ** 2 for x, _ in known)
+    slope = sum((x - mx) * (y - my) for x, y in known) / spread if spread > 0 else 1.0
+    return min(total, math.ceil(combos * (total / rows) ** min(max(slope, 0.0), 1.0)))
 
 
 def closed_until(watermark: Column, settle_days: int, grain: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,6 +63,33 @@ def pareto(groups: DataFrame, key: str, value: str) -> DataFrame:
     return out.withColumn("class", F.when(F.col("cumulative") <= 80, "A").when(F.col("cumulative") <= 95, "B").otherwise("C"))
 
 
+def percentiles(rows: DataFrame, key: str, value: str, points: dict[str, float], bins: int = 4096) -> DataFrame:
+    """(key, points): exact percentiles (between the two nearest values) of each group, without gathering a group.
+
+    Values are counted by bins between the group's bounds, which combine before the shuffle; only the values of bins that hold a
+    wanted place are then ranked. A bin has about a part in ``bins`` of its group's span; equal values are one row with their count.
+    """
+    own = rows.select(F.col(key), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    counted = own.groupBy(key, "_v").agg(F.count("*").alias("_n"))
+    bounds = counted.groupBy(F.col(key).alias("_k")).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    width = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
+    binned = counted.join(bounds, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_bin", F.least(F.floor((F.col("_v") - F.col("_low")) / width * bins), F.lit(bins - 1)))
+    upto = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = binned.groupBy(key, "_bin").agg(F.sum("_n").alias("_m"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(upto), F.lit(0))).withColumn("_all", F.sum("_m").over(Window.partitionBy(key)))
+    places = [(name, q, side) for name, q in points.items() for side in ("low", "high")]
+    at = lambda q, side: F.floor((F.col("_all") - 1) * F.lit(q)) if side == "low" else F.ceil((F.col("_all") - 1) * F.lit(q))
+    holds = [(at(q, side) >= F.col("_before")) & (at(q, side) < F.col("_before") + F.col("_m")) for _, q, side in places]
+    wanted = sizes.where(reduce(lambda a, b: a | b, holds)).select(F.col(key).alias("_k2"), F.col("_bin").alias("_b2"), "_before", "_all")
+    few = binned.join(wanted, F.col(key).eqNullSafe(F.col("_k2")) & (F.col("_bin") == F.col("_b2")))
+    within = Window.partitionBy(key, "_bin").orderBy("_v")
+    ranked = few.withColumn("_end", F.sum("_n").over(within) + F.col("_before")).withColumn("_start", F.col("_end") - F.col("_n"))
+    value_at = lambda q, side: F.max(F.when((at(q, side) >= F.col("_start")) & (at(q, side) < F.col("_end")), F.col("_v")))
+    got = ranked.groupBy(key).agg(F.max("_all").alias("_all"), *[value_at(q, side).alias(f"_{name}_{side}") for name, q, side in places])
+    share = lambda q: (F.col("_all") - 1) * F.lit(q) - F.floor((F.col("_all") - 1) * F.lit(q))
+    return got.select(key, *[(F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * share(q)).alias(n) for n, q in points.items()])
+
+
 def keyset_page(rows: DataFrame, key: str, after, size: int) -> DataFrame:
     """The next ``size`` rows after a key; a filter on the scan and a top-k, never an offset."""
     return rows.where(F.col(key) > F.lit(after)).orderBy(key).limit(size)

@@ -80,12 +80,16 @@ def _(t):
 
 @question("agg_percentile", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS high, count(*) FILTER (value > 50) AS over FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.max("value").alias("high"), F.count_if(c("value") > 50).alias("over"))
+    points = summary.percentiles(t.events, "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    rest = t.events.groupBy(c("event_type").alias("_e")).agg(F.max("value").alias("high"), F.count_if(c("value") > 50).alias("over"))
+    return rest.join(points, c("_e").eqNullSafe(c("event_type"))).select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "high", "over")
 
 
 @question("agg_job_stats", "SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 6) AS p50 FROM orders GROUP BY 1")
 def _(t):
-    return t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 6).alias("p50"))
+    points = summary.percentiles(t.orders, "o_orderpriority", "o_totalprice", {"p50": 0.5})
+    counts = t.orders.groupBy(c("o_orderpriority").alias("_p")).agg(F.count("*").alias("n"))
+    return counts.join(points, c("_p").eqNullSafe(c("o_orderpriority"))).select("o_orderpriority", "n", F.round("p50", 6).alias("p50"))
 
 
 @question("agg_count_distinct", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
@@ -238,9 +242,12 @@ def _(t):
     return t.lineitem.select(c("l_suppkey").alias("k")).unionAll(t.supplier.select("s_suppkey"))
 
 
-@question("set_except_delta", "(SELECT l_suppkey AS k FROM lineitem WHERE l_linenumber = 1 EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_linenumber = 2)")
+@question("set_except_delta", "SELECT 'add' AS change, o_orderkey AS src, dst FROM (SELECT o_orderkey, (o_custkey + o_orderkey % 3) AS dst FROM orders EXCEPT SELECT o_orderkey, o_custkey FROM orders) UNION ALL SELECT 'drop', o_orderkey, dst FROM (SELECT o_orderkey, o_custkey AS dst FROM orders EXCEPT SELECT o_orderkey, (o_custkey + o_orderkey % 3) FROM orders)")
 def _(t):
-    return t.lineitem.where("l_linenumber = 1").select(c("l_suppkey").alias("k")).exceptAll(t.lineitem.where("l_linenumber = 2").select("l_suppkey"))
+    # an index of references after an update: what is new is added, what is gone is dropped, what stays isn't touched
+    old = t.orders.select(c("o_orderkey").alias("src"), c("o_custkey").alias("dst"))
+    new = t.orders.select(c("o_orderkey").alias("src"), (c("o_custkey") + c("o_orderkey") % 3).alias("dst"))
+    return new.subtract(old).select(F.lit("add").alias("change"), "*").union(old.subtract(new).select(F.lit("drop").alias("change"), "*"))
 
 
 @question("set_intersect_except", "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity = 50")
@@ -249,12 +256,15 @@ def _(t):
     return one("l_returnflag = 'R'").intersect(one("l_returnflag = 'A'")).subtract(one("l_quantity = 50"))
 
 
-@question("set_gap", "SELECT s_nationkey AS nation, c_mktsegment AS segment FROM (SELECT DISTINCT s_nationkey FROM supplier), (SELECT DISTINCT c_mktsegment FROM customer) EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9500")
+@question("set_gap", "WITH w AS (SELECT DISTINCT s_nationkey AS nation, x.segment FROM supplier, (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'MACHINERY']) AS segment) x), h AS (SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS segment FROM customer WHERE c_acctbal > 9000) SELECT 'gap' AS kind, * FROM (SELECT * FROM w EXCEPT SELECT * FROM h) UNION ALL SELECT 'unexpected', * FROM (SELECT * FROM h EXCEPT SELECT * FROM w)")
 def _(t):
-    # the expected combinations are those of two short value lists
-    wanted = t.supplier.select(c("s_nationkey").alias("nation")).distinct().crossJoin(t.customer.select(c("c_mktsegment").alias("segment")).distinct())
-    there = t.customer.where("c_acctbal > 9500").select(c("c_nationkey").alias("nation"), c("c_mktsegment").alias("segment"))
-    return wanted.join(there, ["nation", "segment"], "left_anti")
+    """Combinations that are expected and missing, and those that are there unexpected. What is expected is a plan: some options for each
+    nation with a supplier, exploded, not a product of two tables."""
+    plan = F.explode(F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "MACHINERY")])).alias("segment")
+    wanted = t.supplier.select(c("s_nationkey").alias("nation")).distinct().select("nation", plan)
+    there = t.customer.where("c_acctbal > 9000").select(c("c_nationkey").alias("nation"), c("c_mktsegment").alias("segment")).distinct()
+    both = wanted.withColumn("w", F.lit(1)).join(there.withColumn("h", F.lit(1)), ["nation", "segment"], "full_outer")
+    return both.where(c("w").isNull() | c("h").isNull()).select(F.when(c("h").isNull(), "gap").otherwise("unexpected").alias("kind"), "nation", "segment")
 
 
 @question("set_snapshot_diff", "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS id, CASE WHEN a.o_orderkey IS NULL THEN 'new' WHEN b.o_orderkey IS NULL THEN 'gone' ELSE 'changed' END AS kind FROM (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 5 <> 0) b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderstatus IS DISTINCT FROM b.o_orderstatus")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ravelin.functions.scalars import bucket
 from ravelin.operators import metrics, summary
 from ravelin.plans.registry import RECORDS, question
+from ravelin.sources import files
 
 c = F.col
 KEYS = ["period", "cohort", "age", "l_returnflag", "l_linestatus"]
@@ -124,18 +125,31 @@ def _(t):
     return metrics.cumulative(cells(t))
 
 
-@question("metric_incremental_plan", f"SELECT DISTINCT period FROM {RECORDS} x WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 OR o_orderkey = 7)")
+@question("metric_incremental_plan", f"SELECT 'small' AS case, period, 'periods' AS mode, NULL AS reason FROM (SELECT DISTINCT period FROM {RECORDS} x WHERE o_orderkey % 50 = 7) UNION ALL SELECT 'large', NULL, 'full', 'too many changes' UNION ALL SELECT 'other', NULL, 'full', 'another definition'")
 def _(t):
-    changed = t.orders.where("o_totalprice > 400000 or o_orderkey = 7").select("o_orderkey")
-    return metrics.changed_periods(t.records, changed, "o_orderkey", "period")
+    """What a refresh counts again: the periods that changed orders touch, or all of it with the reason."""
+    some, most = t.orders.where("o_orderkey % 50 = 7").select("o_orderkey"), t.orders.where("o_orderkey % 2 = 0").select("o_orderkey")
+    cases = [("small", some, {}), ("large", most, {"no earlier run": False}), ("other", some, {"no earlier run": False, "another definition": True})]
+    out = None
+    for name, changed, reasons in cases:
+        one = metrics.refresh_plan(t.records, changed, "o_orderkey", "period", reasons).select(F.lit(name).alias("case"), "period", "mode", "reason")
+        out = one if out is None else out.union(one)
+    return out
 
 
-@question("metric_incremental", f"SELECT * FROM {CELLS}")
+@question("metric_incremental", f"SELECT * FROM {CELLS} WHERE period <> (SELECT min(period) FROM {RECORDS} y)")
 def _(t):
-    # the cells of records without some orders, refreshed for the periods of those orders, equal the cells of all records
+    """Cells are written without some orders; then those come, and all records of the first period go. Only the touched periods are
+    written again, and what stands there equals the cells of all records that are left."""
+    path = files.scratch(t.spark)
+    first = t.records.agg(F.min("period").alias("period"))
     late = t.orders.where("o_orderkey % 13 = 0").select("o_orderkey")
-    old = metrics.cells(t.records.join(late, "o_orderkey", "left_anti"), KEYS, c("l_quantity"))
-    return metrics.refreshed(old, t.records, metrics.changed_periods(t.records, late, "o_orderkey", "period"), KEYS, c("l_quantity"))
+    metrics.write_cells(metrics.cells(t.records.join(late, "o_orderkey", "left_anti"), KEYS, c("l_quantity")), path)
+    now = t.records.join(F.broadcast(first.withColumnRenamed("period", "_f")), c("period") == c("_f"), "left_anti")
+    touched = metrics.changed_periods(t.records, late, "o_orderkey", "period").union(first).distinct()
+    metrics.rewrite_periods(path, now, touched, KEYS, c("l_quantity"))
+    kinds = {f.name: f.dataType.simpleString() for f in metrics.cells(t.records, KEYS, c("l_quantity")).schema.fields}
+    return t.spark.read.schema(", ".join(f"`{k}` {v}" for k, v in kinds.items())).parquet(path)
 
 
 @question("stream_settle", "SELECT DISTINCT date_trunc('month', l_shipdate)::DATE AS period, date_trunc('month', l_shipdate)::DATE + INTERVAL 1 MONTH <= DATE '2001-11-04' - 10 AS closed FROM lineitem")
@@ -152,21 +166,18 @@ def _(t):
     return cells(t).groupBy(key.alias("cell")).agg(F.sum("count").alias("n"))
 
 
-_SAMPLED = "(SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE md5(l_orderkey::VARCHAR)[1:1] < '4' GROUP BY 1, 2)"
+_NESTED = "(SELECT * FROM (SELECT unnest([1, 2, 4, 8])::INT AS eighths) e, LATERAL (SELECT sum(n)::BIGINT AS rows, count(*) AS combos, count(*) FILTER (n = 1) AS once, count(*) FILTER (n = 2) AS twice FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE strpos('0123456789abcdef', md5(l_orderkey::VARCHAR)[1:1]) - 1 < 2 * eighths GROUP BY 1, 2)))"
 
 
-def sampled(t):
-    # a sample by a hash of the record: nested samples are subsets of each other
-    few = t.lineitem.where(F.substring(F.md5(c("l_orderkey").cast("string")), 1, 1) < "4")
-    return few.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-
-
-@question("metric_estimate", f"SELECT count(*) AS seen, count(*) FILTER (n = 1) AS once, count(*) FILTER (n = 2) AS twice FROM {_SAMPLED}")
+@question("metric_estimate", f"SELECT * FROM {_NESTED}")
 def _(t):
-    return sampled(t).agg(F.count("*").alias("seen"), F.count_if(c("n") == 1).alias("once"), F.count_if(c("n") == 2).alias("twice"))
+    return metrics.nested_counts(t.lineitem, "l_orderkey", ["l_suppkey", "l_partkey"])
 
 
-@question("metric_estimate_combos", f"SELECT round(count(*) + pow(count(*) FILTER (n = 1), 2) / (2.0 * greatest(count(*) FILTER (n = 2), 1)), 3) AS estimate FROM {_SAMPLED}")
+@question("metric_estimate_combos", f"SELECT eighths, round(combos + once * once / (2.0 * greatest(twice, 1)), 3)::DOUBLE AS chao, round(sqrt((SELECT count(*) FROM lineitem) / rows) * once + (combos - once), 3) AS spread FROM {_NESTED} WHERE eighths < 8")
 def _(t):
-    once, twice = F.count_if(c("n") == 1), F.count_if(c("n") == 2)
-    return sampled(t).agg(F.round(F.count("*") + F.pow(once, F.lit(2)) / (F.lit(2.0) * F.greatest(twice, F.lit(1))), 3).alias("estimate"))
+    """Combinations of all rows by two estimates from each sample: unseen ones from those met once and twice, and those met once scaled up."""
+    own = metrics.nested_counts(t.lineitem, "l_orderkey", ["l_suppkey", "l_partkey"])
+    own = own.crossJoin(F.broadcast(t.lineitem.agg(F.count("*").alias("total")))).where("eighths < 8")
+    chao = c("combos") + c("once") * c("once") / (2.0 * F.greatest("twice", F.lit(1)))
+    return own.select("eighths", F.round(chao, 3).alias("chao"), F.round(F.sqrt(c("total") / c("rows")) * c("once") + (c("combos") - c("once")), 3).alias("spread"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravelin import extensions
 from ravelin.functions.scalars import age, bucket, is_closed
 from ravelin.operators import metrics, numeric, statistics
 from ravelin.operators.ordered import with_totals
@@ -501,3 +502,29 @@ def _(t):
 
     by = t.lineitem.groupBy(c("l_quantity").alias("q"), c("l_linestatus").alias("f")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
     return by.coalesce(1).mapInPandas(fit, "term string, b double, error double, ratio double, p double, auc double")
+
+
+@question("ext_registry", "SELECT l_orderkey, l_linenumber, l_partkey, floor(l_quantity / 10)::INT AS band, l_shipdate::DATE AS at FROM lineitem")
+def _(t):
+    """A function and a source of time that were added under names, as a query uses them."""
+    own = extensions.Registry()
+    own.function("quantity_band", "q DOUBLE", "INT", "CAST(floor(q / 10) AS INT)")
+    own.time("lineitem", lambda rows: F.to_date(rows["l_shipdate"]))
+    own.install(t.spark)
+    rows = t.lineitem
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.expr("quantity_band(l_quantity)").alias("band"), own.times["lineitem"](rows).alias("at"))
+
+
+@question("ext_recipe", "SELECT l_suppkey, count(*) AS months, max(hits)::BIGINT AS most FROM (SELECT l_suppkey, date_trunc('month', l_shipdate) AS m, count(*) FILTER (l_returnflag = 'R') AS hits FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def _(t):
+    """A recipe that was added under a name, on the monthly series of each supplier."""
+    import pandas as pd
+
+    own = extensions.Registry()
+
+    @own.recipe("peak", "l_suppkey long, months long, most long", lambda columns: None if "hits" in columns else "it needs hits")
+    def peak(frame):
+        return pd.DataFrame({"l_suppkey": [frame.l_suppkey.iloc[0]], "months": [len(frame)], "most": [int(frame.hits.max())]})
+
+    by = t.lineitem.groupBy("l_suppkey", bucket(c("l_shipdate"), "month").alias("m")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"))
+    return own.run("peak", by, ["l_suppkey"])

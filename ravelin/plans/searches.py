@@ -90,7 +90,7 @@ def _(t):
     """Approximate search in the lists of an index: nearest five of every fiftieth vector, and the recall against the exact search."""
     asked = t.embeddings.where("vec_id % 50 = 0")
     index = vectors.Index(t.embeddings, "vec_id", "embedding")
-    found = index.search(asked, 5, probes=10)
+    found = index.search(asked, 5, probes=12)
     return found.crossJoin(F.broadcast(vectors.recall(found, vectors.nearest_many(t.embeddings, asked, "vec_id", "embedding", 5)).select("recall")))
 
 

@@ -247,3 +247,64 @@ def test_chunks_and_sections():
     assert got == ["a" * 900 + "\n\n" + "b" * 500, "c" * 99, "d" * 1500, "d" * 1500, "d" * 100 + "\n\n" + "e" * 10, "f" * 1500, "g"]
     body = "intro\n# One #\nx\n```\n# not a heading\n```\n## Two\n\n### One\ny\n#### deep\nz\n# One\nend"
     assert sections_of(body) == [("", "", "intro"), ("One", "one", "x\n```\n# not a heading\n```"), ("One > Two > One", "one-2", "y\n#### deep\nz"), ("One", "one-3", "end")]
+
+
+def test_cells_are_written_and_capped(spark, tmp_path):
+    import datetime
+
+    rows = spark.createDataFrame([(datetime.date(2024, m, 1), k, float(k)) for m in (1, 2, 3) for k in range(4)], "period date, k long, v double")
+    path = f"file://{tmp_path}/cells"
+    with pytest.raises(metrics.TooManyCells):
+        metrics.write_cells(metrics.cells(rows, ["period", "k"], F.col("v")), path, most=11)
+    metrics.write_cells(metrics.cells(rows, ["period", "k"], F.col("v")), path, most=12)
+    left = rows.where("month(period) <> 2 and not (month(period) = 3 and k = 0)")
+    metrics.rewrite_periods(path, left, rows.where("month(period) > 1").select("period"), ["period", "k"], F.col("v"))
+    got = {(r.period.month, r.k) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (1, 3), (3, 1), (3, 2), (3, 3)}
+    assert metrics.grown_combos([(100, 50), (200, 70), (400, 100)], 800) == 142 and metrics.grown_combos([], 10) == 0
+
+
+def test_tables_as_they_are_sent(tmp_path):
+    from ravelin.sources.tabular import decoded, parsed
+
+    assert parsed(decoded("﻿a, b\n1,\"x,\"\"y\"\n".encode())) == [{"a": "1", "b": 'x,"y'}]
+    assert parsed(decoded("a\tb\n가\t,\n".encode("cp949"))) == [{"a": "가", "b": ","}]
+    assert parsed('{"items": [{"a": 1}]}') == parsed('[{"a": 1}]') == [{"a": 1}]
+    with pytest.raises(ValueError):
+        parsed('{"other": []}')
+    with pytest.raises(ValueError):
+        decoded(b"\xff\xff\xff")
+
+
+def test_registries_refuse_and_explain(spark):
+    from ravelin.extensions import Registry
+
+    own = Registry()
+    own.recipe("r", "k long", lambda columns: None if "v" in columns else "it needs v")(lambda frame: frame[["k"]].head(1))
+    with pytest.raises(ValueError, match="already"):
+        own.recipe("r", "k long")(lambda frame: frame)
+    with pytest.raises(ValueError, match="it needs v"):
+        own.run("r", spark.range(3).withColumnRenamed("id", "k"), ["k"])
+    assert own.run("r", spark.range(3).selectExpr("id AS k", "id AS v"), ["k"]).count() == 3
+
+
+def test_the_index_finds_most(spark):
+    from ravelin.operators import vectors
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = rows.where("vec_id % 50 = 0")
+    exact = vectors.nearest_many(rows, asked, "vec_id", "embedding", 5)
+    found = vectors.Index(rows, "vec_id", "embedding").search(asked, 5, probes=12)
+    assert exact.count() == 50 and vectors.recall(found, exact).first().recall >= 0.9
+    one = rows.where("vec_id = 0").first().embedding
+    near = [r.vec_id for r in vectors.nearest(rows.where("vec_id <> 0"), "vec_id", "embedding", one, 5).collect()]
+    assert near == [r.found for r in exact.where("query = 0").orderBy("rank").collect()]
+
+
+def test_ladders_stop_at_the_first_rung(spark):
+    from ravelin.operators import matching
+
+    asked = spark.createDataFrame([(1, "AB_1"), (2, "ab_1"), (3, "cd"), (4, "ab"), (5, None)], "id long, text string")
+    keys = spark.createDataFrame([("AB_1",), ("aB_1",), ("cd_9",), ("cd_9",)], "k string")
+    got = {r.id: (r.found, r.how) for r in matching.key_match(asked, "id", "text", keys, "k").collect()}
+    assert got == {1: ("AB_1", "exact"), 2: (None, "several"), 3: ("cd_9", "prefix"), 4: (None, "several"), 5: (None, "none")}
