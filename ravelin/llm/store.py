@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new, unique folder below ``spark.checkpoint.dir`` (set here only where the session has none)."""
+    """A new, unique folder below ``spark.checkpoint.dir``. Only a local session, as in tests, may do without the setting; on a cluster
+    a machine's own folder would lose what executors write, so there it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
