@@ -14,6 +14,8 @@ from ravelin.llm.queries import vocabulary
 
 #: Posterior of the likeliest language below which a document is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Ids that are broadcast at most (some 32 bytes each in an executor); of more, Spark sorts both sides of the join.
+MOST_BROADCAST = 2_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group, the one with the smallest id, and of rows with that id the one with the first text; documents
     without an id stay, as do null and empty texts, and an empty table stays empty."""
     groups = store.written(partenum.jaccard_groups(docs), "groups")
-    rest = docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = store.written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    few = gone.count() <= MOST_BROADCAST
+    rest = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     twice = store.written(groups.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return rest
