@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ravelin.llm import decontam, histsort, hostrules, htmltext, langid, licenses, packing, partenum, rans, warc
+from ravelin.llm import decontam, histsort, hostrules, htmltext, langid, licenses, oracles, packing, partenum, rans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op7_crf_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hostrules.judged(_table(spark, sf_dir, "documents"))
+    return hostrules.judged(_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
