@@ -317,3 +317,11 @@ def gathered(edges: DataFrame, root, src: str, dst: str, depth: int, most: int)
     sizes = at.groupBy("depth").agg(F.count("*").alias("_n"))
     own = at.withColumn("_r", F.row_number().over(Window.partitionBy("depth").orderBy("node"))).where(F.col("_r") <= most)
     return own.join(sizes, "depth").select(F.col("depth").alias("level"), "node", F.greatest(F.col("_n") - most, F.lit(0)).alias("hidden"))
+
+
+def with_old_ids(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(node, label) of a new grouping, with the old label where a new group and an old one share more than half of the nodes of each."""
+    both = old.select("node", F.col("label").alias("_a")).join(new.select("node", F.col("label").alias("_b")), "node").groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+    size = lambda rows, name, n: rows.groupBy(F.col("label").alias(name)).agg(F.count("*").alias(n))
+    same = both.join(size(old, "_a", "_na"), "_a").join(size(new, "_b", "_nb"), "_b").where("2 * _n > _na and 2 * _n > _nb").select("_a", "_b")
+    return new.join(same, F.col("label") == F.col("_b"), "left").select("node", F.coalesce("_a", "label").alias("label"))

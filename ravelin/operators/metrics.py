@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ravelin.functions.scalars import bucket, shifted
+from ravelin.functions.scalars import bucket, numeric, shifted
 
 #: How each measure of a cell merges.
 MERGED = {"count": F.sum, "value_count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
@@ -20,6 +20,19 @@ def cells(records: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return own.groupBy(*keys).agg(F.count("*").alias("count"), F.count("_v").alias("value_count"), F.sum("_v").alias("sum"), F.min("_v").alias("min"), F.max("_v").alias("max"))
 
 
+def value_of(records: DataFrame, name: str) -> Column:
+    """The number that a metric adds up: a numeric column, or a text read as a number where it is one; a column of several values or of
+    another kind is refused."""
+    kind = dict(records.dtypes)[name]
+    if kind.startswith(("array", "map", "struct")):
+        raise ValueError(f"{name} has several values in a record; a metric adds one number of each")
+    if kind == "string":
+        return numeric(F.col(name))
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
+        raise ValueError(f"{name} holds {kind}, not numbers")
+    return F.col(name).cast("double")
+
+
 def once(records: DataFrame, keys: list[str], ident: str, value: str) -> DataFrame:
     """A record with several values on an axis counts once in each cell."""
     return cells(records.select(*keys, ident, value).distinct(), keys, F.col(value))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,6 +98,27 @@ def keyset_page(rows: DataFrame, key: str, after, size: int) -> DataFrame:
     return rows.where(F.col(key) > F.lit(after)).orderBy(key).limit(size)
 
 
+def fingerprint(conditions: dict) -> str:
+    """A short print of filters and order; equal for equal ones, whatever the order of their keys."""
+    return hashlib.sha256(json.dumps(conditions, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def cursor(last: list, conditions: dict) -> str:
+    """What a reader sends back to go on behind the last key of a page: the key and the print of the filters, as one word."""
+    return base64.urlsafe_b64encode(json.dumps([last, fingerprint(conditions)], default=str).encode()).decode().rstrip("=")
+
+
+def after_cursor(text: str, conditions: dict) -> list:
+    """The key of a cursor; raises if it is damaged or belongs to other filters."""
+    try:
+        last, print_ = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
+    except (ValueError, TypeError) as e:
+        raise ValueError("the cursor is damaged") from e
+    if print_ != fingerprint(conditions):
+        raise ValueError("the cursor belongs to other filters")
+    return last
+
+
 def relevance(c: Column, text: str) -> Column:
     """Order of matches: exact, prefix, inside, else."""
     low, text = F.lower(c), text.lower()

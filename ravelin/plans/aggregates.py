@@ -222,6 +222,16 @@ def _(t):
     return summary.keyset_page(t.orders, "o_orderkey", 1000, 51).select("o_orderkey")
 
 
+@question("page_cursor", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50 OFFSET 50")
+def _(t):
+    """The second page of some orders, behind the cursor that the first page ends with."""
+    asked = {"status": "F", "order": ["o_orderkey"]}
+    rows = t.orders.where(c("o_orderstatus") == asked["status"]).select("o_orderkey")
+    first = rows.orderBy("o_orderkey").limit(50).agg(F.max("o_orderkey")).first()[0]
+    last = summary.after_cursor(summary.cursor([-1 if first is None else first], asked), asked)
+    return summary.keyset_page(rows, "o_orderkey", last[0], 50)
+
+
 @question("sort_relevance", "SELECT p_partkey, CASE WHEN lower(p_name) = 'green' THEN 0 WHEN starts_with(lower(p_name), 'green') THEN 1 WHEN contains(lower(p_name), 'green') THEN 2 ELSE 3 END::INT AS relevance FROM part")
 def _(t):
     return t.part.select("p_partkey", summary.relevance(c("p_name"), "green").alias("relevance"))

@@ -214,11 +214,12 @@ def _(t):
     return graphs.inferred(triples, [("partOf", "hasPart")], ["partOf"], classes)
 
 
-@question("graph_stable_cluster", "WITH o AS (SELECT p_partkey AS id, p_size % 7 AS a FROM part), n AS (SELECT p_partkey AS id, (p_size + (p_partkey % 10 = 0)::INT) % 7 AS b FROM part), x AS (SELECT a, b, count(*) AS n FROM o JOIN n USING (id) GROUP BY 1, 2) SELECT b, a FROM x WHERE 2 * n > (SELECT count(*) FROM o WHERE o.a = x.a) AND 2 * n > (SELECT count(*) FROM n WHERE n.b = x.b)")
+@question("graph_stable_cluster", "WITH o AS (SELECT p_partkey AS id, p_size % 7 AS a FROM part), n AS (SELECT p_partkey AS id, (p_size + (p_partkey % 10 = 0)::INT) % 7 + 100 AS b FROM part), x AS (SELECT a, b, count(*) AS n FROM o JOIN n USING (id) GROUP BY 1, 2), m AS (SELECT b, a FROM x WHERE 2 * n > (SELECT count(*) FROM o WHERE o.a = x.a) AND 2 * n > (SELECT count(*) FROM n WHERE n.b = x.b)) SELECT n.id, coalesce(m.a, n.b) AS cluster FROM n LEFT JOIN m ON n.b = m.b")
 def _(t):
-    both = t.part.select((c("p_size") % 7).alias("a"), ((c("p_size") + (c("p_partkey") % 10 == 0).cast("int")) % 7).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    sizes = both.withColumn("na", F.sum("n").over(Window.partitionBy("a"))).withColumn("nb", F.sum("n").over(Window.partitionBy("b")))
-    return sizes.where("2 * n > na and 2 * n > nb").select("b", "a")
+    # groups of two runs; a new group keeps the old id where both share more than half of each
+    old = t.part.select(c("p_partkey").alias("node"), (c("p_size") % 7).alias("label"))
+    new = t.part.select(c("p_partkey").alias("node"), ((c("p_size") + (c("p_partkey") % 10 == 0).cast("int")) % 7 + 100).alias("label"))
+    return graphs.with_old_ids(old, new).select(c("node").alias("id"), c("label").alias("cluster"))
 
 
 @question("map_hash_place", "SELECT p_partkey, round(sqrt(u) * cos(2 * pi() * v), 6) AS x, round(sqrt(u) * sin(2 * pi() * v), 6) AS y FROM (SELECT p_partkey, ('0x' || md5(p_partkey::VARCHAR)[1:8])::BIGINT / 4294967296.0 AS u, ('0x' || md5(p_partkey::VARCHAR)[9:16])::BIGINT / 4294967296.0 AS v FROM part)")

@@ -21,6 +21,13 @@ def cells(t):
 question("metric_cells", f"SELECT * FROM {CELLS}")(cells)
 
 
+@question("metric_value", "SELECT event_type, count(*) AS count, count(k) AS value_count, sum(k)::DOUBLE AS sum, min(k)::DOUBLE AS min, max(k)::DOUBLE AS max FROM (SELECT event_type, CASE WHEN user_id % 7 <> 0 THEN (props->>'k')::BIGINT END AS k FROM events) GROUP BY 1")
+def _(t):
+    # numbers that come as text; what isn't one counts as a record without a value
+    rows = t.events.withColumn("k", F.when(c("user_id") % 7 == 0, "n/a").otherwise(F.get_json_object("props", "$.k")))
+    return metrics.cells(rows, ["event_type"], metrics.value_of(rows, "k"))
+
+
 @question("scan_cells", f"SELECT period, count(*) AS cells FROM {CELLS} GROUP BY 1")
 def _(t):
     return cells(t).groupBy("period").agg(F.count("*").alias("cells"))

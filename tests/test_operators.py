@@ -308,3 +308,27 @@ def test_ladders_stop_at_the_first_rung(spark):
     keys = spark.createDataFrame([("AB_1",), ("aB_1",), ("cd_9",), ("cd_9",)], "k string")
     got = {r.id: (r.found, r.how) for r in matching.key_match(asked, "id", "text", keys, "k").collect()}
     assert got == {1: ("AB_1", "exact"), 2: (None, "several"), 3: ("cd_9", "prefix"), 4: (None, "several"), 5: (None, "none")}
+
+
+def test_cursors_belong_to_their_filters():
+    text = summary.cursor([7, "a"], {"status": "F", "by": ["k"]})
+    assert summary.after_cursor(text, {"by": ["k"], "status": "F"}) == [7, "a"]
+    for bad, asked in ((text, {"status": "O"}), ("!!", {}), (text[:5], {})):
+        with pytest.raises(ValueError):
+            summary.after_cursor(bad, asked)
+
+
+def test_metrics_refuse_what_isnt_a_number(spark):
+    rows = spark.sql("SELECT array(1) AS a, date'2024-01-01' AS d, '1e5' AS t, 2 AS n")
+    assert rows.select(metrics.value_of(rows, "t"), metrics.value_of(rows, "n")).first()[:] == (None, 2.0)
+    for name in ("a", "d"):
+        with pytest.raises(ValueError):
+            metrics.value_of(rows, name)
+
+
+def test_percentiles_match_sorting(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 4, 3000), np.round(rng.lognormal(0, 3, 3000), 2))] + [(9, 5.0), (8, 1.0), (8, 1.0), (None, 2.0), (None, 3.0), (7, None)]
+    got = {r.k: (r.a, r.b, r.c) for r in summary.percentiles(spark.createDataFrame(rows, "k int, v double"), "k", "v", {"a": 0.0, "b": 0.37, "c": 0.99}, bins=16).collect()}
+    keys = {k for k, v in rows if v is not None}
+    assert got == {k: tuple(pytest.approx(float(np.percentile([v for g, v in rows if g == k and v is not None], q))) for q in (0, 37, 99)) for k in keys}
