@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import decontam, histsort, hostrules, htmltext, langid, licenses, oracles, packing, partenum, rans, warc
+from ravelin.llm import decontam, histsort, hostrules, htmltext, langid, licenses, oracles, packing, partenum, rans, secrets, spelling, vectorcodes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(found)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sort, op2_rans_tokens, op3_language_id, op4_ngram_jaccard, op5_warc, op6_diagonal_licenses, op7_crf_html, op8_host_rules, op9_best_fit_packing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_histogram_sort, op2_rans_tokens, op3_language_id, op4_ngram_jaccard, op5_warc, op6_diagonal_licenses, op7_crf_html, op8_host_rules, op9_best_fit_packing, op10_decontamination, op11_vector_codes, op12_markov_secrets, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
