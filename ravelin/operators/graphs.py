@@ -1,16 +1,22 @@
 """Graph operators as frontier loops: each round is one join of the new rows with the edges, and lineage is cut by checkpoints.
 
-Rounds are bounded by a depth. A frontier holds new nodes only, so a node is expanded once, and nothing but the number of new
+A frontier holds new nodes only, so a node is expanded once, and nothing but the number of new
 rows comes back to the driver.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Steps after which what has been seen is one table again instead of a union of steps.
+KEPT_STEPS = 8
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with checkpoint() in the folder that the session names, which survives lost executors; only a local session, as
     in tests, may do without the setting."""
@@ -22,46 +28,54 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, roots: DataFrame, src: str, dst: str, depth: int = 20) -> DataFrame:
-    """(node, depth): everything that the nodes of ``roots`` (node) reach, themselves included, at its smallest depth."""
+def reach(edges: DataFrame, roots: DataFrame, src: str, dst: str, depth: int | None = None) -> DataFrame:
+    """(node, depth): everything that the nodes of ``roots`` (node) reach, themselves included, at its smallest depth; within ``depth`` steps,
+    if given, else however far it is. A node is expanded once, so cycles end."""
     step = _cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct())
     seen = _cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         new = frontier.join(step, F.col("node") == F.col("_s")).select(F.col("_d").alias("node")).distinct()
         frontier = _cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(k)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+        if k % KEPT_STEPS == 0:
+            seen = _cut(seen)
     return seen
 
 
-def closure(edges: DataFrame, src: str, dst: str, depth: int = 20) -> DataFrame:
-    """(root, node, depth): all pairs of a node and what it reaches over one edge or more, at the smallest depth."""
+def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(root, node, depth): all pairs of a node and what it reaches over one edge or more, at the smallest depth, however far it is."""
     step = _cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct())
     seen = _cut(step.select(F.col("_s").alias("root"), F.col("_d").alias("node"), F.lit(1).alias("depth")))
     frontier = seen
-    for k in range(2, depth + 1):
+    for k in count(2):
         new = frontier.join(step, F.col("node") == F.col("_s")).select("root", F.col("_d").alias("node")).distinct()
         frontier = _cut(new.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+        if k % KEPT_STEPS == 0:
+            seen = _cut(seen)
     return seen
 
 
-def levels(edges: DataFrame, roots: DataFrame, src: str, dst: str, level: int, depth: int = 20) -> DataFrame:
-    """(node, ancestor): the ancestor of each node at a level; of several paths the shortest counts, then the smallest ancestor."""
+def levels(edges: DataFrame, roots: DataFrame, src: str, dst: str, level: int) -> DataFrame:
+    """(node, ancestor): the ancestor of each node at a level, however far below; of several paths the shortest counts, then the smallest
+    ancestor."""
     step = _cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct())
     start = reach(edges, roots, src, dst, level).where(F.col("depth") == level).select("node")
     seen = _cut(start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("d")))
     frontier = seen
-    for k in range(1, depth + 1):
+    for k in count(1):
         new = frontier.join(step, F.col("node") == F.col("_s")).groupBy(F.col("_d").alias("node")).agg(F.min("ancestor").alias("ancestor"))
         frontier = _cut(new.join(seen, "node", "left_anti").withColumn("d", F.lit(k)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+        if k % KEPT_STEPS == 0:
+            seen = _cut(seen)
     return seen.select("node", "ancestor")
 
 
@@ -87,15 +101,57 @@ def explosion(edges: DataFrame, root, src: str, dst: str, qty: str, depth: int =
     return out.groupBy("node").agg(F.sum("quantity").alias("quantity"), F.sum("paths").alias("paths"), F.min("level").alias("min_level"), F.max("level").alias("max_level"))
 
 
-def shortest(edges: DataFrame, start, end, src: str, dst: str, depth: int = 8) -> DataFrame:
-    """(step, node): the nodes on all shortest paths between two nodes, at most ``depth`` edges."""
-    spark = edges.sparkSession
-    one = lambda x: spark.createDataFrame([(x,)], f"node {edges.schema[src].dataType.simpleString()}")
-    ahead = reach(edges, one(start), src, dst, depth)
-    back = reach(edges, one(end), dst, src, depth).withColumnRenamed("depth", "left_")
-    both = _cut(ahead.join(back, "node").withColumn("total", F.col("depth") + F.col("left_")))
-    best = both.agg(F.min("total").alias("best")).where(F.col("best") <= depth)
-    return both.join(F.broadcast(best), F.col("total") == F.col("best")).select(F.col("depth").alias("step"), "node")
+def _both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    there = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"))
+    return there.union(there.select(F.col("_d").alias("_s"), F.col("_s").alias("_d")))
+
+
+def meeting(edges: DataFrame, start, end, src: str, dst: str, depth: int = 8, directed: bool = False) -> tuple[list[DataFrame], int, DataFrame, DataFrame]:
+    """([seen from the start, seen from the end], length, edges ahead, edges back): two searches of which the one with the smaller frontier
+    takes the next step, until a node is seen by both or ``depth`` steps are done (then the length is -1).
+
+    Only whole steps are taken, so the first meeting is on a shortest chain.
+    """
+    spark, kind = edges.sparkSession, edges.schema[src].dataType.simpleString()
+    there = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")) if directed else _both_ways(edges, src, dst)
+    ahead = _cut(there.where("_s is not null and _d is not null").distinct())
+    steps = [ahead, ahead.select(F.col("_d").alias("_s"), F.col("_s").alias("_d"))]
+    seen = [_cut(spark.createDataFrame([(x,)], f"node {kind}").withColumn("depth", F.lit(0))) for x in (start, end)]
+    frontier, size, done = list(seen), [1, 1], [0, 0]
+    if start == end:
+        return seen, 0, *steps
+    while sum(done) < depth and min(size):
+        k = 0 if size[0] <= size[1] else 1
+        done[k] += 1
+        new = frontier[k].join(steps[k], F.col("node") == F.col("_s")).select(F.col("_d").alias("node")).distinct()
+        frontier[k] = _cut(new.join(seen[k], "node", "left_anti").withColumn("depth", F.lit(done[k])))
+        size[k] = frontier[k].count()
+        seen[k] = seen[k].union(frontier[k])
+        if size[k] and not frontier[k].join(seen[1 - k], "node", "left_semi").isEmpty():
+            return seen, sum(done), *steps
+    return seen, -1, *steps
+
+
+def shortest(edges: DataFrame, start, end, src: str, dst: str, depth: int = 8, directed: bool = False) -> DataFrame:
+    """(step, node): the nodes on all shortest chains between two nodes, at most ``depth`` edges; edges count in both directions unless
+    ``directed``. From where the two searches meet, each side is walked back over its own depths."""
+    seen, length, ahead, back = meeting(edges, start, end, src, dst, depth, directed)
+    if length < 0:
+        return seen[0].select(F.col("depth").alias("step"), "node").where("false")
+    met = seen[0].join(seen[1].select("node", F.col("depth").alias("_o")), "node").where(F.col("depth") + F.col("_o") == length)
+    met = _cut(met.select(F.col("depth").alias("step"), "node"))
+    first = met.first()
+    if first is None:
+        return met
+    out = met
+    # all meetings are at one step, since only one side moved last
+    for side, step, steps, sign in ((seen[0], first["step"], back, -1), (seen[1], length - first["step"], ahead, 1)):
+        here = met.select("node")
+        for k in range(step - 1, -1, -1):
+            near = here.join(steps, F.col("node") == F.col("_s")).select(F.col("_d").alias("node")).distinct()
+            here = _cut(side.where(F.col("depth") == k).select("node").join(near, "node", "left_semi"))
+            out = out.union(here.select(F.lit(k if sign < 0 else length - k).alias("step"), "node"))
+    return out
 
 
 def degrees(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -131,19 +187,6 @@ def composition_similarity(items: DataFrame, owner: str, item: str, top: int) ->
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("a", "b", "shared", "similarity", "rank")
 
 
-def communities(edges: DataFrame, a: str, b: str, weight: str, rounds: int) -> DataFrame:
-    """(node, label) after ``rounds`` of label propagation over undirected edges given in both directions; ties go to the smallest label.
-
-    Every round is a join and two map-side-combined aggregates.
-    """
-    own = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col(weight).alias("w")))
-    labels = _cut(own.select("node").distinct().withColumn("label", F.col("node")))
-    for _ in range(rounds):
-        votes = own.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("w").alias("w"))
-        labels = _cut(votes.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label")))
-    return labels
-
-
 def modularity(edges: DataFrame, labels: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     """One row: how much more weight lies within the groups of ``labels`` (node, label) than chance would put there; edges both ways."""
     own = edges.select(F.col(a).alias("node"), F.col(b).alias("_other"), F.col(weight).alias("_w")).join(labels, "node")
@@ -184,7 +227,7 @@ def parallel_groups(edges: DataFrame, a: str, b: str, weight: str, rounds: int =
     return labels
 
 
-def betweenness(edges: DataFrame, src: str, dst: str, sources: DataFrame, depth: int = 20) -> DataFrame:
+def betweenness(edges: DataFrame, src: str, dst: str, sources: DataFrame) -> DataFrame:
     """(node, score): the share of shortest paths from the ``sources`` (node) to all others that a node lies on, summed over them.
 
     Path counts go out level by level, for all sources at once, and dependencies come back the same way. With a sample of sources the sums
@@ -193,7 +236,7 @@ def betweenness(edges: DataFrame, src: str, dst: str, sources: DataFrame, depth:
     step = _cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct())
     level = _cut(sources.select(F.col("node").alias("root"), "node").distinct().withColumn("paths", F.lit(1.0)))
     seen, levels_ = level.select("root", "node"), [level]
-    for _ in range(depth):
+    while True:
         new = level.join(step, F.col("node") == F.col("_s")).groupBy("root", F.col("_d").alias("node")).agg(F.sum("paths").alias("paths"))
         level = _cut(new.join(seen, ["root", "node"], "left_anti"))
         if level.isEmpty():
@@ -235,13 +278,14 @@ def indented(edges: DataFrame, root, src: str, dst: str, qty: str, depth: int =
     return (level.withColumn("level", F.lit(0)) if out is None else out).select("path", "level", "node", "quantity")
 
 
-def chains(edges: DataFrame, start, end, src: str, dst: str, depth: int = 8, first: int = 5) -> DataFrame:
-    """(chain): the first shortest chains between two nodes, in the order of their nodes; at most ``depth`` edges.
+def chains(edges: DataFrame, start, end, src: str, dst: str, depth: int = 8, first: int = 5, directed: bool = False) -> DataFrame:
+    """(chain): the first shortest chains between two nodes, in the order of their nodes; at most ``depth`` edges, in both directions
+    unless ``directed``.
 
     Only nodes that lie on a shortest chain are walked, so every partial chain can be finished and the first of each step are enough.
     """
-    on = _cut(shortest(edges, start, end, src, dst, depth))
-    step = _cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct())
+    on = _cut(shortest(edges, start, end, src, dst, depth, directed))
+    step = _cut((edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")) if directed else _both_ways(edges, src, dst)).distinct())
     last = on.agg(F.max("step")).first()[0]
     kind = edges.schema[src].dataType.simpleString()
     at = edges.sparkSession.createDataFrame([(start,)], f"node {kind}").select(F.array("node").alias("chain"), "node")
@@ -265,10 +309,10 @@ def cycle(edges: DataFrame, start, src: str, dst: str, depth: int = 20) -> DataF
     best = ahead.orderBy("depth", "node").limit(1).collect()
     if not best:
         return ahead.select(F.array("node").alias("chain")).where("false")
-    return chains(goal, start, best[0].node, src, dst, depth, 1).select(F.concat("chain", F.array(F.lit(start).cast(kind))).alias("chain")) if best[0].depth else ahead.limit(1).select(F.array(F.lit(start).cast(kind), F.lit(start).cast(kind)).alias("chain"))
+    return chains(goal, start, best[0].node, src, dst, depth, 1, directed=True).select(F.concat("chain", F.array(F.lit(start).cast(kind))).alias("chain")) if best[0].depth else ahead.limit(1).select(F.array(F.lit(start).cast(kind), F.lit(start).cast(kind)).alias("chain"))
 
 
-def subtree_fold(edges: DataFrame, values: DataFrame, src: str, dst: str, value: str, depth: int = 20) -> DataFrame:
+def subtree_fold(edges: DataFrame, values: DataFrame, src: str, dst: str, value: str) -> DataFrame:
     """(node, n, sum, min, max, avg, log_product) of the values (node, value) of each node's whole subtree, itself included.
 
     Folded from the leaves up, one level a round, so a node is sent once to its parent. Edges must form trees: a node with two parents
@@ -280,7 +324,7 @@ def subtree_fold(edges: DataFrame, values: DataFrame, src: str, dst: str, value:
     v = F.col(value).cast("double")
     own = values.groupBy("node").agg(F.count(v).alias("n"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(F.log(F.when(v > 0, v))).alias("log"))
     tops = step.select(F.col("_s").alias("node")).distinct().join(step.select("node"), "node", "left_anti")
-    at = _cut(reach(step.withColumnRenamed("node", "_d"), tops.union(own.select("node").join(step.select("node"), "node", "left_anti").join(tops, "node", "left_anti")), "_s", "_d", depth))
+    at = _cut(reach(step.withColumnRenamed("node", "_d"), tops.union(own.select("node").join(step.select("node"), "node", "left_anti").join(tops, "node", "left_anti")), "_s", "_d"))
     deepest = at.agg(F.max("depth")).first()[0] or 0
     placed = _cut(at.join(own, "node", "left"))
     merge = [F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("log").alias("log")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.functions.texts import ngrams
+from ravelin.functions.texts import word_grams
 
 #: Characters behind which a key may be cut to its front.
 BOUNDARIES = "[_ -]"
@@ -41,13 +41,33 @@ def key_match(asked: DataFrame, ident: str, text: str, keys: DataFrame, key: str
     return ladder(asked, ident, rungs, "found")
 
 
+def word_similarity(asked: Column, ordered: Column) -> Column:
+    """The best similarity of a set of pieces with the pieces of a run of ``ordered``: shared ones over those of either.
+
+    A best run begins and ends with a shared piece, so only such runs are tried.
+    """
+    shared = F.filter(F.transform(ordered, lambda g, i: F.when(F.array_contains(asked, g), i + 1)), lambda i: i.isNotNull())
+
+    def of(run: Column) -> Column:
+        both = F.size(F.array_intersect(run, asked))
+        return both / (F.size(asked) + F.size(F.array_distinct(run)) - both)
+
+    best = F.transform(shared, lambda a: F.array_max(F.transform(F.filter(shared, lambda b: b >= a), lambda b: of(F.slice(ordered, a, b - a + 1)))))
+    return F.coalesce(F.array_max(best), F.lit(0.0))
+
+
 def near_names(asked: DataFrame, ident: str, text: str, names: DataFrame, name: str, floor: float) -> DataFrame:
-    """(ident, name, similarity): names whose three-letter pieces overlap with those of a text, by the share of the union, ``floor`` at least.
+    """(ident, name, similarity): names near a text by their three-letter pieces, ``floor`` at least: the larger of the shared share of all
+    pieces and ``word_similarity``, which finds a text within a longer name.
 
-    Pairs come from shared pieces (an equi-join), so names without one are never looked at.
+    Either is at most the share of the text's pieces that a name has, so pairs come from shared pieces (an equi-join) and only those with
+    enough of them are compared. Repeated names count once.
     """
-    own = names.select(F.col(name), ngrams(F.col(name), 3).alias("_g")).withColumn("_n", F.size("_g"))
-    want = asked.select(F.col(ident), ngrams(F.col(text), 3).alias("_g")).withColumn("_m", F.size("_g"))
-    pairs = own.select(name, "_n", F.explode("_g").alias("_p")).join(want.select(ident, "_m", F.explode("_g").alias("_p")), "_p")
-    out = pairs.groupBy(ident, name, "_n", "_m").agg(F.count("*").alias("_k"))
-    return out.withColumn("similarity", F.col("_k") / (F.col("_n") + F.col("_m") - F.col("_k"))).where(F.col("similarity") >= floor).select(ident, name, "similarity")
+    own = names.select(F.col(name), word_grams(F.col(name), 3).alias("_o")).distinct()
+    want = asked.select(F.col(ident), F.array_distinct(word_grams(F.col(text), 3)).alias("_q"))
+    pairs = own.select(name, F.explode(F.array_distinct("_o")).alias("_p")).join(want.select(ident, F.size("_q").alias("_m"), F.explode("_q").alias("_p")), "_p")
+    pairs = pairs.groupBy(ident, name, "_m").agg(F.count("*").alias("_k")).where(F.col("_k") >= floor * F.col("_m")).select(ident, name, "_k")
+    both = pairs.join(own, name).join(want, ident)
+    whole = F.col("_k") / (F.size("_q") + F.size(F.array_distinct("_o")) - F.col("_k"))
+    out = both.select(ident, name, F.greatest(whole, word_similarity(F.col("_q"), F.col("_o"))).alias("similarity"))
+    return out.where(F.col("similarity") >= floor)

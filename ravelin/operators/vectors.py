@@ -1,4 +1,4 @@
-"""Vector search over an array column: one query in expressions, many queries in blocks, and an inverted index for approximate search."""
+"""Exact vector search over an array column: one query in expressions, many queries in blocks; ``vectorindex`` has the approximate one."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors that are held against all rows at once.
-QUERY_BLOCK = 2048
-#: Rows that the centres of an index are fitted to at most (a documented bound; every row is indexed), and rounds of fitting.
-INDEX_SAMPLE, INDEX_ROUNDS = 20_000, 10
+from ravelin.operators.ordered import placed
+from ravelin.sources.files import scratch
+
+#: Query vectors that are broadcast in one job, those that are scored at once, and the least similarity that counts as near.
+QUERY_BLOCK, SCORED_AT_ONCE, FLOOR = 32_768, 1024, 0.45
+#: Stands for no second object.
+NONE = np.iinfo(np.int64).min
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,91 +39,70 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.divide(found, size, out=np.full_like(found, np.nan), where=size > 0)
 
 
-def _best_of(query: np.ndarray, hits: list[pd.DataFrame], top: int) -> pd.DataFrame:
+def _best_of(hits: list[pd.DataFrame], top: int) -> pd.DataFrame:
     found = pd.concat(hits).sort_values(["score", "found"], ascending=[False, True], kind="stable")
     return found.drop_duplicates(["query", "found"]).groupby("query", sort=False).head(top)
 
 
-def nearest_many(rows: DataFrame, queries: DataFrame, ident: str, vector: str, top: int, floor: float = -1.0, owner: Column | None = None) -> DataFrame:
-    """(query, found, score, rank): for each row of ``queries`` the ``top`` other objects of ``rows`` by cosine similarity, ``floor`` at least.
+def _pieces(rows: DataFrame, own: Column, vector: str) -> DataFrame:
+    """(v, first, second, same): each distinct vector with the two smallest objects that have it, and how many have it.
+
+    The ranks are limited before the shuffle, so a vector of a third of all rows doesn't move whole.
+    """
+    pairs = rows.select(own.cast("long").alias("o"), F.col(vector).alias("v")).where("v is not null and o is not null").distinct()
+    rank = F.dense_rank().over(Window.partitionBy("v").orderBy("o"))
+    two = pairs.withColumn("_r", rank).where("_r <= 2").groupBy("v").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    return two.join(pairs.groupBy("v").agg(F.count("*").alias("same")), "v").select("v", "first", F.when(F.col("last") > F.col("first"), F.col("last")).alias("second"), "same")
+
+
+def nearest_many(rows: DataFrame, queries: DataFrame, ident: str, vector: str, top: int, floor: float = FLOOR, owner: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, found, score, same, rank): for each row of ``queries`` the ``top`` other objects of ``rows`` by cosine similarity, ``floor`` at least.
 
     ``owner`` is the object that a row is a piece of (else the row itself): an object counts by its best piece, and a query never finds its
-    own object. Of pieces with equal vectors the one with the smallest object counts. Queries are broadcast in blocks of QUERY_BLOCK, each
-    task keeps ``top`` of each query, and what the tasks kept is merged; ties go to the smallest object.
+    own object. Of pieces with equal vectors the one with the smallest object besides the query's own counts; ``same`` says how many
+    objects have that vector. Rows that repeat a query's id with another vector ask together. Queries are broadcast in blocks, a job each,
+    whose hits are written; each task keeps ``top`` of each query, and what the tasks kept is merged. Ties go to the smallest object.
     """
     spark = rows.sparkSession
     own = F.col(ident) if owner is None else owner
-    pieces = rows.select(own.cast("long").alias("o"), F.col(vector).alias("v")).where("v is not null").groupBy("v").agg(F.min("o").alias("o"))
-    asked = queries.select(F.col(ident).cast("long").alias("q"), own.cast("long").alias("o"), F.col(vector).alias("v")).where("v is not null").orderBy("q")
-    out, after = None, None
-    while True:
-        block = (asked if after is None else asked.where(F.col("q") > after)).limit(QUERY_BLOCK).toPandas()
-        if not len(block):
-            break
-        held = spark.sparkContext.broadcast((block.q.to_numpy(), block.o.to_numpy(), _unit(block.v)))
+    pieces = _pieces(rows, own, vector)
+    place = scratch(spark)
+    pieces.write.parquet(f"{place}/pieces")
+    pieces = spark.read.schema(pieces.schema).parquet(f"{place}/pieces")
+    asked = queries.select(F.col(ident).cast("long").alias("q"), own.cast("long").alias("o"), F.col(vector).alias("v")).where("v is not null and q is not null")
+    # blocks are cut by a running number, so that rows that repeat an id stay
+    placed(asked, [F.asc("q"), F.asc("o"), F.xxhash64("v").asc()], name="at").write.parquet(f"{place}/asked")
+    asked = spark.read.parquet(f"{place}/asked")
+    found = "query long, found long, score double, same long"
+    for k in range(-(-asked.count() // block)):
+        part = asked.where((F.col("at") > k * block) & (F.col("at") <= (k + 1) * block)).toPandas()
+        held = spark.sparkContext.broadcast((part.q.to_numpy(), part.o.to_numpy(), _unit(part.v)))
 
         def search(frames, held=held):
             ids, owners, units = held.value
-            kept = None
+            kept: dict[int, pd.DataFrame] = {}
             for frame in frames:
                 if not len(frame):
                     continue
-                scores = units @ _unit(frame.v).T
-                found = frame.o.to_numpy()
-                scores[np.isnan(scores) | (owners[:, None] == found[None, :])] = -np.inf
-                q, k = np.nonzero(scores >= floor)
-                now = pd.DataFrame({"query": ids[q], "found": found[k], "score": scores[q, k]})
-                kept = _best_of(ids, [now] if kept is None else [kept, now], top)
-            if kept is not None:
-                yield kept
-
-        hits = pieces.select("o", "v").mapInPandas(search, "query long, found long, score double")
-        out = hits if out is None else out.union(hits)
-        after = int(block.q.iloc[-1])
-    if out is None:
-        out = spark.createDataFrame([], "query long, found long, score double")
-    best = out.groupBy("query", "found").agg(F.max("score").alias("score"))
+                them, first, same = _unit(frame.v).T, frame["first"].to_numpy(), frame.same.to_numpy()
+                second = frame.second.fillna(NONE).to_numpy(np.int64)
+                for at in range(0, len(ids), SCORED_AT_ONCE):
+                    here = slice(at, at + SCORED_AT_ONCE)
+                    scores, other = units[here] @ them, owners[here, None] == first[None, :]
+                    scores[np.isnan(scores) | (other & (second == NONE)[None, :])] = -np.inf
+                    q, n = np.nonzero(scores >= floor)
+                    now = pd.DataFrame({"query": ids[here][q], "found": np.where(other[q, n], second[n], first[n]), "score": scores[q, n], "same": same[n]})
+                    kept[at] = _best_of([now] if at not in kept else [kept[at], now], top)
+            yield from kept.values()
+
+        pieces.select("v", "first", "second", "same").mapInPandas(search, found).write.parquet(f"{place}/hits/block={k}")
+        held.unpersist()
+    hits = spark.read.schema(found).parquet(f"{place}/hits") if asked.count() else spark.createDataFrame([], found)
+    best = hits.groupBy("query", "found").agg(F.max(F.struct("score", "same")).alias("b")).select("query", "found", "b.*")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "found")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-class Index:
-    """Centres that cut the directions of vectors into lists; every row lies in the list of its nearest centre.
-
-    Centres are fitted to a bounded sample by a hash of the id. A search looks into the ``probes`` nearest lists of its query only, so it
-    may miss a neighbour; ``recall`` against the exact search says how often.
-    """
-
-    def __init__(self, rows: DataFrame, ident: str, vector: str, lists: int = 16, sample: int = INDEX_SAMPLE):
-        self.ident, self.vector = ident, vector
-        few = rows.select(vector, F.xxhash64(ident).alias("h")).where(F.col(vector).isNotNull()).orderBy("h").limit(sample).toPandas()
-        units = _unit(few[vector])
-        units = units[~np.isnan(units).any(axis=1)]
-        self.centres = units[: min(lists, len(units))]
-        for _ in range(INDEX_ROUNDS):
-            near = (units @ self.centres.T).argmax(axis=1)
-            sums = np.array([units[near == k].sum(axis=0) if (near == k).any() else c for k, c in enumerate(self.centres)])
-            self.centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        self.rows = rows.select(F.col(ident).cast("long").alias("found"), F.col(vector).alias("v")).where("v is not null")
-
-    def _lists(self, column: Column, probes: int) -> Column:
-        centres = self.centres
-
-        def nearest_lists(v: pd.Series) -> pd.Series:
-            order = np.argsort(-np.nan_to_num(_unit(v) @ centres.T, nan=-2.0), axis=1, kind="stable")[:, :probes]
-            return pd.Series(order.tolist())
-
-        return F.pandas_udf(nearest_lists, "array<long>")(column)
-
-    def search(self, queries: DataFrame, top: int, probes: int) -> DataFrame:
-        """(query, found, rank): the nearest others of each query in the lists that are looked into."""
-        asked = queries.select(F.col(self.ident).cast("long").alias("query"), F.col(self.vector).alias("w")).where("w is not null")
-        asked = asked.withColumn("list", F.explode(self._lists(F.col("w"), probes)))
-        pairs = self.rows.withColumn("list", self._lists(F.col("v"), 1)[0]).join(asked, "list").where("query <> found")
-        order = Window.partitionBy("query").orderBy(F.desc("score"), "found")
-        return pairs.select("query", "found", cosine(F.col("v"), F.col("w")).alias("score")).where("score is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query", "found", "rank")
-
-
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of the exact (query, found) pairs that were found."""
     hits = exact.select("query", "found").join(found.select("query", "found", F.lit(1).alias("hit")), ["query", "found"], "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ravelin.plans.registry import question
-from ravelin.streaming import events
+from ravelin.sources.files import scratch
+from ravelin.streaming import events, state
 
 c = F.col
 
@@ -56,10 +57,22 @@ def _(t):
 
 @question("stream_session", "SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", user_id, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, ts, (ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR)::INT AS new FROM events)) GROUP BY user_id, coalesce(g, 0)")
 def _(t):
-    return events.settled(events.sessions(events.stream(t.spark, t.folder), "ts", "6 hours", "1 day", ["user_id"]), "sessions")
+    # closed sessions come out of the stream, those that the watermark hasn't passed are read from its state
+    state.on_rocksdb(t.spark)
+    place, gap = scratch(t.spark), "6 hours"
+    rows = events.timed(events.stream(t.spark, t.folder), "ts").where("user_id is not null and ts is not null")
+    run = state.sessions(rows, "ts", gap, "1 day", ["user_id"]).writeStream.outputMode("append").format("parquet").option("path", f"{place}/closed").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    open_ = state.open_sessions(t.spark, f"{place}/state", gap, ["user_id"])
+    both = t.spark.read.schema(open_.schema).parquet(f"{place}/closed").unionByName(open_)
+    return both.select(*[c(k).cast("timestamp_ntz").alias(k) for k in ("start", "end")], "user_id", "n")
 
 
 @question("stream_upsert", "SELECT user_id, event_type, event_id AS last_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def _(t):
-    # the newest row of each external id replaces the stored one; a batch that is sent again changes nothing
-    return events.upserted(events.stream(t.spark, t.folder), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", c("event_id").alias("last_id"), "value")
+    # the newest row of each external id replaces the stored one; a row that is sent again changes nothing, and other buckets stay as they are
+    state.on_rocksdb(t.spark)
+    place, rows = scratch(t.spark), events.stream(t.spark, t.folder)
+    table = state.Buckets(t.spark, f"{place}/table", rows.schema, ["user_id", "event_type"], ["ts", "event_id"])
+    state.upserts(rows, table, f"{place}/state")
+    return table.table().select("user_id", "event_type", c("event_id").alias("last_id"), "value")

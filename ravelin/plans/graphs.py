@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ravelin.operators import graphs
+from ravelin.operators import graphs, reachability
 from ravelin.plans.registry import BOM, DAG, TREE, question
 
 c = F.col
@@ -139,19 +139,26 @@ def _(t):
     return graphs.gathered(t.bom, 0, "parent", "child", 6, 50)
 
 
-@question("graph_shortest_path", f"WITH RECURSIVE f(node, d) AS (SELECT 0::BIGINT, 0 UNION SELECT child, d + 1 FROM {DAG} e JOIN f ON parent = node WHERE d < 8), b(node, d) AS (SELECT 1960::BIGINT, 0 UNION SELECT parent, d + 1 FROM {DAG} e JOIN b ON child = node WHERE d < 8), p AS (SELECT x.node, x.d, x.d + y.d AS total FROM (SELECT node, min(d) AS d FROM f GROUP BY 1) x JOIN (SELECT node, min(d) AS d FROM b GROUP BY 1) y ON x.node = y.node) SELECT d::INT AS step, node FROM p WHERE total = (SELECT min(total) FROM p)")
+_LINKS = f"(SELECT parent AS a, child AS b FROM {DAG} UNION SELECT child, parent FROM {DAG})"
+_WAYS = f"""RECURSIVE f(node, d) AS (SELECT 60::BIGINT, 0 UNION SELECT b, d + 1 FROM {_LINKS} e JOIN f ON a = node WHERE d < 8), z(node, d) AS (SELECT 196::BIGINT, 0 UNION SELECT b, d + 1 FROM {_LINKS} e JOIN z ON a = node WHERE d < 8),
+ q AS (SELECT x.node, x.d, x.d + y.d AS total FROM (SELECT node, min(d) AS d FROM f GROUP BY 1) x JOIN (SELECT node, min(d) AS d FROM z GROUP BY 1) y ON x.node = y.node), p AS (SELECT d::INT AS step, node FROM q WHERE total = (SELECT min(total) FROM q))"""
+
+
+@question("graph_shortest_path", f"WITH {_WAYS} SELECT step, node FROM p")
 def _(t):
-    return graphs.shortest(t.dag, 0, 1960, "parent", "child")
+    # up and down: the direction of an edge doesn't matter for what lies between two parts
+    return graphs.shortest(t.dag, 60, 196, "parent", "child")
 
 
-@question("graph_chains", f"WITH RECURSIVE s(chain, node) AS (SELECT [0::BIGINT], 0::BIGINT UNION ALL SELECT list_append(chain, child), child FROM {DAG} e JOIN s ON parent = node WHERE len(chain) < 9), f AS (SELECT chain, len(chain) AS n FROM s WHERE node = 196) SELECT chain FROM f WHERE n = (SELECT min(n) FROM f) ORDER BY chain LIMIT 5")
+@question("graph_chains", f"WITH {_WAYS}, s(chain, node, step) AS (SELECT [60::BIGINT], 60::BIGINT, 0 UNION ALL SELECT list_append(chain, b), b, s.step + 1 FROM s JOIN {_LINKS} e ON a = s.node JOIN p ON p.node = b AND p.step = s.step + 1) SELECT chain FROM s WHERE node = 196 ORDER BY chain LIMIT 5")
 def _(t):
-    return graphs.chains(t.dag, 0, 196, "parent", "child", 8, 5)
+    return graphs.chains(t.dag, 60, 196, "parent", "child", 8, 5)
 
 
-@question("graph_depends_count", f"WITH RECURSIVE s(root, node) AS (SELECT parent, child FROM {DAG} UNION SELECT root, child FROM {DAG} e JOIN s ON parent = node) SELECT node, count(*) AS n FROM s WHERE root <> node GROUP BY 1")
+@question("graph_depends_count", f"WITH RECURSIVE s(root, node) AS (SELECT child, parent FROM {DAG} WHERE child NOT IN (SELECT parent FROM {DAG}) UNION SELECT root, parent FROM {DAG} e JOIN s ON child = node) SELECT node, count(*) AS n FROM s GROUP BY 1")
 def _(t):
-    return graphs.closure(t.dag, "parent", "child").where("root <> node").groupBy("node").agg(F.count("*").alias("n"))
+    # of each assembly, how many parts that nothing is made of go into it
+    return reachability.root_counts(t.dag, "child", "parent")
 
 
 _OWN = "(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)"

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ravelin.functions import texts as keys
 from ravelin.operators import matching, profiles
-from ravelin.plans.registry import question
+from ravelin.plans.registry import near_names_sql, question
 
 c = F.col
 _NEW = "(SELECT p_partkey + 10 AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE upper(p_name) END AS name, p_size FROM part WHERE p_partkey % 4 = 0)"
@@ -305,13 +305,12 @@ def _(t):
 
 
 _MISSED = "(VALUES (1, 'blu bolt'), (2, 'red gear x'), (3, 'no such thing')) AS q(id, asked)"
-_TRI = "(SELECT DISTINCT {1}, ('  ' || lower({1}) || ' ')[i:i + 2] AS g FROM {0}, range(1, 80) r(i) WHERE i <= length({1}) + 1)".format
 
 
-@question("alias_suggest", f"WITH n AS {_TRI('(SELECT DISTINCT p_name FROM part)', 'p_name')}, a AS {_TRI(_MISSED, 'asked')}, nn AS (SELECT p_name, count(*) AS n FROM n GROUP BY 1), an AS (SELECT asked, count(*) AS m FROM a GROUP BY 1), s AS (SELECT asked, p_name, count(*) AS k FROM a JOIN n USING (g) GROUP BY 1, 2) SELECT id, p_name, round(k / (n + m - k), 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY k / (n + m - k) DESC, p_name)::INT AS rank FROM s JOIN nn USING (p_name) JOIN an USING (asked) JOIN {_MISSED} USING (asked) WHERE k / (n + m - k) >= 0.25 QUALIFY rank <= 3")
+@question("alias_suggest", f"SELECT id, p_name, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, p_name)::INT AS rank FROM {near_names_sql(_MISSED, 'part', 'p_name', 0.25)} QUALIFY rank <= 3")
 def _(t):
     """Names that a text that was not found may mean, by shared three-letter pieces; the three nearest of each."""
-    near = matching.near_names(t.spark.sql(f"SELECT * FROM {_MISSED}"), "id", "asked", t.part.select("p_name").distinct(), "p_name", 0.25)
+    near = matching.near_names(t.spark.sql(f"SELECT * FROM {_MISSED}"), "id", "asked", t.part, "p_name", 0.25)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "p_name"))).where("rank <= 3")
     return ranked.withColumn("similarity", F.round("similarity", 6))
 

@@ -30,3 +30,11 @@ RECORDS = """(SELECT l.*, o.*, date_trunc('month', l_shipdate)::DATE AS period,
 TREE = "(SELECT 'r:' || n_regionkey AS parent, 'n:' || n_nationkey AS child FROM nation UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer)"
 BOM = "(SELECT p_partkey // 3 AS parent, p_partkey AS child, (1 + p_size % 4)::BIGINT AS qty FROM part WHERE p_partkey > 0)"
 DAG = f"(SELECT parent, child FROM {BOM} UNION SELECT p_partkey // 5, p_partkey FROM part WHERE p_partkey % 7 = 0 AND p_partkey > 0)"
+#: The ordered three-letter pieces of a text's words, and the similarity of every name with every text by the larger of both measures.
+GRAMS = "flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2])))".format
+_RUN = "len(list_intersect(list_distinct({0}), q)) / (len(q) + len(list_distinct({0})) - len(list_intersect(list_distinct({0}), q)))".format
+
+
+def near_names_sql(asked: str, names: str, name: str, floor: float) -> str:
+    best = f"list_max(list_transform(range(1, len(o) + 1), lambda a: list_max(list_transform(range(a, len(o) + 1), lambda b: {_RUN('o[a:b]')}))))"
+    return f"(SELECT * FROM (SELECT id, {name}, greatest({_RUN('o')}, {best}) AS similarity FROM (SELECT id, list_distinct({GRAMS('asked')}) AS q FROM {asked}), (SELECT DISTINCT {name}, {GRAMS(name)} AS o FROM {names})) WHERE similarity >= {floor})"

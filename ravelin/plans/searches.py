@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import texts as keys
 from ravelin.functions.scalars import bigrams
-from ravelin.operators import graphs, matching, vectors
+from ravelin.operators import matching, tags, vectorindex, vectors
 from ravelin.operators.relations import all_of, any_of, contains
-from ravelin.plans.registry import question
+from ravelin.plans.parts import WEIGHED, part_tags
+from ravelin.plans.registry import near_names_sql, question
 
 c = F.col
 
@@ -58,40 +59,43 @@ def _(t):
 
 
 _NEAR = "(VALUES (1, 'blue bolt'), (2, 'reed gear'), (3, 'washer grn')) AS q(id, asked)"
-_TRI = "(SELECT DISTINCT {1}, ('  ' || lower({1}) || ' ')[i:i + 2] AS g FROM {0}, range(1, 80) r(i) WHERE i <= length({1}) + 1)".format
 
 
-@question("search_trigram", f"WITH n AS {_TRI('(SELECT DISTINCT p_name FROM part)', 'p_name')}, a AS {_TRI(_NEAR, 'asked')}, nn AS (SELECT p_name, count(*) AS n FROM n GROUP BY 1), an AS (SELECT asked, count(*) AS m FROM a GROUP BY 1), s AS (SELECT asked, p_name, count(*) AS k FROM a JOIN n USING (g) GROUP BY 1, 2) SELECT id, p_name, round(k / (n + m - k), 6) AS similarity FROM s JOIN nn USING (p_name) JOIN an USING (asked) JOIN {_NEAR} USING (asked) WHERE k / (n + m - k) >= 0.3")
+@question("search_trigram", f"SELECT id, p_name, round(similarity, 6) AS similarity FROM {near_names_sql(_NEAR, 'part', 'p_name', 0.3)}")
 def _(t):
-    # names that share three-letter pieces with what was asked; only shared pieces make pairs
+    # names near what was asked, as a whole or within a longer name, by three-letter pieces; only shared pieces make pairs
     asked = t.spark.sql(f"SELECT * FROM {_NEAR}")
-    return matching.near_names(asked, "id", "asked", t.part.select("p_name").distinct(), "p_name", 0.3).withColumn("similarity", F.round("similarity", 6))
+    return matching.near_names(asked, "id", "asked", t.part, "p_name", 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
-#: Pieces of one object lie side by side.
+#: Pieces of one object lie side by side; the given vectors are scattered, so their floor is lower than that of texts.
 _PIECES_OF, _FLOOR = 2, 0.2
-_SCORED = "(SELECT q.vec_id AS query, q.o AS qo, r.o AS found, max(list_cosine_similarity(q.e, r.e)) AS score FROM (SELECT vec_id, vec_id // {0} AS o, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT vec_id // {0} AS o, embedding::DOUBLE[] AS e FROM embeddings) r WHERE q.o <> r.o GROUP BY 1, 2, 3)".format
+_SCORED = """(WITH r AS (SELECT DISTINCT vec_id // {0} AS o, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT e, count(*) AS same FROM r GROUP BY 1), q AS (SELECT vec_id, vec_id // {0} AS o, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
+ p AS (SELECT q.vec_id AS query, r.e, min(r.o) AS found, any_value(list_cosine_similarity(q.e, r.e)) AS score FROM q JOIN r ON q.o <> r.o GROUP BY 1, 2)
+ SELECT query, found, max(score) AS score, arg_max(same, (score, same)) AS same FROM p JOIN s ON p.e = s.e GROUP BY 1, 2)""".format
 
 
-@question("vector_topk", f"SELECT query, found, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, found)::INT AS rank FROM {_SCORED(_PIECES_OF)} WHERE score >= {_FLOOR} QUALIFY rank <= 8")
+@question("vector_topk", f"SELECT query, found, round(score, 6) AS score, same, row_number() OVER (PARTITION BY query ORDER BY score DESC, found)::INT AS rank FROM {_SCORED(_PIECES_OF)} WHERE score >= {_FLOOR} QUALIFY rank <= 8")
 def _(t):
     """The nearest objects of every fiftieth vector, by their best pieces and not below a floor."""
     found = vectors.nearest_many(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", 8, _FLOOR, F.expr(f"vec_id div {_PIECES_OF}"))
-    return found.select("query", "found", F.round("score", 6).alias("score"), "rank")
+    return found.select("query", "found", F.round("score", 6).alias("score"), "same", "rank")
 
 
 @question("topk_similar", f"SELECT query, found, row_number() OVER (PARTITION BY query ORDER BY score DESC, found)::INT AS rank FROM {_SCORED(1)} QUALIFY rank <= 5")
 def _(t):
-    return vectors.nearest_many(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).select("query", "found", "rank")
+    return vectors.nearest_many(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, -1.0).select("query", "found", "rank")
 
 
 @question("vector_lsh")
 def _(t):
-    """Approximate search in the lists of an index: nearest five of every fiftieth vector, and the recall against the exact search."""
+    """Approximate search by an index: nearest five of every fiftieth vector, the recall against the exact search, and the share of the rows
+    that a query scores exactly."""
     asked = t.embeddings.where("vec_id % 50 = 0")
-    index = vectors.Index(t.embeddings, "vec_id", "embedding")
-    found = index.search(asked, 5, probes=12)
-    return found.crossJoin(F.broadcast(vectors.recall(found, vectors.nearest_many(t.embeddings, asked, "vec_id", "embedding", 5)).select("recall")))
+    index = vectorindex.Index(t.embeddings, "vec_id", "embedding")
+    found = index.search(asked, 5).select("query", "found", "rank")
+    exact = vectors.nearest_many(t.embeddings, asked, "vec_id", "embedding", 5, -1.0)
+    return found.crossJoin(F.broadcast(vectors.recall(found, exact).select("recall"))).withColumn("scored", F.lit(index.scored_share()))
 
 
 @question("vector_sync", "SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)")
@@ -100,10 +104,10 @@ def _(t):
     return own.join(own.where("doc_id % 3 = 0").select("h"), "h", "left_anti").select("doc_id")
 
 
-@question("search_similar", "WITH s AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS tag FROM customer WHERE c_acctbal > 9000) SELECT a.n AS a, b.n AS b, count(*) AS shared FROM s a JOIN s b ON a.tag = b.tag AND a.n < b.n GROUP BY 1, 2")
+@question("search_similar", f"WITH {WEIGHED}, p AS (SELECT x.id AS id, y.id AS found, sum(w) AS s FROM o x JOIN o y ON x.tag = y.tag AND x.id <> y.id JOIN w ON w.tag = x.tag WHERE w > 0 GROUP BY 1, 2) SELECT p.id, found, round(s / (a.total + b.total - s), 9) AS score, row_number() OVER (PARTITION BY p.id ORDER BY s / (a.total + b.total - s) DESC, found)::INT AS rank FROM p JOIN t a ON p.id = a.id JOIN t b ON found = b.id QUALIFY rank <= 5")
 def _(t):
-    own = t.customer.where("c_acctbal > 9000").select(c("c_nationkey").alias("n"), c("c_mktsegment").alias("tag")).distinct()
-    return graphs.shared_counts(own, "n", "tag").where("a < b")
+    """The five nearest parts of every part by weighted tags."""
+    return tags.nearest_by_tags(part_tags(t), "id", "tag", 5).withColumn("score", F.round("score", 9))
 
 
 _ASKED = "(VALUES (1, 'BLUE bolt'), (2, '17'), (3, 'Brand#3'), (4, 'nothing at all'), (5, 'blu bolt'), (6, '  red   GEAR '), (7, 'brand no 7')) AS q(id, asked)"

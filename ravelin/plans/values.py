@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import scalars, sqlfunctions
 from ravelin.functions import texts as keys
-from ravelin.operators import matching
+from ravelin.operators import matching, tags
+from ravelin.plans.parts import WEIGHED, part_tags
 from ravelin.plans.registry import RECORDS, question
 
 c = F.col
@@ -185,11 +186,13 @@ def _(t):
     return t.events.select("event_id", F.from_json("props", "k bigint").k.alias("k"))
 
 
-@question("fn_weighted_jaccard", "WITH s AS (SELECT DISTINCT c_mktsegment AS tag, c_nationkey AS n FROM customer), w AS (SELECT tag, ln(25.0 / count(*)) + 1 AS w FROM s GROUP BY 1), x AS (SELECT tag FROM s WHERE n = 1), y AS (SELECT tag FROM s WHERE n = 2) SELECT round(coalesce(sum(w) FILTER (tag IN (SELECT tag FROM x) AND tag IN (SELECT tag FROM y)), 0) / sum(w) FILTER (tag IN (SELECT tag FROM x) OR tag IN (SELECT tag FROM y)), 6) AS similarity FROM w")
+@question("fn_weighted_jaccard", f"WITH {WEIGHED}, s AS (SELECT y.id, sum(w) AS s FROM o x JOIN o y ON x.tag = y.tag JOIN w ON w.tag = x.tag WHERE x.id = 1 GROUP BY 1) SELECT t.id, round(coalesce(s / (total + (SELECT total FROM t WHERE id = 1) - s), 0), 9) AS similarity FROM t LEFT JOIN s ON t.id = s.id")
 def _(t):
-    own = t.customer.select(c("c_mktsegment").alias("tag"), c("c_nationkey").alias("n")).distinct()
-    tags = own.groupBy("tag").agg((F.log(F.lit(25.0) / F.count("*")) + 1).alias("w"), F.max((c("n") == 1).cast("int")).alias("x"), F.max((c("n") == 2).cast("int")).alias("y"))
-    return tags.agg(F.round(F.sum(c("w") * c("x") * c("y")) / F.sum(c("w") * F.greatest("x", "y")), 6).alias("similarity"))
+    """Similarity of every part with the first one, a rare tag weighing more."""
+    own = part_tags(t).where("tag is not null").distinct()
+    sets = own.join(tags.weights(own, "id", "tag"), "tag").groupBy("id").agg(F.collect_list(F.struct("tag", "w")).alias("own"))
+    one = sets.where("id = 1").select(c("own").alias("asked"))
+    return sets.crossJoin(F.broadcast(one)).select("id", F.round(tags.weighted_jaccard(c("own"), c("asked")), 9).alias("similarity"))
 
 
 @question("fn_sections")

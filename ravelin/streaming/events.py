@@ -34,32 +34,6 @@ def sliding(rows: DataFrame, at: str, size: str, step: str, late: str, keys: lis
     return windowed(rows, at, late, F.window(at, size, step), keys)
 
 
-def sessions(rows: DataFrame, at: str, gap: str, late: str, keys: list[str]) -> DataFrame:
-    return windowed(rows, at, late, F.session_window(at, gap), keys)
-
-
-def upserted(rows: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
-    """A stream merged into a table: of each key the row with the largest ``newest``, after all that is available now.
-
-    Every micro-batch is reduced to one row a key, joined with the stored version and written as the next one; a batch that runs again
-    after a failure reads the same version and writes the same rows. The stream itself keeps no state.
-    """
-    spark, place = rows.sparkSession, scratch(rows.sparkSession)
-    fields = [c for c in rows.columns if c not in key]
-    best = F.max_by(F.struct(*fields), F.struct(*newest)).alias("_b")
-
-    done: list[int] = []
-
-    def merge(batch: DataFrame, number: int) -> None:
-        done.append(number)
-        stored = batch if number == 0 else batch.unionByName(spark.read.schema(rows.schema).parquet(f"{place}/{number - 1}"))
-        stored.groupBy(*key).agg(best).select(*key, "_b.*").select(*rows.columns).write.mode("overwrite").parquet(f"{place}/{number}")
-
-    run = rows.writeStream.option("checkpointLocation", f"{place}/state").foreachBatch(merge).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{place}/{max(done)}") if done else spark.createDataFrame([], rows.schema)
-
-
 def settled(result: DataFrame, name: str, mode: str = "complete", key: list[str] | None = None) -> DataFrame:
     """All that is available now, run to its end, as a table of its own; a rerun goes on from the stream's checkpoint.
 
