@@ -24,7 +24,7 @@ def _item_windows(width: int):
             items, words, lengths, hashes = [], [], [], []
             for first, end, data, offsets in textops.chunks(batch.column(1)):
                 starts, ends, at = textops.words(data, offsets, textops.ALNUM_SEP)
-                own = textops.span_hashes(data, starts, ends)
+                own = textops.span_hashes(data, starts, ends, key=textops.OPEN)
                 raw = data.tobytes().lower()
                 for row in range(first, end):
                     a, b = at[row - first], at[row - first + 1]
@@ -41,7 +41,7 @@ def _item_windows(width: int):
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """(item_id, words, n, hash): every window of ``width`` words of every item; an item of fewer words is one window, an item of none has no window."""
-    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null")
+    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_item_windows(width), "item_id long, words binary, n int, hash long").distinct()
 
 
@@ -56,7 +56,7 @@ class WindowSet:
             order = np.argsort(hashes, kind="stable")
             self.sorted[n] = hashes[order]
             self.words[n] = own.column("words").combine_chunks().take(pa.array(order))
-            self.items[n] = own.column("item_id").to_numpy()[order]
+            self.items[n] = own.column("item_id").take(pa.array(order)).to_pylist()
 
     def hits(self, raw: bytes, starts, ends, hashes: np.ndarray, at: np.ndarray):
         """(text, first word, words, items) of each verified occurrence; ``raw`` is lower-cased."""
@@ -64,12 +64,13 @@ class WindowSet:
             for t, k, place, own in _passed(hashes, at, n, lambda x, known=known: known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x):
                 words = _spelled(raw, starts, ends, k, n)
                 place = int(np.searchsorted(known, own))
-                items = []
+                met, items = False, []
                 while place < len(known) and known[place] == own:
                     if self.words[n][place].as_py() == words:
-                        items.append(int(self.items[n][place]))
+                        met = True
+                        items += [] if self.items[n][place] is None else [self.items[n][place]]
                     place += 1
-                if items:
+                if met:
                     yield t, k, n, items
 
 
@@ -98,7 +99,7 @@ def _scanned(held):
             for first, end, data, offsets in textops.chunks(batch.column(1)):
                 starts, ends, at = textops.words(data, offsets, textops.ALNUM_SEP)
                 n_words[first:end] = np.diff(at)
-                hashes = textops.span_hashes(data, starts, ends)
+                hashes = textops.span_hashes(data, starts, ends, key=textops.OPEN)
                 raw = data.tobytes().lower()
                 for t, k, n, which in held.value.hits(raw, starts, ends, hashes, at):
                     items[first + t].update(which)
@@ -127,7 +128,8 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
     A benchmark of MOST_WINDOWS windows at most, which are counted first, is broadcast whole, and documents aren't shuffled; a
     larger one is found by ``_scanned_by_join``, with the same rows. Null, empty and wordless texts have no words and no hits, items
-    without words never occur, items with equal texts are all found, and items without an id are left out. Repeated rows of documents
+    without words never occur, items with equal texts are all found, and items without
+    an id hit words but are named nowhere. Repeated rows of documents
     and rows without an id stay rows. Empty tables give no rows, or no hits. Other columns are never read.
     """
     grams = written(benchmark_windows(items, item_id, item_text, width), "windows")
@@ -154,7 +156,7 @@ def _passing(held):
             keys = batch.column(0).to_pylist()
             for first, end, data, offsets in textops.chunks(batch.column(1)):
                 starts, ends, at = textops.words(data, offsets, textops.ALNUM_SEP)
-                hashes, raw = textops.span_hashes(data, starts, ends), data.tobytes().lower()
+                hashes, raw = textops.span_hashes(data, starts, ends, key=textops.OPEN), data.tobytes().lower()
                 found = [(keys[first + k], int(n), None, None, None, None) for k, n in enumerate(np.diff(at))]
                 for n in lengths:
                     for t, k, word, own in _passed(hashes, at, n, there):
@@ -211,7 +213,7 @@ def report(found: DataFrame) -> DataFrame:
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0]).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (F.size("spans") > 0).alias("contaminated"),
     )
 
 

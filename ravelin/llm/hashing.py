@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ravelin.llm import textops
+
 
 class KeyTable:
     """Open addressing; keys are not 0. Entries are numbered from 0 in the order in which keys were added."""
@@ -55,3 +57,31 @@ class KeyTable:
             self._place(held, own)
         self._place(keys, new)
         return new
+
+
+class Letters:
+    """The letters of a table's entries, so that a hit can be compared."""
+
+    def __init__(self):
+        self.raw, self.used = textops.padded(np.zeros(1 << 16, np.uint8)), 0
+        self.place, self.size, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Spans of ``padded`` bytes, as the next entries."""
+        total, n = int(lengths.sum()), len(starts)
+        while self.used + total > len(self.raw) - 8:
+            self.raw = np.concatenate((self.raw, np.zeros_like(self.raw)))
+        while self.n + n > len(self.place):
+            self.place, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.place, self.size))
+        at = np.cumsum(lengths) - lengths
+        self.raw[self.used : self.used + total] = raw[np.repeat(starts - at, lengths) + np.arange(total)]
+        self.place[self.n : self.n + n], self.size[self.n : self.n + n] = self.used + at, lengths
+        self.used, self.n = self.used + total, self.n + n
+
+    def differ(self, entry: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Indices of the spans that aren't the letters of their entry."""
+        wrong = self.size.take(entry) != lengths
+        there, here, places = textops.blocks(self.raw), textops.blocks(raw), self.place.take(entry)
+        for left, at, rest in textops.block_steps(starts, lengths):
+            wrong[left] |= textops.masked(here[at], rest) != textops.masked(there[np.minimum(places[left] + (at - starts[left]), len(there) - 1)], rest)
+        return np.flatnonzero(wrong)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ HINTS = {
 }
 _HINT = {w: k for k, words in HINTS.items() for w in words.split()}
 _AUTO_CLOSE = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: A quote begins a value only behind "="; elsewhere, and where it is never closed, it is a character like others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)|[^>=]++|=)*+)>?", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TITLE_END = re.compile(r"<(/?title|/?head|/?body)\b[^>]*>?", re.I)
 _WHITE = re.compile(r"\s+")
@@ -50,6 +52,7 @@ def blocks(page: str) -> list[tuple[str, list[int], dict[str, str]]]:
     """(text, features, marks) of each leaf block in page order; marks are the data-y attributes of its ancestors (for labelled pages)."""
     out: list[tuple[str, list[int], dict]] = []
     stack: list[tuple[str, frozenset, str | None]] = []
+    within, marks = Counter(), []  # what the stack's tags and hints are, and the marks in it
     parts: list[str] = []
     linked, in_link, foreign, at, n = 0, False, 0, 0, len(page)
 
@@ -58,9 +61,15 @@ def blocks(page: str) -> list[tuple[str, list[int], dict[str, str]]]:
         if parts:
             text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, _features(text, stack, linked), {"y": next((y for _, _, y in reversed(stack) if y), "")}))
+                out.append((text, _features(text, stack[-1][0] if stack else "other", within, linked), {"y": marks[-1] if marks else ""}))
         parts, linked = [], 0
 
+    def pop():
+        tag, hints, y = stack.pop()
+        within.subtract([tag, *hints])
+        if y:
+            marks.pop()
+
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
@@ -102,18 +111,20 @@ def blocks(page: str) -> list[tuple[str, list[int], dict[str, str]]]:
         flush()
         in_link = False
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            open_ = within[tag]
+            while open_ and within[tag] == open_:
+                pop()
             continue
         while stack and (stack[-1][0] in _AUTO_CLOSE.get(tag, {"p"}) or stack[-1][0] == "head" and tag != "title"):
-            stack.pop()
+            pop()
         if tag not in EMPTY:
             names = " ".join(next(filter(None, x), "") for x in _NAMES.findall(m[3])) if m[3] else ""
-            hints = frozenset(_HINT[w] for w in re.split(r"[\s_]+", names.lower().replace("-", " ") + " " + names.lower()) if w in _HINT) if names else frozenset()
+            hints = frozenset(f"hint {_HINT[w]}" for w in re.split(r"[\s_]+", names.lower().replace("-", " ") + " " + names.lower()) if w in _HINT) if names else frozenset()
             y = re.search(r'data-y="(\d)"', m[3]) if m[3] else None
             stack.append((tag, hints, y[1] if y else None))
+            within.update([tag, *hints])
+            if y:
+                marks.append(y[1])
     flush()
     for k, (_, f, _) in enumerate(out):
         if k == 0:
@@ -123,14 +134,12 @@ def blocks(page: str) -> list[tuple[str, list[int], dict[str, str]]]:
     return out
 
 
-def _features(text: str, stack: list, linked: int) -> list[int]:
+def _features(text: str, own: str, within: Counter, linked: int) -> list[int]:
     f = [_AT["bias"]]
-    tags = {t for t, _, _ in stack}
-    f += [_AT[f"in {t}"] for t in TAGS if t in tags]
-    own = stack[-1][0] if stack else "other"
+    f += [_AT[f"in {t}"] for t in TAGS if within[t] > 0]
     own = "h" if re.fullmatch("h[1-6]", own) else own
     f.append(_AT[f"own {own}"] if f"own {own}" in _AT else _AT["own other"])
-    f += [_AT[f"hint {h}"] for h in set().union(*(h for _, h, _ in stack))] if stack else []
+    f += [_AT[f"hint {h}"] for h in HINTS if within[f"hint {h}"] > 0]
     n = text.count(" ") + 1
     f.append(_AT["words 1-3" if n <= 3 else "words 4-9" if n <= 9 else "words 10-24" if n <= 24 else "words 25-"])
     if text[-1] in ".!?:;\"'”’)":

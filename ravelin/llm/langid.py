@@ -11,6 +11,7 @@ often it occurs.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm import memory, textops
-from ravelin.llm.hashing import KeyTable
+from ravelin.llm.hashing import KeyTable, Letters
 from ravelin.llm.store import written
 
 #: Labelled documents by language that are learned from (about, by a hash of the id); rounds of fitting; words that a worker
@@ -51,7 +52,8 @@ def _is_letter() -> np.ndarray:
 
 
 def words(column: pa.Array) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, text, starts, ends, word offsets by row, 64-bit keys) of the words of runs of rows; null reads as empty."""
+    """(first row, end row, text, starts, ends, word offsets by row, padded bytes of 4 a letter) of the words of runs of rows; null reads as
+    empty."""
     letter = _is_letter()
     for first, end, data, offsets in textops.chunks(column):
         text = data.tobytes().decode()
@@ -68,8 +70,7 @@ def words(column: pa.Array) -> Iterator[tuple[int, int, str, np.ndarray, np.ndar
         begin[heads] = own[heads]
         close[heads[1:] - 1] = own[heads[1:] - 1]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(close) + 1
-        keys = textops.hashed(textops.padded(codes.view(np.uint8)), 4 * starts, 4 * ends) | np.uint64(1)
-        yield first, end, low, starts, ends, np.searchsorted(starts, at), keys
+        yield first, end, low, starts, ends, np.searchsorted(starts, at), textops.padded(codes.view(np.uint8))
 
 
 class Pieces(dict):
@@ -169,7 +170,7 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.logs = KeyTable(), np.zeros((1 << 15, self.p.shape[1]), np.float32)
+        self.known, self.letters, self.logs = KeyTable(), Letters(), np.zeros((1 << 15, self.p.shape[1]), np.float32)
 
     def logs_of(self, found: list[str]) -> np.ndarray:
         out = np.zeros((len(found), self.p.shape[1]))
@@ -186,7 +187,8 @@ class Scorer:
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(summed logs by language, number of words) of each text."""
         sums, n = np.zeros((len(column), self.p.shape[1])), np.zeros(len(column), np.int64)
-        for first, end, text, starts, ends, at, keys in words(column):
+        for first, end, text, starts, ends, at, raw in words(column):
+            keys = textops.hashed(raw, 4 * starts, 4 * ends) | np.uint64(1)
             entry = self.known.find(keys)
             if (entry < 0).any():
                 new, where = np.unique(keys[entry < 0], return_index=True)
@@ -196,12 +198,18 @@ class Scorer:
                     new, where = np.unique(keys, return_index=True)
                 logs = self.logs_of([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
                 rows = self.known.add(new)
+                self.letters.add(raw, 4 * starts[where], 4 * (ends - starts)[where])
                 while self.known.n > len(self.logs):
                     self.logs = np.concatenate((self.logs, np.zeros_like(self.logs)))
                 self.logs[rows] = logs
                 entry = self.known.find(keys)
             n[first:end] = np.diff(at)
-            total = np.concatenate((np.zeros((1, self.p.shape[1])), np.cumsum(self.logs.take(entry, axis=0), axis=0, dtype=np.float64)))
+            logs = self.logs.take(entry, axis=0)
+            # words that have another word's key are scored by themselves
+            other = self.letters.differ(entry, raw, 4 * starts, 4 * (ends - starts))
+            if len(other):
+                logs[other] = self.logs_of([text[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            total = np.concatenate((np.zeros((1, self.p.shape[1])), np.cumsum(logs, axis=0, dtype=np.float64)))
             sums[first:end] = total[at[1:]] - total[at[:-1]]
         return sums, n
 
@@ -222,10 +230,9 @@ def _word_counts(batches):
     for batch in batches:
         for lang in set(batch.column(0).to_pylist()):
             own = batch.filter(pa.array([x == lang for x in batch.column(0).to_pylist()]))
-            for _, _, text, starts, ends, _, keys in words(own.column(1)):
-                _, where, n = np.unique(keys, return_index=True, return_counts=True)
-                found = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+            for _, _, text, starts, ends, _, _ in words(own.column(1)):
+                found = Counter(text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "word", "n"])
 
 
 def _expectations(held):

@@ -51,11 +51,12 @@ BLOCK, BLOCK_SHINGLES, SIZE_STEP = 512, 1 << 20, 1.34
 COLUMNS = 2048
 
 
-def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct 64-bit shingles) of each text; a text of fewer words has its whole sequence as one shingle."""
+def shingle_sets(column: pa.Array, key: tuple[int, int], width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct 64-bit shingles) of each text, by the run's secret ``key``; a text of fewer words has its whole sequence as one
+    shingle."""
     for first, end, data, offsets in textops.chunks(column):
         starts, ends, at = textops.words(data, offsets, textops.SPACE_SEP)
-        hashes = textops.span_hashes(data, starts, ends)
+        hashes = textops.span_hashes(data, starts, ends, key=key)
         runs = textops.windows(hashes, width)
         for row in range(first, end):
             a, b = at[row - first], at[row - first + 1]
@@ -103,25 +104,28 @@ class _Remembered(set):
         return True
 
 
-def _profiles(batches):
-    sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), _Remembered()
-    for batch in batches:
-        found = []
-        for _, own in shingle_sets(batch.column(1)):
-            if not len(own):
-                found.append((0, None, None, None))
-                continue
-            name = _print(own)
-            if seen.new(_key(name)):
-                np.add.at(sketch, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            found.append((len(own), name, _key(name), tally(own).tobytes()))
-        n = len(batch)
-        columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], _FIELDS)
-    if sketch.any():
-        n, parts = SKETCH_PARTS, sketch.reshape(SKETCH_PARTS, -1)
-        none = [pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.array(range(n), pa.int32())], _FIELDS)
+def _profiles(secret: tuple[int, int]):
+    def rows(batches):
+        sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), _Remembered()
+        for batch in batches:
+            found = []
+            for _, own in shingle_sets(batch.column(1), secret):
+                if not len(own):
+                    found.append((0, None, None, None))
+                    continue
+                name = _print(own)
+                if seen.new(_key(name)):
+                    np.add.at(sketch, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                found.append((len(own), name, _key(name), tally(own).tobytes()))
+            n = len(batch)
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], _FIELDS)
+        if sketch.any():
+            n, parts = SKETCH_PARTS, sketch.reshape(SKETCH_PARTS, -1)
+            none = [pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.array(range(n), pa.int32())], _FIELDS)
+
+    return rows
 
 
 def _added(batches):
@@ -195,13 +199,13 @@ def signatures(own: np.ndarray, sketch: np.ndarray, ends: np.ndarray, finer: int
     return np.concatenate(sigs), np.concatenate(rarest)
 
 
-def _signature_rows(sketch, finer: int):
+def _signature_rows(sketch, finer: int, secret: tuple[int, int]):
     def rows(batches):
         counts, seen = np.frombuffer(sketch.value, np.uint32), _Remembered()
         hot, ends = HOT_COUNT + 2 * int(counts.mean()), limits(counts)
         held, size = [], 0
         for batch in batches:
-            for _, own in shingle_sets(batch.column(0)):
+            for _, own in shingle_sets(batch.column(0), secret):
                 if not len(own) or not seen.new(key := _key(_print(own))):
                     continue
                 if (found := signatures(own, counts, ends, finer)) is None:
@@ -233,11 +237,11 @@ def _picked(bits):
     return rows
 
 
-def _buckets(docs: DataFrame, sketch) -> DataFrame:
+def _buckets(docs: DataFrame, sketch, secret: tuple[int, int]) -> DataFrame:
     """(sig, key, first, last, salt) of the signatures that two sets or more may share."""
     finer = 1
     while True:
-        sigs = docs.where("id is not null").select("text").mapInArrow(memory.lean(_signature_rows(sketch, finer)), "sig long, salt int, key long")
+        sigs = docs.where("id is not null").select("text").mapInArrow(memory.lean(_signature_rows(sketch, finer, secret)), "sig long, salt int, key long")
         own = Window.partitionBy("sig", "salt")
         shared = sigs.withColumn("first", F.min("key").over(own)).withColumn("last", F.max("key").over(own)).where("first <> last or salt <> 0")
         buckets = written(shared, "buckets")
@@ -253,15 +257,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of its texts is. A row without an id gets its size and no component. ``n_links`` is the number of other ids whose text is
     equal or similar. An empty table gives no rows; other columns are never read.
     """
-    spark = docs.sparkSession
+    spark, secret = docs.sparkSession, textops.new_key()
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = written(docs.mapInArrow(memory.lean(_profiles), _PROFILE).withColumn("kind", F.when(F.col("part").isNull(), 0).otherwise(1)), "profiles", ["kind"])
+    found = written(docs.mapInArrow(memory.lean(_profiles(secret)), _PROFILE).withColumn("kind", F.when(F.col("part").isNull(), 0).otherwise(1)), "profiles", ["kind"])
     profile = found.where("kind = 0").select("doc_id", "n", "print", "key", "tally")
     counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
     for r in found.where("kind = 1").select("part", "sketch").repartition("part").mapInArrow(_added, "part int, sketch binary").collect():
         counts[r.part] = np.frombuffer(zlib.decompress(r.sketch), np.uint32)
     sketch = spark.sparkContext.broadcast(counts.tobytes())
-    buckets = _buckets(docs, sketch)
+    buckets = _buckets(docs, sketch, secret)
     sketch.destroy()
 
     # the pieces of a hot bucket have one pivot
@@ -289,7 +293,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = near.select(F.col("rep").alias("id")).distinct()
     bits = spark.sparkContext.broadcast(id_bitmap(ends, "id"))
     texts = docs.where("id is not null").withColumn("slot", slot("id")).mapInArrow(_picked(bits), "id long, text string").join(ends, "id", "left_semi")
-    links = _in_cells(near, ["rep", "docs", "marked", "lesser"], texts).mapInArrow(memory.lean(_counted), "print binary, other binary, links long, a long, b long")
+    links = _in_cells(near, ["rep", "docs", "marked", "lesser"], texts).mapInArrow(memory.lean(_counted(secret)), "print binary, other binary, links long, a long, b long")
     links = written(links, "links")
     bits.destroy()
 
@@ -488,24 +492,28 @@ def _cell_links(sides: tuple[dict, dict, dict]) -> Iterator[tuple]:
             yield others[k], names[i], None, None, None
 
 
-def _counted(batches):
+def _counted(secret: tuple[int, int]):
     """Rows (pivot, la, ia, lb, ib, side, print, n, rep, docs, marked, lesser, text) by cell; gives the rows of ``_cell_links``."""
-    now, sides = None, ({}, {}, {})
 
-    def sent(found):
-        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["print", "other", "links", "a", "b"])
+    def rows(batches):
+        now, sides = None, ({}, {}, {})
 
-    for batch in batches:
-        cells = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
-        which, prints, _, reps, docs, marked, lesser = (batch.column(k).to_pylist() for k in range(5, 12))
-        found: list[tuple] = []
-        for row, own in shingle_sets(batch.column(12)):
-            if cells[row] != now:
-                found += _cell_links(sides)
-                now, sides = cells[row], ({}, {}, {})
-            # an id may have other texts, too
-            if _print(own) == prints[row]:
-                sides[which[row]][prints[row]] = (own, reps[row], docs[row], marked[row], np.array(lesser[row], np.int64))
-        yield sent(found)
-    yield sent(list(_cell_links(sides)))
+        def sent(found):
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["print", "other", "links", "a", "b"])
+
+        for batch in batches:
+            cells = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+            which, prints, _, reps, docs, marked, lesser = (batch.column(k).to_pylist() for k in range(5, 12))
+            found: list[tuple] = []
+            for row, own in shingle_sets(batch.column(12), secret):
+                if cells[row] != now:
+                    found += _cell_links(sides)
+                    now, sides = cells[row], ({}, {}, {})
+                # an id may have other texts, too
+                if _print(own) == prints[row]:
+                    sides[which[row]][prints[row]] = (own, reps[row], docs[row], marked[row], np.array(lesser[row], np.int64))
+            yield sent(found)
+        yield sent(list(_cell_links(sides)))
+
+    return rows

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 19
@@ -114,26 +115,74 @@ def masked(block: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return block
 
 
-def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of ``padded`` bytes.
+def new_key() -> tuple[int, int]:
+    """A secret of 128 bits. Hashes that tasks compare with each other need one key, drawn by the driver; within a worker ``OWN`` does."""
+    return secrets.randbits(64), secrets.randbits(64)
 
-    Blocks of 8 bytes are scrambled one after the other into a state that begins with the length. No sum or power series over
-    letters is involved, so strings of a regular build (such as Thue-Morse words) don't meet.
+
+OWN = new_key()
+#: For hashes whose hits are all compared by letters.
+OPEN = (0x0706050403020100, 0x0F0E0D0C0B0A0908)
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _round(v: list[np.ndarray]) -> None:
+    """One SipHash round over all spans at once."""
+    v[0] = v[0] + v[1]
+    v[2] = v[2] + v[3]
+    v[1] = _turned(v[1], 13) ^ v[0]
+    v[3] = _turned(v[3], 16) ^ v[2]
+    v[0] = _turned(v[0], 32) + v[3]
+    v[2] = v[2] + v[1]
+    v[3] = _turned(v[3], 21) ^ v[0]
+    v[1] = _turned(v[1], 17) ^ v[2]
+    v[2] = _turned(v[2], 32)
+
+
+def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: tuple[int, int] = OWN) -> np.ndarray:
+    """64-bit hashes of spans of ``padded`` bytes: SipHash (one round a block, three at the end) with a secret key.
+
+    Without the key nobody can look for two texts that meet, as anyone could with a fixed scramble: such a pair would count as
+    equal words. Long spans go through BLAKE2b with the same key.
     """
     lengths = ends - starts
-    out = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.empty(len(starts), np.uint64)
+    secret = b"".join(k.to_bytes(8, "little") for k in key)
     for k in np.flatnonzero(lengths > _LONG):
-        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8, key=secret).digest(), "little")
     few, view = np.flatnonzero(lengths <= _LONG), blocks(raw)
+    begin = [key[0] ^ 0x736F6D6570736575, key[1] ^ 0x646F72616E646F6D, key[0] ^ 0x6C7967656E657261, key[1] ^ 0x7465646279746573]
+    # spans of more blocks go on, those that end drop out; the length is part of the last block's round
+    v = [np.full(len(few), np.uint64(x)) for x in begin]
     for left, at, rest in block_steps(starts[few], lengths[few]):
-        own = few[left]
-        out[own] = mixed((out[own] ^ masked(view[at], rest)) * np.uint64(0xD6E8FEB86659FD93))
+        if len(left) < len(v[0]):
+            v = [x[keep] for x in v]
+        block = masked(view[at], rest)
+        v[3] = v[3] ^ block
+        _round(v)
+        v[0] = v[0] ^ block
+        keep = rest > 8
+        done = np.flatnonzero(~keep)
+        if len(done):
+            own = few[left[done]]
+            last = [x[done] for x in v]
+            last[3] = last[3] ^ lengths[own].astype(np.uint64)
+            _round(last)
+            last[0] = last[0] ^ lengths[own].astype(np.uint64)
+            last[2] = last[2] ^ np.uint64(0xFF)
+            for _ in range(3):
+                _round(last)
+            out[own] = last[0] ^ last[1] ^ last[2] ^ last[3]
+        keep = np.flatnonzero(keep)
     return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, key: tuple[int, int] = OWN) -> np.ndarray:
     """64-bit hashes of byte spans; with ``fold`` equal for spans that differ in the case of A-Z only."""
-    return hashed(padded(_FOLD[data] if fold else data), starts, ends)
+    return hashed(padded(_FOLD[data] if fold else data), starts, ends, key)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:

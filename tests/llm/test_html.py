@@ -45,3 +45,31 @@ def test_open_and_embedded_tags_lose_no_text():
     assert texts("<article><p>a <math><mi>x</mi></math> b</p><object><p>c</p></object><noscript><p>d</p></noscript></article>") == ["a x b", "c", "d"]
     assert texts("<p>one</p><iframe src=x><p>two</p><video><p>three") == ["one", "two", "three"]
     assert texts("<p>one</p><script>var a = '<p>two'") == ["one"] and texts("<title>t<body><p>one</p><svg><title>x</title></svg>")[-1] == "one"
+
+
+def test_quotes_that_open_no_value():
+    texts = lambda page: [b[0] for b in htmltext.blocks(page)]
+    assert texts("<p data=it's>One.</p><p>Two's.</p>") == ["One.", "Two's."]
+    assert texts('<p><a href="x>three</a></p>') == ["three"]
+    assert texts("<p title='a > b' x = \"c > d\" y= '>' it's \">four</p><p>five</p>") == ["four", "five"]
+    assert texts("<p class=\"a\"id='b'>six</p><p =x>seven<p a==b>eight") == ["six", "seven", "eight"]
+
+
+def test_deep_and_hostile_pages_take_linear_time():
+    import time
+
+    deep = "".join(f"<div class='menu side'>x{k}" for k in range(8000))
+    pages = [deep, deep + "</p></section>" * 8000, "<p>" + "<a x='" * 20000, "<p a=" + '"' * 20001 + "z", "<p>" + "= " * 50000 + "<b " + "=" * 50000, "<p " + "=  " * 50000]
+    began = time.perf_counter()
+    assert len(htmltext.blocks(deep)) == 8000
+    assert time.perf_counter() - began < 0.5
+    for page in pages:
+        htmltext.blocks(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + "".join(f"<p>Paragraph {k}, which says something of some length.</p>" for k in range(5000)) + "</article><footer>© us</footer>"
+    chain = htmltext.Chain().train(htmltext.labelled())
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert htmltext.extract(pages, chain).first().text.count("\n\n") == 4999

@@ -209,7 +209,9 @@ def test_decontamination(odd, none, spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "One"), (3, None), (4, ""), (None, "tie"), (5, "a b c d e f g h i j k")], "item_id long, text string")
     got = {r.doc_id: r for r in decontam.report(decontam.scan(odd, items)).collect()}
     assert (got[10].n_words, got[10].n_hit, got[10].n_items, got[10].contaminated) == (14, 11, 2, True)
-    assert (got[11].n_hit, got[3].n_hit, got[3].n_items, got[7].n_hit, got[0].n_hit) == (11, 1, 1, 0, 0)
+    assert (got[11].n_hit, got[3].n_hit, got[3].n_items, got[0].n_hit) == (11, 1, 1, 0)
+    # an item without an id hits words and is named nowhere
+    assert (got[7].n_hit, got[7].n_items, got[7].contaminated) == (3, 0, True) and got[7].items_sha256 == got[0].items_sha256
     clean = decontam.cleaned(odd, items, drop_share=0.9)
     assert clean.columns == odd.columns
     left = {r.doc_id: r.text for r in clean.collect()}
@@ -229,7 +231,7 @@ def test_decontamination_in_parts(odd, spark, monkeypatch):
 def test_decontamination_in_parts_keeps_rows(odd, none, spark, monkeypatch):
     passage = lambda k: " ".join(f"p{k}x{j}" for j in range(30))
     free = lambda n: " ".join(f"free{j}" for j in range(n))
-    items = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "One"), (4, ""), *[(10 + k, passage(k)) for k in range(8)]], "item_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "One"), (4, ""), (None, "tie"), *[(10 + k, passage(k)) for k in range(8)]], "item_id long, text string")
     rows = [(100 + k, f"{passage(k)} {free(20)} {passage(k + 1)} {free(20)}") for k in range(7)]
     rows += [(100, f"{free(50)} {passage(3)}"), (None, f"{passage(5)} {free(90)}"), (None, free(12)), (None, f"{free(40)} {passage(6)}")]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
