@@ -1,4 +1,5 @@
-"""Column addresses over linked tables, as joins: ``ref.<key>.<column>``, ``out.<relation>``, ``in.<relation>``, up to four hops.
+"""Column addresses over linked tables, as joins: ``ref.<key>.<column>``, ``out.<relation>``, ``in.<relation>`` and ``in.<type>:<key>`` (all
+of a type that refer here by that key), up to four hops.
 
 A schema names tables, their keys and what leads from one to another. Addresses that begin alike share their joins. A hop over a
 reference has one target at most and is a left join; a relation may have many, so its values come as a list, gathered from the
@@ -13,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.operators.graphs import _cut
+
 MOST_HOPS = 4
 KINDS = ("ref", "out", "in")
 
@@ -30,6 +33,12 @@ class Hop:
     def many(self) -> bool:
         return self.kind != "ref"
 
+    @property
+    def inverse(self) -> tuple[str, str] | None:
+        """Of ``type:key``, both; none for a relation."""
+        kind, mark, key = self.name.partition(":")
+        return (kind, key) if mark else None
+
 
 @dataclass(frozen=True)
 class Address:
@@ -85,6 +94,8 @@ class Schema:
     def target(self, table: str, hop: Hop) -> str:
         if hop.kind == "ref":
             found = self.references.get((table, hop.name))
+        elif hop.inverse:
+            found = hop.inverse[0] if hop.kind == "in" and self.references.get(hop.inverse) == table else None
         else:
             r = self.relations.get(hop.name)
             found = None if r is None or (r.source if hop.kind == "out" else r.target) != table else r.target if hop.kind == "out" else r.source
@@ -99,7 +110,7 @@ class Schema:
             at.append(self.target(at[-1], hop))
         if address.column and address.column not in self.tables[at[-1]]().columns:
             raise NoSuchAddress(f"{at[-1]} has no column {address.column}")
-        if address.edge and address.edge not in self.relations[address.hops[-1].name].rows().columns:
+        if address.edge and (address.hops[-1].inverse or address.edge not in self.relations[address.hops[-1].name].rows().columns):
             raise NoSuchAddress(f"{address.hops[-1].name} has no column {address.edge}")
         return address, at
 
@@ -107,10 +118,16 @@ class Schema:
         """``rows`` with the key of the hop's target as ``there`` (and an edge column as ``there~``), from the key or reference ``here``."""
         if hop.kind == "ref":
             return rows.withColumnRenamed(here, there)
+        return rows.join(self._links(hop, there, [edge] if edge else []), F.col(here) == F.col("_near"), "left").drop("_near")
+
+    def _links(self, hop: Hop, there: str, edges: list[str]) -> DataFrame:
+        """(_near, there, there~edge): the rows of a relation, or those of a type by its reference, with both ends."""
+        if hop.inverse:
+            kind, key = hop.inverse
+            return self.tables[kind]().select(F.col(key).alias("_near"), F.col(self.keys[kind]).alias(there))
         r = self.relations[hop.name]
         near, far = (r.start, r.end) if hop.kind == "out" else (r.end, r.start)
-        links = r.rows().select(F.col(near).alias("_near"), F.col(far).alias(there), *([F.col(edge).alias(f"{there}~")] if edge else []))
-        return rows.join(links, F.col(here) == F.col("_near"), "left").drop("_near")
+        return r.rows().select(F.col(near).alias("_near"), F.col(far).alias(there), *[F.col(e).alias(f"{there}~{e}" if len(edges) > 1 else f"{there}~") for e in edges])
 
     def walked(self, table: str, text: str) -> DataFrame:
         """(key, value): the values that an address gives for each row of a table; several for relations, null where a hop leads nowhere."""
@@ -130,36 +147,84 @@ class Schema:
         end = f"_{len(address.hops)}"
         return rows.select("key", F.col(f"{end}~" if address.edge else end).alias("value"))
 
+    def _valued(self, rows: DataFrame, at: str, table: str, wanted: dict[str, tuple[tuple[Hop, ...], str]]) -> DataFrame:
+        """``rows`` with a column for each name of ``wanted`` (references, column): what they give for the object of ``table`` whose key is
+        column ``at``. Each reference is joined once, with all columns that any name wants of its target."""
+        needs: dict[tuple[Hop, ...], set[str]] = {}
+        for hops, column in wanted.values():
+            for k in range(len(hops) + 1):
+                needs.setdefault(hops[:k], set()).add(hops[k].name if k < len(hops) else column)
+        prefix = lambda hops: f"{at}/" + "".join(f"{h.name}." for h in hops)
+        for hops in sorted(needs, key=len):
+            end, own = table, prefix(hops)
+            for h in hops:
+                end = self.target(end, h)
+            here, key = prefix(hops[:-1]) + hops[-1].name if hops else at, self.keys[end]
+            if needs[hops] == {key}:
+                rows = rows.withColumn(own + key, F.col(f"`{here}`"))
+                continue
+            found = self.tables[end]().select(F.col(key).alias(f"{own}#"), *[F.col(x).alias(own + x) for x in sorted(needs[hops])])
+            rows = rows.join(found, F.col(f"`{here}`") == F.col(f"`{own}#`"), "left").drop(f"{own}#")
+        return rows.withColumns({name: F.col(f"`{prefix(hops)}{column}`") for name, (hops, column) in wanted.items()})
+
+    def _reached(self, table: str, prefixes: dict[tuple[Hop, ...], set[str]]) -> dict[tuple[Hop, ...], DataFrame]:
+        """For each prefix of hops, which ends with a relation: (key, _at, _at~edge) of all that it leads to. A prefix of several others is
+        walked once, and its rows are kept for all of them."""
+        every = {p[:k] for p in prefixes for k in range(1, len(p) + 1)}
+        used = {p: sum(q[:-1] == p for q in every) + (p in prefixes) for p in every}
+        start = self.tables[table]().select(F.col(self.keys[table]).alias("key"), F.col(self.keys[table]).alias("_at"))
+        found: dict[tuple[Hop, ...], DataFrame] = {(): start}
+        for p in sorted(every, key=len):
+            at, hop = table, p[-1]
+            for h in p[:-1]:
+                at = self.target(at, h)
+            rows = found[p[:-1]].select("key", "_at")
+            if hop.kind == "ref":
+                rows = self._valued(rows, "_at", at, {"_to": ((), hop.name)}).select("key", F.col("_to").alias("_at"))
+            else:
+                edges = sorted(prefixes.get(p, ()))
+                links = self._links(hop, "_to", edges)
+                names = [f"_to~{e}" if len(edges) > 1 else "_to~" for e in edges]
+                rows = rows.join(links, F.col("_at") == F.col("_near"), "left").select("key", F.col("_to").alias("_at"), *[F.col(f"`{n}`").alias(f"_at~{e}") for n, e in zip(names, edges)])
+            found[p] = _cut(rows) if used[p] > 1 else rows
+        return found
+
     def with_columns(self, table: str, addresses: dict[str, str]) -> DataFrame:
         """The table's key and a column for each address, lists (sorted, distinct, empty if there is none) for relations.
 
-        References that begin alike are joined once: each hop's table is joined with all columns that any address wants of it.
+        Addresses that begin alike share their joins: a reference is joined once with all columns that are wanted of it, a relation once for
+        all lists behind it, which are gathered together.
         """
-        own, single = self.tables[table](), {}
-        read = {name: self.checked(table, text) for name, text in addresses.items()}
-        wanted: dict[tuple[Hop, ...], set[str]] = {}
-        for address, _ in read.values():
-            if not address.many:
-                for k in range(1, len(address.hops) + 1):
-                    after = address.hops[k].name if k < len(address.hops) else address.column
-                    wanted.setdefault(address.hops[:k], set()).add(after)
-        out = own
-        for hops in sorted(wanted, key=len):
-            tables = [table]
-            for h in hops:
-                tables.append(self.target(tables[-1], h))
-            prefix = "".join(f"{h.name}." for h in hops)
-            here = "".join(f"{h.name}." for h in hops[:-1]) + hops[-1].name
-            end = self.tables[tables[-1]]().select(F.col(self.keys[tables[-1]]).alias(f"{prefix}#"), *[F.col(x).alias(prefix + x) for x in sorted(wanted[hops])])
-            out = out.join(end, F.col(f"`{here}`") == F.col(f"`{prefix}#`"), "left").drop(f"{prefix}#")
-        for name, (address, _) in read.items():
-            if not address.many:
-                single[name] = F.col("`" + "".join(f"{h.name}." for h in address.hops) + f"{address.column}`").alias(name)
-        out = out.select(F.col(self.keys[table]).alias("key"), *single.values())
-        for name, (address, _) in read.items():
-            if address.many:
-                lists = self.walked(table, addresses[name]).groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_set("value")).alias(name))
-                out = out.join(lists, F.col("key") == F.col("_key"), "left").drop("_key")
+        read = {name: self.checked(table, text)[0] for name, text in addresses.items()}
+        one = {name: (a.hops, a.column) for name, a in read.items() if not a.many}
+        key = self.keys[table]
+        out = self.tables[table]()
+        direct = {name: column for name, (hops, column) in one.items() if not hops}
+        refs = {name: x for name, x in one.items() if x[0]}
+        if refs:
+            # what the first hops want of the table is there already
+            begins: dict[Hop, dict[str, tuple[tuple[Hop, ...], str]]] = {}
+            for name, (hops, column) in refs.items():
+                begins.setdefault(hops[0], {})[name] = (hops[1:], column)
+            for hop, wanted in begins.items():
+                out = self._valued(out, hop.name, self.target(table, hop), wanted)
+        out = out.withColumns({name: F.col(column) for name, column in direct.items()}).select(F.col(key).alias("key"), *one)
+        groups: dict[tuple[Hop, ...], dict[str, Address]] = {}
+        for name, a in read.items():
+            if a.many:
+                last = max(k for k, h in enumerate(a.hops) if h.many)
+                groups.setdefault(a.hops[: last + 1], {})[name] = a
+        reached = self._reached(table, {p: {a.edge for a in own.values() if a.edge} for p, own in groups.items()}) if groups else {}
+        for p, own in groups.items():
+            at = table
+            for h in p:
+                at = self.target(at, h)
+            rows = reached[p]
+            ends = {name: (a.hops[len(p) :], a.column or self.keys[at]) for name, a in own.items() if not a.edge}
+            rows = self._valued(rows, "_at", at, ends) if ends else rows
+            rows = rows.withColumns({name: F.col(f"`_at~{a.edge}`") for name, a in own.items() if a.edge})
+            lists = rows.groupBy(F.col("key").alias("_key")).agg(*[F.array_sort(F.collect_set(name)).alias(name) for name in own])
+            out = out.join(lists, F.col("key") == F.col("_key"), "left").drop("_key")
         return out.select("key", *addresses)
 
     def where(self, table: str, text: str, condition: Callable[[Column], Column]) -> DataFrame:

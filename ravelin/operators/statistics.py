@@ -13,63 +13,79 @@ from ravelin.operators.numeric import chi2_tail, poisson_interval  # noqa: F401
 from ravelin.operators.ordered import placed, with_totals
 
 
+#: Largest groups whose share is told.
+LARGEST = (1, 3, 5, 10)
+
+
 def concentration(groups: DataFrame, key: str, value: str) -> DataFrame:
-    """One row: Herfindahl index, Gini coefficient, share of the largest 4, effective number of groups."""
+    """One row: Herfindahl index, Gini coefficient, shares of the largest 1, 3, 5 and 10, effective number of groups; all null if nothing
+    has a value."""
     own = with_totals(groups.select(key, value), all=F.sum(value), n=F.count("*"))
-    s = placed(own, [F.asc(value), F.asc(key)], name="i").withColumn("s", F.col(value) / F.col("all"))
+    s = placed(own, [F.asc(value), F.asc(key)], name="i").withColumn("s", F.try_divide(value, "all"))
+    squares = F.sum(F.col("s") * F.col("s"))
     return s.agg(
-        F.round(F.sum(F.col("s") * F.col("s")), 6).alias("hhi"),
+        F.round(squares, 6).alias("hhi"),
         F.round(F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("s")) / F.max("n"), 6).alias("gini"),
-        F.round(F.sum(F.when(F.col("i") > F.col("n") - 4, F.col("s")).otherwise(0)), 6).alias("cr4"),
-        F.round(1 / F.sum(F.col("s") * F.col("s")), 6).alias("effective"),
+        *[F.round(F.sum(F.when(F.col("i") > F.col("n") - k, F.col("s"))), 6).alias(f"cr{k}") for k in LARGEST],
+        F.round(F.try_divide(F.lit(1.0), squares), 6).alias("effective"),
     )
 
 
 def homogeneity(groups: DataFrame, key: str, hits: str, total: str) -> DataFrame:
-    """(key, expected, residual, chi2): adjusted residuals of a 2 x K table, and its chi-square on every line."""
-    own = with_totals(groups, p=F.sum(hits) / F.sum(total), all=F.sum(total))
+    """(key, expected, residual, chi2): adjusted residuals of a 2 x K table, and its chi-square on every line; what one group, no hits or
+    nothing but hits can't say is null."""
+    own = with_totals(groups, p=F.try_divide(F.sum(hits), F.sum(total)), all=F.sum(total))
     own = own.withColumn("expected", F.col(total) * F.col("p"))
-    own = own.withColumn("d", F.col(hits) - F.col("expected")).withColumn("residual", F.col("d") / F.sqrt(F.col("expected") * (1 - F.col("p")) * (1 - F.col(total) / F.col("all"))))
-    own = with_totals(own, chi2=F.sum(F.col("d") * F.col("d") / (F.col("expected") * (1 - F.col("p")))))
+    own = own.withColumn("d", F.col(hits) - F.col("expected")).withColumn("residual", F.try_divide("d", F.sqrt(F.col("expected") * (1 - F.col("p")) * (1 - F.try_divide(total, "all")))))
+    own = with_totals(own, chi2=F.sum(F.try_divide(F.col("d") * F.col("d"), F.col("expected") * (1 - F.col("p")))))
     return own.select(key, F.round("expected", 6).alias("expected"), F.round("residual", 6).alias("residual"), F.round("chi2", 6).alias("chi2"))
 
 
-def chart(series: DataFrame, at: str, count: str, exposure: str, kind: str = "u", baseline: Column | None = None) -> DataFrame:
+def chart(series: DataFrame, at: str, count: str, exposure: str, kind: str = "u", baseline: Column | None = None, open_: Column | None = None) -> DataFrame:
     """(at, rate, center, sigma_z, z, low, high, out): control chart whose limits are widened by the spread of the standardised points.
 
     ``kind`` is u (counts by exposure), c (counts of equal exposures) or p (shares, which end at 1). The centre and the spread come from
-    the points of ``baseline`` (all, if not given) that have an exposure. A series is bounded by its calendar.
+    the points of ``baseline`` (all, if not given) that have an exposure. Points that are still ``open_`` and those without an exposure
+    take part in nothing and have no z and no limits; nor has any point of a series without counts. A series is bounded by its calendar.
     """
     order = Window.orderBy(at)
     size = F.lit(1.0) if kind == "c" else F.col(exposure)
-    own = series.withColumn("_n", F.when(F.col(exposure) > 0, size)).withColumn("_b", (F.lit(True) if baseline is None else baseline) & F.col("_n").isNotNull())
-    own = with_totals(own, center=F.sum(F.when(F.col("_b"), F.col(count))) / F.sum(F.when(F.col("_b"), F.col("_n"))))
+    own = series.withColumn("_n", F.when(F.col(exposure) > 0, size))
+    own = own.withColumn("_use", F.col("_n").isNotNull() & ~(F.lit(False) if open_ is None else F.coalesce(open_, F.lit(False))))
+    own = own.withColumn("_b", (F.lit(True) if baseline is None else baseline) & F.col("_use"))
+    own = with_totals(own, center=F.try_divide(F.sum(F.when(F.col("_b"), F.col(count))), F.sum(F.when(F.col("_b"), F.col("_n")))))
     spread = F.col("center") * (1 - F.col("center")) if kind == "p" else F.col("center")
-    own = own.withColumn("rate", F.col(count) / F.col("_n")).withColumn("sigma", F.sqrt(spread / F.col("_n"))).withColumn("raw", (F.col("rate") - F.col("center")) / F.col("sigma"))
+    sigma = F.nullif(F.sqrt(F.try_divide(spread, F.when(F.col("_use"), F.col("_n")))), F.lit(0.0))
+    own = own.withColumn("rate", F.try_divide(F.col(count), "_n")).withColumn("sigma", sigma).withColumn("raw", F.try_divide(F.col("rate") - F.col("center"), "sigma"))
     # moving ranges go from one baseline point to the next
     based = own.where("_b").withColumn("moved", F.abs(F.col("raw") - F.lag("raw").over(order)))
     own = own.crossJoin(F.broadcast(based.agg(F.greatest(F.coalesce(F.avg("moved") / 1.128, F.lit(1.0)), F.lit(1.0)).alias("sigma_z"))))
     half = 3 * F.col("sigma") * F.col("sigma_z")
-    low, high = F.greatest(F.col("center") - half, F.lit(0.0)), F.col("center") + half
-    high = F.least(high, F.lit(1.0)) if kind == "p" else high
+    low, high = F.when(half.isNotNull(), F.greatest(F.col("center") - half, F.lit(0.0))), F.col("center") + half
+    high = F.when(half.isNotNull(), F.least(high, F.lit(1.0))) if kind == "p" else high
     own = own.withColumns({"low": low, "high": high, "z": F.col("raw") / F.col("sigma_z")})
-    return own.select(at, *[F.round(n, 6).alias(n) for n in ("rate", "center", "sigma_z", "z", "low", "high")], ((F.col("rate") < F.col("low")) | (F.col("rate") > F.col("high"))).alias("out"))
+    out = F.coalesce((F.col("rate") < F.col("low")) | (F.col("rate") > F.col("high")), F.lit(False))
+    return own.select(at, *[F.round(n, 6).alias(n) for n in ("rate", "center", "sigma_z", "z", "low", "high")], out.alias("out"))
 
 
 def runs(points: DataFrame, at: str, z: str, rate: str) -> DataFrame:
-    """(at, z, beyond, same_side, trend, two_of_three): four run rules over fixed frames; trends are those of the rates."""
+    """(at, z, beyond, same_side, trend, two_of_three): four run rules over fixed frames; trends are those of the rates.
+
+    A point without z or rate isn't there for a rule: runs go on behind it, and it has no signal.
+    """
     order = Window.orderBy(at)
     side = lambda n: Window.orderBy(at).rowsBetween(1 - n, 0)
     full = lambda n: F.count(z).over(side(n)) == n
-    own = points.withColumn("up", (F.col(rate) > F.lag(rate).over(order)).cast("int")).withColumn("down", (F.col(rate) < F.lag(rate).over(order)).cast("int"))
-    return own.select(
-        at,
-        z,
+    own = points.where(F.col(z).isNotNull() & F.col(rate).isNotNull())
+    own = own.withColumn("up", (F.col(rate) > F.lag(rate).over(order)).cast("int")).withColumn("down", (F.col(rate) < F.lag(rate).over(order)).cast("int"))
+    found = own.select(
+        F.col(at).alias("_at"),
         (F.abs(z) > 3).alias("beyond"),
         (full(9) & ((F.min(z).over(side(9)) > 0) | (F.max(z).over(side(9)) < 0))).alias("same_side"),
         (full(6) & ((F.sum("up").over(side(5)) == 5) | (F.sum("down").over(side(5)) == 5))).alias("trend"),
         (full(3) & (((F.sum((F.col(z) > 2).cast("int")).over(side(3)) >= 2) & (F.col(z) > 2)) | ((F.sum((F.col(z) < -2).cast("int")).over(side(3)) >= 2) & (F.col(z) < -2)))).alias("two_of_three"),
     )
+    return points.join(found, F.col(at) == F.col("_at"), "left").select(at, z, *[F.coalesce(n, F.lit(False)).alias(n) for n in ("beyond", "same_side", "trend", "two_of_three")])
 
 
 def adjusted(tests: DataFrame, key: str, p: str) -> DataFrame:
@@ -79,14 +95,22 @@ def adjusted(tests: DataFrame, key: str, p: str) -> DataFrame:
     return out.select(key, p, F.least("q", F.lit(1.0)).alias("q"))
 
 
-def changes(counts: np.ndarray, exposures: np.ndarray, penalty: float, least: int = 3) -> list[int]:
-    """First points of the segments of a Poisson series whose deviance, plus a penalty for each change, is smallest (exact dynamic programme)."""
+def _deviance(counts: np.ndarray, expected: np.ndarray) -> float:
+    some = counts > 0
+    logs = np.zeros(len(counts))
+    logs[some] = counts[some] * np.log(counts[some] / np.maximum(expected[some], 1e-300))
+    return float(2 * (logs - (counts - expected)).sum())
+
+
+def changes(counts: np.ndarray, exposures: np.ndarray, penalty: float, least: int = 3, phi: float = 1.0) -> list[int]:
+    """First points of the segments of a Poisson series whose deviance over the dispersion ``phi``, plus a penalty for each change, is
+    smallest (exact dynamic programme); of equal ones that with the earliest starts."""
     n = len(counts)
     c, e = np.concatenate(([0.0], np.cumsum(counts))), np.concatenate(([0.0], np.cumsum(exposures)))
 
     def cost(i: int, j: int) -> float:
         k, x = c[j] - c[i], e[j] - e[i]
-        return 0.0 if k <= 0 or x <= 0 else -2 * k * math.log(k / x)
+        return 0.0 if k <= 0 or x <= 0 else -2 * k * math.log(k / x) / phi
 
     best, last = [0.0] + [math.inf] * n, [0] * (n + 1)
     for j in range(least, n + 1):
@@ -101,6 +125,27 @@ def changes(counts: np.ndarray, exposures: np.ndarray, penalty: float, least: in
     return out[::-1]
 
 
+def levelled(counts: np.ndarray, exposures: np.ndarray, starts: list[int]) -> np.ndarray:
+    """Expected counts where each segment has the rate of its sums."""
+    edges = [0, *starts, len(counts)]
+    rate = np.concatenate([np.full(b - a, counts[a:b].sum() / max(exposures[a:b].sum(), 1e-300)) for a, b in zip(edges, edges[1:])]) if len(counts) else np.zeros(0)
+    return rate * exposures
+
+
+def over_dispersion(counts: np.ndarray, expected: np.ndarray, parameters: int) -> float:
+    """How much wider than Poisson a series scatters, 1 at least: the larger of two measures of its standardised residuals.
+
+    The median of their steps (a change of level touches one step only) is short of the mark in short series; the sum of squares over
+    the degrees of freedom isn't, but grows with levels that were missed.
+    """
+    some = expected > 0
+    z = (counts[some] - expected[some]) / np.sqrt(expected[some])
+    steps = np.diff(z)
+    by_steps = (1.4826 * float(np.median(np.abs(steps - np.median(steps))))) ** 2 / 2 if len(z) >= 3 else 1.0
+    free = len(z) - parameters
+    return max(1.0, by_steps, float((z * z).sum()) / free if free >= 1 else 1.0)
+
+
 def searched(value, start: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
     """(point, value) where a function of a few parameters is smallest: a simplex that is reflected, stretched or drawn in."""
     points = [start] + [start + step for step in np.diag(np.full(len(start), 0.5))]
@@ -205,31 +250,54 @@ def best_life(failures: np.ndarray, horizons: np.ndarray, left: np.ndarray) -> t
     return (other if p < 0.05 else plain), p
 
 
-def season_index(counts: np.ndarray, exposures: np.ndarray, season: np.ndarray, length: int) -> np.ndarray:
-    """Expected ratio of each season to the level: medians of the points' ratios to the median of a year around them, with mean 1."""
-    rate = counts / np.maximum(exposures, 1e-300)
-    half = length // 2
-    level = np.array([np.median(rate[max(0, k - half) : k + half + 1]) for k in range(len(rate))])
-    ratio = np.where(level > 0, rate / np.maximum(level, 1e-300), 1.0)
-    index = np.array([np.median(ratio[season == s]) if (season == s).any() else 1.0 for s in range(length)])
-    return np.maximum(index / max(index.mean(), 1e-300), 1e-6)
+def season_index(counts: np.ndarray, expected: np.ndarray, season: np.ndarray, length: int) -> np.ndarray:
+    """Ratio of each season to the level: medians of the logarithms of counts to what the level expects, with mean 0."""
+    ratio = np.log((counts + 0.5) / (expected + 0.5))
+    index = np.array([np.median(ratio[season == s]) if (season == s).any() else 0.0 for s in range(length)])
+    return np.exp(index - index.mean())
+
+
+def moving_level(counts: np.ndarray, exposures: np.ndarray, width: int) -> np.ndarray:
+    """Median rate of the ``width`` points around each; at the ends the frame is moved inwards."""
+    rate = np.divide(counts, exposures, out=np.zeros(len(counts)), where=exposures > 0)
+    width = min(width, len(rate))
+    first = np.clip(np.arange(len(rate)) - width // 2, 0, len(rate) - width)
+    return np.array([np.median(rate[a : a + width]) for a in first])
 
 
-def seasonal_changes(counts: np.ndarray, exposures: np.ndarray, season: np.ndarray, length: int, penalty: float, rounds: int = 10) -> tuple[list[int], np.ndarray]:
-    """(change points, season index): seasons and levels in turn, each with the other taken out, until the change points stay."""
-    index, found = season_index(counts, exposures, season, length) if len(counts) >= 2 * length else np.ones(length), None
+def _in_turn(counts: np.ndarray, exposures: np.ndarray, season: np.ndarray, index: np.ndarray, seasonal: bool, penalty: float, rounds: int) -> tuple[list[int], np.ndarray, float]:
+    """(starts, index, phi): dispersion, segments and seasons in turn, each with the others as they are, until the segments stay."""
+    starts: list[int] = []
+    before, phi = None, 1.0
     for _ in range(rounds):
-        now = changes(counts, exposures * index[season], penalty)
-        if now == found:
+        x = exposures * index[season]
+        phi = over_dispersion(counts, levelled(counts, x, starts), 1 + len(starts) + (len(index) - 1) * seasonal)
+        starts = changes(counts, x, penalty, phi=phi)
+        if seasonal:
+            index = season_index(counts, levelled(counts, x, starts) / index[season], season, len(index))
+        if starts == before:
             break
-        found = now
-        if len(counts) < 2 * length:
-            break
-        level = np.zeros(len(counts))
-        for a, b in zip([0, *now], [*now, len(counts)], strict=True):
-            level[a:b] = counts[a:b].sum() / max((exposures[a:b] * index[season[a:b]]).sum(), 1e-300)
-        index = season_index(counts, exposures * np.maximum(level, 1e-300), season, length)
-    return found or [], index
+        before = starts
+    return starts, index, phi
+
+
+def seasonal_changes(counts: np.ndarray, exposures: np.ndarray, season: np.ndarray, length: int, penalty: float, rounds: int = 10) -> tuple[list[int], np.ndarray, float]:
+    """(first points of the segments, season index, phi) of a Poisson series with seasons and over-dispersion.
+
+    The seasons begin from a moving level (good for a step within a year) and from one level for all (good for one at its edge); of the two
+    ends the one with the smaller penalised deviance counts, both measured by the larger dispersion. Series of less than two years have
+    no seasons.
+    """
+    if not len(counts) or length < 2 or len(counts) < 2 * length:
+        return _in_turn(counts, exposures, season, np.ones(max(length, 1)), False, penalty, rounds)
+    begins = (moving_level(counts, exposures, length + 1) * exposures, levelled(counts, exposures, []))
+    found = [_in_turn(counts, exposures, season, season_index(counts, level, season, length), True, penalty, rounds) for level in begins]
+    phi = max(f[2] for f in found)
+
+    def objective(one: tuple[list[int], np.ndarray, float]) -> float:
+        return _deviance(counts, levelled(counts, exposures * one[1][season], one[0])) / phi + penalty * len(one[0])
+
+    return min(found, key=objective)
 
 
 def linked_groups(shapes: np.ndarray, most: int = 10) -> tuple[np.ndarray, float]:

@@ -261,3 +261,25 @@ def _(t):
 @question("path_group", "SELECT n_name AS value, count(DISTINCT l_partkey) AS n FROM (SELECT p_partkey AS l_partkey, n_name FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1")
 def _(t):
     return t.schema.grouped("part", "in.lines.ref.o_custkey.ref.c_nationkey.n_name")
+
+
+@question("path_inverse", "SELECT c_custkey AS key, coalesce(list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderpriority IS NOT NULL)), []) AS priorities, coalesce(list_sort(list(DISTINCT o_orderstatus) FILTER (o_orderstatus IS NOT NULL)), []) AS states FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(t):
+    # all orders that refer to a customer, without a relation of that name; both lists are gathered from one join
+    return t.schema.with_columns("customer", {"priorities": "in.order:o_custkey.o_orderpriority", "states": "in.order:o_custkey.o_orderstatus"})
+
+
+@question("path_inverse_condition", "SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000)")
+def _(t):
+    return t.schema.where("nation", "in.customer:c_nationkey.in.order:o_custkey.o_totalprice", lambda v: v > 300000).select("n_nationkey")
+
+
+@question("path_inverse_group", "SELECT value, count(*) AS n FROM (SELECT DISTINCT r_regionkey, c_mktsegment AS value FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey) GROUP BY 1")
+def _(t):
+    return t.schema.grouped("region", "in.nation:n_regionkey.in.customer:c_nationkey.c_mktsegment")
+
+
+@question("path_shared_lists", "SELECT o_orderkey AS key, n_name AS nation, coalesce(brands, []) AS brands, coalesce(types, []) AS types, coalesce(parts, []) AS parts, coalesce(qty, []) AS qty FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT l_orderkey, list_sort(list(DISTINCT p_brand) FILTER (p_brand IS NOT NULL)) AS brands, list_sort(list(DISTINCT p_type) FILTER (p_type IS NOT NULL)) AS types, list_sort(list(DISTINCT l_partkey)) AS parts, list_sort(list(DISTINCT l_quantity)) AS qty FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_orderkey = o_orderkey")
+def _(t):
+    # four lists behind one relation: its rows are joined once, and its target once
+    return t.schema.with_columns("order", {"nation": "ref.o_custkey.ref.c_nationkey.n_name", "brands": "out.lines.p_brand", "types": "out.lines.p_type", "parts": "out.lines", "qty": "out.lines~l_quantity"})

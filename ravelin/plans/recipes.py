@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ravelin import extensions
 from ravelin.functions.scalars import age, bucket, is_closed
-from ravelin.operators import metrics, numeric, statistics
+from ravelin.operators import lives, metrics, numeric, statistics
 from ravelin.operators.ordered import with_totals
 from ravelin.plans.registry import RECORDS, question
 
@@ -53,7 +53,7 @@ def _(t):
     return by_supplier(t).agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"), F.round(F.sum("hits") / F.sum("total"), 6).alias("rate"))
 
 
-@question("stat_concentration", f"WITH s AS (SELECT l_suppkey, hits / sum(hits) OVER () AS s, row_number() OVER (ORDER BY hits, l_suppkey) AS i, count(*) OVER () AS n FROM {_BY}) SELECT round(sum(s * s), 6) AS hhi, round(sum((2 * i - n - 1) * s) / max(n), 6) AS gini, round(sum(CASE WHEN i > n - 4 THEN s ELSE 0 END), 6) AS cr4, round(1 / sum(s * s), 6) AS effective FROM s")
+@question("stat_concentration", f"WITH s AS (SELECT l_suppkey, hits / sum(hits) OVER () AS s, row_number() OVER (ORDER BY hits, l_suppkey) AS i, count(*) OVER () AS n FROM {_BY}) SELECT round(sum(s * s), 6) AS hhi, round(sum((2 * i - n - 1) * s) / max(n), 6) AS gini, round(sum(s) FILTER (i > n - 1), 6) AS cr1, round(sum(s) FILTER (i > n - 3), 6) AS cr3, round(sum(s) FILTER (i > n - 5), 6) AS cr5, round(sum(s) FILTER (i > n - 10), 6) AS cr10, round(1 / sum(s * s), 6) AS effective FROM s")
 def _(t):
     return statistics.concentration(by_supplier(t), "l_suppkey", "hits")
 
@@ -80,11 +80,34 @@ question("stat_control_c", f"SELECT * FROM {_chart_sql('sum(hits) / sum(n)', '1.
 question("stat_control_p", f"SELECT * FROM {_chart_sql('sum(hits) / sum(n)', 'total', 'center * (1 - center)', 'least(center + 3 * sigma * sz, 1.0)', 'true')}")(lambda t: statistics.chart(by_month(t), "m", "hits", "total", "p"))
 
 
-@question("win_nelson", f"WITH r AS (SELECT m, z, (rate > lag(rate) OVER (ORDER BY m))::INT AS up, (rate < lag(rate) OVER (ORDER BY m))::INT AS down FROM {_U}) SELECT m, z, abs(z) > 3 AS beyond, count(z) OVER nine = 9 AND (min(z) OVER nine > 0 OR max(z) OVER nine < 0) AS same_side, count(z) OVER six = 6 AND (sum(up) OVER five = 5 OR sum(down) OVER five = 5) AS trend, count(z) OVER three = 3 AND ((sum((z > 2)::INT) OVER three >= 2 AND z > 2) OR (sum((z < -2)::INT) OVER three >= 2 AND z < -2)) AS two_of_three FROM r WINDOW nine AS (ORDER BY m ROWS 8 PRECEDING), six AS (ORDER BY m ROWS 5 PRECEDING), five AS (ORDER BY m ROWS 4 PRECEDING), three AS (ORDER BY m ROWS 2 PRECEDING)")
+_FRAMES = "WINDOW nine AS (ORDER BY m ROWS 8 PRECEDING), six AS (ORDER BY m ROWS 5 PRECEDING), five AS (ORDER BY m ROWS 4 PRECEDING), three AS (ORDER BY m ROWS 2 PRECEDING)"
+
+
+def _nelson_sql(points: str) -> str:
+    found = f"SELECT m, abs(z) > 3 AS beyond, count(z) OVER nine = 9 AND (min(z) OVER nine > 0 OR max(z) OVER nine < 0) AS same_side, count(z) OVER six = 6 AND (sum(up) OVER five = 5 OR sum(down) OVER five = 5) AS trend, count(z) OVER three = 3 AND ((sum((z > 2)::INT) OVER three >= 2 AND z > 2) OR (sum((z < -2)::INT) OVER three >= 2 AND z < -2)) AS two_of_three FROM (SELECT m, z, (rate > lag(rate) OVER (ORDER BY m))::INT AS up, (rate < lag(rate) OVER (ORDER BY m))::INT AS down FROM {points} WHERE z IS NOT NULL AND rate IS NOT NULL) {_FRAMES}"
+    flags = ", ".join(f"coalesce({n}, false) AS {n}" for n in ("beyond", "same_side", "trend", "two_of_three"))
+    return f"SELECT m, z, {flags} FROM {points} LEFT JOIN ({found}) USING (m)"
+
+
+@question("win_nelson", _nelson_sql(_U))
 def _(t):
     return statistics.runs(statistics.chart(by_month(t), "m", "hits", "total"), "m", "z", "rate")
 
 
+_OPEN = "(month(m) = 5 OR m >= DATE '2001-01-01')"
+_U_OPEN = _chart_sql("sum(hits) / sum(n)", "total", "center", "center + 3 * sigma * sz", f"NOT {_OPEN}")
+_WITH_OPEN = f"(SELECT m, rate, center, sigma_z, CASE WHEN NOT {_OPEN} THEN z END AS z, CASE WHEN NOT {_OPEN} THEN low END AS low, CASE WHEN NOT {_OPEN} THEN high END AS high, NOT {_OPEN} AND out AS out FROM {_U_OPEN})"
+
+
+def _with_open(t):
+    return statistics.chart(by_month(t), "m", "hits", "total", open_=F.expr("month(m) = 5 or m >= date'2001-01-01'"))
+
+
+# every May and the last year are open: they are shown, and take part in nothing
+question("stat_control_open", f"SELECT * FROM {_WITH_OPEN}")(_with_open)
+question("win_nelson_open", _nelson_sql(_WITH_OPEN))(lambda t: statistics.runs(_with_open(t), "m", "z", "rate"))
+
+
 @question("stat_collapse", f"SELECT age, count(*) AS units, count(*) FILTER (l_returnflag = 'R') AS hits FROM {RECORDS} x WHERE age >= 0 GROUP BY 1")
 def _(t):
     return t.records.where("age >= 0").groupBy("age").agg(F.count("*").alias("units"), F.count_if(c("l_returnflag") == "R").alias("hits"))
@@ -116,17 +139,52 @@ def life_table(t):
     return by.select("age", "failed", (all_ - gone - c("ended")).alias("at_risk"))
 
 
-@question("stat_actuarial", f"WITH r AS (SELECT age, failed, (sum(failed + ended) OVER () - coalesce(sum(failed + ended) OVER (ORDER BY age ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - ended)::BIGINT AS at_risk FROM {_LIFE}) SELECT age, failed, at_risk, round(1 - exp(sum(ln(1 - failed / at_risk)) OVER (ORDER BY age ROWS UNBOUNDED PRECEDING)), 6) AS share FROM r WHERE at_risk > failed")
+@question("stat_actuarial", f"WITH r AS (SELECT age, failed, (sum(failed + ended) OVER () - coalesce(sum(failed + ended) OVER (ORDER BY age ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - ended)::BIGINT AS at_risk FROM {_LIFE}), s AS (SELECT *, sum(ln(1 - failed / at_risk)) OVER (ORDER BY age ROWS UNBOUNDED PRECEDING) AS l, sum(failed / (at_risk * (at_risk - failed)::DOUBLE)) OVER (ORDER BY age ROWS UNBOUNDED PRECEDING) AS g FROM r WHERE at_risk > failed) SELECT age, failed, at_risk, round(1 - exp(l), 6) AS share, round(CASE WHEN l < 0 THEN 1 - exp(l * exp(-1.959963984540054 * sqrt(g) / -l)) ELSE 0.0 END, 6) AS low, round(CASE WHEN l < 0 THEN 1 - exp(l * exp(1.959963984540054 * sqrt(g) / -l)) ELSE 0.0 END, 6) AS high FROM s")
 def _(t):
-    upto = Window.orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
-    return life_table(t).where("at_risk > failed").withColumn("share", F.round(1 - F.exp(F.sum(F.log(1 - c("failed") / c("at_risk"))).over(upto)), 6))
+    return lives.survived(life_table(t)).withColumns({n: F.round(n, 6) for n in ("share", "low", "high")})
+
+
+#: Odd parts are the new line, even ones its predecessor.
+_NEW, _OLD = "l_partkey % 2 = 1", "l_partkey % 2 = 0"
+
+
+def _exposed(which: str, keys: str = "") -> str:
+    """SQL of the exposure matrix of a line: units and hits of each cohort at each age it was seen at."""
+    k = keys + ", " if keys else ""
+    units = f"(SELECT {k}cohort, count(*) AS units, (year(e) - year(cohort)) * 12 + month(e) - month(cohort) AS horizon FROM {RECORDS} x, (SELECT max(date_trunc('month', l_shipdate)) AS e FROM lineitem) WHERE {which} GROUP BY {k}cohort, e)"
+    return f"(SELECT {k}cohort, age, units, coalesce(hits, 0) AS hits FROM (SELECT *, unnest(range(0, horizon + 1))::INT AS age FROM {units}) LEFT JOIN (SELECT {k}cohort, age, count(*) AS hits FROM {RECORDS} x WHERE {which} AND l_returnflag = 'R' AND age >= 0 GROUP BY ALL) USING ({k}cohort, age))"
 
 
-@question("stat_ratio", f"SELECT m, round(hits / nullif(lag(hits) OVER (ORDER BY m), 0), 6) AS ratio, round(1.96 * sqrt(1 / nullif(hits, 0) + 1 / nullif(lag(hits) OVER (ORDER BY m), 0)), 6) AS half FROM {_MONTHS}")
+def _standard(keys: str = "", shared: str = "") -> str:
+    """SQL, as the begin of a WITH: matrices t (new) and o (old), rates r of the old line, and phi of its cohorts; ``shared`` keys are those of
+    the rates, too."""
+    k = shared + ", " if shared else ""
+    phi = f"SELECT {k}CASE WHEN count(*) >= 5 THEN greatest(1.0, sum((o - e) ** 2 / e) / nullif(count(*) - 1, 0)) ELSE 1.0 END AS phi FROM (SELECT {k}cohort, sum(hits) AS o, sum(units * rate) AS e FROM o JOIN r USING ({k}age) GROUP BY {k}cohort) WHERE e > 0" + (f" GROUP BY {shared}" if shared else "")
+    return f"WITH t AS MATERIALIZED {_exposed(_NEW, keys)}, o AS MATERIALIZED {_exposed(_OLD, shared)}, r AS MATERIALIZED (SELECT {k}age, sum(hits) / sum(units) AS rate, sum(hits) AS records, sum(units) AS at_age FROM o GROUP BY {k}age), f AS ({phi})"
+
+
+def standard(t, keys=(), shared=()):
+    """(matrix of the new line, rates of the old one, phi of its cohorts)"""
+    end, hit = t.lineitem.agg(F.max(bucket(c("l_shipdate"), "month"))), c("l_returnflag") == "R"
+    old = lives.exposures(t.records.where(_OLD), end, hit, list(shared))
+    by_age = lives.rates(old, list(shared))
+    return lives.exposures(t.records.where(_NEW), end, hit, list(keys)), by_age, lives.dispersion(old, by_age, list(shared))
+
+
+_WIDE = "1.959963984540054 * sqrt(phi * (1.0 / nullif(o, 0) + v / (e * e)))"
+
+
+@question("stat_ratio", f"{_standard('l_suppkey')}, a AS (SELECT l_suppkey, age, sum(hits) AS o, sum(units) AS w, any_value(rate) AS rate, any_value(records) AS records, any_value(at_age) AS at_age FROM t JOIN r USING (age) GROUP BY 1, 2), s AS (SELECT l_suppkey, sum(o) AS o, sum(w * rate) AS e, sum((w / at_age) ** 2 * records) AS v FROM a GROUP BY 1) SELECT l_suppkey, o::BIGINT AS o, round(e, 6) AS e, round(o / e, 6) AS ratio, round(CASE WHEN o > 0 THEN o / e * exp(-{_WIDE}) ELSE 0.0 END, 6) AS low, round(CASE WHEN o > 0 THEN o / e * exp({_WIDE}) ELSE -ln(0.025) / e * exp(1.959963984540054 * sqrt(phi * v / (e * e))) * sqrt(phi) END, 6) AS high FROM s, f WHERE e > 0")
 def _(t):
-    before = F.nullif(F.lag("hits").over(Window.orderBy("m")), F.lit(0))
-    hits = F.nullif(c("hits"), F.lit(0))
-    return by_month(t).select("m", F.round(c("hits") / before, 6).alias("ratio"), F.round(1.96 * F.sqrt(1 / hits + 1 / before), 6).alias("half"))
+    """Returns of each supplier's new parts over what the old line's rates by age expect, with an interval by the delta method."""
+    new, by_age, phi = standard(t, ["l_suppkey"])
+    return lives.compared(new, by_age, phi, ["l_suppkey"]).where("e > 0").select("l_suppkey", "o", *[F.round(n, 6).alias(n) for n in ("e", "ratio", "low", "high")])
+
+
+@question("stat_ratio_all", f"{_standard()}, a AS (SELECT age, sum(hits) AS o, sum(units) AS w, any_value(rate) AS rate, any_value(records) AS records, any_value(at_age) AS at_age FROM t JOIN r USING (age) GROUP BY 1), s AS (SELECT sum(o) AS o, sum(w * rate) AS e, sum((w / at_age) ** 2 * records) AS v FROM a) SELECT o::BIGINT AS o, round(e, 4) AS e, round(phi, 6) AS phi, round(o / e * exp(-{_WIDE}), 6) AS low, round(o / e * exp({_WIDE}), 6) AS high FROM s, f")
+def _(t):
+    new, by_age, phi = standard(t)
+    return lives.compared(new, by_age, phi, []).crossJoin(F.broadcast(phi)).select("o", F.round("e", 4).alias("e"), *[F.round(n, 6).alias(n) for n in ("phi", "low", "high")])
 
 
 _POOLED = f"SELECT *, hits / total AS rate, sum(hits) OVER () / sum(total) OVER () AS pooled, sum(total) OVER () AS n, sum(total * total) OVER () AS n2, count(*) OVER () AS k FROM {_BY}"
@@ -136,9 +194,9 @@ _TAU = f"(SELECT *, greatest(0.0, (sum(total * (rate - pooled) ** 2) OVER () - (
 def compared(t):
     """Suppliers with the pooled rate, the spread between them and the exact two-sided p of each."""
     own = with_totals(by_supplier(t), all_hits=F.sum("hits"), n=F.sum("total"), n2=F.sum(c("total") * c("total")), k=F.count("*"))
-    own = own.withColumns({"pooled": c("all_hits") / c("n"), "rate": c("hits") / c("total")})
-    own = with_totals(own, spread=F.sum(c("total") * F.pow(c("rate") - c("pooled"), F.lit(2))), chi2=F.sum(F.pow(c("hits") - c("total") * c("pooled"), F.lit(2)) / (c("total") * c("pooled"))))
-    return own.withColumn("tau2", F.greatest(F.lit(0.0), (c("spread") - (c("k") - 1) * c("pooled")) / (c("n") - c("n2") / c("n"))))
+    own = own.withColumns({"pooled": F.try_divide("all_hits", "n"), "rate": F.try_divide("hits", "total")})
+    own = with_totals(own, spread=F.sum(c("total") * F.pow(c("rate") - c("pooled"), F.lit(2))), chi2=F.sum(F.try_divide(F.pow(c("hits") - c("total") * c("pooled"), F.lit(2)), c("total") * c("pooled"))))
+    return own.withColumn("tau2", F.greatest(F.lit(0.0), F.try_divide(c("spread") - (c("k") - 1) * c("pooled"), c("n") - F.try_divide("n2", "n"))))
 
 
 @question("stat_groups", f"SELECT l_suppkey, round(rate, 6) AS rate, round(pooled, 6) AS pooled, round(chi2, 4) AS chi2, round(tau2, 10) AS tau2, round(CASE WHEN tau2 > 0 THEN (hits + pooled * pooled / tau2) / (total + pooled / tau2) ELSE pooled END, 6) AS shrunk, round(CASE WHEN tau2 > 0 THEN pooled / tau2 / (total + pooled / tau2) ELSE 1.0 END, 6) AS shrinkage FROM {_TAU}")
@@ -168,12 +226,12 @@ def _sides(t):
 def _cut(t):
     """One row: counts before and after a day, their ratio, and the over-dispersion of the periods around the rates of their sides."""
     own = _sides(t)
-    rate = own.groupBy("after").agg((F.sum("hits") / F.sum("total")).alias("rate"))
-    spread = F.sum(F.pow(c("hits") - c("total") * c("rate"), F.lit(2)) / (c("total") * c("rate")))
+    rate = own.groupBy("after").agg(F.try_divide(F.sum("hits"), F.sum("total")).alias("rate"))
+    spread = F.sum(F.try_divide(F.pow(c("hits") - c("total") * c("rate"), F.lit(2)), c("total") * c("rate")))
     one = lambda column, after: F.sum(F.when(c("after") == after, c(column)).otherwise(0))
     got = own.join(F.broadcast(rate), "after").agg(one("hits", False).alias("c0"), one("total", False).alias("n0"), one("hits", True).alias("c1"), one("total", True).alias("n1"), spread.alias("chi2"), (F.count("*") - 2).alias("df"))
     phi = F.when(c("df") < 3, 1.0).otherwise(F.greatest(F.lit(1.0), c("chi2") / c("df")))
-    return got.withColumns({"phi": phi, "ratio": (c("c1") / c("n1")) / (c("c0") / c("n0"))})
+    return got.withColumns({"phi": phi, "ratio": F.try_divide(F.try_divide("c1", "n1"), F.try_divide("c0", "n0"))})
 
 
 @question("stat_cutin", f"WITH r AS (SELECT after, sum(hits) / sum(total) AS rate FROM {_SIDES} GROUP BY 1), x AS (SELECT sum((hits - total * rate) ** 2 / (total * rate)) AS chi2, count(*) - 2 AS df, sum(CASE WHEN after THEN 0 ELSE hits END)::BIGINT AS c0, sum(CASE WHEN after THEN 0 ELSE total END)::BIGINT AS n0, sum(CASE WHEN after THEN hits ELSE 0 END)::BIGINT AS c1, sum(CASE WHEN after THEN total ELSE 0 END)::BIGINT AS n1 FROM {_SIDES} JOIN r USING (after)) SELECT c0, n0, c1, n1, round(CASE WHEN df < 3 THEN 1.0 ELSE greatest(1.0, chi2 / df) END, 6) AS phi, round((c1 / n1) / (c0 / n0), 6) AS ratio FROM x")
@@ -295,39 +353,44 @@ def _(t):
 _RHO, _ALPHA, _BETA = 1.5, 0.05, 0.10
 
 
-def walked(rows, split: list[str], k=None):
-    """(split, m, llr, state): running likelihood ratio and the state that the first crossed boundary fixes; ``k`` tests share alpha."""
-    order = Window.partitionBy(*split).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumn("llr", F.sum(c("hits") * math.log(_RHO) - c("total") * c("p") * (_RHO - 1)).over(order))
-    alpha = F.lit(_ALPHA) / (k if k is not None else F.lit(1))
-    side = F.when(c("llr") >= F.log((1 - _BETA) / alpha), "worse").when(c("llr") <= F.log(_BETA / (1 - alpha)), "not_worse")
-    own = own.withColumn("side", side)
-    return own.select(*split, "m", F.round("llr", 4).alias("llr"), F.coalesce(F.first("side", ignorenulls=True).over(order), F.lit("continue")).alias("state"))
+def _walked_sql(keys: str, alpha: str) -> str:
+    """SQL of the sequential test over the periods of the new line."""
+    k, by = (keys + ", ", f"PARTITION BY {keys} ") if keys else ("", "")
+    join = f"JOIN f USING ({keys})" if keys else ", f"
+    periods = f"(SELECT {k}period, o, e, phi, n FROM (SELECT {k}(cohort + to_months(age))::DATE AS period, sum(hits)::BIGINT AS o, sum(units * rate) AS e FROM t JOIN r USING ({k}age) GROUP BY ALL) {join}, (SELECT count(*) AS n FROM f))"
+    sums = f"(SELECT {k}period, sum(o) OVER w AS o, sum(e) OVER w AS e, phi, n FROM {periods} WINDOW w AS ({by}ORDER BY period ROWS UNBOUNDED PRECEDING))"
+    ratio = f"(SELECT *, (o * ln(1.5) - e * 0.5) / greatest(phi, 1.0) AS llr FROM {sums})"
+    side = f"(SELECT *, CASE WHEN llr >= ln(0.9 / ({alpha})) THEN 'worse' WHEN llr <= ln(0.1 / (1 - ({alpha}))) THEN 'not_worse' END AS side FROM {ratio})"
+    return f"{_standard(keys, keys)} SELECT {k}period, o::BIGINT AS o, round(e, 6) AS e, round(llr, 4) AS llr, coalesce(first_value(side IGNORE NULLS) OVER ({by}ORDER BY period ROWS UNBOUNDED PRECEDING), 'continue') AS state FROM {side}"
 
 
-def _walked_sql(rows: str, split: str, alpha: str) -> str:
-    by = f"PARTITION BY {split} " if split else ""
-    return f"SELECT {split + ', ' if split else ''}m, round(llr, 4) AS llr, coalesce(first_value(side IGNORE NULLS) OVER ({by}ORDER BY m ROWS UNBOUNDED PRECEDING), 'continue') AS state FROM (SELECT *, CASE WHEN llr >= ln(0.9 / ({alpha})) THEN 'worse' WHEN llr <= ln(0.1 / (1 - ({alpha}))) THEN 'not_worse' END AS side FROM (SELECT *, sum(hits * ln(1.5) - total * p * 0.5) OVER ({by}ORDER BY m ROWS UNBOUNDED PRECEDING) AS llr FROM {rows}))"
+@question("stat_sprt", _walked_sql("", "0.05"))
+def _(t):
+    """Is the new line worse than its predecessor? Counts against the old line's rates by age, month by month."""
+    new, by_age, phi = standard(t)
+    series = lives.expected(new, by_age, [], []).crossJoin(F.broadcast(phi))
+    return lives.walked(series, [], _RHO, F.lit(_ALPHA), _BETA).select("period", "o", F.round("e", 6).alias("e"), F.round("llr", 4).alias("llr"), "state")
 
 
-@question("stat_sprt", _walked_sql(f"(SELECT m, hits, total, sum(hits) OVER () / sum(total) OVER () AS p FROM {_MONTHS})", "", "0.05"))
+@question("stat_sprt_phi", f"{_standard()} SELECT round(phi, 6) AS phi FROM f")
 def _(t):
-    # one series, bounded by the calendar
-    return walked(with_totals(by_month(t), p=F.sum("hits") / F.sum("total")), [])
+    return standard(t)[2].select(F.round("phi", 6).alias("phi"))
 
 
 @question("stat_changes_scan")
 def _(t):
-    """Change points of the monthly returns of each supplier; one series is one small group."""
+    """Change points of the monthly returns of each supplier, harder to make the more suppliers are scanned; one series is one small group."""
     by = t.lineitem.groupBy("l_suppkey", bucket(c("l_shipdate"), "month").alias("m")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
 
     def scan(frame):
         import pandas as pd
 
         frame = frame.sort_values("m")
-        at = statistics.changes(frame.hits.to_numpy(float), frame.total.to_numpy(float), 2 * math.log(100))
+        penalty = 3 * math.log(max(len(frame), 2)) + 2 * math.log(max(frame.k.iloc[0], 1))
+        at, _, _ = statistics.seasonal_changes(frame.hits.to_numpy(float), frame.total.to_numpy(float), pd.to_datetime(frame.m).dt.month.to_numpy() - 1, 12, penalty)
         return pd.DataFrame({"l_suppkey": pd.Series([frame.l_suppkey.iloc[0]] * len(at), dtype="int64"), "m": pd.Series([frame.m.iloc[k] for k in at], dtype="object")})
 
+    by = with_totals(by, k=F.count_distinct("l_suppkey"))
     return by.groupBy("l_suppkey").applyInPandas(scan, "l_suppkey long, m date")
 
 
@@ -351,12 +414,12 @@ def _(t):
         whole = pd.concat(frames).sort_values("m")
         hits, total = whole.hits.to_numpy(float), whole.total.to_numpy(float)
         season = pd.to_datetime(whole.m).dt.month.to_numpy() - 1
-        at, index = statistics.seasonal_changes(hits, total, season, 12, 3 * math.log(max(len(whole), 2)))
+        at, index, phi = statistics.seasonal_changes(hits, total, season, 12, 3 * math.log(max(len(whole), 2)))
         first = [0, *at]
         level = [hits[a:b].sum() / max((total * index[season])[a:b].sum(), 1e-300) for a, b in zip(first, [*at, len(whole)], strict=True)]
-        yield pd.DataFrame({"m": whole.m.iloc[first].to_list(), "level": [round(x, 6) for x in level]})
+        yield pd.DataFrame({"m": whole.m.iloc[first].to_list(), "level": [round(x, 6) for x in level], "phi": round(phi, 6)})
 
-    return by_month(t).coalesce(1).mapInPandas(scan, "m date, level double")
+    return by_month(t).coalesce(1).mapInPandas(scan, "m date, level double, phi double")
 
 
 def by_cohort(t):
@@ -436,14 +499,14 @@ def _(t):
     return by_cohort(t).coalesce(1).mapInPandas(ahead, "kind string, step long, expected double, low double, high double, actual double")
 
 
-_SCANNED = "(SELECT x.*, p, k FROM (SELECT l_suppkey, date_trunc('month', l_shipdate)::DATE AS m, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS total FROM lineitem GROUP BY 1, 2) x, (SELECT count(*) FILTER (l_returnflag = 'R') / count(*) AS p, count(DISTINCT l_suppkey) AS k FROM lineitem))"
-
-
-@question("stat_sprt_scan", f"SELECT l_suppkey, arg_max(state, m) AS state, arg_max(llr, m) AS llr FROM ({_walked_sql(_SCANNED, 'l_suppkey', '0.05 / k')}) GROUP BY 1")
+@question("stat_sprt_scan", f"SELECT l_suppkey, arg_max(state, period) AS state, arg_max(llr, period) AS llr FROM ({_walked_sql('l_suppkey', '0.05 / n')}) GROUP BY 1")
 def _(t):
-    by = t.lineitem.groupBy("l_suppkey", bucket(c("l_shipdate"), "month").alias("m")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
-    own = walked(with_totals(by, p=F.sum("hits") / F.sum("total"), k=F.count_distinct("l_suppkey")), ["l_suppkey"], c("k"))
-    return own.groupBy("l_suppkey").agg(F.max_by("state", "m").alias("state"), F.max_by("llr", "m").alias("llr"))
+    """The same for each supplier against its own predecessor, the error shared among them."""
+    key = ["l_suppkey"]
+    new, by_age, phi = standard(t, key, key)
+    tests = with_totals(phi, n=F.count("*"))
+    own = lives.walked(lives.expected(new, by_age, key, key).join(tests, "l_suppkey").withColumn("a", F.lit(_ALPHA) / c("n")), key, _RHO, c("a"), _BETA)
+    return own.groupBy("l_suppkey").agg(F.max_by("state", "period").alias("state"), F.round(F.max_by("llr", "period"), 4).alias("llr"))
 
 
 @question("stat_ca")

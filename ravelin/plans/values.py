@@ -199,7 +199,7 @@ def _(t):
 def _(t):
     """Sections of every whole document under the headings of its text, with those of a heading made from its language in front."""
     body = F.concat(F.lit("# "), F.coalesce("lang", F.lit("none")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return t.documents.select("doc_id", F.posexplode(keys.sections(body)).alias("place", "s")).select("doc_id", "place", "s.*")
+    return keys.sections(t.documents.select("doc_id", body.alias("body")), "doc_id", "body")
 
 
 @question("fn_level", "SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'high' WHEN p_size >= 20 THEN 'middle' ELSE 'low' END AS level FROM part")
