@@ -41,6 +41,35 @@ def key_match(asked: DataFrame, ident: str, text: str, keys: DataFrame, key: str
     return ladder(asked, ident, rungs, "found")
 
 
+def _fronts(text: Column) -> Column:
+    """The first three letters of a text, or all of a shorter one."""
+    return F.substring(text, 1, 3)
+
+
+def containing(asked: DataFrame, ident: str, text: str, labels: DataFrame, label: str) -> DataFrame:
+    """(ident, label): distinct labels that contain a text. What begins a text stands somewhere in such a label, so pairs come from equal
+    pieces of one to three letters."""
+    some = F.flatten(F.transform(F.sequence(F.lit(1), F.length(label)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(F.col(label), i, n))))
+    own = labels.select(label).where(F.length(label) > 0).distinct().select(label, F.explode(F.array_distinct(some)).alias("_k"))
+    want = asked.select(ident, F.col(text).alias("_t")).where("_t <> ''").withColumn("_k", _fronts(F.col("_t")))
+    return own.join(want, "_k").where(F.contains(F.col(label), F.col("_t"))).select(ident, label)
+
+
+def _thinned(text: Column) -> Column:
+    """The text, and it without any one or two of its letters."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1, F.length(x))))
+    one = without(text)
+    return F.array_distinct(F.concat(F.array(text), one, F.flatten(F.transform(one, without))))
+
+
+def misspelled(asked: DataFrame, ident: str, text: str, labels: DataFrame, label: str) -> DataFrame:
+    """(ident, label): distinct labels within two edits of a text. Two texts so near meet when two letters at most are left out of each, so
+    pairs come from equal thinned texts."""
+    own = labels.select(label).where(F.col(label).isNotNull()).distinct().select(label, F.explode(_thinned(F.col(label))).alias("_k"))
+    want = asked.select(ident, F.col(text).alias("_t")).where("_t is not null").select(ident, "_t", F.explode(_thinned(F.col("_t"))).alias("_k"))
+    return own.join(want, "_k").where(F.levenshtein(F.col(label), F.col("_t")) <= 2).select(ident, label).distinct()
+
+
 def word_similarity(asked: Column, ordered: Column) -> Column:
     """The best similarity of a set of pieces with the pieces of a run of ``ordered``: shared ones over those of either.
 

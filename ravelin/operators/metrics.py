@@ -168,22 +168,3 @@ def nested_counts(records: DataFrame, ident: str, keys: list[str], eighths: tupl
     own = records.select(*keys, part.alias("_h")).groupBy(*keys).agg(*[F.count_if(F.col("_h") < 2 * e).alias(f"_{e}") for e in eighths])
     sums = [F.struct(F.lit(e).alias("eighths"), F.sum(f"_{e}").alias("rows"), F.count_if(F.col(f"_{e}") > 0).alias("combos"), F.count_if(F.col(f"_{e}") == 1).alias("once"), F.count_if(F.col(f"_{e}") == 2).alias("twice")).alias(f"s{e}") for e in eighths]
     return own.agg(*sums).select(F.explode(F.array(*[f"s{e}" for e in eighths])).alias("s")).select("s.*")
-
-
-def grown_combos(points: list[tuple[int, int]], total: int) -> int:
-    """Combinations of ``total`` rows by the growth through samples (rows, combos): a straight line of logarithms, never steeper than the rows."""
-    known = [(math.log(r), math.log(k)) for r, k in points if r > 0 and k > 0]
-    if not known:
-        return 0
-    rows, combos = max(points)
-    if total <= rows:
-        return combos
-    mx, my = (sum(p[i] for p in known) / len(known) for i in (0, 1))
-    spread = sum((x - mx) ** 2 for x, _ in known)
-    slope = sum((x - mx) * (y - my) for x, y in known) / spread if spread > 0 else 1.0
-    return min(total, math.ceil(combos * (total / rows) ** min(max(slope, 0.0), 1.0)))
-
-
-def closed_until(watermark: Column, settle_days: int, grain: str) -> Column:
-    """First day of the period that is still open."""
-    return bucket(F.date_sub(watermark, settle_days), grain)

@@ -7,11 +7,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.functions.scalars import TRUE_WORDS, free_datetime, guarded_date, mask, missing
+from ravelin.functions.scalars import free_datetime, guarded_date, mask, missing
 
 #: Options of a choice field at most, their share of the values at most, rows that a table must have for one, and letters of a short text.
-MOST_OPTIONS, MOST_SHARE, LEAST_ROWS, LONG_TEXT = 20, 0.5, 20, 200
-FALSE_WORDS = ("false", "f", "no", "n", "0", "off")
+MOST_OPTIONS, MOST_SHARE, LEAST_ROWS, LONG_TEXT = 12, 0.3, 20, 200
+#: Words by which a column is taken for yes or no. They are fewer than those that a value may be read by: a column of 0 and 1
+#: is one of numbers.
+YES_NO = ("true", "yes", "y", "예", "참", "false", "no", "n", "아니오", "거짓")
 
 
 def text_of(rows: DataFrame, name: str) -> Column:
@@ -20,28 +22,33 @@ def text_of(rows: DataFrame, name: str) -> Column:
 
 
 def kinds(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, kind, filled, blank, distinct, decimals): the narrowest kind that all values of a column fit, in one pass over the rows.
+    """(column, kind, filled, blank, distinct, decimals): the narrowest kind that all values of a column fit.
 
-    bool, number, date, datetime, url, enum (few options that repeat), long text, else text; a column without a value is text.
+    bool, number, date, datetime, url, enum (few options that repeat), long text, else text; a column without a value is text. Values are
+    counted by column first, so patterns are tried once for each distinct value.
     """
     columns = columns or rows.columns
-    sums = [F.count("*").alias("_n")]
-    for k, name in enumerate(columns):
-        v = F.when(~missing(text_of(rows, name)), text_of(rows, name))
-        low = F.lower(F.trim(v))
-        number = v.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})*([.][0-9]+)?$") | v.rlike(r"^-?[0-9]+([.][0-9]+)?$") | v.rlike(r"^-?[0-9]+([.][0-9]+)?E-?[0-9]+$")
-        day = v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & guarded_date(v).isNotNull()
-        fits = {"bool": low.isin(*TRUE_WORDS, *FALSE_WORDS), "number": number, "date": day, "datetime": free_datetime(v).isNotNull(), "url": v.rlike("^https?://")}
-        one = [F.count(v).alias("filled"), F.count_distinct(v).alias("distinct"), F.max(F.length(v)).alias("longest"), F.max(F.length(F.regexp_extract(v, r"[.]([0-9]+)$", 1))).alias("decimals")]
-        one += [F.count_if(F.coalesce(f, F.lit(False))).alias(n) for n, f in fits.items()]
-        sums.append(F.struct(F.lit(name).alias("column"), *one).alias(f"_{k}"))
-    one = rows.agg(*sums).select("_n", F.explode(F.array(*[F.col(f"_{k}") for k in range(len(columns))])).alias("c")).select("_n", "c.*")
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(name).alias("column"), F.trim(text_of(rows, name)).alias("v")) for name in columns])).alias("c")).select("c.*")
+    values = cells.select("column", F.when(~missing(F.col("v")), F.col("v")).alias("v")).groupBy("column", "v").agg(F.count("*").alias("n"))
+    v = F.col("v")
+    number = v.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})*([.][0-9]+)?$") | v.rlike(r"^-?[0-9]+([.][0-9]+)?$") | v.rlike(r"^-?[0-9]+([.][0-9]+)?E-?[0-9]+$")
+    day = v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & guarded_date(v).isNotNull()
+    fits = {"bool": F.lower(v).isin(*YES_NO), "number": number, "date": day, "datetime": free_datetime(v).isNotNull(), "url": v.rlike(r"^(?i)https?://\S+$")}
+    here = v.isNotNull()
+    one = values.groupBy("column").agg(
+        F.sum("n").alias("rows"),
+        F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias("filled"),
+        F.count("v").alias("distinct"),
+        F.max(F.length("v")).alias("longest"),
+        F.max(F.length(F.regexp_extract("v", r"[.]([0-9]+)$", 1))).alias("decimals"),
+        *[F.bool_and(F.when(here, F.coalesce(f, F.lit(False)))).alias(n) for n, f in fits.items()],
+    )
     kind = F.when(F.col("filled") == 0, "text")
-    for name in ("bool", "number", "date", "datetime", "url"):
-        kind = kind.when(F.col(name) == F.col("filled"), name)
-    few = (F.col("_n") >= LEAST_ROWS) & (F.col("distinct") <= MOST_OPTIONS) & (F.col("distinct") <= MOST_SHARE * F.col("filled"))
+    for name in fits:
+        kind = kind.when(F.col(name), name)
+    few = (F.col("rows") >= LEAST_ROWS) & (F.col("distinct") <= MOST_OPTIONS) & (F.col("distinct") <= MOST_SHARE * F.col("filled"))
     kind = kind.when(few, "enum").when(F.col("longest") > LONG_TEXT, "text_long").otherwise("text")
-    return one.select("column", kind.alias("kind"), "filled", (F.col("_n") - F.col("filled")).alias("blank"), "distinct", F.when(kind == "number", F.coalesce("decimals", F.lit(0))).otherwise(0).cast("long").alias("decimals"))
+    return one.select("column", kind.alias("kind"), "filled", (F.col("rows") - F.col("filled")).alias("blank"), "distinct", F.when(kind == "number", F.coalesce("decimals", F.lit(0))).otherwise(0).cast("long").alias("decimals"))
 
 
 def shapes(rows: DataFrame, columns: list[str], top: int = 3) -> DataFrame:

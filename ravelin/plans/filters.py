@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ravelin.functions.scalars import missing, numeric, truth
 from ravelin.operators import graphs
 from ravelin.operators.relations import alive, all_of, any_element, contains, differs, excluded, left_out, linked, linked_counts, overlaps, starts
-from ravelin.plans.registry import RECORDS, TREE, question
+from ravelin.plans.registry import ODD_VALUES, RECORDS, TREE, VALUES, question
 
 
 def plain(name: str, table: str, columns: str, where: str, condition) -> None:
@@ -28,17 +28,14 @@ plain("filter_prop_eq", "customer", "c_custkey", "c_mktsegment = 'MACHINERY' AND
 plain("filter_visible", "supplier", "s_suppkey, s_nationkey", "s_nationkey IS NULL OR s_nationkey IN (1, 2, 3)", lambda: c("s_nationkey").isNull() | c("s_nationkey").isin(1, 2, 3))
 plain("filter_exclude_group", "part", "p_partkey", "NOT coalesce(p_size > 25 AND p_brand = 'Brand#11', false)", lambda: excluded(c("p_size") > 25, c("p_brand") == "Brand#11"))
 
-_DIRTY = "(VALUES (1, '5'), (2, '-3.50'), (3, '1e5'), (4, ''), (5, NULL), (6, 'x'), (7, '12.'), (8, 'yes'), (9, 'TRUE'), (10, 'null')) AS d(id, v)"
-
-
-@question("filter_number", f"SELECT id::INT AS id FROM {_DIRTY} WHERE CASE WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?') THEN v::DOUBLE END < 10")
+@question("filter_number", f"SELECT id FROM {VALUES} WHERE CASE WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?') THEN v::DOUBLE END < 10")
 def _(t):
-    return t.spark.sql(f"SELECT * FROM {_DIRTY}").where(numeric(c("v")) < 10).select("id")
+    return t.part.selectExpr("p_partkey AS id", f"{ODD_VALUES} AS v").where(numeric(c("v")) < 10).select("id")
 
 
-@question("filter_bool", f"SELECT id::INT AS id FROM {_DIRTY} WHERE lower(trim(v)) IN ('true', 't', 'yes', 'y', '1', 'on')")
+@question("filter_bool", f"SELECT id FROM {VALUES} WHERE lower(trim(v)) IN ('true', 't', 'yes', 'y', '1', 'on')")
 def _(t):
-    return t.spark.sql(f"SELECT * FROM {_DIRTY}").where(truth(c("v"))).select("id")
+    return t.part.selectExpr("p_partkey AS id", f"{ODD_VALUES} AS v").where(truth(c("v"))).select("id")
 
 
 @question("filter_array_contains", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_or(l_partkey % 100 = 5) ")

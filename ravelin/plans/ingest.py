@@ -120,15 +120,15 @@ def _(t):
     return t.orders.select("o_orderkey", c("o_orderstatus").alias("back")).join(after, "o_orderkey").where("back <> now").select("o_orderkey", "back")
 
 
-_KIND_SQL = """SELECT '{0}' AS "column", CASE WHEN count(v) = 0 THEN 'text' WHEN count(*) FILTER (lower(trim(v)) IN ('true', 't', 'yes', 'y', '1', 'on', 'false', 'f', 'no', 'n', '0', 'off')) = count(v) THEN 'bool' WHEN count(*) FILTER (regexp_full_match(v, '-?[0-9]+([.][0-9]+)?')) = count(v) THEN 'number' WHEN count(*) FILTER (regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(v AS DATE) IS NOT NULL) = count(v) THEN 'date' WHEN count(*) FILTER (try_strptime(v, '%Y-%m-%d %H:%M:%S') IS NOT NULL) = count(v) THEN 'datetime' WHEN count(*) FILTER (regexp_matches(v, '^https?://')) = count(v) THEN 'url' WHEN count(*) >= 20 AND count(DISTINCT v) <= 20 AND count(DISTINCT v) <= 0.5 * count(v) THEN 'enum' WHEN max(length(v)) > 200 THEN 'text_long' ELSE 'text' END AS kind, count(v) AS filled, count(*) - count(v) AS blank, count(DISTINCT v) AS distinct, 0::BIGINT AS decimals FROM (SELECT nullif(nullif({1}, ''), 'null') AS v FROM {2})""".format
-_COLUMNS = [("p_partkey", "p_partkey::VARCHAR"), ("p_name", "p_name"), ("p_brand", "p_brand"), ("p_type", "p_type"), ("p_size", "p_size::VARCHAR"), ("flag", "CASE WHEN p_size % 2 = 0 THEN 'yes' WHEN p_size % 3 = 0 THEN 'no' END"), ("day", "CASE WHEN p_size <> 3 THEN (DATE '2020-01-01' + p_size)::VARCHAR END"), ("at", "(DATE '2020-01-01' + p_size)::VARCHAR || ' 10:20:30'"), ("link", "'https://x/' || p_partkey"), ("empty", "CASE WHEN false THEN '' END")]
+_KIND_SQL = """SELECT '{0}' AS "column", CASE WHEN count(v) = 0 THEN 'text' WHEN count(*) FILTER (lower(trim(v)) IN ('true', 'yes', 'y', 'false', 'no', 'n')) = count(v) THEN 'bool' WHEN count(*) FILTER (regexp_full_match(v, '-?[0-9]+([.][0-9]+)?')) = count(v) THEN 'number' WHEN count(*) FILTER (regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(v AS DATE) IS NOT NULL) = count(v) THEN 'date' WHEN count(*) FILTER (try_strptime(v, '%Y-%m-%d %H:%M:%S') IS NOT NULL) = count(v) THEN 'datetime' WHEN count(*) FILTER (regexp_matches(v, '^https?://')) = count(v) THEN 'url' WHEN count(*) >= 20 AND count(DISTINCT v) <= 12 AND count(DISTINCT v) <= 0.3 * count(v) THEN 'enum' WHEN max(length(v)) > 200 THEN 'text_long' ELSE 'text' END AS kind, count(v) AS filled, count(*) - count(v) AS blank, count(DISTINCT v) AS distinct, 0::BIGINT AS decimals FROM (SELECT nullif(nullif({1}, ''), 'null') AS v FROM {2})""".format
+_COLUMNS = [("p_partkey", "p_partkey::VARCHAR"), ("p_name", "p_name"), ("p_brand", "p_brand"), ("p_type", "p_type"), ("p_size", "p_size::VARCHAR"), ("flag", "CASE WHEN p_size % 2 = 0 THEN 'yes' WHEN p_size % 3 = 0 THEN 'no' END"), ("day", "CASE WHEN p_size <> 3 THEN (DATE '2020-01-01' + p_size)::VARCHAR END"), ("at", "(DATE '2020-01-01' + p_size)::VARCHAR || ' 10:20:30'"), ("link", "'https://x/' || p_partkey"), ("bit", "(p_size % 2)::VARCHAR"), ("teens", "'option ' || (p_size % 13)"), ("empty", "CASE WHEN false THEN '' END")]
 _INFERRED = " UNION ALL ".join(_KIND_SQL(name, sql, "part") for name, sql in _COLUMNS)
 
 
 def typed(t):
     """Parts with columns of all kinds, as text."""
     day = F.date_add(F.lit("2020-01-01").cast("date"), c("p_size")).cast("string")
-    more = {"flag": F.when(c("p_size") % 2 == 0, "yes").when(c("p_size") % 3 == 0, "no"), "day": F.when(c("p_size") != 3, day), "at": F.concat(day, F.lit(" 10:20:30")), "link": F.concat(F.lit("https://x/"), c("p_partkey").cast("string")), "empty": F.lit(None).cast("string")}
+    more = {"flag": F.when(c("p_size") % 2 == 0, "yes").when(c("p_size") % 3 == 0, "no"), "day": F.when(c("p_size") != 3, day), "at": F.concat(day, F.lit(" 10:20:30")), "link": F.concat(F.lit("https://x/"), c("p_partkey").cast("string")), "bit": (c("p_size") % 2).cast("string"), "teens": F.concat(F.lit("option "), (c("p_size") % 13).cast("string")), "empty": F.lit(None).cast("string")}
     return t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", *[v.alias(k) for k, v in more.items()])
 
 

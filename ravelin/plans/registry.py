@@ -38,3 +38,17 @@ _RUN = "len(list_intersect(list_distinct({0}), q)) / (len(q) + len(list_distinct
 def near_names_sql(asked: str, names: str, name: str, floor: float) -> str:
     best = f"list_max(list_transform(range(1, len(o) + 1), lambda a: list_max(list_transform(range(a, len(o) + 1), lambda b: {_RUN('o[a:b]')}))))"
     return f"(SELECT * FROM (SELECT id, {name}, greatest({_RUN('o')}, {best}) AS similarity FROM (SELECT id, list_distinct({GRAMS('asked')}) AS q FROM {asked}), (SELECT DISTINCT {name}, {GRAMS(name)} AS o FROM {names})) WHERE similarity >= {floor})"
+
+
+def _written(cases: list[str], key: str) -> str:
+    return f"CASE {key} % {len(cases)} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(cases)) + " END"
+
+
+_Y, _M, _D = (f"cast({f}(o_orderdate) AS string)" for f in ("year", "month", "day"))
+_M2, _D2 = f"lpad({_M}, 2, '0')", f"lpad({_D}, 2, '0')"
+_ISO = f"{_Y} || '-' || {_M2} || '-' || {_D2}"
+#: The dates of orders as people write them, some of them wrong (an expression for both engines), and numbers of parts likewise.
+ODD_DATES = _written([_ISO, f"{_Y} || {_M2} || {_D2}", f"{_Y} || '-' || {_M} || '-' || {_D}", "''", "NULL", f"{_ISO} || 'T12:00'", f"'x' || {_Y}", f"{_Y} || '.' || {_M} || '.' || {_D}", f"{_Y} || '/' || {_M2}", f"{_Y} || '.' || {_M} || '.' || {_D} || ' 13:05'", f"' ' || {_ISO} || ' '", f"{_Y} || '-13-01'", f"{_ISO} || ' 25:00'", f"{_ISO} || 'T12:00:07Z'", f"{_Y} || '-02-30'"], "o_orderkey")
+_SIZE = "cast(p_size AS string)"
+ODD_VALUES = _written([_SIZE, f"'-' || {_SIZE} || '.50'", f"{_SIZE} || 'e5'", "''", "NULL", "substr(p_name, 1, 1)", f"{_SIZE} || '.'", "'yes'", "'TRUE'", "'null'", f"'AB-' || {_SIZE}", "' ' || upper(p_name) || '  x '", f"'Ｆｕｌｌ　Ｗｉｄｅ' || {_SIZE}", "'１２'"], "p_partkey")
+DATES, VALUES = f"(SELECT o_orderkey AS id, {ODD_DATES} AS v FROM orders) AS d", f"(SELECT p_partkey AS id, {ODD_VALUES} AS v FROM part) AS d"

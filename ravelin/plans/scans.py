@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ravelin.operators import profiles
 from ravelin.plans.registry import question
 from ravelin.sources import files, tabular
 
@@ -89,10 +90,11 @@ def _(t):
     return files.changed_since(t.lineitem, "l_shipdate", "2001-01-01").select("l_orderkey", "l_partkey", (c("l_returnflag") == "R").alias("deleted"))
 
 
-@question("src_drift", "SELECT 'p_size' AS \"column\", 'missing' AS kind UNION ALL SELECT 'weight', 'new'")
+@question("src_drift", "SELECT 'p_size' AS \"column\", 'missing' AS kind, 0::BIGINT AS n UNION ALL SELECT 'weight', 'new', count(*) FILTER (p_partkey % 10 = 3) FROM part UNION ALL SELECT 'p_brand', 'sparse', count(p_brand) FILTER (p_partkey % 4 > 0) FROM part")
 def _(t):
-    found = files.drift(t.part, t.part.drop("p_size").withColumn("weight", F.lit(1.0)))
-    return t.spark.createDataFrame(found, "column string, kind string")
+    # rows as a source sends them, one object each, held against the columns that its definition names
+    sent = t.part.select(F.to_json(F.struct("p_partkey", "p_name", F.when(c("p_partkey") % 4 > 0, c("p_brand")).alias("p_brand"), "p_type", "p_retailprice", F.when(c("p_partkey") % 10 == 3, F.lit(1.5)).alias("weight"))).alias("row"))
+    return files.row_drift(sent, "row", t.part.columns)
 
 
 @question("sink_append", "SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey + 100 FROM nation")
@@ -131,11 +133,13 @@ def _(t):
     return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 
-@question("sink_rdf_schema", "SELECT unnest(['<nation> <type> <Class> .', '<nation/n_nationkey> <domain> <nation> .', '<nation/n_nationkey> <range> <integer> .', '<nation/n_name> <domain> <nation> .', '<nation/n_name> <range> <string> .', '<nation/n_regionkey> <domain> <nation> .', '<nation/n_regionkey> <range> <region> .', '<nation/n_regionkey> <type> <ObjectProperty> .']) AS line")
+@question("sink_rdf_schema", "SELECT unnest(['<nation> <type> <Class> .', '<nation/n_nationkey> <domain> <nation> .', '<nation/n_nationkey> <range> <integer> .', '<nation/n_name> <domain> <nation> .', '<nation/n_name> <range> <string> .', '<nation/n_regionkey> <domain> <nation> .', '<nation/n_regionkey> <range> <region> .', '<nation/n_regionkey> <type> <ObjectProperty> .']) AS line UNION ALL SELECT DISTINCT '<part/' || p_type || '> <subClassOf> <part> .' FROM part WHERE p_type IS NOT NULL")
 def _(t):
     # a class for the type, a property for each column with its range: the target of a reference, else the kind of value
     path = files.scratch(t.spark)
-    files.schema_triples(t.nation, "nation", {"n_regionkey": "region"}).coalesce(1).write.text(path)
+    kinds = t.part.where("p_type is not null").select(F.concat(F.lit("<part/"), "p_type", F.lit("> <subClassOf> <part> .")).alias("line")).distinct()
+    lines = files.schema_triples(t.nation, "nation", {"n_regionkey": "region"})
+    lines.select(c(lines.columns[0]).alias("line")).union(kinds).write.text(path)
     return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 
@@ -144,10 +148,12 @@ def _(t):
     return files.there_and_back(t.tree, "csv")
 
 
-@question("src_catalog", "SELECT 'n_name' AS \"column\", 'string' AS kind UNION ALL SELECT 'n_nationkey', 'int' UNION ALL SELECT 'n_regionkey', 'int'")
+@question("src_catalog", "SELECT 'n_name' AS \"column\", 'string' AS kind, count(n_name) AS filled, count(DISTINCT n_name) AS distinct FROM nation UNION ALL SELECT 'n_nationkey', 'int', count(n_nationkey), count(DISTINCT n_nationkey) FROM nation UNION ALL SELECT 'n_regionkey', 'int', count(n_regionkey), count(DISTINCT n_regionkey) FROM nation")
 def _(t):
+    # what the catalogue knows of a source, and how full its columns are
     t.nation.createOrReplaceTempView("_nation")
-    return t.spark.createDataFrame([(x.name, x.dataType) for x in t.spark.catalog.listColumns("_nation")], "column string, kind string")
+    known = t.spark.createDataFrame([(x.name, x.dataType) for x in t.spark.catalog.listColumns("_nation")], "column string, kind string")
+    return known.join(profiles.kinds(t.nation).select("column", "filled", "distinct"), "column")
 
 
 @question("src_file_fetch", "SELECT r_regionkey, r_name FROM region")

@@ -115,22 +115,22 @@ _KEYED = "lower(regexp_replace(trim({0}), '\\s+', ' ', 'g'))".format
 _SIX = f"""(WITH q AS (SELECT id, asked, {_KEYED('asked')} AS k FROM {_ASKED}), a AS (SELECT p_partkey, 'brand no ' || split_part(p_brand, '#', 2) AS alias FROM part),
  r AS (SELECT id, 1 AS step, p_partkey FROM q JOIN part ON p_partkey::VARCHAR = k UNION ALL SELECT id, 2, p_partkey FROM q JOIN part ON lower(p_brand) = k UNION ALL SELECT id, 3, p_partkey FROM q JOIN a ON alias = k
  UNION ALL SELECT id, 4, p_partkey FROM q JOIN part ON {_KEYED('p_name')} = k UNION ALL SELECT id, 5, p_partkey FROM q JOIN part ON contains({_KEYED('p_name')}, k) UNION ALL SELECT id, 6, p_partkey FROM q JOIN part ON levenshtein({_KEYED('p_name')}, k) <= 2)
- SELECT q.id, b.p_partkey AS found, coalesce(['id', 'key', 'alias', 'label', 'contains', 'near'][b.step], 'none') AS how FROM q LEFT JOIN (SELECT id, step, min(p_partkey) AS p_partkey FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY step) = 1) b ON q.id = b.id)"""
+ SELECT q.id, CASE WHEN n = 1 THEN b.p_partkey END AS found, CASE WHEN n > 1 THEN 'several' ELSE coalesce(['id', 'key', 'alias', 'label', 'contains', 'near'][b.step], 'none') END AS how FROM q LEFT JOIN (SELECT id, step, count(DISTINCT p_partkey) AS n, min(p_partkey) AS p_partkey FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY step) = 1) b ON q.id = b.id)"""
 
 
 def resolve(t):
-    """Six rungs: id, key, alias, label, a label that contains the text, a label near it. Only what the equal rungs leave open is held
-    against the distinct labels, which are few beside the objects; of several objects the smallest wins."""
+    """Six rungs: id, key, alias, label, a label that contains the text, a label near it. The first rung that finds something decides; if it
+    finds several objects, none is chosen, as it would be a guess. Only what the equal rungs leave open is held against labels, and
+    only against those with equal pieces."""
     asked = t.spark.sql(f"SELECT * FROM {_ASKED}").withColumn("k", keys.norm_key(c("asked")))
     part = t.part.select("p_partkey", c("p_partkey").cast("string").alias("ident"), F.lower("p_brand").alias("brand"), F.concat(F.lit("brand no "), F.split("p_brand", "#")[1]).alias("alias"), keys.norm_key(c("p_name")).alias("label"))
-    equal = [(name, part.select(c(name if name != "key" else "brand").alias("_k"), "p_partkey"), c("k"), "least") for name in ("key", "alias", "label")]
-    equal = [("id", part.select(c("ident").alias("_k"), "p_partkey"), c("k"), "least"), *equal]
+    equal = [(name, part.select(c(column).alias("_k"), "p_partkey"), c("k"), "stop") for name, column in (("id", "ident"), ("key", "brand"), ("alias", "alias"), ("label", "label"))]
     first = matching.ladder(asked, "id", equal, "p_partkey")
     open_ = asked.join(first.where("how = 'none'").select("id"), "id")
-    labels = part.groupBy("label").agg(F.min("p_partkey").alias("p_partkey"))
-    close = labels.join(F.broadcast(open_), c("label").contains(c("k")) | (F.levenshtein("label", "k") <= 2))
-    close = close.groupBy("id").agg(F.min(F.struct((~c("label").contains(c("k"))).alias("near"), "p_partkey")).alias("b")).select(c("id").alias("_id"), c("b.p_partkey").alias("late"), F.when(c("b.near"), "near").otherwise("contains").alias("late_how"))
-    out = first.join(close, c("id") == c("_id"), "left")
+    # hits by label become rungs of their own: a text is equal to itself there
+    pairs = [(name, find(open_, "id", "k", part, "label").join(part.select("label", "p_partkey"), "label").select(c("id").cast("string").alias("_k"), "p_partkey"), c("id").cast("string"), "stop") for name, find in (("contains", matching.containing), ("near", matching.misspelled))]
+    late = matching.ladder(open_, "id", pairs, "p_partkey").select("id", c("p_partkey").alias("late"), c("how").alias("late_how"))
+    out = first.join(late, "id", "left")
     return out.select("id", F.coalesce("p_partkey", "late").alias("found"), F.when(c("how") == "none", F.coalesce("late_how", "how")).otherwise(c("how")).alias("how"))
 
 

@@ -8,29 +8,27 @@ from ravelin.functions import scalars, sqlfunctions
 from ravelin.functions import texts as keys
 from ravelin.operators import matching, tags
 from ravelin.plans.parts import WEIGHED, part_tags
-from ravelin.plans.registry import RECORDS, question
+from ravelin.plans.registry import DATES, ODD_DATES, ODD_VALUES, RECORDS, VALUES, question
 
 c = F.col
-_DATES = "(VALUES (1, '2024-02-30'), (2, '20240310'), (3, '2024-3-5'), (4, ''), (5, NULL), (6, '2024-03-10T12:00'), (7, 'x'), (8, '2024.7.9'), (9, '2023/12'), (10, '2024.3.5 13:05'), (11, ' 2024-02-29 '), (12, '2024-13-01'), (13, '2024-03-10 25:00'), (14, '2024-03-10T12:00:07Z')) AS d(id, v)"
-_TEXTS = "(VALUES (1, '1e5'), (2, '-3.50'), (3, '12'), (4, 'a'), (5, ''), (6, NULL), (7, 'AB-12'), (8, ' Two  Words '), (9, 'yes'), (10, 'Ｆｕｌｌ　Ｗｉｄｅ'), (11, '１２')) AS d(id, v)"
 
 
 def dates(t):
-    return t.spark.sql(f"SELECT * FROM {_DATES}")
+    return t.orders.selectExpr("o_orderkey AS id", f"{ODD_DATES} AS v")
 
 
 def texts(t):
-    return t.spark.sql(f"SELECT * FROM {_TEXTS}")
+    return t.part.selectExpr("p_partkey AS id", f"{ODD_VALUES} AS v")
 
 
 _GUARDED = "CASE WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') OR regexp_matches(v, '^[0-9]{8}') THEN try_strptime(replace(v[1:10], '-', '')[1:8], '%Y%m%d')::DATE END"
-question("fn_sp_date", f"SELECT id, {_GUARDED} AS d FROM {_DATES}")(lambda t: dates(t).select("id", scalars.guarded_date(c("v")).alias("d")))
+question("fn_sp_date", f"SELECT id, {_GUARDED} AS d FROM {DATES}")(lambda t: dates(t).select("id", scalars.guarded_date(c("v")).alias("d")))
 
 
-@question("udf_sp_date", f"SELECT id, {_GUARDED} AS d FROM {_DATES}")
+@question("udf_sp_date", f"SELECT id, {_GUARDED} AS d FROM {DATES}")
 def _(t):
     sqlfunctions.register(t.spark)
-    return t.spark.sql(f"SELECT id, sp_date(v) AS d FROM {_DATES}")
+    return dates(t).selectExpr("id", "sp_date(v) AS d")
 
 
 @question("fn_date_guard", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE AS shipped, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_shipdate::DATE END AS written FROM lineitem")
@@ -44,22 +42,22 @@ def _(t):
 _FREE = "coalesce(CASE WHEN regexp_matches(v, '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})') THEN try_strptime(replace(v[1:10], '-', '')[1:8], '%Y%m%d') END, try_strptime(regexp_replace(trim(v), '[./]', '-', 'g'), ['%Y-%m-%d', '%Y-%m']))"
 
 
-@question("fn_parse_date", f"SELECT id, ({_FREE})::DATE AS d FROM {_DATES}")
+@question("fn_parse_date", f"SELECT id, ({_FREE})::DATE AS d FROM {DATES}")
 def _(t):
     return dates(t).select("id", scalars.free_date(c("v")).alias("d"))
 
 
-@question("fn_parse_datetime", f"SELECT id, coalesce(try_strptime(regexp_replace(replace(trim(v), 'T', ' '), '[./]', '-', 'g'), ['%Y-%m-%d %H:%M', '%Y-%m-%d %H:%M:%S']), CASE WHEN NOT contains(v, ':') THEN {_FREE.replace('v[1:10]', 'trim(v)[1:10]').replace('regexp_matches(v', 'regexp_matches(trim(v)')} END) AS at FROM {_DATES}")
+@question("fn_parse_datetime", f"SELECT id, coalesce(try_strptime(regexp_replace(replace(trim(v), 'T', ' '), '[./]', '-', 'g'), ['%Y-%m-%d %H:%M', '%Y-%m-%d %H:%M:%S']), CASE WHEN NOT contains(v, ':') THEN {_FREE.replace('v[1:10]', 'trim(v)[1:10]').replace('regexp_matches(v', 'regexp_matches(trim(v)')} END) AS at FROM {DATES}")
 def _(t):
     return dates(t).select("id", scalars.free_datetime(c("v")).alias("at"))
 
 
-@question("fn_numeric", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?') THEN v::DOUBLE END AS x FROM {_TEXTS}")
+@question("fn_numeric", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?') THEN v::DOUBLE END AS x FROM {VALUES}")
 def _(t):
     return texts(t).select("id", scalars.numeric(c("v")).alias("x"))
 
 
-@question("fn_convert", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?') THEN 'number' WHEN lower(v) IN ('true', 't', 'yes', 'y', 'on') THEN 'bool' WHEN v IS NULL OR v = '' THEN 'missing' ELSE 'text' END AS kind FROM {_TEXTS}")
+@question("fn_convert", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?') THEN 'number' WHEN lower(v) IN ('true', 't', 'yes', 'y', 'on') THEN 'bool' WHEN v IS NULL OR v IN ('', 'null') THEN 'missing' ELSE 'text' END AS kind FROM {VALUES}")
 def _(t):
     kind = F.when(scalars.missing(c("v")), "missing").when(scalars.numeric(c("v")).isNotNull(), "number").when(scalars.truth(c("v")), "bool").otherwise("text")
     return texts(t).select("id", kind.alias("kind"))
@@ -77,7 +75,7 @@ def _(t):
 
 # the second alphabet of the full-width letters of the table above
 _WIDE = "translate(v, 'Ｆｕｌ　Ｗｉｄｅ１２', 'Ful Wide12')"
-question("fn_norm_key", f"SELECT id, lower(regexp_replace(trim({_WIDE}), '\\s+', ' ', 'g')) AS k FROM {_TEXTS}")(lambda t: texts(t).select("id", keys.norm_key(c("v")).alias("k")))
+question("fn_norm_key", f"SELECT id, lower(regexp_replace(trim({_WIDE}), '\\s+', ' ', 'g')) AS k FROM {VALUES}")(lambda t: texts(t).select("id", keys.norm_key(c("v")).alias("k")))
 question("fn_compare_key", "SELECT p_partkey, lower(p_brand || ' ' || p_name) AS k FROM part")(lambda t: t.part.select("p_partkey", keys.norm_key(F.concat_ws("\u3000", "p_brand", F.lit(""), "p_name")).alias("k")))
 
 
@@ -112,11 +110,14 @@ def _(t):
     return t.events.select("event_id", scalars.shifted(scalars.bucket(c("ts"), "week"), "week", 2).alias("later"))
 
 
-@question("fn_dense", "SELECT unnest(range(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS period")
+@question("fn_dense", "SELECT period, coalesce(n, 0) AS n FROM (SELECT unnest(range(min(date_trunc('month', o_orderdate))::DATE, (max(date_trunc('month', o_orderdate)) + INTERVAL 1 MONTH)::DATE, INTERVAL 1 MONTH))::DATE AS period FROM orders) LEFT JOIN (SELECT date_trunc('month', o_orderdate)::DATE AS period, count(*) AS n FROM orders WHERE o_custkey % 50 = 7 AND o_orderstatus = 'P' GROUP BY 1) USING (period)")
 def _(t):
     from ravelin.operators.metrics import dense
 
-    return dense(t.spark, "1995-01-01", "2001-11-01")
+    month = scalars.bucket(c("o_orderdate"), "month")
+    ends = t.orders.agg(F.min(month).cast("string"), F.max(month).cast("string")).first()
+    few = t.orders.where("o_custkey % 50 = 7 and o_orderstatus = 'P'").groupBy(month.alias("period")).agg(F.count("*").alias("n"))
+    return dense(t.spark, *ends).join(few, "period", "left").select("period", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @question("fn_is_closed", "SELECT DISTINCT date_trunc('quarter', o_orderdate)::DATE AS q, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH)::DATE <= DATE '2001-07-15' - 20 AS closed FROM orders")
@@ -158,7 +159,7 @@ def _(t):
     return t.part.select("p_partkey", F.array_compact(F.array(*rules)).alias("faults"))
 
 
-@question("fn_retype", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+') THEN v::BIGINT END AS whole, v IS NOT NULL AND v <> '' AND NOT regexp_full_match(v, '-?[0-9]+') AS failed FROM {_TEXTS}")
+@question("fn_retype", f"SELECT id, CASE WHEN regexp_full_match(v, '-?[0-9]+') THEN v::BIGINT END AS whole, v IS NOT NULL AND v <> '' AND NOT regexp_full_match(v, '-?[0-9]+') AS failed FROM {VALUES}")
 def _(t):
     fits = c("v").rlike("^-?[0-9]+$")
     return texts(t).select("id", F.when(fits, c("v").try_cast("bigint")).alias("whole"), (c("v").isNotNull() & (c("v") != "") & ~fits).alias("failed"))

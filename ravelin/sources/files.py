@@ -100,3 +100,14 @@ def schema_triples(rows: DataFrame, kind: str, references: dict[str, str]) -> Da
         if column in references:
             lines.append(f"<{kind}/{column}> <type> <ObjectProperty> .")
     return rows.sparkSession.createDataFrame([(x,) for x in lines], "value string")
+
+
+def row_drift(rows: DataFrame, column: str, declared: list[str]) -> DataFrame:
+    """(column, kind, n): keys that rows of JSON objects have and the definition doesn't (new), the other way round (missing), and declared
+    ones that only some rows have (sparse), with the number of rows that have them."""
+    spark = rows.sparkSession
+    met = rows.select(F.explode(F.array_distinct(F.json_object_keys(column))).alias("column")).groupBy("column").agg(F.count("*").alias("n"))
+    known = spark.createDataFrame([(x,) for x in declared], "_known string")
+    both = known.join(met, F.col("_known") == F.col("column"), "full_outer").crossJoin(F.broadcast(rows.agg(F.count("*").alias("_all"))))
+    kind = F.when(F.col("_known").isNull(), "new").when(F.col("n").isNull(), "missing").when(F.col("n") < F.col("_all"), "sparse")
+    return both.select(F.coalesce("column", "_known").alias("column"), kind.alias("kind"), F.coalesce("n", F.lit(0)).alias("n")).where("kind is not null")

@@ -147,7 +147,7 @@ def test_change_points_match_all_partitions():
         assert total(tuple(changes(counts, exposures, 5.0))) == pytest.approx(min(map(total, ways)))
     season = np.arange(72) % 12
     level = np.where(np.arange(72) < 40, 50, 100) * (1 + 0.5 * np.sin(2 * np.pi * season / 12))
-    found, index = seasonal_changes(rng.poisson(level).astype(float), np.ones(72), season, 12, 3 * math.log(72))
+    found, index, phi = seasonal_changes(rng.poisson(level).astype(float), np.ones(72), season, 12, 3 * math.log(72))
     assert len(found) == 1 and abs(found[0] - 40) <= 2 and index[3] > 1.3 > 0.8 > index[9]
 
 
@@ -240,14 +240,27 @@ def test_cycles_and_chains(spark):
         graphs.subtree_fold(edges, spark.createDataFrame([(1, 1)], "node long, v long"), "a", "b", "v")
 
 
-def test_chunks_and_sections():
-    from ravelin.functions.texts import chunks_of, sections_of
+def test_chunks_and_sections(spark):
+    from ravelin.functions import texts
 
     paragraphs = ["a" * 900, "b" * 500, "c" * 99, "d" * 3100, "e" * 10, "f" * 1500, "g"]
-    got = chunks_of("\n \n".join(paragraphs))
-    assert got == ["a" * 900 + "\n\n" + "b" * 500, "c" * 99, "d" * 1500, "d" * 1500, "d" * 100 + "\n\n" + "e" * 10, "f" * 1500, "g"]
+    bodies = ["\n \n".join(paragraphs), " short \n\n text ", "", None, "x\ny" * 600, "é" * 1501, "\n\n \n" * 800]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    got = {r.id: r.c for r in df.select("id", texts.chunks(df.body).alias("c")).collect()}
+    assert got[0] == ["a" * 900 + "\n\n" + "b" * 500, "c" * 99, "d" * 1500, "d" * 1500, "d" * 100 + "\n\n" + "e" * 10, "f" * 1500, "g"]
+    assert got[1] == [" short \n\n text "] and got[2] == [""] and got[3] is None and "".join(got[4]) == "x\ny" * 600 and [len(x) for x in got[5]] == [1500, 1] and got[6] == []
     body = "intro\n# One #\nx\n```\n# not a heading\n```\n## Two\n\n### One\ny\n#### deep\nz\n# One\nend"
-    assert sections_of(body) == [("", "", "intro"), ("One", "one", "x\n```\n# not a heading\n```"), ("One > Two > One", "one-2", "y\n#### deep\nz"), ("One", "one-3", "end")]
+    other = "## A b!\n~~~\n# c\n~~~\n# Ünï code #tag\n\n   ### C\nlast\n    # indented"
+    df = spark.createDataFrame([(1, body), (2, other), (3, ""), (4, None)], "id int, body string")
+    got = sorted(tuple(r) for r in texts.sections(df, "id", "body").collect())
+    assert got == [
+        (1, 0, "", "", "intro"),
+        (1, 1, "One", "one", "x\n```\n# not a heading\n```"),
+        (1, 2, "One > Two > One", "one-2", "y\n#### deep\nz"),
+        (1, 3, "One", "one-3", "end"),
+        (2, 0, "A b!", "a-b", "~~~\n# c\n~~~"),
+        (2, 1, "Ünï code #tag > C", "c", "last\n    # indented"),
+    ]
 
 
 def test_cells_are_written_and_capped(spark, tmp_path):
@@ -262,7 +275,6 @@ def test_cells_are_written_and_capped(spark, tmp_path):
     metrics.rewrite_periods(path, left, rows.where("month(period) > 1").select("period"), ["period", "k"], F.col("v"))
     got = {(r.period.month, r.k) for r in spark.read.parquet(path).collect()}
     assert got == {(1, 0), (1, 1), (1, 2), (1, 3), (3, 1), (3, 2), (3, 3)}
-    assert metrics.grown_combos([(100, 50), (200, 70), (400, 100)], 800) == 142 and metrics.grown_combos([], 10) == 0
 
 
 def test_tables_as_they_are_sent(tmp_path):
