@@ -158,8 +158,13 @@ class Ranges:
         return out
 
 
-def key_ranges(rows: DataFrame, key: str, tie: str, weight: str, target: int) -> Ranges:
-    """Boundaries that cut ``rows``, in the order of (key, tie), into ranges of ``target`` weight; the same for the same rows.
+#: Ranges that a table is cut into at most: boundaries go to every task, and every task of one stage sends to every range.
+MOST_RANGES = 4096
+
+
+def key_ranges(rows: DataFrame, key: str, tie: str, weight: str, target: int, most: int = MOST_RANGES) -> Ranges:
+    """Boundaries that cut ``rows``, in the order of (key, tie), into ranges of ``target`` weight, or of more if that would be more than
+    ``most`` ranges; the same for the same rows.
 
     Range k holds what begins between k and k + 1 times ``target`` of the running weight, so a range is larger by one (key, tie) at
     most, and a key with many rows is cut by ties. The running weight is exact: rows are dealt in sorted pieces, whose totals are added
@@ -171,6 +176,7 @@ def key_ranges(rows: DataFrame, key: str, tie: str, weight: str, target: int) ->
     totals = sorted((r.piece, r.w) for r in pieces.groupBy("piece").agg(F.sum("w").alias("w")).collect())
     if not totals:
         return Ranges([], [])
+    target = max(target, -(-sum(w for _, w in totals) // most))
     before = dict(zip((p for p, _ in totals), np.concatenate(([0], np.cumsum([w for _, w in totals])))[:-1].tolist(), strict=True))
     starts = pieces.sparkSession.createDataFrame(list(before.items()), "piece int, before long")
     own = Window.partitionBy("piece").orderBy("k", "t").rowsBetween(Window.unboundedPreceding, -1)

@@ -284,7 +284,9 @@ def fit(labelled: DataFrame, path: str, lang_col: str = "lang", text_col: str =
     return Model(languages, pieces, p)
 
 
-def _predicted(held, at: int, names: list[str]):
+def _predicted(held, at: int, names: list[str], kept: bool):
+    """Rows with their language; the text goes back only if it is ``kept``."""
+
     def rows(batches):
         model = held.value
         for batch in batches:
@@ -295,7 +297,8 @@ def _predicted(held, at: int, names: list[str]):
                 lang = [model.languages[b] if c else "und" for b, c in zip(best.tolist(), n.tolist(), strict=True)]
             else:
                 lang, score = ["und"] * len(batch), np.zeros(len(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(n > 0, score, 0.0))], [*batch.schema.names, *names])
+            own = batch if kept else batch.select([c for k, c in enumerate(batch.schema.names) if k != at])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(lang, pa.string()), pa.array(np.where(n > 0, score, 0.0))], [*own.schema.names, *names])
 
     return rows
 
@@ -315,8 +318,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     else:
         more = [memory.free_name([*keep, *names], "text")]
         rows, at = docs.select(*keep, F.col(text_col).cast("string").alias(more[0])), len(keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{names[0]}` string, `{names[1]}` double"
-    return rows.mapInArrow(memory.lean(_predicted(held, at, list(names)), keeps=True), schema).drop(*more)
+    back = [f for f in rows.schema.fields if f.name not in more]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in back) + f"`{names[0]}` string, `{names[1]}` double"
+    return rows.mapInArrow(memory.lean(_predicted(held, at, list(names), not more), keeps=True), schema)
 
 
 def held_out(id_col: str = "doc_id"):

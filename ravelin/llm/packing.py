@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences with certified bin counts.
 
 Every partition packs its pieces best-fit decreasing and holds its bin count against dual-feasible-function lower bounds.
-While all bins together exceed the bound over all pieces, the pieces of bins with room are exchanged (dealt anew over fewer
-partitions) and packed again; full bins are settled. It ends when the bound is met, when one partition holds all open
-pieces, or when an exchange saves nothing.
+While all bins together exceed the bound over all pieces, the pieces of bins with room are exchanged (dealt anew over fewer,
+larger partitions) and packed again; full bins are settled. It ends when the bound is met, when one partition holds all open
+pieces, or when the largest partitions save nothing any more.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from ravelin.llm import memory
 from ravelin.llm.store import written
 from ravelin.llm.tokens import encoder
 
-#: Tokens of a sequence, the id that ends a document, and the pieces that one partition packs.
-CAPACITY, END_ID, PARTITION_ROWS = 1024, 2, 100_000
+#: Tokens of a sequence, the id that ends a document.
+CAPACITY, END_ID = 1024, 2
+#: Pieces that a partition packs at first, and at most; partitions at first, unless these would be larger than the most; how much larger
+#: partitions are after each exchange.
+FIRST_ROWS, PARTITION_ROWS, FIRST_PARTS, GROWTH = 2_000, 100_000, 4096, 4
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -118,11 +121,11 @@ def _packed(capacity: int, turn: int):
     return rows
 
 
-def packed(parts: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+def packed(parts: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, first_rows: int = FIRST_ROWS) -> DataFrame:
     """The written ``pieces`` with (sequence_id, offset, room, certified): as few sequences of ``capacity`` tokens as the bounds ask for, or near it.
 
     Repeated rows are packed each on their own, ties go by the order of rows in a partition, and an empty table gives no rows.
-    A partition holds about ``partition_rows`` rows of a few numbers, never texts or ids of others.
+    A partition holds about ``first_rows`` rows of a few numbers at first, ``partition_rows`` at most, never texts or ids of others.
     """
     schema = [f for f in parts.schema.fields]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long, room long, certified boolean"
@@ -132,20 +135,23 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, partition_rows: int = PAR
     for r in lengths:
         counts[r.length] = r.n
     bound, last, turn, out, left = lower_bound(counts, capacity), None, 0, [], parts
-    n_left, settled = int(counts.sum()), 0
+    n_left, settled, size, before = int(counts.sum()), 0, first_rows, None
     while n_left:
-        n = max(1, -(-n_left // partition_rows))
+        n = max(1, -(-n_left // min(partition_rows, max(size, n_left // FIRST_PARTS))))
         dealt = left.repartition(n, F.xxhash64("doc_id", "piece", F.lit(turn)))
         now = written(dealt.mapInArrow(memory.lean(_packed(capacity, turn)), ddl), f"packed{turn}")
         stats = now.groupBy((F.col("room") == 0).alias("full")).agg(F.count_if(F.col("offset") == 0).alias("bins"), F.count("*").alias("n")).collect()
         bins = settled + sum(r.bins for r in stats)
-        loose = next((r.n for r in stats if not r.full), 0)
-        if bins <= bound or n == 1 or (last is not None and bins >= last) or turn > 100:
+        if last is not None and bins > last:
+            out.append(before.where("room > 0"))  # what there was is better
+            break
+        if bins <= bound or n == 1 or (size >= partition_rows and bins == last):
             out.append(now)
             break
         out.append(now.where("room = 0"))
         settled += next((r.bins for r in stats if r.full), 0)
-        left, n_left, last, turn = now.where("room > 0").select(*parts.columns), loose, bins, turn + 1
+        left, n_left = now.where("room > 0").select(*parts.columns), next((r.n for r in stats if not r.full), 0)
+        last, before, turn, size = bins, now, turn + 1, size * GROWTH
     whole = out[0] if out else parts.mapInArrow(_packed(capacity, 0), ddl)
     for x in out[1:]:
         whole = whole.union(x)

@@ -30,6 +30,8 @@ SCALE, LANES, STEPS = 18, 32, 256
 BLOCK = LANES * STEPS * 4
 #: Text bytes of a file's range of documents, and ids that a task codes at once.
 FILE_BYTES, GROUP = 16 << 20, 32 * BLOCK
+#: Ids after which a task begins another file of its range (ranges of large inputs are larger than a file), and tasks that read at most.
+ROLL_IDS, MOST_READERS = 8 << 20, 4096
 MAGIC = b"RANSTOK1"
 _LOW = np.uint64(1 << 31)
 
@@ -183,17 +185,16 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return halves[0] | (halves[1] << np.uint32(16))
 
 
-def _summed(frame):
-    import pandas as pd
+def _listed(batches):
+    """(id, n) of the counts that tasks have sent, a row for each id."""
+    for batch in batches:
+        for blob in batch.column(0):
+            n = np.frombuffer(blob.as_py(), "<i8")
+            ids = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(n[ids])], ["id", "n"])
 
-    parts = [np.frombuffer(x, "<i8") for x in frame.ids]
-    out = np.zeros(max(map(len, parts)), np.int64)
-    for p in parts:
-        out[: len(p)] += p
-    return pd.DataFrame({"ids": [out.astype("<i8").tobytes()]})
 
-
-def _writer(folder: str, table):
+def _writer(folder: str, table, roll: int):
     """Writes one file for each part among a task's sorted rows, under a temporary name first; a rerun writes the same bytes again."""
 
     def rows(batches):
@@ -201,33 +202,35 @@ def _writer(folder: str, table):
 
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        state: dict = {"part": None, "docs": [], "ids": []}
+        state: dict = {"part": None, "seq": 0, "size": 0, "docs": [], "ids": []}
         tag = f".{TaskContext.get().taskAttemptId()}.tmp"
 
         def close():
             counts = np.array([len(x) for x in state["ids"]], np.int64)
             data = file_bytes(np.array(state["docs"], np.int64), counts, np.concatenate(state["ids"]), table.value)
-            name = f"tokens-{state['part']:06d}.rans"
+            name = f"tokens-{state['part']:06d}-{state['seq']:05d}.rans"
             with fs.open_output_stream(posixpath.join(root, name + tag)) as f:
                 f.write(data)
             fs.move(posixpath.join(root, name + tag), posixpath.join(root, name))
-            return pa.RecordBatch.from_pylist([{"part": state["part"], "file": name, "n_docs": len(counts), "n_tokens": int(counts.sum()), "bytes": len(data), "crc32": zlib.crc32(data)}], _MANIFEST)
+            return pa.RecordBatch.from_pylist([{"part": state["part"], "seq": state["seq"], "file": name, "n_docs": len(counts), "n_tokens": int(counts.sum()), "bytes": len(data), "crc32": zlib.crc32(data)}], _MANIFEST)
 
         for batch in batches:
             for part, doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if state["part"] is not None and part != state["part"]:
+                if state["docs"] and (part != state["part"] or state["size"] >= roll):
                     yield close()
-                    state |= {"docs": [], "ids": []}
-                state["part"] = part
+                    state |= {"docs": [], "ids": [], "size": 0, "seq": state["seq"] + 1}
+                if part != state["part"]:
+                    state |= {"part": part, "seq": 0}
                 state["docs"].append(doc)
                 state["ids"].append(_unpacked(blob.as_py()))
+                state["size"] += len(state["ids"][-1])
         if state["docs"]:
             yield close()
 
     return rows
 
 
-_MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64())])
+_MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64())])
 
 
 def _reader(folder: str, table):
@@ -248,10 +251,10 @@ def _reader(folder: str, table):
     return rows
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, file_bytes_target: int = FILE_BYTES) -> tuple[str, Table, DataFrame]:
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, file_bytes_target: int = FILE_BYTES, roll_ids: int = ROLL_IDS) -> tuple[str, Table, DataFrame]:
     """(folder, table, manifest): all documents as token files in ascending id order, with ``end_id`` after each.
 
-    The manifest (part, file, n_docs, n_tokens, bytes, crc32) is written last, so that a folder with one is complete.
+    The manifest (part, seq, file, n_docs, n_tokens, bytes, crc32) is written last, so that a folder with one is complete.
     Null texts are empty. Rows that repeat an id follow each other, by a hash of
     their texts; rows without an id are left out, as they have no place in
     the order. An empty table gives no files. Other columns are never read.
@@ -262,11 +265,14 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     sizes = rows.select("doc_id", "tie", F.coalesce(F.octet_length("text") + 16, F.lit(16)).cast("long").alias("size"))
     cuts = histsort.key_ranges(sizes, "doc_id", "tie", "size", file_bytes_target)
     coded = written(rows.mapInArrow(memory.lean(_tokenised(path, end_id, cuts), keeps=True), "part int, doc_id long, tie long, ids binary").withColumn("kind", F.when(F.col("part") < 0, 1).otherwise(0)), "ids", ["kind"])
-    sums = coded.where("kind = 1").groupBy("kind").applyInPandas(_summed, "ids binary").collect()
-    table = Table.of(np.frombuffer(sums[0].ids, "<i8") if sums else np.zeros(1, np.int64))
+    # one row for each id of the vocabulary
+    sums = {r.id: r.n for r in coded.where("kind = 1").select("ids").mapInArrow(_listed, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    counts = np.zeros(max(sums, default=0) + 1, np.int64)
+    counts[list(sums)] = list(sums.values())
+    table = Table.of(counts)
     shared, folder = spark.sparkContext.broadcast(table), shared_dir(spark)
     dealt = coded.where("kind = 0").select("part", "doc_id", "ids", "tie").repartitionById(len(cuts), "part").sortWithinPartitions("part", "doc_id", "tie")
-    manifest = dealt.mapInArrow(memory.lean(_writer(folder, shared)), "part int, file string, n_docs long, n_tokens long, bytes long, crc32 long")
+    manifest = dealt.mapInArrow(memory.lean(_writer(folder, shared, roll_ids)), "part int, seq int, file string, n_docs long, n_tokens long, bytes long, crc32 long")
     manifest.write.parquet(posixpath.join(folder, "_manifest"))
     return folder, table, spark.read.schema(manifest.schema).parquet(posixpath.join(folder, "_manifest"))
 
@@ -275,7 +281,7 @@ def read_tokens(spark, folder: str, table: Table, manifest: DataFrame) -> DataFr
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files of the manifest."""
     held = spark.sparkContext.broadcast(table)
     # one row for each file: a running sum and number over names and sizes only
-    order = Window.orderBy("part")
+    order = Window.orderBy("part", "seq")
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("k", (F.row_number().over(order) - 1).cast("int"))
-    count = max(1, manifest.count())
-    return files.select("file", "crc32", "start", "k").repartitionById(count, "k").mapInArrow(memory.lean(_reader(folder, held)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    count = max(1, min(manifest.count(), MOST_READERS))
+    return files.select("file", "crc32", "start", (F.col("k") % count).alias("k")).repartitionById(count, "k").mapInArrow(memory.lean(_reader(folder, held)), "doc_id long, start long, n_tokens long, ids_crc32 long")

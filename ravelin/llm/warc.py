@@ -231,9 +231,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _one_by_one(files: DataFrame) -> DataFrame:
-    """The files of a manifest, one in each task."""
-    numbered = files.withColumn("n", F.row_number().over(Window.orderBy("file")) - 1)
-    return numbered.repartitionById(max(1, files.count()), F.col("n").cast("int")).drop("n")
+    """The files of a manifest, one in each task, or a few where there are very many."""
+    tasks = max(1, min(files.count(), histsort.MOST_RANGES))
+    numbered = files.withColumn("n", (F.row_number().over(Window.orderBy("file")) - 1) % tasks)
+    return numbered.repartitionById(tasks, F.col("n").cast("int")).drop("n")
 
 
 def read_warc(folder: str, manifest: DataFrame) -> DataFrame:

@@ -203,6 +203,39 @@ def test_exchange_saves_sequences(spark):
     rows = [(k, 0, 0, 700 if k % 2 else 324, 0) for k in range(2000)]
     parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
     assert packing.packed(parts, partition_rows=100).select("sequence_id").distinct().count() == 1000
+    found = packing.packed(parts, first_rows=50)
+    assert found.select("sequence_id").distinct().count() == 1000 and found.count() == 2000
+    assert {r[0] >> 56 for r in found.select("sequence_id").collect()} > {0}  # some were settled before the exchange, some after
+
+
+def test_exchange_keeps_what_was_better(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, 0, 0, int(x), 0) for k, x in enumerate(rng.integers(200, 700, 3000))]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = packing.packed(parts, partition_rows=400, first_rows=100).collect()
+    assert sorted(r.doc_id for r in found) == list(range(3000))
+    filled = {}
+    for r in sorted(found, key=lambda r: r.offset):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    whole = len(packing.best_fit(np.array([r[3] for r in rows]))[2])
+    assert max(filled.values()) <= 1024 and len(filled) <= 1.02 * whole
+
+
+def test_ranges_have_a_bound(spark):
+    rows = spark.range(1000).selectExpr("id AS k", "0L AS t", "1 + id % 3 AS w")
+    assert len(histsort.key_ranges(rows, "k", "t", "w", 10, most=7)) in (6, 7)
+    assert len(histsort.key_ranges(rows, "k", "t", "w", 500)) == 4
+
+
+def test_token_files_are_rolled(spark):
+    path = vocabulary("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    folder, table, manifest = rans.write_tokens(docs, path, roll_ids=3000)
+    files = manifest.orderBy("part", "seq").collect()
+    assert len(files) > 5 and len({r.part for r in files}) == 1 and [r.seq for r in files] == list(range(len(files)))
+    cut = sorted(map(tuple, rans.read_tokens(spark, folder, table, manifest).collect()))
+    assert cut == sorted(map(tuple, rans.read_tokens(spark, *rans.write_tokens(docs, path)).collect()))
 
 
 def test_decontamination(odd, none, spark):
