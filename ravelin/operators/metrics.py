@@ -159,12 +159,43 @@ def refresh_plan(records: DataFrame, changed: DataFrame, key: str, period: str,
     return changed_periods(records, changed, key, period).select(F.col(period).alias("period"), F.lit("periods").alias("mode"), F.lit(None).cast("string").alias("reason"))
 
 
-def nested_counts(records: DataFrame, ident: str, keys: list[str], eighths: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
-    """(eighths, rows, combos, once, twice): rows and combinations of the keys in nested samples by a hash of the record, in one pass.
+#: Parts that a table is laid out in for samples; a sample is the first so many, so each is part of the next one.
+LAID_PARTS = 16
 
-    Each sample is part of the next one. Combinations that occur once or twice say how many are unseen.
-    """
+
+def laid_out(records: DataFrame, ident: str, path: str) -> DataFrame:
+    """The records written in LAID_PARTS parts by a hash of the record, once; a sample of some parts then reads no file of the others."""
     part = F.conv(F.substring(F.md5(F.col(ident).cast("string")), 1, 1), 16, 10).cast("int")
-    own = records.select(*keys, part.alias("_h")).groupBy(*keys).agg(*[F.count_if(F.col("_h") < 2 * e).alias(f"_{e}") for e in eighths])
-    sums = [F.struct(F.lit(e).alias("eighths"), F.sum(f"_{e}").alias("rows"), F.count_if(F.col(f"_{e}") > 0).alias("combos"), F.count_if(F.col(f"_{e}") == 1).alias("once"), F.count_if(F.col(f"_{e}") == 2).alias("twice")).alias(f"s{e}") for e in eighths]
-    return own.agg(*sums).select(F.explode(F.array(*[f"s{e}" for e in eighths])).alias("s")).select("s.*")
+    rows = records.withColumn("_part", part)
+    rows.repartition("_part").write.partitionBy("_part").parquet(path)
+    return records.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def sampled_combos(laid: DataFrame, keys: list[str], eighths: int) -> DataFrame:
+    """(eighths, rows, combos, once, twice) of a sample of ``laid_out`` records: the filter is one of folders, so the scan reads only these."""
+    own = laid.where(F.col("_part") < 2 * eighths).groupBy(*keys).agg(F.count("*").alias("n"))
+    return own.agg(F.lit(eighths).alias("eighths"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("combos"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+
+
+def estimated(samples: DataFrame, total: int) -> DataFrame:
+    """``samples`` with two estimates of all combinations of ``total`` rows, both of them blended, and how far they are apart.
+
+    Those met once and twice tell how many are unseen of a population that is sampled with repetition (low, if rows have more combinations
+    than a sample shows); those met once scaled by the root of the share tell it of one drawn without. The blend is their geometric
+    mean, and half of the logarithm of their ratio its error.
+    """
+    unseen = F.col("combos") + F.col("once") * F.col("once") / (2.0 * F.greatest("twice", F.lit(1)))
+    scaled = F.sqrt(F.try_divide(F.lit(float(total)), "rows")) * F.col("once") + (F.col("combos") - F.col("once"))
+    out = samples.withColumns({"unseen": F.least(unseen, F.lit(float(total))), "scaled": F.least(scaled, F.lit(float(total)))})
+    return out.withColumns({"blended": F.sqrt(F.col("unseen") * F.col("scaled")), "error": F.abs(F.log(F.try_divide("unseen", "scaled"))) / 2})
+
+
+def estimate(laid: DataFrame, keys: list[str], total: int, close: float = 0.1, ladder: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """One row of ``estimated``: of the smallest sample whose two estimates are ``close``, else of the largest. A larger sample is read only
+    if the one before it doesn't do."""
+    for eighths in ladder:
+        now = estimated(sampled_combos(laid, keys, eighths), total)
+        row = now.first()
+        if row["error"] is not None and row["error"] <= close:
+            break
+    return laid.sparkSession.createDataFrame([row], now.schema)

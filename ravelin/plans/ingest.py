@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.functions import texts as keys
-from ravelin.operators import matching, profiles
+from ravelin.operators import insights, matching, profiles
 from ravelin.plans.registry import near_names_sql, question
+from ravelin.sources.files import scratch
 
 c = F.col
 _NEW = "(SELECT p_partkey + 10 AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE upper(p_name) END AS name, p_size FROM part WHERE p_partkey % 4 = 0)"
@@ -285,23 +286,49 @@ def _(t):
     return at(50).join(seen, ["l_suppkey", "m"], "left_anti")
 
 
-_FINDING = "SELECT '{0}' AS recipe, {1}::VARCHAR AS key, (count(*) FILTER (l_returnflag = 'R') / count(*)) / p AS ratio, count(*) AS support FROM lineitem {2}, (SELECT count(*) FILTER (l_returnflag = 'R') / count(*) AS p FROM lineitem) GROUP BY {1}, p".format
+def insight_cells(t):
+    """(axis, key, period, hits, total) of returns by supplier, brand, priority and nation."""
+    rows = t.lineitem.join(t.part.select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey"), "left").join(t.orders.select("o_orderkey", "o_orderpriority"), c("l_orderkey") == c("o_orderkey"), "left")
+    axes = F.array(*[F.struct(F.lit(k).alias("axis"), v.cast("string").alias("key")) for k, v in (("supplier", c("l_suppkey")), ("brand", c("p_brand")), ("priority", c("o_orderpriority")))])
+    own = rows.select(F.explode(axes).alias("a"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("period"), (c("l_returnflag") == "R").cast("int").alias("hit"))
+    return own.where("a.key is not null and period is not null").groupBy("a.axis", "a.key", "period").agg(F.sum("hit").alias("hits"), F.count("*").alias("total"))
 
 
-@question("insight_scan", f"SELECT recipe, key, round(ratio, 6) AS ratio, support, round(abs(ln(ratio)) * least(1.0, ln(1 + support) / ln(1001)), 6) AS score FROM ({_FINDING('supplier', 'l_suppkey', '')} UNION ALL {_FINDING('brand', 'p_brand', 'JOIN part ON l_partkey = p_partkey')} UNION ALL {_FINDING('month', 'month(l_shipdate)', '')}) WHERE ratio > 0 QUALIFY row_number() OVER (PARTITION BY recipe ORDER BY score DESC, key) <= 5")
+_AXIS = "SELECT '{0}' AS axis, {1}::VARCHAR AS key, date_trunc('month', l_shipdate)::DATE AS period, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS total FROM lineitem {2} WHERE {1} IS NOT NULL GROUP BY ALL".format
+_CELLS = f"cells AS MATERIALIZED ({_AXIS('supplier', 'l_suppkey', '')} UNION ALL {_AXIS('brand', 'p_brand', 'JOIN part ON l_partkey = p_partkey')} UNION ALL {_AXIS('priority', 'o_orderpriority', 'JOIN orders ON l_orderkey = o_orderkey')})"
+_SHARE = "(SELECT axis, key, abs(ln((h / n) / p)) AS strength, (h - n * p) ** 2 / (n * p * (1 - p)) AS statistic, 1 AS df, n::BIGINT AS support FROM (SELECT axis, key, sum(hits) AS h, sum(total) AS n FROM cells GROUP BY 1, 2) JOIN (SELECT axis, sum(hits) / sum(total) AS p FROM cells GROUP BY 1) USING (axis) WHERE h > 0)"
+_RECENT = "(SELECT axis, key, abs(r) AS strength, r * r / (1 / h0 + 1 / h1) AS statistic, 1 AS df, n1::BIGINT AS support FROM (SELECT *, ln((h1 / n1) / (h0 / n0)) AS r FROM (SELECT axis, key, sum(hits) FILTER (period < since) AS h0, sum(hits) FILTER (period >= since) AS h1, sum(total) FILTER (period < since) AS n0, sum(total) FILTER (period >= since) AS n1 FROM cells JOIN (SELECT axis, (max(period) - INTERVAL 11 MONTH)::DATE AS since FROM cells GROUP BY 1) USING (axis) GROUP BY 1, 2) WHERE h0 > 0 AND h1 > 0))"
+_UNSTEADY = "(SELECT axis, key, sqrt(statistic / support) AS strength, statistic, (months - 1)::INT AS df, support FROM (SELECT axis, key, sum((hits - total * p) ** 2 / (total * p * (1 - p))) AS statistic, count(*) AS months, sum(total)::BIGINT AS support FROM cells JOIN (SELECT axis, key, sum(hits) / sum(total) AS p FROM cells GROUP BY 1, 2) USING (axis, key) WHERE p > 0 AND p < 1 GROUP BY 1, 2) WHERE months > 1)"
+_FOUND = {"share": _SHARE, "recent": _RECENT, "unsteady": _UNSTEADY}
+_MEASURE = ", ".join(f"round({n}, 6) AS {n}" for n in ("strength", "statistic"))
+
+
+def _measure(rows):
+    return rows.withColumns({n: F.round(n, 6) for n in ("strength", "statistic")})
+
+
+for _name, _sql in _FOUND.items():
+    # each recipe by itself; the scan below has the same findings
+    question(f"insight_{_name}", f"WITH {_CELLS} SELECT axis, key, {_MEASURE}, df, support FROM {_sql}")(lambda t, recipe=insights.RECIPES[_name]: _measure(recipe(insight_cells(t))))
+
+
+@question("insight_scan", f"WITH {_CELLS}, f AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS recipe, * FROM {v}' for k, v in _FOUND.items())}), s AS (SELECT *, strength * least(1.0, ln(1 + support) / ln(1001)) AS score FROM f) SELECT recipe, axis, key, {_MEASURE}, df, support, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY recipe, axis ORDER BY round(score, 6) DESC, key) <= 5")
+def _(t):
+    """Findings of all recipes over all axes on one scale: strength times support, the five strongest of each recipe and axis."""
+    found = insights.scored(insights.measured(insight_cells(t))).withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("recipe", "axis").orderBy(F.desc("score"), "key")
+    return _measure(found.withColumn("r", F.row_number().over(order)).where("r <= 5").drop("r", "print"))
+
+
+@question("insight_judged")
 def _(t):
-    """Findings of several recipes on one scale: strength (how far a share is from the whole's) times support (how many it rests on), and
-    the five strongest of each."""
-    rows = t.lineitem.join(t.part.select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey"), "left")
-    whole = t.lineitem.agg((F.count_if(c("l_returnflag") == "R") / F.count("*")).alias("p"))
-    out = None
-    for recipe, key in (("supplier", c("l_suppkey")), ("brand", c("p_brand")), ("month", F.month("l_shipdate"))):
-        one = rows.groupBy(key.cast("string").alias("key")).agg(F.count_if(c("l_returnflag") == "R").alias("hits"), F.count("*").alias("support")).withColumn("recipe", F.lit(recipe))
-        out = one if out is None else out.unionByName(one)
-    out = out.crossJoin(F.broadcast(whole)).withColumn("ratio", c("hits") / c("support") / c("p")).where("ratio > 0")
-    out = out.withColumn("score", F.round(F.abs(F.log("ratio")) * F.least(F.lit(1.0), F.log(1 + c("support")) / math.log(1001)), 6))
-    ranked = out.withColumn("r", F.row_number().over(Window.partitionBy("recipe").orderBy(F.desc("score"), "key"))).where("r <= 5")
-    return ranked.select("recipe", "key", F.round("ratio", 6).alias("ratio"), "support", "score")
+    """The findings that stay when no more than one of twenty may be false, over all recipes and axes; unchanged cells keep what a first scan,
+    of all but the last month, said of them."""
+    cells = insight_cells(t)
+    path = scratch(t.spark)
+    insights.measured(cells.where("axis <> 'brand' or period < '2001-06-01'")).write.parquet(path)
+    found = insights.judged(insights.scored(insights.measured(cells, t.spark.read.parquet(path))))
+    return found.where("kept").select("recipe", "axis", "key", *[F.round(n, 6).alias(n) for n in ("strength", "score", "p", "q")])
 
 
 _MISSED = "(VALUES (1, 'blu bolt'), (2, 'red gear x'), (3, 'no such thing')) AS q(id, asked)"

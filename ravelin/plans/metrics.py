@@ -173,18 +173,29 @@ def _(t):
     return cells(t).groupBy(key.alias("cell")).agg(F.sum("count").alias("n"))
 
 
-_NESTED = "(SELECT * FROM (SELECT unnest([1, 2, 4, 8])::INT AS eighths) e, LATERAL (SELECT sum(n)::BIGINT AS rows, count(*) AS combos, count(*) FILTER (n = 1) AS once, count(*) FILTER (n = 2) AS twice FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE strpos('0123456789abcdef', md5(l_orderkey::VARCHAR)[1:1]) - 1 < 2 * eighths GROUP BY 1, 2)))"
+_SAMPLE = "(SELECT {0}::INT AS eighths, sum(n)::BIGINT AS rows, count(*) AS combos, count(*) FILTER (n = 1) AS once, count(*) FILTER (n = 2) AS twice FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE strpos('0123456789abcdef', md5(l_orderkey::VARCHAR)[1:1]) - 1 < 2 * {0} GROUP BY 1, 2))".format
+_ESTIMATED = f"(SELECT *, sqrt(unseen * scaled) AS blended, abs(ln(unseen / scaled)) / 2 AS error FROM (SELECT *, least(combos + once * once / (2.0 * greatest(twice, 1)), total) AS unseen, least(sqrt(total / rows) * once + (combos - once), total) AS scaled FROM ({' UNION ALL '.join(_SAMPLE(k) for k in (1, 2, 4))}), (SELECT count(*)::DOUBLE AS total FROM lineitem)))"
+_ROUNDED = "eighths, rows, combos, once, twice, round(unseen, 3) AS unseen, round(scaled, 3) AS scaled, round(blended, 3) AS blended, round(error, 6) AS error"
 
 
-@question("metric_estimate", f"SELECT * FROM {_NESTED}")
+def _laid(t):
+    return metrics.laid_out(t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey"), "l_orderkey", files.scratch(t.spark) + "/laid")
+
+
+def _rounded(rows):
+    return rows.withColumns({**{n: F.round(n, 3) for n in ("unseen", "scaled", "blended")}, "error": F.round("error", 6)})
+
+
+@question("metric_estimate", f"SELECT {_ROUNDED} FROM {_ESTIMATED} ORDER BY error > 0.1, CASE WHEN error <= 0.1 THEN eighths ELSE -eighths END LIMIT 1")
 def _(t):
-    return metrics.nested_counts(t.lineitem, "l_orderkey", ["l_suppkey", "l_partkey"])
+    """How many cells a metric of two axes will have, from the smallest sample that says it."""
+    return _rounded(metrics.estimate(_laid(t), ["l_suppkey", "l_partkey"], t.lineitem.count()))
 
 
-@question("metric_estimate_combos", f"SELECT eighths, round(combos + once * once / (2.0 * greatest(twice, 1)), 3)::DOUBLE AS chao, round(sqrt((SELECT count(*) FROM lineitem) / rows) * once + (combos - once), 3) AS spread FROM {_NESTED} WHERE eighths < 8")
+@question("metric_estimate_combos", f"SELECT {_ROUNDED} FROM {_ESTIMATED}")
 def _(t):
-    """Combinations of all rows by two estimates from each sample: unseen ones from those met once and twice, and those met once scaled up."""
-    own = metrics.nested_counts(t.lineitem, "l_orderkey", ["l_suppkey", "l_partkey"])
-    own = own.crossJoin(F.broadcast(t.lineitem.agg(F.count("*").alias("total")))).where("eighths < 8")
-    chao = c("combos") + c("once") * c("once") / (2.0 * F.greatest("twice", F.lit(1)))
-    return own.select("eighths", F.round(chao, 3).alias("chao"), F.round(F.sqrt(c("total") / c("rows")) * c("once") + (c("combos") - c("once")), 3).alias("spread"))
+    laid, total = _laid(t), t.lineitem.count()
+    one, *more = [metrics.sampled_combos(laid, ["l_suppkey", "l_partkey"], k) for k in (1, 2, 4)]
+    for x in more:
+        one = one.union(x)
+    return _rounded(metrics.estimated(one, total))
