@@ -118,11 +118,24 @@ class TooManyCells(ValueError):
     pass
 
 
+def _by_period(found: DataFrame, path: str, overwrite: str) -> None:
+    """Cells written by period: the rows of a period come together first, so that it is a file or few, and a large one is split."""
+    found.hint("rebalance", "period").write.mode("overwrite").option("partitionOverwriteMode", overwrite).partitionBy("period").parquet(path)
+
+
 def write_cells(found: DataFrame, path: str, most: int = 10_000_000) -> None:
-    """Cells as a table by period. More than ``most`` raise: counting stops at one more, and nothing is written."""
-    if found.limit(most + 1).count() > most:
+    """Cells as a table by period. If there are more than ``most``, it raises and the place stays as it was: cells are written beside it, counted
+    from the files' own sums and moved there."""
+    spark, beside = found.sparkSession, f"{path}.new"
+    _by_period(found, beside, "static")
+    files = spark._jvm.org.apache.hadoop.fs
+    old, new = files.Path(path), files.Path(beside)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if spark.read.parquet(beside).count() > most:
+        fs.delete(new, True)
         raise TooManyCells(f"the metric has more than {most} cells; leave out an axis or take a coarser one")
-    found.write.mode("overwrite").partitionBy("period").parquet(path)
+    fs.delete(old, True)
+    fs.rename(new, old)
 
 
 def rewrite_periods(path: str, records: DataFrame, periods: DataFrame, keys: list[str], value: Column) -> None:
@@ -131,11 +144,13 @@ def rewrite_periods(path: str, records: DataFrame, periods: DataFrame, keys: lis
     A run that is repeated after a failure writes the same cells again. The driver holds the list of periods, which the calendar bounds.
     """
     spark = records.sparkSession
-    wanted = {r[0] for r in periods.select("period").distinct().collect()}
-    p = periods.select(F.col("period").alias("_p")).distinct()
-    new = cells(records.join(p, F.col("period").eqNullSafe(F.col("_p")), "left_semi"), keys, value)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+    p = periods.select(F.col("period").alias("_p")).distinct().persist()
+    wanted = {r[0] for r in p.collect()}
+    new = cells(records.join(F.broadcast(p), F.col("period").eqNullSafe(F.col("_p")), "left_semi"), keys, value).persist()
+    _by_period(new, path, "dynamic")
     left = {r[0] for r in new.select("period").distinct().collect()}
+    new.unpersist()
+    p.unpersist()
     files = spark._jvm.org.apache.hadoop.fs
     for gone in wanted - left:
         place = files.Path(f"{path}/period={'__HIVE_DEFAULT_PARTITION__' if gone is None else gone}")

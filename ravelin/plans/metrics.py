@@ -148,13 +148,16 @@ def _(t):
 def _(t):
     """Cells are written without some orders; then those come, and all records of the first period go. Only the touched periods are
     written again, and what stands there equals the cells of all records that are left."""
-    path = files.scratch(t.spark)
-    first = t.records.agg(F.min("period").alias("period"))
+    path = files.scratch(t.spark) + "/cells"
+    # records are read once, with the columns that are asked for
+    records = t.records.select("o_orderkey", *KEYS, "l_quantity").persist()
+    first = records.agg(F.min("period").alias("period"))
     late = t.orders.where("o_orderkey % 13 = 0").select("o_orderkey")
-    metrics.write_cells(metrics.cells(t.records.join(late, "o_orderkey", "left_anti"), KEYS, c("l_quantity")), path)
-    now = t.records.join(F.broadcast(first.withColumnRenamed("period", "_f")), c("period") == c("_f"), "left_anti")
-    touched = metrics.changed_periods(t.records, late, "o_orderkey", "period").union(first).distinct()
+    metrics.write_cells(metrics.cells(records.join(late, "o_orderkey", "left_anti"), KEYS, c("l_quantity")), path)
+    now = records.join(F.broadcast(first.withColumnRenamed("period", "_f")), c("period") == c("_f"), "left_anti")
+    touched = metrics.changed_periods(records, late, "o_orderkey", "period").union(first).distinct()
     metrics.rewrite_periods(path, now, touched, KEYS, c("l_quantity"))
+    records.unpersist()
     kinds = {f.name: f.dataType.simpleString() for f in metrics.cells(t.records, KEYS, c("l_quantity")).schema.fields}
     return t.spark.read.schema(", ".join(f"`{k}` {v}" for k, v in kinds.items())).parquet(path)
 
