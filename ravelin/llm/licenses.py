@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from ravelin.llm.store import written
 
-#: Words of a run; diagonals that are merged; share of a template's runs that a span must cover; words that it may have besides, at
-#: least and as a share of the template's.
+#: Words of a run; share of a template's runs that a span must cover; words that it may have besides, at least and as a share of the
+#: template's; diagonals that are merged: those as far apart as such words shift them, NEAR at least.
 GRAM, NEAR, COVER, SLACK, SLACK_SHARE = 3, 2, 0.8, 4, 0.1
 #: The phrases that always count, and their labels.
 PHRASES = [
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     diagonals = written(diagonals, "diagonals")
     full = F.size("places") == F.col("runs")
     order = Window.partitionBy("doc_id", "h", "template").orderBy("d")
-    group = F.sum(F.when(F.col("d") - F.lag("d").over(order) <= NEAR, 0).otherwise(1)).over(order)
+    group = F.sum(F.when(F.col("d") - F.lag("d").over(order) <= F.greatest(F.lit(NEAR), F.floor(F.col("runs") * SLACK_SHARE)), 0).otherwise(1)).over(order)
     spans = (
         diagonals.where("not base")
         .withColumn("group", group)

@@ -6,6 +6,9 @@ import os
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
         base = "file://" + os.path.abspath(base)
-    return posixpath.join(base, "ravelin-" + uuid.uuid4().hex)
+    return posixpath.join(_run.get() or base, "ravelin-" + uuid.uuid4().hex)
+
+
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[str]:
+    """All that is written in the block lies in one folder, which is deleted at its end; so what is wanted must be written elsewhere, or
+    collected, within it. Without such a block intermediate tables stay, as results are lazy and read from them."""
+    folder = shared_dir(spark)
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str, parts: list[str] | None = None) -> DataFrame:

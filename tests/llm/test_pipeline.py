@@ -16,3 +16,16 @@ def test_stages(spark):
             assert again.where("contaminated").count() == 0
             assert left[-1] > 0.6 * left[0]
     assert set(docs.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+def test_a_runs_folder_is_cleared(spark):
+    import os
+
+    from ravelin.llm import hostrules, store
+
+    docs = spark.createDataFrame([(k, f"some words of text number {k} which are enough to stay", "h") for k in range(20)], "doc_id long, text string, source string")
+    with store.cleared(spark) as folder:
+        assert len(hostrules.judged(docs).collect()) == 20
+        inside = os.listdir(folder.removeprefix("file://"))
+    assert inside and not os.path.exists(folder.removeprefix("file://"))
+    assert not store.shared_dir(spark).startswith(folder)

@@ -128,6 +128,28 @@ def test_whole_license_texts_are_found(spark):
     assert (got[1000].labels, got[1000].score, got[1001].n_words) == ("", 0.0, 0)
 
 
+def test_edited_license_texts_are_found(spark):
+    """Lines put in, cut out and replaced: what is left of a text is found while it is most of it, wherever the changes are."""
+    import random
+
+    rng, rows, wanted = random.Random(4), [], {}
+    whole = [(label, text.split()) for label, text in licenses.TEXTS if len(text.split()) >= 100]
+    for label, words in whole:
+        for how in ("put", "cut", "changed", "twice"):
+            for _ in range(4):
+                own, line = list(words), [f"word{rng.randrange(900)}" for _ in range(8)]
+                at = rng.randrange(10, len(own) - 18)
+                own[at : at + {"put": 0, "cut": 8, "changed": 8, "twice": 0}[how]] = [] if how == "cut" else line
+                if how == "twice":
+                    at = rng.randrange(10, len(own) - 18)
+                    own[at:at] = line[:2]
+                wanted[len(rows)] = label
+                rows.append((len(rows), "some text before. " + " ".join(own) + " and more behind"))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases=[], templates=licenses.TEXTS).collect()}
+    met = sum(label in got[k].labels.split(",") for k, label in wanted.items())
+    assert met >= 0.95 * len(wanted) and all(len(got[k].labels.split(",")) <= 2 for k in wanted)
+
+
 def test_long_words_are_summed_over_as_a_whole():
     pieces = langid.Pieces({"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "bab": 5})
     p = np.array([[0.1, 0.2], [0.2, 0.1], [0.3, 0.2], [0.25, 0.1], [0.15, 0.3], [0.05, 0.2], [1e-9, 1e-9]])
