@@ -80,6 +80,18 @@ def _(t):
     return pages.select("event_id", "page")
 
 
+@question("src_incremental_cursor", "WITH s AS (SELECT ts, event_id FROM events WHERE ts > TIMESTAMP '2024-01-25 00:00:00'), a AS (SELECT 1 AS page, ts, event_id FROM s WHERE event_id % 2 = 0 ORDER BY ts, event_id LIMIT 100), b AS (SELECT 2 AS page, ts, event_id FROM s WHERE (ts, event_id) > (SELECT max((ts, event_id)) FROM a) ORDER BY ts, event_id LIMIT 100), c AS (SELECT 3 AS page, ts, event_id FROM s WHERE (ts, event_id) > (SELECT max((ts, event_id)) FROM b) ORDER BY ts, event_id LIMIT 100) SELECT page, event_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)")
+def _(t):
+    """Three pages behind a cursor: odd events come in after the first page; those that lie before the cursor aren't read any more."""
+    now = files.changed_since(t.events, "ts", "2024-01-25 00:00:00").select("ts", "event_id")
+    cursor, out = None, None
+    for k, rows in enumerate([now.where("event_id % 2 = 0"), now, now]):
+        page, cursor = files.page_behind(rows, ["ts", "event_id"], cursor, 100)
+        one = page.select(F.lit(k + 1).alias("page"), "event_id")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @question("src_overlap_incremental", "SELECT DISTINCT event_id FROM events WHERE ts > TIMESTAMP '2024-01-19 23:55:00'")
 def _(t):
     return files.changed_since(t.events, "ts", "2024-01-20 00:00:00", 5).select("event_id").dropDuplicates(["event_id"])

@@ -60,6 +60,21 @@ def keyset_pages(rows: DataFrame, key: list[str], size: int) -> DataFrame:
     return placed(rows, [F.asc(k) for k in key], name="_place").withColumn("page", F.expr(f"(_place - 1) div {size} + 1")).drop("_place")
 
 
+def page_behind(rows: DataFrame, key: list[str], cursor: tuple | None, size: int) -> tuple[DataFrame, tuple | None]:
+    """(page, cursor): the first ``size`` rows behind a cursor in the order of a unique key, and the cursor behind them (none if no row is left).
+
+    The cursor is the last key that was read, so what comes in before it isn't seen and what comes in behind it is; the filter on its first
+    column reaches the scan, each task keeps ``size`` rows, and only the last key comes to the driver.
+    """
+    behind = F.lit(True)
+    if cursor is not None:
+        at = [F.lit(x).cast(rows.schema[k].dataType) for k, x in zip(key, cursor, strict=True)]
+        behind = (F.col(key[0]) >= at[0]) & (F.struct(*key) > F.struct(*[x.alias(k) for k, x in zip(key, at)]))
+    page = rows.where(behind).orderBy(*key).limit(size)
+    last = page.agg(F.max(F.struct(*key)).alias("last")).first()["last"]
+    return page, cursor if last is None else tuple(last)
+
+
 def drift(known: DataFrame, now: DataFrame) -> list[tuple[str, str]]:
     """(column, missing | new | retyped), from schemas only."""
     a, b = dict(known.dtypes), dict(now.dtypes)
