@@ -16,7 +16,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     found = llm.queries()[name](spark, DATA)
     columns = sorted(found.columns)
