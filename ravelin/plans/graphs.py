@@ -104,7 +104,7 @@ def _(t):
 
 @question("rollup_weighted", f"{_EXPLODED} SELECT sum(q * p_size)::BIGINT AS weighted, sum(q)::BIGINT AS quantity, round(sum(q * p_size) / sum(q), 6) AS mean, round(sum(q * ln(p_size)), 4) AS log_power FROM s JOIN part ON node = p_partkey WHERE level > 0")
 def _(t):
-    own = graphs.explosion(t.bom, 0, "parent", "child", "qty").join(t.part, c("node") == c("p_partkey"))
+    own = graphs.explosion(t.bom, 0, "parent", "child", "qty").join(t.part.hint("merge"), c("node") == c("p_partkey"))
     return own.agg(F.sum(c("quantity") * c("p_size")).alias("weighted"), F.sum("quantity").alias("quantity"), F.round(F.sum(c("quantity") * c("p_size")) / F.sum("quantity"), 6).alias("mean"), F.round(F.sum(c("quantity") * F.log("p_size")), 4).alias("log_power"))
 
 

@@ -14,3 +14,20 @@ def test_parts_list_is_whole_and_ends_at_a_cycle(spark):
     assert sorted((r.level, r.node, len(r.path)) for r in lines) == [(k, k, k + 1) for k in range(1, 24)]
     with pytest.raises(ValueError, match="cycle"):
         graphs.indented(chain(spark, 3).union(spark.createDataFrame([(3, 1, 1)], "a long, b long, q long")), 0, "a", "b", "q")
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    plans, cut = [], graphs._cut
+
+    def told(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(graphs, "_cut", told)
+    edges = chain(spark, 3)
+    graphs.explosion(edges, 0, "a", "b", "q").collect()
+    graphs.chains(edges, 0, 3, "a", "b")
+    graphs.subtree_fold(edges, edges.selectExpr("b as node", "q as v"), "a", "b", "v")
+    joined = [p for p in plans if "Join" in p]
+    assert joined and not [p for p in joined if "BroadcastHashJoin" in p]
