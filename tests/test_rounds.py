@@ -1,8 +1,12 @@
 """Loops over rounds: whole results however deep or many, and nothing of a round's size through the driver."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 
-from ravelin.operators import graphs
+from ravelin.operators import graphs, vectors
 
 
 def chain(spark, n):
@@ -31,3 +35,17 @@ def test_rounds_broadcast_nothing(spark, monkeypatch):
     graphs.subtree_fold(edges, edges.selectExpr("b as node", "q as v"), "a", "b", "v")
     joined = [p for p in plans if "Join" in p]
     assert joined and not [p for p in joined if "BroadcastHashJoin" in p]
+
+
+def test_exact_search_keeps_few_rows_in_memory():
+    rng = np.random.default_rng(3)
+    rows, units = rng.normal(size=(10_000, 8)), vectors._unit(pd.Series(list(rng.normal(size=(1024, 8)))))
+    frames = [pd.DataFrame({"v": list(rows), "first": np.arange(10_000), "second": np.full(10_000, np.nan), "same": 1})]
+    ids = np.arange(1024)
+    tracemalloc.start()
+    got = pd.concat(vectors.best_pieces(iter(frames), ids, -1 - ids, units, -1.0, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = np.sort(units @ vectors._unit(frames[0].v).T, axis=1)[:, :-6:-1]
+    assert np.allclose(np.stack([g.sort_values("score", ascending=False).score for _, g in got.groupby("query")]), best)
+    assert peak < 100e6
