@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from ravelin.operators import graphs, vectors
+from pyspark.sql import functions as F
+
+from ravelin.operators import graphs, ordered, vectors
 
 
 def chain(spark, n):
@@ -49,3 +51,12 @@ def test_exact_search_keeps_few_rows_in_memory():
     best = np.sort(units @ vectors._unit(frames[0].v).T, axis=1)[:, :-6:-1]
     assert np.allclose(np.stack([g.sort_values("score", ascending=False).score for _, g in got.groupby("query")]), best)
     assert peak < 100e6
+
+
+def test_least_from_a_row_on_is_read_once(spark):
+    rows = spark.createDataFrame([(k, float((7 * k) % 11)) for k in range(40)], "k long, v double")
+    out = ordered.placed(rows, [F.asc("k")], least={"m": F.col("v")})
+    v = [(7 * k) % 11 for k in range(40)]
+    assert [(r["rank"], r.m) for r in out.orderBy("k").collect()] == [(k + 1, min(v[k:])) for k in range(40)]
+    # a frame from the row to the end is read anew for each row, which costs the square of a piece
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().toString()
