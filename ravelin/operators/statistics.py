@@ -108,15 +108,21 @@ def changes(counts: np.ndarray, exposures: np.ndarray, penalty: float, least: in
     n = len(counts)
     c, e = np.concatenate(([0.0], np.cumsum(counts))), np.concatenate(([0.0], np.cumsum(exposures)))
 
-    def cost(i: int, j: int) -> float:
-        k, x = c[j] - c[i], e[j] - e[i]
-        return 0.0 if k <= 0 or x <= 0 else -2 * k * math.log(k / x) / phi
-
-    best, last = [0.0] + [math.inf] * n, [0] * (n + 1)
+    best, last = np.full(n + 1, math.inf), [0] * (n + 1)
+    best[0] = 0.0
+    changed = np.full(n + 1, penalty)
+    changed[0] = 0.0
     for j in range(least, n + 1):
-        for i in range(0, j - least + 1):
-            if best[i] < math.inf and best[i] + cost(i, j) + (penalty if i else 0) < best[j] - 1e-9:
-                best[j], last[j] = best[i] + cost(i, j) + (penalty if i else 0), i
+        ends = j - least + 1
+        k, x = c[j] - c[:ends], e[j] - e[:ends]
+        some = (k > 0) & (x > 0)
+        cost = np.zeros(ends)
+        cost[some] = -2 * k[some] * np.log(k[some] / x[some]) / phi
+        now = math.inf
+        for i, value in enumerate((best[:ends] + cost + changed[:ends]).tolist()):
+            if value < now - 1e-9:
+                now, last[j] = value, i
+        best[j] = now
     out, j = [], n
     while j > 0 and best[j] < math.inf:
         j = last[j]
@@ -262,7 +268,7 @@ def moving_level(counts: np.ndarray, exposures: np.ndarray, width: int) -> np.nd
     rate = np.divide(counts, exposures, out=np.zeros(len(counts)), where=exposures > 0)
     width = min(width, len(rate))
     first = np.clip(np.arange(len(rate)) - width // 2, 0, len(rate) - width)
-    return np.array([np.median(rate[a : a + width]) for a in first])
+    return np.median(np.lib.stride_tricks.sliding_window_view(rate, width)[first], axis=1) if width else rate
 
 
 def _in_turn(counts: np.ndarray, exposures: np.ndarray, season: np.ndarray, index: np.ndarray, seasonal: bool, penalty: float, rounds: int) -> tuple[list[int], np.ndarray, float]:

@@ -391,6 +391,8 @@ def _(t):
         return pd.DataFrame({"l_suppkey": pd.Series([frame.l_suppkey.iloc[0]] * len(at), dtype="int64"), "m": pd.Series([frame.m.iloc[k] for k in at], dtype="object")})
 
     by = with_totals(by, k=F.count_distinct("l_suppkey"))
+    # dealt by number: small groups that cost much would else be put together by their bytes, into a few long tasks
+    by = by.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "l_suppkey")
     return by.groupBy("l_suppkey").applyInPandas(scan, "l_suppkey long, m date")
 
 

@@ -8,6 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from ravelin import catalog
 from ravelin.operators import graphs, ordered, vectors
 
 
@@ -60,3 +61,8 @@ def test_least_from_a_row_on_is_read_once(spark):
     assert [(r["rank"], r.m) for r in out.orderBy("k").collect()] == [(k + 1, min(v[k:])) for k in range(40)]
     # a frame from the row to the end is read anew for each row, which costs the square of a piece
     assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().toString()
+
+
+def test_scans_of_series_are_dealt_by_number(spark):
+    found = catalog.queries()["stat_changes_scan"](spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
