@@ -90,6 +90,43 @@ def test_depth_has_no_silent_end(spark):
     assert {r.node: r.n for r in graphs.subtree_fold(chain, values, "s", "d", "v").collect()}[0] == 31
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_betweenness_of_some_sources(spark, seed):
+    # trees that hang from circles, a tree alone, a pair alone, and a circle that no source reaches
+    rng = random.Random(seed)
+    edges = {(k, rng.randrange(k)) for k in range(1, 40)} | {(rng.randrange(12), rng.randrange(12)) for _ in range(9)}
+    edges |= {(50, 51), (51, 52), (51, 53), (60, 61), (70, 71), (71, 72), (72, 70), (80, 80)}
+    sources = {k for k in (*range(40), 50, 52, 61) if rng.random() < 0.4} | {61, 99}
+    near = {n: {b for a, b in edges if a == n} | {a for a, b in edges if b == n} for n in range(81)}
+    want = {}
+    for s in sources & set(near):
+        depth, paths, order = {s: 0}, {s: 1}, [s]
+        for x in order:
+            for y in near[x]:
+                if y not in depth:
+                    depth[y], paths[y] = depth[x] + 1, 0
+                    order.append(y)
+                if depth[y] == depth[x] + 1:
+                    paths[y] += paths[x]
+        share = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            for x in near[y]:
+                if depth[x] == depth[y] - 1:
+                    share[x] += paths[x] / paths[y] * (1 + share[y])
+        for x in order[1:]:
+            want[x] = want.get(x, 0.0) + share[x]
+    drawn = spark.createDataFrame([(s,) for s in sources], "node long")
+    df = spark.createDataFrame(list(edges), "a long, b long")
+    got = graphs.betweenness(df, "a", "b", drawn).collect()
+    assert {r.node: r.score for r in got} == pytest.approx(want) and len(got) == len(want)
+    both = df.union(df.selectExpr("b", "a"))
+    assert {r.node: r.score for r in graphs.betweenness(both, "a", "b", drawn, directed=True).collect()} == pytest.approx(want)
+    # what hangs is never a row of a pair: the circles hold what is walked
+    step = graphs._cut(graphs._both_ways(df, "a", "b").where("_s <> _d").distinct())
+    left = graphs._without_hanging(step, step.selectExpr("_s AS node", "0L AS mine", "1L AS t", "0L AS s", "0L AS a", "0L AS b").distinct())[1]
+    assert left.count() < 25 and left.agg({"t": "sum"}).first()[0] == len([n for n in near if near[n] - {n}])
+
+
 def grams(text):
     out = []
     for w in "".join(c if c.isalnum() else " " for c in text.lower()).split():
