@@ -1,11 +1,14 @@
 """Nearest objects by weighted tags: Jaccard similarity where a rare tag weighs more.
 
 Objects with equal tags are one set. Sets meet at rare tags first, whose lists are short; the k-th best score found there bounds what a set
-could still gain from tags that many share, so a common tag is only walked for sets that could gain by it, and then in blocks.
+could still gain from the tags that are left, so a common tag is only walked for sets that could gain by it, the rarest first, and then in
+cells of two blocks of its list, whose pairs are never rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +17,8 @@ from ravelin.operators.graphs import _cut
 
 #: Weights are whole millionths, so that sums are exact in any order.
 UNIT = 1_000_000
-#: Sets that a tag may have to count as rare; lists of common tags are cut into blocks of so many.
-RARE = 200
+#: Sets that a tag may have to count as rare, of a block of a common tag's list, and tags that a cell looks at at once.
+RARE, BLOCK, TAGS_AT_ONCE = 200, 512, 4096
 
 
 def weights(own: DataFrame, ident: str, tag: str) -> DataFrame:
@@ -38,8 +41,9 @@ def nearest_by_tags(rows: DataFrame, ident: str, tag: str, top: int, rare: int =
     Objects that share no tag with a weight aren't near. Null objects and tags are left out, and repeated rows count once.
     """
     own = _cut(rows.select(F.col(ident).alias("id"), F.col(tag).alias("tag")).where("id is not null and tag is not null").distinct())
-    heavy = weights(own, "id", "tag").where("w > 0")
-    tagged = own.join(heavy, "tag").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tag", "w"))).alias("all"))
+    # tags go on as numbers
+    heavy = _cut(weights(own, "id", "tag").where("w > 0").withColumn("no", F.monotonically_increasing_id()))
+    tagged = own.join(heavy, "tag").select("id", F.col("no").alias("tag"), "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tag", "w"))).alias("all"))
     order = Window.partitionBy("all").orderBy("id")
     # of a set only the first few objects can be among another's nearest; ranks are limited before the shuffle
     first = _cut(tagged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top + 1))
@@ -53,13 +57,19 @@ def nearest_by_tags(rows: DataFrame, ident: str, tag: str, top: int, rare: int =
     pairs = few.select(F.col("set").alias("a"), "tag").join(few.select(F.col("set").alias("b"), "tag"), "tag").where("a <> b").select("a", "b").distinct()
     near = _cut(_scored(pairs, sets))
     by_score = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    bound = near.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") == top).select(F.col("a").alias("set"), F.col("score").alias("least"))
-    # pairs that meet at common tags only share at most the weight of these
-    common = lists.where(F.col("n") > rare)
-    may = common.groupBy("set", "total").agg(F.sum("w").alias("most")).join(bound, "set", "left")
-    open_ = _cut(may.where(F.coalesce("least", F.lit(0.0)) <= F.col("most") / F.col("total")).select("set", F.coalesce("least", F.lit(0.0)).alias("least"), "most"))
-    if not open_.isEmpty():
-        near = near.union(_cut(_scored(_common_pairs(common, open_, rare).join(near.select("a", "b"), ["a", "b"], "left_anti"), sets)))
+    bound = lambda rows: rows.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") == top).select(F.col("a").alias("set"), F.col("score").alias("least"))
+    left = Window.partitionBy("set").orderBy("n", "tag")
+    common = lists.where(F.col("n") > rare).withColumns({"turn": F.row_number().over(left), "most": F.sum("w").over(left.rowsBetween(0, Window.unboundedFollowing))})
+    common = _cut(common)
+    last, done = common.agg(F.max("turn")).first()[0] or 0, 0
+    while done < last:
+        # twice as many tags of a set in each round; of what was not met before, no set shares more than the tags from here on
+        now = common.where((F.col("turn") > done) & (F.col("turn") <= max(1, 2 * done))).join(bound(near), "set", "left")
+        asks = _cut(now.where(F.coalesce("least", F.lit(0.0)) <= F.col("most") / F.col("total")).select("set", "tag", "n"))
+        done = max(1, 2 * done)
+        if not asks.isEmpty():
+            met = near.union(_met(common, asks, sets, top)).distinct()
+            near = _cut(met.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") <= top).drop("_r"))
 
     ranked = near.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") <= top)
     found = ranked.join(members.select(F.col("set").alias("b"), "member"), "b").select(F.col("a").alias("set"), "member", "score")
@@ -71,14 +81,50 @@ def nearest_by_tags(rows: DataFrame, ident: str, tag: str, top: int, rare: int =
     return out.select(F.col("id").alias(ident), F.col("x.member").alias("found"), (-F.col("x.s")).alias("score"), (F.col("place") + 1).alias("rank"))
 
 
-def _common_pairs(common: DataFrame, open_: DataFrame, block: int) -> DataFrame:
-    """(a, b) of open sets and others that share a common tag, if totals allow a score of ``least``: the smaller total over the larger is
-    the most that two sets can have, and what is shared is at most what the open set has in common tags."""
-    asks = common.join(open_, "set").select(F.col("set").alias("a"), "tag", F.col("total").alias("_ta"), "least", "most", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(float(block))).cast("int") - 1)).alias("_k"))
-    has = common.select(F.col("set").alias("b"), "tag", F.col("total").alias("_tb"), F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / F.lit(float(block))).cast("int")).cast("int").alias("_k"))
-    shared = F.least("most", "_tb")
-    fits: Column = (F.col("a") != F.col("b")) & (shared >= F.col("least") * (F.col("_ta") + F.col("_tb") - shared))
-    return asks.join(has, ["tag", "_k"]).where(fits).select("a", "b").distinct()
+def _weights_of(rows: pd.DataFrame, tags: np.ndarray, weighed: bool) -> np.ndarray:
+    """A line for each set and a column for each of ``tags`` (sorted): the tag's weight, or one, where the set has it."""
+    line, tag = np.repeat(np.arange(len(rows)), rows.tags.str.len()), np.concatenate(rows.tags.to_list())
+    at = np.minimum(np.searchsorted(tags, tag), len(tags) - 1)
+    here = tags[at] == tag
+    out = np.zeros((len(rows), len(tags)))
+    out[line[here], at[here]] = np.concatenate(rows.weights.to_list())[here] if weighed else 1.0
+    return out
+
+
+def _best_of_cell(asks: pd.DataFrame, has: pd.DataFrame, top: int) -> pd.DataFrame:
+    """(a, b, score) of a cell: for each set that asks its ``top`` others; sums of weights are whole numbers, so they are exact."""
+    has = has.sort_values("set", ignore_index=True)
+    tags = np.intersect1d(np.concatenate(asks.tags.to_list()), np.concatenate(has.tags.to_list()))
+    shared = np.zeros((len(asks), len(has)))
+    for k in range(0, len(tags), TAGS_AT_ONCE):
+        some = tags[k : k + TAGS_AT_ONCE]
+        shared += _weights_of(asks, some, True) @ _weights_of(has, some, False).T
+    a, b = asks.set.to_numpy(), has.set.to_numpy()
+    score = shared / (asks.total.to_numpy()[:, None] + has.total.to_numpy()[None, :] - shared)
+    score[a[:, None] == b[None, :]] = -1.0
+    best = np.argsort(-score, axis=1, kind="stable")[:, :top]
+    out = pd.DataFrame({"a": np.repeat(a, best.shape[1]), "b": b[best.ravel()], "score": np.take_along_axis(score, best, axis=1).ravel()})
+    return out[out.score > 0]
+
+
+def _met(common: DataFrame, asks: DataFrame, sets: DataFrame, top: int) -> DataFrame:
+    """(a, b, score): of the sets that ask at a tag (set, tag, n) the ``top`` best of each block of the tag's list, over all of their tags.
+
+    Both lists are cut into blocks that meet in cells, so a tag of any size is no task's work, and a cell gives a few rows a set.
+    """
+    of = sets.select("set", "total", F.col("all.tag").alias("tags"), F.col("all.w").alias("weights"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK))).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("set"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    sizes = asks.groupBy("tag").agg(F.count("*").alias("m"))
+    left = asks.join(sizes, "tag").select("set", "tag", own("m").alias("i"), every("n").alias("j"), F.lit(True).alias("asks"))
+    right = common.join(sizes, "tag").select("set", "tag", every("m").alias("i"), own("n").alias("j"), F.lit(False).alias("asks"))
+
+    def best(cell: pd.DataFrame) -> pd.DataFrame:
+        asks, has = cell[cell.asks], cell[~cell.asks]
+        return _best_of_cell(asks, has, top) if len(asks) and len(has) else pd.DataFrame({"a": [], "b": [], "score": []})
+
+    return left.union(right).join(of, "set").groupBy("tag", "i", "j").applyInPandas(best, "a long, b long, score double")
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:

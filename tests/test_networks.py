@@ -178,6 +178,22 @@ def test_nearest_by_tags(spark, rare):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_common_tags_make_no_rows_of_pairs(spark, monkeypatch):
+    # 900 sets that all share tags: half a million pairs, of which a cell gives the best of each set only
+    rows = [(k, f"{x}{k // m % n}") for k in range(900) for x, m, n in (("a", 1, 10), ("b", 10, 9), ("c", 90, 10))]
+    met = []
+
+    def told(*args, own=tags._met):
+        met.append(own(*args))
+        return met[-1]
+
+    monkeypatch.setattr(tags, "_met", told)
+    monkeypatch.setattr(tags, "BLOCK", 40)
+    got = tags.nearest_by_tags(spark.createDataFrame(rows, "id long, tag string"), "id", "tag", 5, 20)
+    assert got.groupBy("id").count().where("count = 5").count() == 900 and met
+    assert sum(m.count() for m in met) <= 900 * 3 * 5 * 3
+
+
 def test_equal_vectors_and_repeated_ids(spark):
     a, b, z = [1.0, 0.0], [0.6, 0.8], [0.0, 0.0]
     rows = spark.createDataFrame([(0, a), (1, a), (2, b), (3, a), (4, z), (5, None), (2, b)], "id long, v array<double>")
