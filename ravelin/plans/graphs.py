@@ -171,7 +171,7 @@ def _(t):
 
 @question("graph_topk_edges", "WITH p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY n DESC, a) AS rb FROM p) SELECT a, b, n FROM r WHERE ra <= 3 OR rb <= 3")
 def _(t):
-    pairs = graphs.shared_counts(t.lineitem, "l_suppkey", "l_orderkey").where("a < b").withColumnRenamed("shared", "n")
+    pairs = graphs.shared_counts(t.lineitem, "l_suppkey", "l_orderkey", once=True).withColumnRenamed("shared", "n")
     ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")))
     return ranked.where("ra <= 3 or rb <= 3").select("a", "b", "n")
 
@@ -262,7 +262,7 @@ def _(t):
 @question("graph_cluster")
 def _(t):
     """Groups of suppliers that share orders, by moves that gain modularity, with the modularity of all."""
-    pairs = graphs.shared_counts(t.lineitem, "l_suppkey", "l_orderkey").withColumnRenamed("shared", "w")
+    pairs = graphs._cut(graphs.shared_counts(t.lineitem, "l_suppkey", "l_orderkey").withColumnRenamed("shared", "w"))
     labels = graphs.parallel_groups(pairs, "a", "b", "w")
     return labels.crossJoin(F.broadcast(graphs.modularity(pairs, labels, "a", "b", "w"))).withColumn("modularity", F.round("modularity", 6))
 

@@ -191,6 +191,23 @@ def test_shared_counts_split_hot_items(spark):
     assert got == {(a, b): 1 + (a % 7 == b % 7) for a in range(60) for b in range(60) if a != b}
 
 
+def test_shared_counts_in_more_tasks(spark):
+    from ravelin.operators.graphs import shared_counts
+
+    # one owner has all items, so it is counted in several tasks
+    rows = [(o, o % 20) for o in range(1, 200)] + [(0, i) for i in range(20)] + [(o, None) for o in range(5)] + [(None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "o long, i long")
+    want = {(0, b): 1 for b in range(1, 200)} | {(a, b): 1 for a in range(1, 200) for b in range(a + 1, 200) if a % 20 == b % 20}
+    for at_once in (50, 500, None):
+        found = shared_counts(df, "o", "i", block=7, once=True, at_once=at_once)
+        assert {(r.a, r.b): r.shared for r in found.collect()} == want
+        both = shared_counts(df, "o", "i", at_once=at_once)
+        assert {(r.a, r.b): r.shared for r in both.collect()} == want | {(b, a): n for (a, b), n in want.items()}
+    # about 2200 pairs: tasks are as many as these ask for, and what is counted in a task isn't shuffled as pairs
+    plan = shared_counts(df, "o", "i", at_once=500)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "_with" in plan
+
+
 def test_betweenness_matches_all_paths(spark):
     import itertools
 
