@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a file at most.
 MOST_BYTES = 64 << 20
+#: Rows of a file that is written, about.
+ROWS_A_FILE = 20_000
 #: Encodings in the order in which they are tried; the first one drops a byte order mark.
 ENCODINGS = ("utf-8-sig", "cp949")
 #: Keys of an envelope under which rows may stand.
@@ -90,16 +92,23 @@ def write_bytes(df: DataFrame, folder: str) -> None:
     df.select("name", "content").mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
 
 
-def as_file(rows: DataFrame, group: str, kind: str, encoding: str = "utf-8") -> DataFrame:
-    """(name, content) of one file for each value of ``group``: kind csv, tsv, or the key of a JSON envelope. For exports of bounded groups."""
-    columns = [c for c in rows.columns if c != group]
+def as_file(rows: DataFrame, group: str, kind: str, encoding: str = "utf-8", most: int | None = None) -> DataFrame:
+    """(name, content) of the files of each value of ``group``: kind csv, tsv, or the key of a JSON envelope. A group of more than about ``most``
+    rows goes into several files, so a task holds a few rows however large a group is."""
+    columns, most = rows.columns, float(most or ROWS_A_FILE)
+    own = [c for c in columns if c != group]
+    end = kind if kind in ("csv", "tsv") else "json"
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame[columns]
         if kind in ("csv", "tsv"):
-            text = own.to_csv(index=False, sep="," if kind == "csv" else "\t")
+            text = frame[own].to_csv(index=False, sep="," if kind == "csv" else "\t")
         else:
-            text = json.dumps({kind: json.loads(own.to_json(orient="records"))}, ensure_ascii=False)
-        return pd.DataFrame({"name": [f"{frame[group].iloc[0]}.{'json' if kind not in ('csv', 'tsv') else kind}"], "content": [text.encode(encoding)]})
-
-    return rows.groupBy(group).applyInPandas(pack, "name string, content binary")
+            text = json.dumps({kind: json.loads(frame[own].to_json(orient="records"))}, ensure_ascii=False)
+        name, number, of = frame[group].iloc[0], frame["_file"].iloc[0], frame["_files"].iloc[0]
+        return pd.DataFrame({"name": [f"{name}.{end}" if of == 1 else f"{name}.{number}.{end}"], "content": [text.encode(encoding)]})
+
+    # a few rows, one for each group; rows without a group have files, too
+    files = rows.groupBy(F.col(group).alias("_group")).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("_files"))
+    dealt = rows.withColumn("_h", F.xxhash64(F.monotonically_increasing_id())).join(files, F.col(group).eqNullSafe(F.col("_group")))
+    dealt = dealt.select(*columns, "_files", F.pmod("_h", "_files").cast("int").alias("_file"))
+    return dealt.groupBy(group, "_file").applyInPandas(pack, "name string, content binary")

@@ -294,6 +294,18 @@ def test_cells_are_written_and_capped(spark, tmp_path):
     assert got == {(1, 0), (1, 1), (1, 2), (1, 3), (3, 1), (3, 2), (3, 3)}
 
 
+def test_a_large_group_is_several_files(spark, tmp_path):
+    from ravelin.sources.tabular import as_file, parsed, read_tabular, write_bytes
+
+    rows = spark.createDataFrame([("a" if k % 10 else "b" if k % 20 else None, k, f"n{k}") for k in range(2000)], "g string, k long, n string")
+    files = as_file(rows, "g", "items", most=100)
+    found = {r.name: len(parsed(r.content.decode())) for r in files.collect()}
+    assert len(found) == 20 and sum(found.values()) == 2000 and max(found.values()) < 200
+    assert {"b.json", "None.json"} < set(found)
+    write_bytes(files, f"file://{tmp_path}/sent")
+    assert sorted(int(r.k) for r in read_tabular(spark, f"file://{tmp_path}/sent", ["k", "n"]).collect()) == list(range(2000))
+
+
 def test_tables_as_they_are_sent(tmp_path):
     from ravelin.sources.tabular import decoded, parsed
 
