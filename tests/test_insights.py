@@ -69,3 +69,13 @@ def test_a_sample_reads_its_parts_only(spark, tmp_path):
     assert 0.06 * 4000 < small.rows < 0.2 * 4000 and small.rows < half.rows < all_.rows == 4000 and all_.combos == 300
     got = metrics.estimate(laid, ["k"], 4000)
     assert abs(got.first().blended - 300) < 60 and got.first().error <= 0.1
+
+
+def test_cells_are_made_once(spark):
+    from ravelin.plans.ingest import insight_cells
+    from ravelin.sources.tables import Tables
+
+    # recipes read the cells many times, and never the tables behind them
+    cells = insight_cells(Tables(spark, "/root/testdata/sf0.001"))
+    plan = insights.measured(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
