@@ -230,3 +230,47 @@ def test_index_scores_few_rows_of_scattered_vectors(spark):
     index = vectorindex.Index(df, "vec_id", "embedding")
     share = vectors.recall(index.search(asked, 5), vectors.nearest_many(df, asked, "vec_id", "embedding", 5, -1.0)).first().recall
     assert share >= 0.9 and index.scored_share() < 0.1
+
+
+def test_a_task_keeps_the_best_rows_whatever_reaches_the_floor():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    v, asked = rng.normal(size=(20_000, 16)), rng.normal(size=(200, 16))
+    v[3000:9000] = v[0]  # copies: the smallest ids stay
+    codes, units = vectorindex.Codes(vectors._unit(pd.Series(list(v[:500])))), vectors._unit(pd.Series(list(asked)))
+    ids, into, floors = np.arange(200) * 50, np.ones((200, 4), bool), np.full(200, -np.inf)
+
+    def run(n):
+        frames = (pd.DataFrame({"list": np.arange(k, k + 2000) // 500 % 4, "id": np.arange(k, k + 2000), "code": [c.tobytes() for c in codes.encode(vectors._unit(pd.Series(list(v[k : k + 2000]))))], "v": list(v[k : k + 2000])}) for k in range(0, n, 2000))
+        tracemalloc.start()
+        out = pd.concat(vectorindex.best_rows(frames, ids, units, into, floors, codes, 5))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    _, few = run(4000)
+    out, most = run(20_000)
+    assert most < 1.3 * few and out.scored.sum() == 200 * 20_000 - 200
+    out = out.dropna(subset=["query"])
+    exact = np.round(units @ vectors._unit(pd.Series(list(v))).T, 12)
+    exact[np.arange(200), ids] = -np.inf
+    for q, own in out.groupby("query"):
+        assert own.found.tolist() == np.lexsort((np.arange(20_000), -exact[q // 50]))[:5].tolist()
+
+
+def test_floors_of_an_index_that_is_fitted_to_some_rows(spark, monkeypatch):
+    monkeypatch.setattr(vectorindex, "SAMPLE", 400)
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(150, 16))
+    df = spark.createDataFrame([(k, [float(x) for x in centres[k % 150] * 2 + rng.normal(size=16)]) for k in range(4000)], "id long, v array<double>")
+    asked = df.where("id % 25 = 0")
+    index = vectorindex.Index(df, "id", "v", short=200)
+    found = index.search(asked, 5)
+    share = vectors.recall(found, vectors.nearest_many(df, asked, "id", "v", 5, -1.0)).first().recall
+    assert share >= 0.9 and 200 / 4000 < index.scored_share() < 0.15
