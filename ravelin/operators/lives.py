@@ -1,7 +1,8 @@
 """Expected counts from the rates of a predecessor: an exposure matrix of cohorts by age, its rates, and how much cohorts scatter around them.
 
 A cohort is what began in one month; it is seen from age 0 to its horizon. All tables are bounded by the calendar (and the number of
-keys), and all steps are joins and grouped sums.
+keys), and all steps are joins and grouped sums. The matrix itself is no table: a cohort is one row with the hits of the ages that have
+some, cohorts are dealt by their keys, and ages are made from a cohort where they are summed, so that they aren't shuffled.
 """
 
 from __future__ import annotations
@@ -15,35 +16,63 @@ Z95, LEAST_COHORTS = 1.959963984540054, 5
 
 
 def exposures(rows: DataFrame, end: DataFrame, hit: Column, keys: list[str]) -> DataFrame:
-    """(keys, cohort, age, units, hits) for every age at which a cohort was seen; ``rows`` have cohort and age, and ``end`` is the last month."""
-    units = rows.groupBy(*keys, "cohort").agg(F.count("*").alias("units"))
-    horizon = (12 * (F.year("end") - F.year("cohort")) + F.month("end") - F.month("cohort")).alias("horizon")
-    seen = units.crossJoin(F.broadcast(end.toDF("end"))).select(*keys, "cohort", "units", horizon).where("horizon >= 0")
-    seen = seen.select(*keys, "cohort", "units", F.explode(F.sequence(F.lit(0), "horizon")).alias("age"))
-    hits = rows.where(hit & (F.col("age") >= 0)).groupBy(*keys, "cohort", "age").agg(F.count("*").alias("hits"))
-    return seen.join(hits, [*keys, "cohort", "age"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    """(keys, cohort, units, horizon, hits) of every cohort that was seen; ``rows`` have cohort and age, ``end`` is the last month, and ``hits``
+    says how many each age has (none if it isn't there)."""
+    horizon = 12 * (F.year("end") - F.year("cohort")) + F.month("end") - F.month("cohort")
+    cells = rows.groupBy(*keys, "cohort", "age").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    cells = cells.crossJoin(F.broadcast(end.toDF("end"))).withColumn("horizon", horizon).where("horizon >= 0")
+    hits = F.when((F.col("hits") > 0) & F.col("age").between(0, F.col("horizon")), F.struct("age", "hits"))
+    return cells.groupBy(*keys, "cohort", "horizon").agg(F.sum("n").alias("units"), F.map_from_entries(F.collect_list(hits)).alias("hits"))
 
 
-def rates(matrix: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, age, rate, at_age, records): hits of an age over the units of all cohorts seen at it."""
-    own = matrix.groupBy(*keys, "age").agg(F.sum("units").alias("at_age"), F.sum("hits").alias("records"))
-    return own.withColumn("rate", F.try_divide("records", "at_age"))
+def _dealt(cohorts: DataFrame, keys: list[str]) -> DataFrame:
+    return cohorts.repartition(*keys) if keys else cohorts
 
 
-def dispersion(matrix: DataFrame, by_age: DataFrame, keys: list[str]) -> DataFrame:
+def _aged(cohorts: DataFrame, upto: Column) -> DataFrame:
+    """Cohorts for each age from 0 to ``upto``, and the hits of that age."""
+    others = [c for c in cohorts.columns if c != "hits"]
+    aged = cohorts.where(upto >= 0).select(*others, F.col("hits").alias("_hits"), F.explode(F.sequence(F.lit(0), upto)).alias("age"))
+    return aged.withColumn("hits", F.coalesce(F.try_element_at("_hits", "age"), F.lit(0))).drop("_hits")
+
+
+def _with_rates(cohorts: DataFrame, by_age: DataFrame, shared: list[str]) -> DataFrame:
+    return cohorts.join(by_age, shared) if shared else cohorts.crossJoin(F.broadcast(by_age))
+
+
+def rates(cohorts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, by_age): one row with rate, at_age and records of each age from 0 on: hits of an age over the units of all cohorts seen at it."""
+    own = _aged(_dealt(cohorts, keys), F.col("horizon")).groupBy(*keys, "age").agg(F.sum("units").alias("at_age"), F.sum("hits").alias("records"))
+    # the oldest cohort was seen at every age up to its horizon, so an age is a place
+    by_age = F.array_sort(F.collect_list(F.struct("age", F.try_divide("records", "at_age").alias("rate"), "at_age", "records")))
+    return own.groupBy(*keys).agg(by_age.alias("by_age"))
+
+
+def dispersion(cohorts: DataFrame, by_age: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, phi): Pearson's measure of the cohorts' sums around what the rates expect, 1 at least and for fewer than LEAST_COHORTS of them."""
-    sums = matrix.join(by_age.select(*keys, "age", "rate"), [*keys, "age"]).groupBy(*keys, "cohort").agg(F.sum("hits").alias("o"), F.sum(F.col("units") * F.col("rate")).alias("e")).where("e > 0")
+    upto = F.slice("by_age", F.lit(1), F.col("horizon") + 1)
+    o = F.aggregate(F.map_values("hits"), F.lit(0).cast("long"), lambda s, x: s + x)
+    e = F.aggregate(upto, F.lit(0.0), lambda s, x: s + F.col("units") * x["rate"])
+    sums = _with_rates(_dealt(cohorts, keys), by_age, keys).select(*keys, o.alias("o"), e.alias("e")).where("e > 0")
     found = sums.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.pow(F.col("o") - F.col("e"), F.lit(2)) / F.col("e")).alias("chi2"))
     phi = F.when(F.col("n") >= LEAST_COHORTS, F.greatest(F.lit(1.0), F.try_divide("chi2", F.col("n") - 1))).otherwise(1.0)
     return found.select(*keys, phi.alias("phi"))
 
 
+def _against(target: DataFrame, by_age: DataFrame, keys: list[str], shared: list[str]) -> DataFrame:
+    """Cohorts of ``target`` for each age at which they were seen, with the predecessor's figures ``r`` of that age; ages that it never
+    reached are left out."""
+    own = _with_rates(_dealt(target, keys), by_age, shared)
+    aged = _aged(own, F.least(F.col("horizon"), F.size("by_age") - 1))
+    return aged.withColumn("r", F.get("by_age", F.col("age"))).drop("by_age")
+
+
 def expected(target: DataFrame, by_age: DataFrame, keys: list[str], shared: list[str]) -> DataFrame:
     """(keys, period, o, e): hits of each period and what the predecessor's rates expect for it; ages that it never reached are left out.
     ``shared`` are the keys that the rates are by, too."""
-    own = target.join(by_age.select(*shared, "age", "rate"), [*shared, "age"])
     period = F.add_months("cohort", F.col("age")).alias("period")
-    return own.groupBy(*keys, period).agg(F.sum("hits").alias("o"), F.sum(F.col("units") * F.col("rate")).alias("e"))
+    own = _against(target, by_age, keys, shared)
+    return own.groupBy(*keys, period).agg(F.sum("hits").alias("o"), F.sum(F.col("units") * F.col("r.rate")).alias("e"))
 
 
 def walked(series: DataFrame, keys: list[str], rho: float, alpha: Column, beta: float) -> DataFrame:
@@ -62,7 +91,8 @@ def walked(series: DataFrame, keys: list[str], rho: float, alpha: Column, beta:
 def compared(target: DataFrame, by_age: DataFrame, phi: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, o, e, ratio, low, high): counts over expectation with an interval by the delta method: the scatter of the counts and of the
     predecessor's rates, both widened by ``phi`` (one row). Without a count the upper end is that of a Poisson count of 0."""
-    own = target.join(by_age, "age").groupBy(*keys, "age").agg(F.sum("hits").alias("o"), F.sum("units").alias("w"), F.first("rate").alias("rate"), F.first("records").alias("records"), F.first("at_age").alias("at_age"))
+    own = _against(target, by_age, keys, []).groupBy(*keys, "age").agg(F.sum("hits").alias("o"), F.sum("units").alias("w"), F.first("r").alias("r"))
+    own = own.select(*keys, "o", "w", "r.*")
     spread = F.pow(F.col("w") / F.col("at_age"), F.lit(2)) * F.col("records")
     sums = own.groupBy(*keys).agg(F.sum("o").alias("o"), F.sum(F.col("w") * F.col("rate")).alias("e"), F.sum(spread).alias("v")).crossJoin(F.broadcast(phi))
     around = F.try_divide(F.col("v"), F.col("e") * F.col("e"))

@@ -12,6 +12,7 @@ from ravelin.functions.scalars import age, bucket, is_closed
 from ravelin.operators import lives, metrics, numeric, statistics
 from ravelin.operators.ordered import with_totals
 from ravelin.plans.registry import RECORDS, question
+from ravelin.sources.files import stored
 
 c = F.col
 _BY = "(SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS total FROM lineitem GROUP BY 1)"
@@ -164,11 +165,15 @@ def _standard(keys: str = "", shared: str = "") -> str:
 
 
 def standard(t, keys=(), shared=()):
-    """(matrix of the new line, rates of the old one, phi of its cohorts)"""
+    """(cohorts of the new line, rates of the old one, phi of its cohorts). Cohorts are written once; if both lines have the same keys, together."""
     end, hit = t.lineitem.agg(F.max(bucket(c("l_shipdate"), "month"))), c("l_returnflag") == "R"
-    old = lives.exposures(t.records.where(_OLD), end, hit, list(shared))
+    lines = t.records.withColumn("new", F.when(F.expr(_NEW), True).when(F.expr(_OLD), False)).where("new is not null")
+    written = lambda rows, by: stored(lives.exposures(rows, end, hit, ["new", *by]))
+    new = written(lines if list(keys) == list(shared) else lines.where("new"), keys)
+    old = new if list(keys) == list(shared) else written(lines.where("not new"), shared)
+    new, old = new.where("new").drop("new"), old.where("not new").drop("new")
     by_age = lives.rates(old, list(shared))
-    return lives.exposures(t.records.where(_NEW), end, hit, list(keys)), by_age, lives.dispersion(old, by_age, list(shared))
+    return new, by_age, lives.dispersion(old, by_age, list(shared))
 
 
 _WIDE = "1.959963984540054 * sqrt(phi * (1.0 / nullif(o, 0) + v / (e * e)))"

@@ -120,3 +120,51 @@ def test_kinds_are_narrow(spark):
     rows = spark.createDataFrame([(str(k % 2), "yes" if k % 2 else "No", f"o{k % 12}", f"o{k % 13}", " 1,234.50 ", None) for k in range(60)], "bit string, flag string, twelve string, thirteen string, money string, none string")
     got = {r.column: (r.kind, r.filled, r.distinct, r.decimals) for r in profiles.kinds(rows).collect()}
     assert got == {"bit": ("number", 60, 2, 0), "flag": ("bool", 60, 2, 0), "twelve": ("enum", 60, 12, 0), "thirteen": ("text", 60, 13, 0), "money": ("number", 60, 1, 2), "none": ("text", 0, 0, 0)}
+
+
+def test_ages_of_cohorts_are_made_where_they_are_summed(spark):
+    from pyspark.sql import functions as F
+
+    from ravelin.operators import lives
+
+    rng, month = random.Random(4), lambda n: datetime.date(2020 + n // 12, n % 12 + 1, 1)
+    end, sides = 40, {}
+    for side, first in (("old", 8), ("new", 0)):  # the new line has older cohorts, so ages that the old one never reached
+        sides[side] = [(k, n, age, rng.random() < 0.4) for k in (1, 2, 3) for n in range(first, 42) for age in [*(rng.randrange(max(end - n, 0) + 1) for _ in range(4)), -1, None] if (side, k) != ("old", 3)]
+    schema = "k long, cohort date, age int, hit boolean"
+    frames = {side: spark.createDataFrame([(k, month(n), age, hit) for k, n, age, hit in rows], schema) for side, rows in sides.items()}
+    last = spark.createDataFrame([(month(end),)], "e date")
+    for keys in (["k"], []):
+        key = lambda r: r[0] if keys else 0
+        cells = {side: {} for side in sides}
+        for side, rows in sides.items():
+            for at in {(key(r), r[1]) for r in rows if r[1] <= end}:
+                own = [r for r in rows if (key(r), r[1]) == at]
+                cells[side] |= {(*at, a): (len(own), sum(r[3] for r in own if r[2] == a)) for a in range(end - at[1] + 1)}
+        at_age, hits = {}, {}
+        for (k, _, a), (n, h) in cells["old"].items():
+            at_age[k, a], hits[k, a] = at_age.get((k, a), 0) + n, hits.get((k, a), 0) + h
+        rate = {x: hits[x] / at_age[x] for x in at_age}
+        want, scatter = {}, {}
+        for (k, n, a), (units, h) in cells["new"].items():
+            if (k, a) in rate:
+                o, e = want.get((k, n + a), (0, 0.0))
+                want[k, n + a] = (o + h, e + units * rate[k, a])
+        for (k, n, a), (units, h) in cells["old"].items():
+            o, e = scatter.get((k, n), (0, 0.0))
+            scatter[k, n] = (o + h, e + units * rate[k, a])
+        old, new = (lives.exposures(frames[side], last, F.col("hit"), keys) for side in ("old", "new"))
+        assert old.count() == len(scatter)  # a row for a cohort, not for each of its ages
+        by_age = lives.rates(old, keys)
+        series = lives.expected(new, by_age, keys, keys)
+        got = {(r.k if keys else 0, 12 * (r.period.year - 2020) + r.period.month - 1): (r.o, r.e) for r in series.collect()}
+        assert {x: o for x, (o, _) in got.items()} == {x: o for x, (o, _) in want.items()}
+        assert all(got[x][1] == pytest.approx(e) for x, (_, e) in want.items())
+        phi = {r.k if keys else 0: r.phi for r in lives.dispersion(old, by_age, keys).collect()}
+        for k in {k for k, _ in scatter}:
+            own = [(o, e) for (x, _), (o, e) in scatter.items() if x == k and e > 0]
+            assert phi[k] == pytest.approx(max(1.0, sum((o - e) ** 2 / e for o, e in own) / (len(own) - 1)))
+        assert set(phi) == {k for k, _ in scatter}
+        if keys:
+            plan = lives.expected(new, by_age, keys, keys)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan.split("Generate explode")[0]
