@@ -79,3 +79,37 @@ def test_cells_are_made_once(spark):
     cells = insight_cells(Tables(spark, "/root/testdata/sf0.001"))
     plan = insights.measured(cells)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "o_orderkey" not in plan
+
+
+def odd_tables(folder):
+    """Lines with months and flags that aren't known, and parts, orders and customers whose keys repeat."""
+    import duckdb
+
+    con, data = duckdb.connect(), "/root/testdata/sf0.001"
+    month = "(year(l_shipdate) * 12 + month(l_shipdate)) % 5"
+    con.sql(f"COPY (SELECT * EXCLUDE (c_nationkey) REPLACE (CASE WHEN l_linenumber = 2 THEN NULL ELSE l_shipdate END AS l_shipdate, CASE WHEN {month} = 0 THEN NULL WHEN c_nationkey = 3 THEN 'R' ELSE l_returnflag END AS l_returnflag) FROM (SELECT l.*, c_nationkey FROM '{data}/lineitem.parquet' l LEFT JOIN '{data}/orders.parquet' ON l_orderkey = o_orderkey LEFT JOIN '{data}/customer.parquet' ON o_custkey = c_custkey)) TO '{folder}/lineitem.parquet'")
+    for table, key, n in (("part", "p_partkey", 3), ("orders", "o_orderkey", 4), ("customer", "c_custkey", 1000000)):
+        con.sql(f"COPY (SELECT * FROM '{data}/{table}.parquet' UNION ALL SELECT * FROM '{data}/{table}.parquet' WHERE {key} % {n} = 1) TO '{folder}/{table}.parquet'")
+    for table in ("lineitem", "part", "orders", "customer"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    return con
+
+
+def test_no_line_is_left_out_of_cells(spark, tmp_path):
+    from ravelin import catalog
+    from ravelin.plans.ingest import insight_cells
+    from ravelin.sources.tables import Tables
+
+    con = odd_tables(tmp_path)
+    for name in ("insight_share", "insight_recent", "insight_unsteady", "insight_scan"):
+        sql, found = catalog.oracle_sql()[name], catalog.queries()[name](spark, str(tmp_path))
+        order = ", ".join(found.columns)
+        want = con.sql(f"SELECT {order} FROM ({sql})").fetchall()
+        assert sorted(map(tuple, found.collect())) == sorted(want) and want
+    cells = insight_cells(Tables(spark, str(tmp_path)))
+    want = con.sql("SELECT c_nationkey::VARCHAR, date_trunc('month', l_shipdate)::DATE, count(*) FILTER (l_returnflag = 'R'), count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2").fetchall()
+    got = cells.where("axis = 'nation'").drop("axis").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and any(r.period is None for r in got)
+    # returns that only a nation stands out by are found
+    judged = {(r.recipe, r.axis, r.key) for r in catalog.queries()["insight_judged"](spark, str(tmp_path)).collect()}
+    assert ("share", "nation", "3") in judged
