@@ -274,3 +274,40 @@ def test_floors_of_an_index_that_is_fitted_to_some_rows(spark, monkeypatch):
     found = index.search(asked, 5)
     share = vectors.recall(found, vectors.nearest_many(df, asked, "id", "v", 5, -1.0)).first().recall
     assert share >= 0.9 and 200 / 4000 < index.scored_share() < 0.15
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_paths_of_many_sources_are_no_rows(spark, monkeypatch, directed):
+    from ravelin.operators import pathcounts
+
+    # a net without hanging trees, a hub with more links than are summed one by one, and sources in several batches
+    rng = random.Random(4)
+    edges = {(k, (k + 1) % 300) for k in range(300)} | {(rng.randrange(300), rng.randrange(300)) for _ in range(60)} | {(300, k) for k in range(0, 300, 4)} | {(k, 300) for k in range(0, 300, 5)}
+    df = spark.createDataFrame(list(edges), "a long, b long")
+    sources = spark.createDataFrame([(k,) for k in range(301)], "node long")
+    cut, rows = graphs._cut, []
+
+    def counted(frame):
+        out = cut(frame)
+        rows.append(out.count())
+        return out
+
+    scores = lambda: {r.node: r.score for r in graphs.betweenness(df, "a", "b", sources, directed).collect()}
+    monkeypatch.setattr(graphs, "HELD", 0)
+    want = scores()
+    monkeypatch.undo()
+    monkeypatch.setattr(graphs, "_cut", counted)
+    assert scores() == pytest.approx(want) and len(want) == 301
+    # pairs of sources and nodes would be 90,000
+    assert max(rows) <= 2 * len(edges)
+    ends = [[x for x, _ in sorted(edges)], [y for _, y in sorted(edges)]]
+    size, mass = [1.0] * 301, [k % 3 for k in range(301)]
+    import numpy as np
+
+    args = (*map(np.array, ends), np.array(size), np.array(mass), np.arange(301))
+    one = pathcounts.through(*args)
+    monkeypatch.setattr(pathcounts, "MEMORY", 0)
+    monkeypatch.setattr(pathcounts, "FEW", 3)
+    monkeypatch.setattr(pathcounts, "ROWS", 7)
+    for x, y in zip(one, pathcounts.through(*args), strict=True):
+        assert x == pytest.approx(y)
