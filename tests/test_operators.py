@@ -372,3 +372,51 @@ def test_percentiles_match_sorting(spark):
     got = {r.k: (r.a, r.b, r.c) for r in summary.percentiles(spark.createDataFrame(rows, "k int, v double"), "k", "v", {"a": 0.0, "b": 0.37, "c": 0.99}, bins=16).collect()}
     keys = {k for k, v in rows if v is not None}
     assert got == {k: tuple(pytest.approx(float(np.percentile([v for g, v in rows if g == k and v is not None], q))) for q in (0, 37, 99)) for k in keys}
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_most_alike_compositions(spark, monkeypatch, kind):
+    import random
+
+    from ravelin.operators import compositions, graphs
+
+    # strips and counts of a few rows each; a hot item, owners with a missing item only, repeated rows, equal sets and a large owner
+    rng = random.Random(7)
+    rows = [(o, rng.randrange(25)) for o in range(-40, 60) for _ in range(rng.randrange(1, 6))] + [(o, 99) for o in range(0, 60, 2)]
+    rows += [(70 + k, x) for k in range(12) for x in (1, 2)] + [(90, i) for i in range(25)] + [(o, None) for o in (5, 91, 92)] + [(None, 3), (None, None)] + rows[:30]
+    if kind == "long":
+        rows += [(2**62 + k, i) for k in range(3) for i in (2**62, -(2**62), -(2**62) + 1)]
+    own = {}
+    for o, i in rows:
+        if o is not None:
+            own.setdefault(o, set()).add(i)
+    want, text = [], (str if kind == "string" else lambda x: x)
+    for a, x in own.items():
+        scored = []
+        for b, y in own.items():
+            shared = len((x & y) - {None})
+            if a != b and shared:
+                union = len(x) + len(y) - shared
+                scored.append((-((2_000_000 * shared + union) // (2 * union)), text(b), shared))
+        want += [(text(a), b, n, -s / 1e6, k + 1) for k, (s, b, n) in enumerate(sorted(scored)[:4])]
+    told = (lambda x: None if x is None else str(x)) if kind == "string" else lambda x: x
+    df = spark.createDataFrame([(told(o), told(i)) for o, i in rows], f"o {kind}, i {kind}").repartition(3)
+    for least in (2_000_000, 40):
+        monkeypatch.setattr(compositions, "STRIP", least)
+        found = graphs.composition_similarity(df, "o", "i", 4)
+        assert dict(found.dtypes)["a"] == df.dtypes[0][1] and sorted(map(tuple, found.collect())) == sorted(want)
+    if kind == "string":
+        return
+    # only the best of an owner are shuffled: no lists, and one join that reads both sides where they are
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "collect_list" not in plan and plan.count("Exchange ") == 1
+    # the same with few places at once, in this process
+    monkeypatch.setattr(compositions, "AT_ONCE", 5)
+    import pandas as pd
+
+    kept = pd.DataFrame([(o, 0 if i is None else i, i is None) for o, i in rows if o is not None], columns=["_o", "_i", "_none"])
+    strips = [next(compositions.strip([kept[kept._o % 3 == k]])) for k in range(3)]
+    frames = [pd.DataFrame({"id": x["id"][0], "own": [x["strip"][0]] * 3, "other": [y["strip"][0] for y in strips]}) for x in strips]
+    out = pd.concat(compositions.best(frames, 4))
+    got = {(r.a, r.b, r.shared) for r in out.itertuples()}
+    assert got == {(a, b, n) for a, b, n, _, _ in want}
