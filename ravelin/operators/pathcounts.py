@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of the matrices of the roots that are walked at once, and rows that are summed at once.
-MEMORY, ROWS = 192_000_000, 4096
+MEMORY, ROWS = 48_000_000, 512
 #: Links of a node that are summed one after the other, for many nodes at once; the others of a node are summed by themselves.
 FEW = 64
 
@@ -25,25 +25,28 @@ class Links:
     def sorted(self, nodes: np.ndarray) -> np.ndarray:
         return nodes[np.argsort(self.count[nodes], kind="stable")]
 
-    def sums(self, nodes: np.ndarray, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of each of ``nodes`` (``sorted``) the sum of the rows, which are at ``place``, of what its links lead to."""
-        out = np.zeros((len(nodes), rows.shape[1]))
+    def sums(self, nodes: np.ndarray, rows: np.ndarray, place: np.ndarray):
+        """Of some of ``nodes`` (``sorted``) at a time, these and the sums of the rows, which are at ``place``, of what their links lead to."""
         for low in range(0, len(nodes), ROWS):
-            own, n, start = out[low : low + ROWS], self.count[nodes[low : low + ROWS]], self.start[nodes[low : low + ROWS]]
+            own = nodes[low : low + ROWS]
+            n, start, out = self.count[own], self.start[own], np.zeros((len(own), rows.shape[1]))
             for k in range(min(n[-1], FEW)):
                 first = np.searchsorted(n, k, side="right")
-                own[first:] += rows[place[self.to[start[first:] + k]]]
+                out[first:] += rows[place[self.to[start[first:] + k]]]
             for x in range(np.searchsorted(n, FEW, side="right"), len(n)):
                 for a in range(FEW, n[x], ROWS):
-                    own[x] += rows[place[self.to[start[x] + a : start[x] + min(a + ROWS, n[x])]]].sum(axis=0)
-        return out
+                    out[x] += rows[place[self.to[start[x] + a : start[x] + min(a + ROWS, n[x])]]].sum(axis=0)
+            yield own, out
 
 
-def _placed(nodes: np.ndarray, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """``rows`` behind a row of zeros, with their places; all other nodes are at the zeros."""
+def _placed(nodes: np.ndarray, width: int, row, place: np.ndarray) -> np.ndarray:
+    """What ``row`` makes of nodes, some at a time, behind a row of zeros, with their places; all other nodes are at the zeros."""
     place[:] = 0
     place[nodes] = np.arange(1, len(nodes) + 1)
-    return np.concatenate([np.zeros((1, rows.shape[1])), rows])
+    out = np.zeros((len(nodes) + 1, width))
+    for low in range(0, len(nodes), ROWS):
+        out[low + 1 : low + 1 + ROWS] = row(nodes[low : low + ROWS])
+    return out
 
 
 def through(source: np.ndarray, target: np.ndarray, size: np.ndarray, mass: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,32 +63,33 @@ def through(source: np.ndarray, target: np.ndarray, size: np.ndarray, mass: np.n
         at = (own, np.arange(len(own)))
         depth, paths = np.full((n, len(own)), -1, np.int32), np.zeros((n, len(own)))
         depth[at], paths[at] = 0, 1.0
+        left = np.full(n, len(own)) - np.bincount(own, minlength=n)
         level, levels = np.unique(own), []
         while len(level):
             levels.append(level)
-            rows = _placed(level, np.where(depth[level] == len(levels) - 1, paths[level], 0.0), place)
+            k = len(levels)
+            rows = _placed(level, len(own), lambda x: np.where(depth[x] == k - 1, paths[x], 0.0), place)
             met = np.zeros(n, bool)
             met[ahead.near(level)] = True
-            level = np.flatnonzero(met)
-            level = back.sorted(level[(depth[level] < 0).any(axis=1)])
-            sums, before = back.sums(level, rows, place), depth[level]
-            new = (before < 0) & (sums > 0)
-            some = new.any(axis=1)
-            level, new = level[some], new[some]
-            depth[level] = np.where(new, len(levels), before[some])
-            paths[level] += np.where(new, sums[some], 0.0)
+            some = []
+            for x, sums in back.sums(back.sorted(np.flatnonzero(met & (left > 0))), rows, place):
+                before = depth[x]
+                new = (before < 0) & (sums > 0)
+                many = new.sum(axis=1)
+                left[x] -= many
+                depth[x], paths[x] = np.where(new, k, before), np.where(new, sums, paths[x])
+                some.append(x[many > 0])
+            level = np.concatenate(some) if some else level[:0]
         share = np.zeros((n, len(own)))
         for k in range(len(levels) - 1, 0, -1):
-            low_, high = levels[k], ahead.sorted(levels[k - 1])
-            here = depth[low_] == k
-            rows = np.where(here, (size[low_, None] + share[low_]) / np.where(here, paths[low_], 1.0), 0.0)
-            sums = ahead.sums(high, _placed(low_, rows, place), place)
-            share[high] += np.where(depth[high] == k - 1, paths[high] * sums, 0.0)
+            rows = _placed(levels[k], len(own), lambda x: np.where(depth[x] == k, (size[x, None] + share[x]) / np.maximum(paths[x], 1.0), 0.0), place)
+            for x, sums in ahead.sums(ahead.sorted(levels[k - 1]), rows, place):
+                share[x] += np.where(depth[x] == k - 1, paths[x] * sums, 0.0)
         found[low : low + width] = share[at]
         share[at], depth[at] = 0.0, -1
         passed += share @ mass[own].astype(float)
-        for x, m in enumerate(mass[own]):
-            reached += m * (depth[:, x] >= 0)
+        # whole numbers up to 2**53, so a sum of floats is exact
+        reached += ((depth >= 0) @ mass[own].astype(float)).astype(np.int64)
     return passed, reached, found
 
 
